@@ -39,3 +39,15 @@ def documents_of(df: DataFrame, *columns: str) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def grouped(docs: DataFrame, times: int = 8) -> DataFrame:
+    """``docs`` with a group number ``g`` from doc_id: many even groups of documents, each of which fits a task.
+
+    Plans that deal these rows out by ``g`` more than once share one exchange.
+    """
+    return docs.withColumn("g", group_of(F.col("doc_id"), n_buckets(docs.sparkSession, times)))
+
+
+def group_of(doc_id, n: int):
+    return F.pmod(F.xxhash64(doc_id), F.lit(n)).cast("int")
