@@ -68,4 +68,10 @@ rules(h, q, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'
 fit AS (SELECT page_id, arg_max(h || q, length(h || q)) AS rule, arg_max(v, length(h || q)) AS v FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY 1)
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN fit USING (page_id)"""
 
-SQL = {"op5_url_filter": _OP5, "op2_decontaminate": _OP2, "op3_minhash_dedup": _OP3, "op8_quality_rules": _op8()}
+_OP4 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first_id FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, sha256(html) AS payload_digest, CASE WHEN n >= 100 AND first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND first_id < page_id THEN first_id END AS refers_to, NULL::VARCHAR AS error FROM f"""
+
+SQL = {"op4_warc": _OP4, "op5_url_filter": _OP5, "op2_decontaminate": _OP2, "op3_minhash_dedup": _OP3, "op8_quality_rules": _op8()}

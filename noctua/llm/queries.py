@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, oracles, passage_dedup, quality, suffix_dedup, url_filter
-from ._shared import documents_of, read
+from . import decontaminate, minhash, oracles, passage_dedup, quality, suffix_dedup, url_filter, warc
+from ._shared import documents_of, read, stored
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,12 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = stored(warc.write(warc.plan(read(spark, sf_dir, "pages"))), "archives")
+    found = warc.read_archives(archives, payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
 #: Rules (host, path, verdict) of the registered URL query.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
