@@ -9,9 +9,10 @@ for a chance of about 1e-7, so leaving each document's ``t - 1`` most frequent v
 still leaves such a pair one list in common. Values that one document has alone need no list. A passage that many
 documents share therefore makes no long list unless it is a third or more of the document.
 
-Inside a list candidates form stars round the most central documents, never all pairs. Links that the exact check
-confirms are joined to components; a second pass over the same lists takes all candidates between different
-components, so no link is lost to the stars.
+Inside a list a search visits all members and keeps one tree of candidate links for each group that hangs together,
+never all pairs. Groups of the same members in other lists join to loose clusters. A cluster's texts meet once (in
+pairs of blocks, if it is large) and the sizes of all overlaps of full sets come from products of incidence matrices;
+again only a tree of the true links goes on. Nothing is emitted that grows faster than the number of documents.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ from ._shared import documents_of, n_buckets, stored
 from .components import components
 
 K, FLOOR_SHARE = 32, 0.375
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: A block of a cluster holds about so many shingles and documents at most; larger clusters meet in pairs of blocks.
+BLOCK_SHINGLES, BLOCK_DOCS = 1 << 19, 1024
+_NONE, _PAD = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint32(0xFFFFFFFF)
 _POST = np.dtype([("v", "<u8"), ("doc", "<i8"), ("n", "<i4")])
 _FREQ = np.dtype([("doc", "<i8"), ("v", "<u8"), ("n", "<i4"), ("freq", "<i4")])
-_LIST = np.dtype([("v", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("comp", "<i8"), ("sketch", "<u4", K)])
+_LIST = np.dtype([("v", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("sketch", "<u4", K)])
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,76 +136,65 @@ def listed(reps: DataFrame) -> DataFrame:
 
 def _estimate(one: np.ndarray, one_n: int, many: np.ndarray, many_n: np.ndarray) -> np.ndarray:
     """Similarity of one document to many, from the k smallest values of each union; padding is the largest value."""
-    pad = np.uint32(0xFFFFFFFF)
     i = np.searchsorted(one, many)
-    shared = (one[np.minimum(i, K - 1)] == many) & (many != pad)
-    before = np.cumsum(shared, axis=1) - shared
-    rank = i + np.arange(K) - before
-    total = shared.sum(axis=1)
-    union = np.minimum(one_n, K) + np.minimum(many_n, K) - total
+    shared = (one[np.minimum(i, K - 1)] == many) & (many != _PAD)
+    return _share(i, shared, np.int64(one_n), many_n)
+
+
+def _estimate_rows(left: np.ndarray, left_n: np.ndarray, right: np.ndarray, right_n: np.ndarray) -> np.ndarray:
+    """The same for pairs of rows."""
+    i = (left[:, None, :] < right[:, :, None]).sum(axis=2)
+    shared = (left[:, None, :] == right[:, :, None]).any(axis=2) & (right != _PAD)
+    return _share(i, shared, left_n, right_n)
+
+
+def _share(i: np.ndarray, shared: np.ndarray, one_n: np.ndarray, many_n: np.ndarray) -> np.ndarray:
+    rank = i + np.arange(K) - (np.cumsum(shared, axis=1) - shared)
+    union = np.minimum(one_n, K) + np.minimum(many_n, K) - shared.sum(axis=1)
     return (shared & (rank < K)).sum(axis=1) / np.maximum(1, np.minimum(K, union))
 
 
-def _near(rec: np.ndarray, p: int, others: np.ndarray, percent: int) -> np.ndarray:
-    """Those of ``others`` that may be linked with the p-th member: sizes allow it, and the estimate."""
-    n = int(rec["n"][p])
-    m = rec["n"][others].astype(np.int64)
-    others = others[100 * np.minimum(m, n) >= percent * np.maximum(m, n)]
-    if not len(others):
-        return others
-    return others[_estimate(rec["sketch"][p], n, rec["sketch"][others], rec["n"][others]) >= FLOOR_SHARE]
+def _sizes_fit(one: np.ndarray, many: np.ndarray, percent: int) -> np.ndarray:
+    one, many = np.int64(one), many.astype(np.int64)
+    return 100 * np.minimum(one, many) >= percent * np.maximum(one, many)
 
 
-def _stars(rec: np.ndarray, percent: int) -> list[np.ndarray]:
-    """Pairs of positions: stars round central members, until each is a centre or hangs on one."""
-    if len(rec) == 2:
-        got = _near(rec, 0, np.array([1]), percent)
-        return [np.array([[0, 1]])] if len(got) else []
+def _forest(rec: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that span each group of members that hangs together by estimate; the most central members are visited first."""
     values, inverse = np.unique(rec["sketch"], return_inverse=True)
     held = np.bincount(inverse.ravel())
-    held[values == 0xFFFFFFFF] = 0
-    order = np.argsort(-held[inverse.reshape(rec["sketch"].shape)].sum(axis=1), kind="stable")
-    out = []
-    while len(order) > 1:
-        p, order = int(order[0]), order[1:]
-        got = _near(rec, p, order, percent)
-        if len(got):
-            out.append(np.stack((np.full(len(got), p), got), axis=1))
-            order = order[~np.isin(order, got)]
-    return out
-
-
-def _across(rec: np.ndarray, percent: int) -> list[np.ndarray]:
-    """Pairs of positions of different components."""
-    if (rec["comp"] == rec["comp"][0]).all():
-        return []
-    out, order = [], np.argsort(rec["n"], kind="stable")
-    sizes = rec["n"][order]
-    ends = np.searchsorted(sizes, sizes.astype(np.int64) * 100 // percent, "right")
-    for k, p in enumerate(order):
-        others = order[k + 1 : ends[k]]
-        others = others[rec["comp"][others] != rec["comp"][p]]
-        if len(others) and len(got := _near(rec, int(p), others, percent)):
-            out.append(np.stack((np.full(len(got), p), got), axis=1))
+    held[values == _PAD] = 0
+    left = np.argsort(-held[inverse.reshape(rec["sketch"].shape)].sum(axis=1), kind="stable")
+    out, queue = [], []
+    while len(left):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+            continue
+        p = queue.pop()
+        fit = np.flatnonzero(_sizes_fit(rec["n"][p], rec["n"][left], percent))
+        near = fit[_estimate(rec["sketch"][p], int(rec["n"][p]), rec["sketch"][left[fit]], rec["n"][left[fit]].astype(np.int64)) >= FLOOR_SHARE]
+        if len(near):
+            got = left[near].tolist()
+            out += [(p, q) for q in got]
+            queue += got
+            left = np.delete(left, near)
     return out
 
 
-def candidates(lists: DataFrame, percent: int, across: bool) -> DataFrame:
-    """(a, b), a < b: pairs to verify, from (doc_id, values, n_shingles, sketch, component)."""
+def candidates(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b): candidate links, as trees, from (doc_id, values, n_shingles, sketch)."""
     n = n_buckets(lists.sparkSession)
-    rows = lists.select("doc_id", "values", "n_shingles", "sketch", "component")
+    rows = lists.select("doc_id", "values", "n_shingles", "sketch")
 
     def post(batches):
         out = t.Scatter(n)
         for batch in batches:
             values, count = _sketches(batch.column(1))
             held, size = _sketches(batch.column(3))
-            sketch = np.full((batch.num_rows, K), 0xFFFFFFFF, np.uint32)
+            sketch = np.full((batch.num_rows, K), _PAD, np.uint32)
             sketch[np.arange(K) < size[:, None]] = np.minimum(held >> np.uint64(32), np.uint64(0xFFFFFFFE)).astype(np.uint32)
             rec = np.empty(len(values), _LIST)
-            rec["v"] = values
-            for name, i in (("doc", 0), ("n", 2), ("comp", 4)):
-                rec[name] = np.repeat(batch.column(i).to_numpy(), count)
+            rec["v"], rec["doc"], rec["n"] = values, np.repeat(batch.column(0).to_numpy(), count), np.repeat(batch.column(2).to_numpy(), count)
             rec["sketch"] = np.repeat(sketch, count, axis=0)
             yield from out.add(rec["v"], rec)
         yield from out.rest()
@@ -211,39 +203,116 @@ def candidates(lists: DataFrame, percent: int, across: bool) -> DataFrame:
         for _, rec in t.gathered(batches, _LIST):
             rec = rec[np.lexsort((rec["doc"], rec["v"]))]
             edge = np.append(np.flatnonzero(np.append(True, rec["v"][1:] != rec["v"][:-1])), len(rec))
+            size = np.diff(edge)
             found = []
-            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-                if hi - lo > 1:
-                    found += [x + lo for x in (_across if across else _stars)(rec[lo:hi], percent)]
-            if found:
-                pair = np.unique(np.sort(rec["doc"][np.concatenate(found)], axis=1), axis=0)
-                pair = pair[pair[:, 0] < pair[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+            for two in np.array_split(edge[:-1][size == 2], max(1, (size == 2).sum() // 4096)):
+                ok = _sizes_fit(rec["n"][two], rec["n"][two + 1], percent)
+                two = two[ok]
+                near = _estimate_rows(rec["sketch"][two], rec["n"][two].astype(np.int64), rec["sketch"][two + 1], rec["n"][two + 1].astype(np.int64)) >= FLOOR_SHARE
+                found.append(np.stack((two[near], two[near] + 1), axis=1))
+            for k in np.flatnonzero(size > 2):
+                if tree := _forest(rec[edge[k] : edge[k + 1]], percent):
+                    found.append(np.array(tree) + edge[k])
+            pair = np.sort(rec["doc"][np.concatenate(found)], axis=1)
+            pair = np.unique(pair, axis=0) if len(pair) else pair
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
     return _met(_spread(rows, post)).mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b, overlap, total) whose full shingle sets reach the threshold."""
+def _roots(n: int, links: np.ndarray) -> list[tuple[int, int]]:
+    """A tree of links for each component of the links among n members."""
+    top, out = list(range(n)), []
+    for a, b in links.tolist():
+        x, y = a, b
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        while top[y] != y:
+            top[y] = top[top[y]]
+            y = top[y]
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return out
+
+
+def _true_links(g: np.ndarray, edge: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs (i, j) of sets, i of ``left`` and j of ``right``, whose overlap reaches the threshold; sets are slices of g."""
+    row = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+    order = np.argsort(g, kind="stable")
+    g, row = g[order], row[order]
+    new = np.append(True, g[1:] != g[:-1])
+    column = np.cumsum(new) - 1
+    common = np.bincount(column)[column] > 1  # a hash of one set alone adds nothing to an overlap
+    column, row = column[common], row[common]
+    column = np.cumsum(np.append(True, column[1:] != column[:-1])) - 1 if len(column) else column
+    overlap = np.zeros((len(left), len(right)), np.float32)
+    place_l, place_r = (np.full(len(edge) - 1, -1) for _ in range(2))
+    place_l[left], place_r[right] = np.arange(len(left)), np.arange(len(right))
+    wide = max(256, (1 << 22) // max(1, len(left) + len(right)))
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+        a, b = np.searchsorted(column, (lo, lo + wide))
+        c, r = column[a:b] - lo, row[a:b]
+        x = np.zeros((len(left), wide), np.float32)
+        y = np.zeros((len(right), wide), np.float32)
+        x[place_l[r][place_l[r] >= 0], c[place_l[r] >= 0]] = 1
+        y[place_r[r][place_r[r] >= 0], c[place_r[r] >= 0]] = 1
+        overlap += x @ y.T
+    size = np.diff(edge)
+    total = size[left][:, None] + size[right][None, :] - overlap
+    i, j = np.nonzero((100 * overlap >= percent * total) & (total > 0))
+    i, j = left[i], right[j]
+    return np.stack((i[i != j], j[i != j]), axis=1)
+
+
+def verified(trees: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b, n): true links as trees, with n null; and, with b null, how many links a has in one pair of blocks."""
+    cluster = components(trees)
+    sized = cluster.join(reps.select(F.col("doc_id").alias("id"), "n_shingles"), "id")
+    per = F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int")
+    blocks = sized.groupBy("component").agg(per.alias("n_blocks"))
+    placed = cluster.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id"), "n_blocks").cast("int"))
+    # block pairs (i, j), i <= j, in which a block takes part
+    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
+    paired = placed.select("id", "component", "block", other.alias("other")).select(F.col("id").alias("doc_id"), "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    text = text.join(needed, "doc_id", "left_semi")
-    rows = pairs.join(text.withColumnsRenamed({"doc_id": "a", "text": "left"}), "a").join(text.withColumnsRenamed({"doc_id": "b", "text": "right"}), "b").select("a", "b", "left", "right")
+    rows = text.join(paired, "doc_id").select("component", "i", "j", "block", "doc_id", "text").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+
+    def solve(held):
+        ids, block, sets = (np.concatenate(x) for x in zip(*((i, b, g) for _, i, b, g, _ in held), strict=True))
+        edge = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(e) for *_, e in held]))))
+        _, first = np.unique(ids, return_index=True)  # rows that share a doc_id count once
+        i, j = held[0][0][1:]
+        left, right = first[block[first] == i], first[block[first] == j]
+        links = _true_links(sets, edge, left, right, percent)
+        if i == j:
+            links = links[links[:, 0] < links[:, 1]]
+        tree = _roots(len(ids), links)
+        who, count = np.unique(links, return_counts=True)
+        a = np.concatenate((ids[[x[0] for x in tree]], ids[who])) if len(who) else np.zeros(0, np.int64)
+        b = np.concatenate((ids[[x[1] for x in tree]], np.zeros(len(who), np.int64))) if len(who) else a
+        n = np.concatenate((np.zeros(len(tree), np.int64), count)) if len(who) else a
+        tally = np.arange(len(a)) >= len(tree)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=tally), pa.array(n, mask=~tally)], names=["a", "b", "n"])
 
     def run(batches):
-        for part, data, at in t.chunks(batches, "left", 1 << 20):
-            left, le = shingle_sets(data, at, size)
-            right, re = shingle_sets(*t.buffers(part.column(3)), size)
-            row = np.concatenate((np.repeat(np.arange(part.num_rows), np.diff(le)), np.repeat(np.arange(part.num_rows), np.diff(re))))
-            g = np.concatenate((left, right))
-            order = np.lexsort((g, row))
-            g, row = g[order], row[order]
-            both = np.bincount(row[1:][(g[1:] == g[:-1]) & (row[1:] == row[:-1])], minlength=part.num_rows)
-            total = np.diff(le) + np.diff(re) - both
-            keep = (100 * both >= percent * total) & (total > 0)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(both.astype(np.int64)), pa.array(total.astype(np.int64))], names=["a", "b", "overlap", "total"]).filter(pa.array(keep))
+        now, held = None, []
+        for part, data, at in t.chunks(batches, "text"):
+            keys = np.stack([part.column(k).to_numpy() for k in (0, 1, 2)], axis=1)
+            g, edge = shingle_sets(data, at, size)
+            cut = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]))
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                key = tuple(keys[lo].tolist())
+                if key != now and held:
+                    yield solve(held)
+                    held = []
+                now = key
+                held.append((key, part.column(4).to_numpy()[lo:hi], part.column(3).to_numpy()[lo:hi], g[edge[lo] : edge[hi]], edge[lo : hi + 1] - edge[lo]))
+        if held:
+            yield solve(held)
 
-    return rows.mapInArrow(run, "a bigint, b bigint, overlap bigint, total bigint")
+    return rows.mapInArrow(run, "a bigint, b bigint, n bigint")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -259,16 +328,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = sig.where("n_shingles > 0").groupBy("sig_a", "sig_b", "n_shingles").agg(F.min_by("sketch", "doc_id").alias("sketch"), F.min("doc_id").alias("doc_id"))
     reps = stored(classes, "classes")
     lists = listed(reps).join(reps.select("doc_id", "n_shingles", "sketch"), "doc_id")
-    lists = stored(lists.withColumn("component", F.col("doc_id")), "lists")
-    links = stored(verified(candidates(lists, percent, False), docs, size, percent).select("a", "b"), "links")
-    comp = components(links)
-    over = comp.select(F.col("id").alias("doc_id"), F.col("component").alias("c"))
-    again = lists.join(over, "doc_id", "left").withColumn("component", F.coalesce("c", "component")).drop("c")
-    more = stored(verified(candidates(again, percent, True), docs, size, percent).select("a", "b"), "links")
-    links = links.union(more).distinct()
-    if more.limit(1).count():
-        comp = components(links)
-    ends = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
+    links = stored(verified(candidates(lists, percent), reps, docs, size, percent), "links")
+    comp = components(links.where("b IS NOT NULL").select("a", "b"))
+    ends = links.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
     named = reps.select("sig_a", "sig_b", "n_shingles", F.col("doc_id").alias("rep")).join(comp.withColumnRenamed("id", "rep"), "rep", "left").join(ends, "rep", "left")
     out = sig.drop("sketch").join(named, ["sig_a", "sig_b", "n_shingles"], "left")
     return out.select(
