@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, oracles, packing, passage_dedup, quality, suffix_dedup, toxicity, url_filter, warc
+from . import decontaminate, lm_score, minhash, oracles, packing, passage_dedup, quality, suffix_dedup, toxicity, url_filter, warc
 from ._shared import documents_of, read, stored
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scored(read(spark, sf_dir, "documents"), by=10)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), size=10)
     digest = F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256")
