@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import _text as t
 from ._shared import documents_of, grouped, n_buckets, stored
 
-CLASSES, ENDINGS, WIDTH, NOISE, BATCH, ROUNDS, RATE, SMOOTH = 1024, 64, 24, 32, 4096, 2, 0.1, 0.1
+CLASSES, ENDINGS, WIDTH, NOISE, BATCH, ROUNDS, RATE, CALM, SMOOTH = 1024, 64, 24, 32, 1024, 2, 0.1, 30.0, 0.1
 _LOW = np.uint64(ENDINGS - 1)
 #: The end of a text, as a token.
 END = np.uint64(0xE0D0E0D0E0D0E0C0)
@@ -193,7 +193,7 @@ class Model:
     def trainer(self, seed: int, noise: int = NOISE, rate: float = RATE):
         """A function that takes one batch (target, one before, two before) and steps uphill; steps are scaled by past gradients."""
         rng = np.random.default_rng(seed)
-        p, past = self.parts, {k: np.full_like(v, 1e-2) for k, v in self.parts.items()}
+        p, past = self.parts, {k: np.full_like(v, CALM) for k, v in self.parts.items()}
         log_noise = np.log(noise * self.noise).astype("f4")
         edge = np.cumsum(self.noise)
 
