@@ -13,8 +13,8 @@ suffix array is needed for is far less, and is found in three steps:
    over the first-byte buckets. Runs of adjacent common prefixes of ``length`` or more are the repeated windows.
 3. The repeated intervals are joined with their documents and cut out.
 
-Whole copies of a text of ``length`` bytes or more are repeats from end to end; they are found by digest beforehand
-and go no further. Null is the empty text. Rows that share a doc_id are put in order by their text.
+A text that many documents copy, or a passage that many hold, sends one segment record for each 16 MB of records of
+a task, however many rows have it; the merged ones are repeats at once.
 """
 
 from __future__ import annotations
@@ -24,101 +24,69 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as t
-from ._shared import documents_of, n_buckets, stored
+from ._shared import documents_of, grouped, groups_of, n_buckets, stored
 
 LENGTH, GRAM = 100, 32
+#: Bytes of segments sorted at once.
+SORTED_BYTES = 1 << 19
 _SEG = np.dtype([("gram", "<u8"), ("body", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("size", "<i2")])
 _HIT = np.dtype([("doc", "<i8"), ("lo", "<i4"), ("hi", "<i4"), ("gram", "<u8")])
-_BYTES = pa.schema([("bucket", pa.int32()), ("gram", pa.int64()), ("doc", pa.int64()), ("lo", pa.int32()), ("body", pa.binary())])
+_PARTS = pa.schema([("kind", pa.int8()), *t.BLOCKS])
+_BYTES = pa.schema([("gram", pa.int64()), ("doc", pa.int64()), ("lo", pa.int32()), ("body", pa.binary())])
 
 
-def two_stage_suffixes(codes: np.ndarray) -> np.ndarray:
-    """The suffix array of ``codes`` (small non-negative integers; each separator differs from all other codes).
+def two_stage_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
+    """The suffixes of ``text`` (bytes) in order of their first ``depth`` bytes, or more.
 
-    Type B suffixes, smaller than their successor, are sorted directly. A scan from left to right over the array then
-    places the others: when suffix i is met and suffix i - 1 is larger than it, i - 1 takes the next free place of
-    its first-code bucket, because among suffixes of one bucket the order is that of what follows.
+    Suffixes smaller than their successor (type B) are sorted directly. The others are induced by scans over the
+    first-byte buckets in rising order: among type A suffixes of one bucket the order is that of their successors,
+    which begin with a smaller byte, or with the same byte and are placed a step before. In a bucket type A comes first.
     """
-    n = len(codes)
-    if n < 2:
-        return np.arange(n)
-    text = codes.tolist()
-    smaller = [False] * n  # the last suffix is larger than the empty one after it
-    for i in range(n - 2, -1, -1):
-        smaller[i] = text[i] < text[i + 1] or (text[i] == text[i + 1] and smaller[i + 1])
-    direct = _direct(codes, np.flatnonzero(smaller))
-    count = np.bincount(codes)
-    start = np.concatenate(([0], np.cumsum(count)[:-1])).tolist()
-    end = np.cumsum(count).tolist()
-    array = [-1] * n
-    for i in reversed(direct):  # type B stands at the end of its bucket
-        end[text[i]] -= 1
-        array[end[text[i]]] = i
-    last = n - 1
-    array[start[text[last]]] = last
-    start[text[last]] += 1
-    for k in range(n):
-        j = array[k] - 1
-        if array[k] > 0 and not smaller[j]:
-            array[start[text[j]]] = j
-            start[text[j]] += 1
-    return np.array(array)
-
-
-def _direct(codes: np.ndarray, chosen: np.ndarray, most: int = 512) -> list[int]:
-    """``chosen`` suffixes in order: by their first two codes, then each such bucket by its codes as big-endian bytes."""
-    two = codes[chosen] * (int(codes.max()) + 1) + codes[chosen + 1]
-    order = np.argsort(two, kind="stable")
-    chosen, two = chosen[order], two[order]
-    wide = codes.astype(">u4").tobytes()
-    out: list[int] = []
-    edge = np.append(np.flatnonzero(np.append(True, two[1:] != two[:-1])), len(two)) if len(two) else np.zeros(1, np.int64)
+    n = len(text)
+    change = np.append(np.flatnonzero(text[1:] != text[:-1]) + 1, n)
+    run_end = change[np.searchsorted(change, np.arange(n), "right")]
+    small = np.zeros(n, bool)
+    inner = run_end < n
+    small[inner] = text[run_end[inner]] > text[inner]
+    padded = np.concatenate((text, np.zeros(depth, np.uint8)))
+    direct = np.flatnonzero(small)
+    keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, depth)[direct])
+    direct = direct[np.argsort(keys.view(f"S{depth}").ravel(), kind="stable")]
+    count, large = np.bincount(text, minlength=256), np.bincount(text[~small], minlength=256)
+    start = np.concatenate(([0], np.cumsum(count)[:-1]))
+    rank = np.full(n + 1, -1, np.int64)  # the empty suffix is the least
+    of = text[direct]
+    rank[direct] = (start + large)[of] + np.arange(len(direct)) - np.searchsorted(of, of, "left")
+    rest = np.flatnonzero(~small)
+    rest = rest[np.lexsort(((run_end - np.arange(n))[rest], text[rest]))]
+    key = text[rest].astype(np.int64) << 32 | (run_end - np.arange(n))[rest]
+    edge = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(rest)) if len(rest) else [0]
+    free = start.copy()
     for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-        run = chosen[lo:hi].tolist()
-        if len(run) > 1:
-            run.sort(key=lambda i: wide[4 * i : 4 * (i + most)])
-            run = _settle(run, wide, most)
-        out += run
+        one = rest[lo:hi]
+        c = text[one[0]]
+        rank[one[np.argsort(rank[one + 1], kind="stable")]] = free[c] + np.arange(hi - lo)
+        free[c] += hi - lo
+    array = np.empty(n, np.int64)
+    array[rank[:n]] = np.arange(n)
+    return array
+
+
+def shared_prefixes(text: np.ndarray, array: np.ndarray, length: int) -> np.ndarray:
+    """For each entry of ``array`` whether it has ``length`` bytes in common with the entry before it."""
+    out = np.zeros(len(array), bool)
+    view = np.lib.stride_tricks.sliding_window_view(text, length)
+    for lo in range(1, len(array), 1 << 16):
+        k = np.arange(lo, min(len(array), lo + (1 << 16)))
+        out[k] = (view[array[k]] == view[array[k - 1]]).all(axis=1)
     return out
 
 
-def _settle(order: list[int], wide: bytes, most: int) -> list[int]:
-    """Sort runs whose first ``most`` codes are equal by all that follows."""
-    head = lambda i: wide[4 * i : 4 * (i + most)]
-    lo = 0
-    while lo < len(order):
-        hi, one = lo + 1, head(order[lo])
-        while hi < len(order) and head(order[hi]) == one:
-            hi += 1
-        if hi > lo + 1:
-            order[lo:hi] = sorted(order[lo:hi], key=lambda i: wide[4 * i :])
-        lo = hi
-    return order
-
-
-def common_prefixes(codes: np.ndarray, array: np.ndarray) -> np.ndarray:
-    """For each place of the suffix array, how many codes its suffix shares with the one before it (0 at the first)."""
-    n, text = len(codes), codes.tolist()
-    place = np.empty(n, np.int64)
-    place[array] = np.arange(n)
-    place, order, out, h = place.tolist(), array.tolist(), [0] * n, 0
-    for i in range(n):
-        if place[i]:
-            j = order[place[i] - 1]
-            top = n - max(i, j)
-            while h < top and text[i + h] == text[j + h]:
-                h += 1
-            out[place[i]] = h
-            h = max(0, h - 1)
-        else:
-            h = 0
-    return np.array(out)
-
-
 def segments(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, first window start, bytes, gram hash, body hash) of each segment of the slice, starts within the row."""
     size = np.diff(at)
@@ -161,32 +129,26 @@ def _hits(rec: np.ndarray, gram: bool) -> np.ndarray:
     return out
 
 
-def _far(key: np.ndarray) -> np.ndarray:
-    return t.mix(key.view(t.U64))
-
-
 def repeated_windows(bodies: list[bytes], length: int) -> list[np.ndarray]:
-    """For each string, the window starts that are not the earliest with their bytes; strings come in order of rank.
-
-    The strings are laid one after another with separators below all bytes, and their suffixes are sorted.
-    """
+    """For each string, the window starts that are not the earliest with their bytes; strings come in order of rank."""
     sizes = np.array([len(b) for b in bodies])
-    n = len(bodies)
-    codes = np.empty(int(sizes.sum()) + n, np.int64)
-    owner, offset, at = np.empty(len(codes), np.int64), np.empty(len(codes), np.int64), 0
-    for k, b in enumerate(bodies):
-        codes[at : at + len(b)] = np.frombuffer(b, np.uint8).astype(np.int64) + n
-        codes[at + len(b)] = k
-        owner[at : at + len(b) + 1], offset[at : at + len(b) + 1] = k, np.arange(len(b) + 1)
-        at += len(b) + 1
-    array = two_stage_suffixes(codes)
-    joined = common_prefixes(codes, array) >= length
-    group = np.cumsum(~joined)
-    repeated = np.zeros(len(codes), bool)
-    rank = np.lexsort((offset[array], owner[array], group))
-    later = np.append(False, group[rank][1:] == group[rank][:-1])
-    repeated[array[rank[later]]] = True
-    return [offset[(owner == k) & repeated] for k in range(n)]
+    text = np.frombuffer(b"\0".join([*bodies, b""]), np.uint8)
+    begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
+    count = np.maximum(0, sizes - length + 1)
+    owner = np.repeat(np.arange(len(bodies)), count)
+    place = np.full(len(text), -1)
+    start = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    place[start] = np.arange(len(start))  # windows in order of rank
+    array = two_stage_suffixes(text, length)
+    array = array[place[array] >= 0]
+    group = np.cumsum(~shared_prefixes(text, array, length))
+    rank = place[array]
+    order = np.lexsort((rank, group))
+    later = np.append(False, group[order][1:] == group[order][:-1])
+    repeated = np.zeros(len(start), bool)
+    repeated[rank[order[later]]] = True
+    edge = np.concatenate(([0], np.cumsum(count)))
+    return [np.flatnonzero(repeated[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
 def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -196,23 +158,22 @@ def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return [(int(x[0]), int(x[-1]) + length) for x in np.split(starts, cut)]
 
 
-def intervals(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc_id, lo, hi): byte spans that go, from texts (doc_id, text) of which no two are equal."""
-    n = n_buckets(docs.sparkSession)
-    schema = pa.schema([("kind", pa.int8()), *t.BLOCKS])
+def found_hits(docs: DataFrame, n_groups: int, length: int, gram: int) -> DataFrame:
+    """(g, payload): packed hits of each group's documents: repeated segments (gram 0), and segments to be compared."""
+    n = n_buckets(docs.sparkSession, 1)
 
     def cut(batches):
-        seg, hit = t.Scatter(n), t.Scatter(n)
+        seg, hit = t.Scatter(n), t.Scatter(n_groups)
         held, size = [], 0
 
-        def out(all_of=False):
+        def out():
             nonlocal held, size
-            if held and (all_of or size > 1 << 24):
-                kept, gone = _merged(np.concatenate(held))
-                held, size = [], 0
-                for kind, sink, key, rec in ((0, seg, kept["gram"], kept), (1, hit, _far(gone["doc"]), _hits(gone, False))):
-                    for b in [*sink.add(key, rec), *sink.rest()]:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, kind, np.int8)), *b.columns], schema=schema)
+            kept, gone = _merged(np.concatenate(held))
+            held, size = [], 0
+            kept = kept[np.lexsort((kept["lo"], kept["doc"]))]
+            for kind, blocks in ((0, [*seg.add(kept["gram"], kept), *seg.rest()]), (1, [*hit.add(groups_of(gone["doc"], n_groups).astype(t.U64), _hits(gone, False)), *hit.rest()])):
+                for b in blocks:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, kind, np.int8)), *b.columns], schema=_PARTS)
 
         for part, data, at in t.chunks(batches, "text", 1 << 20):
             row, lo, bytes_, key, body = segments(data, at, length, gram)
@@ -220,87 +181,103 @@ def intervals(docs: DataFrame, length: int, gram: int) -> DataFrame:
             rec["doc"], rec["lo"], rec["size"], rec["gram"], rec["body"] = part.column(0).to_numpy()[row], lo, bytes_, key, body
             held.append(rec)
             size += rec.nbytes
+            if size > 1 << 24:
+                yield from out()
+        if held:
             yield from out()
-        yield from out(True)
 
     def meet(batches):
-        out = t.Scatter(n)
-        for _, rec in t.gathered(batches, _SEG):
+        out = t.Scatter(n_groups)
+
+        def rest(blocks):
+            for b in blocks:
+                yield pa.RecordBatch.from_arrays(b.columns, names=["g", "payload"])
+
+        def solve(rec):
             kept, gone = _merged(rec)
-            yield from out.add(_far(gone["doc"]), _hits(gone, False))
             same = np.flatnonzero(kept["gram"][1:] == kept["gram"][:-1])
             open_ = np.zeros(len(kept), bool)
             open_[same] = open_[same + 1] = True
-            yield from out.add(_far(kept["doc"][open_]), _hits(kept[open_], True))
-        yield from out.rest()
-
-    parts = stored(docs.mapInArrow(cut, "kind tinyint, " + t.BLOCKS_DDL), "segments")
-    far = parts.where("kind = 0").select("bucket", "payload").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, t.BLOCKS_DDL)
-    hits = stored(parts.where("kind = 1").select("bucket", "payload").union(far), "hits")
-
-    def per_doc(want_gram):
-        def run(batches):
-            for _, rec in t.gathered(batches, _HIT):
-                rec = rec[(rec["gram"] != 0) == want_gram]
-                rec = rec[np.lexsort((rec["hi"], rec["lo"], rec["doc"]))]
-                edge = np.flatnonzero(np.append(True, rec["doc"][1:] != rec["doc"][:-1])) if len(rec) else np.zeros(0, np.int64)
-                off = (np.append(edge, len(rec)) * _HIT.itemsize).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(rec["doc"][edge]), pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(rec.tobytes())])], names=["doc_id", "spans"])
-
-        return hits.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id bigint, spans binary")
+            for hits in (_hits(gone, False), _hits(kept[open_], True)):
+                yield from rest(out.add(groups_of(hits["doc"], n_groups).astype(t.U64), hits))
 
-    def fetch(batches):
+        now, held = None, []
         for batch in batches:
-            data, at = t.buffers(batch.column(1))
-            rows = {x: [] for x in _BYTES.names}
-            for k, (doc, spans) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
-                rec = np.frombuffer(spans.as_buffer(), _HIT)
-                text = data[at[k] : at[k + 1]]
-                for lo, hi, key in zip(rec["lo"].tolist(), rec["hi"].tolist(), rec["gram"].tolist(), strict=True):
-                    rows["bucket"].append(key % n)
-                    rows["gram"].append(key - (1 << 64) if key >> 63 else key)
-                    rows["doc"].append(doc)
-                    rows["lo"].append(lo)
-                    rows["body"].append(text[lo:hi].tobytes())
-            yield pa.RecordBatch.from_pydict(rows, schema=_BYTES)
+            through = batch.filter(pa.compute.equal(batch.column(0), 1)).select(["bucket", "payload"])
+            if through.num_rows:
+                yield pa.RecordBatch.from_arrays(through.columns, names=["g", "payload"])
+            batch = batch.filter(pa.compute.equal(batch.column(0), 0))
+            for b, payload in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if b != now and held:
+                    yield from solve(np.concatenate(held))
+                    held = []
+                now = b
+                held.append(np.frombuffer(payload.as_buffer(), _SEG).copy())
+        if held:
+            yield from solve(np.concatenate(held))
+        yield from rest(out.rest())
+
+    parts = docs.select("doc_id", "text").mapInArrow(cut, "kind tinyint, " + t.BLOCKS_DDL)
+    met = parts.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(meet, "g int, payload binary")
+    return stored(met, "hits")
+
+
+def _by_doc(payloads: list[bytes]) -> dict[int, np.ndarray]:
+    """The hits of each document, in order."""
+    rec = np.frombuffer(b"".join(payloads), _HIT)
+    rec = rec[np.lexsort((rec["hi"], rec["lo"], rec["doc"]))]
+    edge = np.append(np.flatnonzero(np.append(True, rec["doc"][1:] != rec["doc"][:-1])), len(rec)) if len(rec) else [0]
+    return {int(rec["doc"][a]): rec[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)}
+
+
+def compared(docs: DataFrame, hits: DataFrame, n_groups: int, length: int) -> DataFrame:
+    """(g, payload): the repeated windows of segments with equal grams and different bytes, by sorting their suffixes."""
+    binary = lambda data, off: pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+    def fetch(own: pa.Table, told: pa.Table) -> pa.Table:
+        held = []
+        rec = np.frombuffer(b"".join(told.column("payload").to_pylist()), _HIT)
+        wanted = _by_doc([rec[rec["gram"] != 0].tobytes()])
+        for part, data, at in t.chunks(iter(own.combine_chunks().to_batches()), "text") if own.num_rows and wanted else ():
+            for k, doc in enumerate(part.column(0).to_pylist()):
+                if doc in wanted:
+                    own_hits = wanted[doc]
+                    size = own_hits["hi"] - own_hits["lo"]
+                    off = np.concatenate(([0], np.cumsum(size)))
+                    take = np.repeat(at[k] + own_hits["lo"] - off[:-1], size) + np.arange(off[-1])
+                    held.append((own_hits["gram"].view(np.int64), own_hits["doc"], own_hits["lo"], size, data[take]))
+        if not held:
+            return pa.Table.from_batches([], schema=_BYTES)
+        gram, doc, lo, size, data = (np.concatenate([np.ascontiguousarray(x[i]) for x in held]) for i in range(5))
+        return pa.Table.from_arrays([pa.array(gram), pa.array(doc), pa.array(lo), binary(data, np.concatenate(([0], np.cumsum(size))))], schema=_BYTES)
 
     def sort_suffixes(batches):
-        def solve(rows):
-            rows.sort()
-            out = []
-            for (doc, lo, _), starts in zip(rows, repeated_windows([x[2] for x in rows], length), strict=True):
-                out += [(doc, lo + a, lo + b) for a, b in _runs(starts, length)]
-            return out
-
-        now, rows = None, []
-        for batch in batches:
-            found = []
-            for key, doc, lo, body in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
-                if key != now and rows:
-                    found += solve(rows)
-                    rows = []
-                now = key
-                rows.append((doc, lo, body))
-            yield _span_rows(found)
-        if rows:
-            yield _span_rows(solve(rows))
+        """Segments of one gram stay together; many grams share one suffix array, in which equal windows meet only if their grams are equal."""
+        now, rows, size = None, [], 0
 
-    need = per_doc(True).join(docs, "doc_id").select("doc_id", "text", "spans")
-    bytes_ = need.mapInArrow(fetch, "bucket int, gram bigint, doc bigint, lo int, body binary")
-    exact = bytes_.repartition("gram").sortWithinPartitions("gram").mapInArrow(sort_suffixes, "doc_id bigint, lo int, hi int")
+        def solve():
+            nonlocal rows, size
+            done, rows, size = sorted(rows), [], 0
+            found = []
+            for (doc, lo, _), starts in zip(done, repeated_windows([x[2] for x in done], length), strict=True):
+                found += [(doc, lo + a, lo + b, 0) for a, b in _runs(starts, length)]
+            rec = np.array(found, _HIT)
+            for b in t.Scatter(n_groups, 0).add(groups_of(rec["doc"], n_groups).astype(t.U64), rec) if len(rec) else ():
+                yield pa.RecordBatch.from_arrays(b.columns, names=["g", "payload"])
 
-    def plain(batches):
         for batch in batches:
-            for doc, spans in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rec = np.frombuffer(spans.as_buffer(), _HIT)
-                yield _span_rows([(doc, a, b) for a, b in _union(rec["lo"], rec["hi"])])
-
-    return exact.union(per_doc(False).mapInArrow(plain, "doc_id bigint, lo int, hi int"))
-
+            for key, doc, lo, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if key != now:
+                    if size > SORTED_BYTES and rows:
+                        yield from solve()
+                    now = key
+                rows.append((doc, lo, body))
+                size += len(body)
+        if rows:
+            yield from solve()
 
-def _span_rows(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    doc, lo, hi = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["doc_id", "lo", "hi"])
+    bytes_ = docs.groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(fetch, "gram bigint, doc bigint, lo int, body binary")
+    return bytes_.repartition("gram").sortWithinPartitions("gram").mapInArrow(sort_suffixes, "g int, payload binary")
 
 
 def _union(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
@@ -314,40 +291,34 @@ def _union(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, spans (lo, hi), kept (the remaining bytes) and kept_sha256 of each document."""
+    """doc_id, n_bytes, n_removed, n_spans, spans (lo, hi), kept (the remaining bytes) and kept_sha256 of each document.
+
+    Null is the empty text. Of rows that share a doc_id the bytes are numbered alike: what repeats in one is cut from all.
+    """
+    n_groups = n_buckets(docs.sparkSession, 2)
     docs = documents_of(docs, "text").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    digest = F.sha2("text", 256)
-    least = docs.select("doc_id", F.octet_length("text").alias("n"), digest.alias("digest")).where(F.col("n") >= length).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
-    copied = least.where("n > 1").select("digest", F.col("doc_id").alias("first_id"))
-    marked = docs.withColumn("digest", digest).join(copied, "digest", "left").select("doc_id", "text", (F.col("first_id") < F.col("doc_id")).alias("copy"))
-    marked = marked.withColumn("copy", F.coalesce("copy", F.lit(False)))
-    spans = intervals(marked.where("NOT copy").select("doc_id", "text"), length, gram)
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    rows = marked.join(spans, "doc_id", "left").select("doc_id", "text", "copy", "spans")
+    dealt = grouped(docs, 2)
+    hits = found_hits(docs, n_groups, length, gram)
+    every = hits.union(compared(dealt, hits, n_groups, length))
+    span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", span), ("kept", pa.binary()), ("kept_sha256", pa.string())]
     ddl = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<lo:int,hi:int>>, kept binary, kept_sha256 string"
-    kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, at in t.chunks(batches, "text"):
-            out = []
-            held = part.column(3)
-            for k, (doc, copy) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
+    def run(own: pa.Table, told: pa.Table) -> pa.Table:
+        out = []
+        rec = np.frombuffer(b"".join(told.column("payload").to_pylist()), _HIT)
+        by_doc = _by_doc([rec[rec["gram"] == 0].tobytes()])
+        for part, data, at in t.chunks(iter(own.combine_chunks().to_batches()), "text") if own.num_rows else ():
+            for k, doc in enumerate(part.column(0).to_pylist()):
                 text = data[at[k] : at[k + 1]].tobytes()
-                if copy:
-                    gone = [(0, len(text))]
-                elif held[k].is_valid:
-                    s = held[k].values
-                    gone = _union(s.field(0).to_numpy(), s.field(1).to_numpy())
-                else:
-                    gone = []
+                gone = [(a, min(b, len(text))) for a, b in _union(by_doc[doc]["lo"], by_doc[doc]["hi"]) if a < len(text)] if doc in by_doc else []
                 kept, lo = [], 0
                 for a, b in gone:
                     kept.append(text[lo:a])
                     lo = b
                 kept = b"".join([*kept, text[lo:]])
                 out.append((doc, len(text), len(text) - len(kept), len(gone), [{"lo": a, "hi": b} for a, b in gone], kept, hashlib.sha256(kept).hexdigest()))
-            cols = list(zip(*out, strict=True))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), kind, pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256"])
+        cols = list(zip(*out, strict=True)) or [()] * len(fields)
+        return pa.Table.from_arrays([pa.array(c, x) for c, (_, x) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
 
-    return rows.mapInArrow(run, ddl)
+    return dealt.groupBy("g").cogroup(every.groupBy("g")).applyInArrow(run, ddl)
