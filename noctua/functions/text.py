@@ -215,3 +215,11 @@ def quality_passed(q: Column) -> Column:
     ratio = F.when(q["tokens"] == 0, F.lit(1.0)).otherwise(q["singles"] / q["tokens"])
     fatal = (q["run"] >= 8) | ((q["tokens"] >= 12) & (ratio > 0.22))
     return (quality_score(q) >= 70) & ~fatal & (q["visible"] >= 40)
+
+
+#: White space in the sense of Unicode.
+BLANK = r"[\s\x0B\x85\p{Z}]"
+
+
+def trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, rf"\A{BLANK}+|{BLANK}+\z", "")
