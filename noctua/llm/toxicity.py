@@ -1,10 +1,10 @@
 """Toxicity scores: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
 Labelled rows are divided by a hash of their id: one part gives a lexicon, one grows the trees, one calibrates. The
-lexicon holds words and word beginnings that are far more frequent in toxic documents; it is counted over all
-labelled rows of its part on the executors, and at most ``MOST_TERMS`` entries come back. Trees and calibration are
-fitted on the features of at most ``MOST_ROWS`` labelled rows (those of least hash), a stated bound; the texts stay
-where they are. All rows are then scored where they are read, without a shuffle.
+lexicon holds words and word beginnings that are far more frequent in toxic documents; it is counted on the executors, and at
+most ``MOST_TERMS`` entries come back. At most ``MOST_ROWS`` labelled rows (those of least hash) teach lexicon, trees and
+calibration, a stated bound: their ids and labels are broadcast, and only dense features reach the driver. The texts
+stay where they are. All rows are then scored where they are read, without a shuffle.
 
 Only the text is an input. Null and blank texts have all features 0 and get the score of such a row. Without labels of
 both kinds every score is the share of positive labels, 0 without any.
@@ -244,7 +244,9 @@ def scored(docs: DataFrame, labels: DataFrame, by: int = 5, most_rows: int = MOS
     docs = documents_of(docs, "text").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("bigint").alias("label"))
     known = known.where((remainder(F.col("doc_id"), by) != 0) & F.col("label").isin(0, 1))
-    taught = docs.join(known, "doc_id").select("doc_id", "text", "label", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(10)).alias("part"))
+    # at most most_rows small rows, whatever the input: a broadcast of bounded size, and the texts stay where they are
+    sample_of = known.orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(most_rows)
+    taught = docs.join(F.broadcast(sample_of), "doc_id").select("doc_id", "text", "label", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(10)).alias("part"))
     terms, weights = lexicon(taught.where("part < 4"))
     near_doc = F.xxhash64("doc_id", F.lit("sample"))
 
