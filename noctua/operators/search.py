@@ -57,7 +57,7 @@ def bm25(rows: DataFrame, terms: list[str], fields: tuple[str, ...] = FIELDS) ->
     """``rows`` that hold a term, with ``bm25``; a term that comes twice in the query counts twice. N, lengths and
     frequencies are those of all rows."""
     own = sorted(set(terms))
-    tf = [F.size(F.filter("tokens", lambda x, w=w: x == w)).alias(f"tf_{k}") for k, w in enumerate(own)]
+    tf = [_occurrences(w).alias(f"tf_{k}") for k, w in enumerate(own)]
     counted = rows.withColumn("tokens", tokens(fields)).select(*rows.columns, F.size("tokens").alias("length"), *tf)
     names = [f"tf_{k}" for k in range(len(own))]
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("average"), *(F.count_if(F.col(x) > 0).alias(f"df_{k}") for k, x in enumerate(names)))
@@ -71,6 +71,10 @@ def bm25(rows: DataFrame, terms: list[str], fields: tuple[str, ...] = FIELDS) ->
     return hit.withColumn("bm25", score).select(*rows.columns, "bm25")
 
 
+def _occurrences(term: str) -> Column:
+    return F.size(F.filter("tokens", lambda x: x == term))
+
+
 def exact(rows: DataFrame, query: str, limit: int) -> DataFrame:
     """(id, relevance, lane, position): rows whose title is the query, the latest first."""
     hit = rows.where(F.lower(F.trim("title")) == query.strip().lower()).orderBy(F.desc("updated_at"), "id").limit(limit)
@@ -164,7 +168,7 @@ def fused(evidence: Column, most: int = 8) -> Column:
     """Passages (score, path, text, …) in order of score, without those that nearly repeat an earlier one of the same
     path; at most ``most``. Per row the array has at most 14 entries, so the fold is short."""
     like = lambda a, b: text.similarity(text.support_terms(a), text.support_terms(b))
-    order = F.array_sort(evidence, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(a["ord"] - b["ord"]))
+    order = F.array_sort(evidence, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise((a["ord"] - b["ord"]).cast("int")))
     empty = F.filter(order, lambda x: F.lit(False))
     return F.aggregate(
         order,
