@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, retrieval, usage  # noqa: F401  they register their queries
+from . import catalog, documents, governance, retrieval, usage  # noqa: F401  they register their queries
 from .base import QUERIES, SQL
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,6 +46,16 @@ def ring_counts(events: DataFrame, most: int = RING) -> DataFrame:
     return events.groupBy("task_id").applyInPandasWithState(update, "task_id bigint, held int, last_seq bigint", "held array<bigint>, last_seq bigint", "update", GroupStateTimeout.NoTimeout)
 
 
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over all that is there now into a Parquet table beside its checkpoint, and read that."""
+    spark = stream.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="noctua-stream-")
+    path = f"{base.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    run = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).outputMode("append").start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def since(events: DataFrame, task_id: int, seq: int) -> DataFrame:
     """What a client that has seen up to ``seq`` still lacks."""
     return events.where((F.col("task_id") == task_id) & (F.col("seq") > seq)).orderBy("seq")
