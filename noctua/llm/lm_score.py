@@ -32,7 +32,7 @@ _LOW = np.uint64(ENDINGS - 1)
 #: The end of a text, as a token.
 END = np.uint64(0xE0D0E0D0E0D0E0C0)
 _ASKED = "bucket int, g int, words binary, counts binary"
-_COUNTED = "kind tinyint, g int, bucket int, counts binary, word bigint, n bigint, v bigint"
+_COUNTED = "kind tinyint, g int, bucket int, counts binary"
 
 
 def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,8 +86,27 @@ def _distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return word, np.bincount(inverse, np.concatenate(weight), len(word)).astype(np.int64)
 
 
+_TOP = np.dtype([("word", "<u8"), ("n", "<i8")])
+
+
+def _packed(by_n: np.ndarray, by_v: np.ndarray, words: np.ndarray, totals: np.ndarray, most: int) -> bytes:
+    """Tokens and words of each ending class, and the ``most`` most frequent words, with the end in any case."""
+    top = np.argsort(-totals, kind="stable")[:most]
+    top = np.union1d(top[totals[top] > 0], np.flatnonzero((words == END) & (totals > 0)))
+    rec = np.empty(len(top), _TOP)
+    rec["word"], rec["n"] = words[top], totals[top]
+    return by_n.astype("<i8").tobytes() + by_v.astype("<i8").tobytes() + rec.tobytes()
+
+
+def _merged(packed: list[bytes], most: int) -> bytes:
+    head = np.sum([np.frombuffer(x[: 16 * ENDINGS], "<i8") for x in packed], axis=0)
+    rec = np.concatenate([np.frombuffer(x[16 * ENDINGS :], _TOP) for x in packed])
+    rec = rec[np.lexsort((rec["word"], -rec["n"]))]
+    return _packed(head[:ENDINGS], head[ENDINGS:], rec["word"], rec["n"], most)
+
+
 def counted(docs: DataFrame, most: int) -> DataFrame:
-    """kind 0: (g, bucket, counts) totals in the order asked; 1: (word = ending class, n tokens, v words); 2: (word, n) frequent words."""
+    """kind 0: (g, bucket, counts) totals in the order asked; kind 1: one packed summary of each bucket."""
     n = n_buckets(docs.sparkSession, 1)
 
     def solve(bucket: int, rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -95,23 +114,12 @@ def counted(docs: DataFrame, most: int) -> DataFrame:
         total = np.bincount(inverse, np.concatenate([r[2] for r in rows]), len(word)).astype(np.int64)
         back = total[inverse].astype("<u4")
         edge = np.concatenate(([0], np.cumsum([len(r[1]) for r in rows])))
-        seen = total > 0
         ending = (word & _LOW).astype(np.int64)
-        by_n, by_v = np.bincount(ending, total, ENDINGS), np.bincount(ending, seen, ENDINGS)
-        top = np.argsort(-total, kind="stable")[:most]
-        top = top[total[top] > 0]
-        k, m = len(rows), len(top)
-        columns = {
-            "kind": np.repeat(np.array([0, 1, 2], np.int8), (k, ENDINGS, m)),
-            "g": np.concatenate(([r[0] for r in rows], np.zeros(ENDINGS + m))).astype(np.int32),
-            "bucket": np.full(k + ENDINGS + m, bucket, np.int32),
-            "word": np.concatenate((np.zeros(k, np.int64), np.arange(ENDINGS), word[top].view(np.int64))),
-            "n": np.concatenate((np.zeros(k), by_n, total[top])).astype(np.int64),
-            "v": np.concatenate((np.zeros(k), by_v, np.zeros(m))).astype(np.int64),
-        }
-        counts = [back[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)] + [None] * (ENDINGS + m)
-        names = [x.split()[0] for x in _COUNTED.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array(counts, pa.binary()) if x == "counts" else pa.array(columns[x]) for x in names], names=names)
+        summary = _packed(np.bincount(ending, total, ENDINGS), np.bincount(ending, total > 0, ENDINGS), word, total, most)
+        counts = [back[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)] + [summary]
+        kind = np.append(np.zeros(len(rows), np.int8), np.int8(1))
+        g = np.array([r[0] for r in rows] + [0], np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(g), pa.array(np.full(len(g), bucket, np.int32)), pa.array(counts, pa.binary())], names=["kind", "g", "bucket", "counts"])
 
     def run(batches):
         now, held = None, []
@@ -128,6 +136,21 @@ def counted(docs: DataFrame, most: int) -> DataFrame:
     return _asked(docs, n).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _COUNTED)
 
 
+def summary(table: DataFrame, n: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens and words of each ending class, frequent words and their counts. Buckets' summaries are merged in about
+    the square root of their number of groups, and those on the driver, so neither holds more than a few thousand."""
+    wide = max(1, int(n**0.5))
+
+    def merge(part: pa.Table) -> pa.Table:
+        return pa.table({"counts": pa.array([_merged(part.column("counts").to_pylist(), most)], pa.binary())})
+
+    rows = table.where("kind = 1").withColumn("part", F.col("bucket") % wide).select("part", "counts").groupBy("part").applyInArrow(merge, "counts binary").collect()
+    packed = [bytes(r.counts) for r in rows]
+    whole = _merged(packed, most) if packed else _packed(np.zeros(ENDINGS), np.zeros(ENDINGS), np.zeros(0, np.uint64), np.zeros(0, np.int64), most)
+    head, rec = np.frombuffer(whole[: 16 * ENDINGS], "<i8"), np.frombuffer(whole[16 * ENDINGS :], _TOP)
+    return head[:ENDINGS].astype(float), head[ENDINGS:].astype(float), rec["word"].copy(), rec["n"].copy()
+
+
 class Vocabulary:
     """Classes: ENDINGS ending classes, the end of a text, then the frequent words; and one more for the start, in contexts."""
 
@@ -290,15 +313,9 @@ def scored(docs: DataFrame, by: int = 10, classes: int = CLASSES, rounds: int =
     docs = documents_of(docs, "text").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (remainder(F.col("doc_id"), by) != 0).alias("train"))
     groups = grouped(docs, 4)
     most = classes - ENDINGS - 1
-    table = stored(counted(groups, most + 1), "counts")
-    top = table.where("kind = 2").select("word", "n").orderBy(F.desc("n"), "word").limit(most + 1).collect()
-    stats = {r.word: (r.n, r.v) for r in table.where("kind = 1").groupBy("word").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
-    by_n, by_v = (np.array([stats.get(k, (0, 0))[j] for k in range(ENDINGS)], float) for j in (0, 1))
-    top = [(r.word, r.n) for r in top]
-    end = int(END.view(np.int64)) if hasattr(END, "view") else int(np.array([END]).view(np.int64)[0])
-    if end not in dict(top):
-        top.append((end, int((table.where((F.col("kind") == 2) & (F.col("word") == end)).agg(F.sum("n")).first()[0]) or 0)))
-    vocabulary = Vocabulary(np.array([x[0] for x in top], np.int64).view(np.uint64), np.array([x[1] for x in top], np.int64), by_n, by_v)
+    table = stored(counted(groups, most), "counts")
+    by_n, by_v, words, counts = summary(table, n_buckets(spark, 1), most)
+    vocabulary = Vocabulary(words, counts, by_n, by_v)
     model = trained(docs, vocabulary, rounds)
     sent = spark.sparkContext.broadcast((model, vocabulary, model.normalisers()))
     n_buckets_ = n_buckets(spark, 1)
