@@ -102,7 +102,7 @@ def o7(t):
 def o6(t):
     from pyspark.sql import Window
 
-    return t.catalog.select("id", "ord", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("confidence"), "ord")).alias("place"))
+    return t.catalog.select("id", "ord", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("confidence"), "ord")).cast("bigint").alias("place"))
 
 
 @query("O5_claim_order", "SELECT doc_id, score, claim FROM (SELECT doc_id, doc_id % 5 AS score, left(text, 30) AS claim FROM documents) ORDER BY score DESC, claim, doc_id LIMIT 100")
@@ -285,7 +285,7 @@ def s10(t):
 def s11(t):
     """Imports of several kinds: HTML is turned to text for extraction, other text is taken as it is."""
     kind = F.when(F.col("page_id") % 2 == 0, "url").otherwise("text")
-    return t.pages.select("page_id", kind.alias("input_kind"), F.length(F.when(kind == "url", text.html_to_text(F.col("html"))).otherwise(F.col("html"))).alias("n"))
+    return t.pages.select("page_id", kind.alias("input_kind"), F.length(F.when(kind == "url", text.html_to_text(F.col("html"))).otherwise(F.col("html"))).cast("bigint").alias("n"))
 
 
 @query("S13_pdf_signature", "SELECT doc_id, doc_id % 3 = 0 AS is_pdf FROM documents")
@@ -338,7 +338,7 @@ def p19(t):
 def p20(t):
     """A file's body with its status in the index; one that is not indexed is active."""
     m = t.memories
-    return m.select("id", "body").join(m.where("doc_id % 3 = 0").select("id", "status"), "id", "left").select("id", F.coalesce("status", F.lit("active")).alias("status"), F.length("body").alias("n"))
+    return m.select("id", "body").join(m.where("doc_id % 3 = 0").select("id", "status"), "id", "left").select("id", F.coalesce("status", F.lit("active")).alias("status"), F.length("body").cast("bigint").alias("n"))
 
 
 @query("J12_near_duplicates", "WITH d AS (SELECT doc_id, doc_id % 40 AS part, list_distinct(list_filter(string_split_regex(lower(left(text, 150)), '[^\\p{L}\\p{N}]+'), lambda t: length(t) >= 3)) AS w FROM documents) SELECT a.doc_id AS a, b.doc_id AS b FROM d a JOIN d b ON a.part = b.part AND a.doc_id < b.doc_id AND len(a.w) > 0 AND len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)) >= 0.72")

@@ -119,7 +119,7 @@ def _garbled():
 @query("C9_text_quality", _Q + " SELECT doc_id, score, NOT (run >= 8 OR (tokens >= 12 AND ratio > 0.22)) AND score >= 70 AND visible >= 40 AS passed, run, singles FROM s")
 def c9(t):
     q = F.col("q")
-    return t.documents.select("doc_id", text.quality(_garbled()).alias("q")).select("doc_id", text.quality_score(q).alias("score"), text.quality_passed(q).alias("passed"), q["run"].alias("run"), q["singles"].alias("singles"))
+    return t.documents.select("doc_id", text.quality(_garbled()).alias("q")).select("doc_id", text.quality_score(q).alias("score"), text.quality_passed(q).alias("passed"), q["run"].cast("bigint").alias("run"), q["singles"].cast("bigint").alias("singles"))
 
 
 @query("C10_best_attempt")

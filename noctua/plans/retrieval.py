@@ -244,7 +244,7 @@ def j2(t):
     return hits.join(t.imports.select(F.col("id").alias("import_id"), "source_url"), "import_id").select("id", "import_id", "source_url", F.round("bm25", 6).alias("bm25"))
 
 
-@query("J11_cited_evidence", _CLAIMS + " SELECT question_id, claim_no, number, path, score FROM (SELECT question_id, claim_no, unnest(cites) AS number FROM c) JOIN e USING (question_id, number)")
+@query("J11_cited_evidence", _CLAIMS + " SELECT question_id, claim_no, number, path, score::DOUBLE AS score FROM (SELECT question_id, claim_no, unnest(cites) AS number FROM c) JOIN e USING (question_id, number)")
 def j11(t):
     cited = _claims(t).select("question_id", "claim_no", F.explode(F.array_distinct("citations")).alias("number"))
     return cited.join(_evidence(t), ["question_id", "number"]).select("question_id", "claim_no", "number", "path", "score")
