@@ -223,3 +223,18 @@ BLANK = r"[\s\x0B\x85\p{Z}]"
 
 def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, rf"\A{BLANK}+|{BLANK}+\z", "")
+
+
+def fetch_refusal(url: Column) -> Column:
+    """Why a URL may not be fetched; null for one that may, as far as its text tells."""
+    u = F.trim(url)
+    authority = F.regexp_extract(u, r"\A[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    host = F.lower(F.regexp_replace(F.regexp_replace(authority, r"\A[^@]*@", ""), r":\d*\z", ""))
+    return (
+        F.when(F.length(u) > 2048, "too long")
+        .when(~u.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), "invalid")
+        .when(~F.lower(u).rlike(r"\Ahttps?://"), "scheme")
+        .when(F.contains(authority, F.lit("@")), "credentials")
+        .when(host == "", "no host")
+        .when((host == "localhost") | F.endswith(host, F.lit(".localhost")) | ~F.coalesce(is_public_ipv4(host), F.lit(True)), "not public")
+    )

@@ -43,14 +43,13 @@ def chunked(docs: DataFrame, body: str = "text") -> DataFrame:
 def sentences(c: Column) -> Column:
     """Sentences of a paragraph: all of it up to 320 characters, else cuts at ``.!?`` before white space, 45 on at least."""
     whole = text.trimmed(c)
-    ends = F.filter(F.sequence(F.lit(1), F.length(whole)), lambda i: F.substring(whole, i, F.lit(2)).rlike(rf"\A[.!?]{text.BLANK}"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    fold = F.aggregate(
-        ends,
-        start,
-        lambda a, i: F.when(i - 1 - a["at"] >= 45, F.struct(i.alias("at"), F.concat(a["out"], F.array(F.substring(whole, a["at"] + 1, i - a["at"]))).alias("out"))).otherwise(a),
-        lambda a: F.when(a["at"] < F.length(whole), F.concat(a["out"], F.array(F.substring(whole, a["at"] + 1, F.length(whole) - a["at"])))).otherwise(a["out"]),
-    )
+    start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("out"))
+
+    def step(a, piece):
+        now = F.concat(a["open"], piece)
+        return F.when(F.length(now) > 45, F.struct(F.lit("").alias("open"), F.concat(a["out"], F.array(now)).alias("out"))).otherwise(F.struct(now.alias("open"), a["out"].alias("out")))
+
+    fold = F.aggregate(F.split(whole, rf"(?<=[.!?])(?={text.BLANK})"), start, step, lambda a: F.concat(a["out"], F.array(a["open"])))
     long = F.filter(F.transform(fold, text.trimmed), lambda x: F.length(x) >= 45)
     return F.when(F.length(whole) <= 320, F.array(whole)).otherwise(long)
 

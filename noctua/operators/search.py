@@ -29,6 +29,11 @@ def visible(domain: str | None, include_stale: bool = True) -> Column:
     return out
 
 
+def refusal(query: Column, most: int = 1000) -> Column:
+    """Why a query is not searched for: it is blank or too long."""
+    return F.when(F.length(F.trim(query)) == 0, "blank").when(F.length(query) > most, "long")
+
+
 def query_terms(query: str) -> list[str]:
     """The terms of a search, repeats kept; accents go, as in the index."""
     import re

@@ -318,3 +318,40 @@ def u5(t):
 
 
 __all__ = ["sql_list", "terms"]
+
+
+@query("C14_imports", "SELECT page_id AS id, CASE WHEN page_id % 8 = 3 THEN 'secrets' END AS refusal, page_id % 8 = 3 AS rejected FROM pages")
+def c14(t):
+    """Imports of pages, some with a credential spliced in."""
+    from noctua.operators import imports
+
+    html = F.when(F.col("page_id") % 8 == 3, F.concat("html", F.lit("<p>password: hunter2</p>"))).otherwise(F.col("html"))
+    raw = t.pages.select(F.col("page_id").alias("id"), F.lit("work").alias("domain"), F.lit("Page").alias("title"), F.lit("url").alias("input_kind"), html.alias("content"))
+    return imports.imported(raw).select("id", "refusal", (F.col("status") == "rejected").alias("rejected"))
+
+
+@query("S12_fetch_policy", "SELECT page_id, k, CASE WHEN k = 1 THEN 'scheme' WHEN k = 2 THEN 'credentials' WHEN k = 3 OR k = 4 THEN 'not public' WHEN k = 5 THEN 'invalid' END AS refusal FROM pages, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS k)")
+def s12(t):
+    i = F.col("page_id").cast("string")
+    kinds = F.array(F.col("url"), F.concat(F.lit("ftp://a.b/"), i), F.concat(F.lit("http://u:p@a.b/"), i), F.concat(F.lit("https://x.localhost:80/"), i), F.concat(F.lit("http://10.0.0.1/"), i), F.concat(F.lit("a.b/"), i))
+    return t.pages.select("page_id", F.posexplode(kinds).alias("k", "u")).select("page_id", "k", text.fetch_refusal(F.col("u")).alias("refusal"))
+
+
+@query("S7_bounded_read", "SELECT doc_id, CASE WHEN strlen(text) <= 4096 THEN text END AS content FROM documents")
+def s7(t):
+    return t.documents.select("doc_id", F.when(F.octet_length("text") <= 4096, F.col("text")).alias("content"))
+
+
+@query(
+    "T14_display_numbers",
+    """WITH n AS (SELECT o_orderkey AS k, (o_orderkey * 7919) % 3000000 AS v, ((o_orderkey * 104729) % 400000) - 200000 AS s FROM orders)
+SELECT k, CASE WHEN v >= 999950 THEN regexp_replace(printf('%.1f', round(v / 1000000.0, 1)), '\\.0$', '') || 'M' WHEN v >= 10000 THEN regexp_replace(printf('%.1f', round(v / 1000.0, 1)), '\\.0$', '') || 'K' ELSE format('{:,}', v) END AS shown,
+CASE WHEN abs(s) < 60 THEN 'just now' WHEN abs(s) >= 86400 AND floor(s / 86400.0 + 0.5) = -1 THEN 'yesterday' WHEN abs(s) >= 86400 AND floor(s / 86400.0 + 0.5) = 1 THEN 'tomorrow'
+ELSE CASE WHEN c < 0 THEN abs(c) || ' ' || u || CASE WHEN abs(c) = 1 THEN '' ELSE 's' END || ' ago' ELSE 'in ' || c || ' ' || u || CASE WHEN c = 1 THEN '' ELSE 's' END END END AS age
+FROM (SELECT *, CASE WHEN abs(s) < 3600 THEN floor(s / 60.0 + 0.5) WHEN abs(s) < 86400 THEN floor(s / 3600.0 + 0.5) ELSE floor(s / 86400.0 + 0.5) END::BIGINT AS c, CASE WHEN abs(s) < 3600 THEN 'minute' WHEN abs(s) < 86400 THEN 'hour' ELSE 'day' END AS u FROM n)""",
+)
+def t14(t):
+    from noctua.functions import display
+
+    n = t.orders.select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") * 7919 % 3_000_000).alias("v"), (F.col("o_orderkey") * 104_729 % 400_000 - 200_000).alias("s"))
+    return n.select("k", display.compact(F.col("v")).alias("shown"), display.relative(F.col("s")).alias("age"))

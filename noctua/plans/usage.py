@@ -278,3 +278,60 @@ def s20(t):
     from noctua.sources.tables import availability
 
     return availability(t.spark, {"documents": f"{t.sf_dir}/documents.parquet", "nothing": f"{t.sf_dir}/nothing.parquet"})
+
+
+@query("T15_status_tones", with_("tasks") + """SELECT id, CASE WHEN status IN ('running', 'waiting_for_tool', 'resuming', 'verifying') THEN 'accent' WHEN status = 'waiting_for_approval' THEN 'warning' WHEN status = 'completed' THEN 'success' WHEN status = 'failed' THEN 'danger' ELSE 'neutral' END AS tone,
+upper(left(status, 1)) || replace(substr(status, 2), '_', ' ') AS label, CASE risk_level WHEN 'low' THEN 'neutral' WHEN 'medium' THEN 'warning' ELSE 'danger' END AS risk_tone FROM x_tasks""")
+def t15(t):
+    from noctua.functions import display
+
+    return t.tasks.select("id", display.status_tone(F.col("status")).alias("tone"), display.status_label(F.col("status")).alias("label"), display.risk_tone(F.col("risk_level")).alias("risk_tone"))
+
+
+@query("F4_run_traces", with_("audit") + "SELECT run_id, id, kind, detail ->> '$.k' AS k FROM x_audit WHERE run_id IN ('run-1', 'run-2')")
+def f4(t):
+    return t.audit.where("run_id IN ('run-1', 'run-2')").select("run_id", "id", "kind", F.get_json_object("detail", "$.k").alias("k"))
+
+
+@query("F7_decided_approvals", with_("approvals") + "SELECT id, CASE WHEN task_id % 4 = 0 THEN 'approved' WHEN task_id % 4 = 1 THEN 'denied' ELSE status END AS status FROM x_approvals")
+def f7(t):
+    """Approvals after decisions; a decision counts whatever the state before it."""
+    a = t.approvals
+    d = a.where("task_id % 4 < 2").select("id", F.when(F.col("task_id") % 4 == 0, "approved").otherwise("denied").alias("decided"))
+    return a.join(d, "id", "left").select("id", F.coalesce("decided", "status").alias("status"))
+
+
+@query("S1_declared_schema", with_("tasks") + "SELECT id, status, cost_usd FROM x_tasks WHERE id < 100")
+def s1(t):
+    """Stored tasks, read with a schema that declares a column the file does not have."""
+    from noctua.sources.tables import append
+
+    declared = t.spark.createDataFrame([], "id bigint, status string, cost_usd double, later string")
+    return append(declared, t.tasks.where("id < 100").select("id", "status", "cost_usd")).select("id", "status", "cost_usd")
+
+
+@query("S17_path_guard", "SELECT page_id, NOT list_contains(string_split(path, '/'), '..') AND NOT starts_with(path, '/') AS safe FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'work/' || page_id || '.md' WHEN 1 THEN '../' || page_id ELSE '/etc/' || page_id END AS path FROM pages)")
+def s17(t):
+    from noctua.functions.text import safe_relative
+
+    i = F.col("page_id").cast("string")
+    path = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("work/"), i, F.lit(".md"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("../"), i)).otherwise(F.concat(F.lit("/etc/"), i))
+    return t.pages.select("page_id", safe_relative(path).alias("safe"))
+
+
+@query("A11_query_guards", "SELECT item_id, CASE WHEN length(trim(text)) = 0 THEN 'blank' WHEN length(text) > 300 THEN 'long' END AS refusal FROM benchmark")
+def a11(t):
+    """Which questions a search would refuse, with a bound of 300 characters instead of 1000."""
+    from noctua.operators.search import refusal
+
+    return t.benchmark.select("item_id", refusal(F.col("text"), 300).alias("refusal"))
+
+
+@query("S4_vault_walk", with_("memories") + "SELECT vault_path AS path, domain FROM x_memories")
+def s4(t):
+    """Paths of a listing that lie in the vault: of its domains, neither archived nor hidden."""
+    from noctua.sources.vault import in_vault
+
+    m = t.memories.select(F.col("vault_path").alias("path"), "domain")
+    more = m.limit(20).select(F.concat(F.lit("_archive/"), "path").alias("path"), "domain").union(m.limit(20).select(F.concat(F.lit(".git/"), "path"), "domain"))
+    return m.union(more).where(in_vault(F.col("path")))

@@ -20,8 +20,13 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     base = root.rstrip("/").split(":")[-1].lstrip("/")
     path = F.regexp_replace("path", rf"\A[a-z]*:?/*{base}/", "")
     rows = files.select(path.alias("path"), F.col("content").cast("string").alias("content"))
-    hidden = F.exists(F.split("path", "/"), lambda p: F.startswith(p, F.lit(".")) | (p == "_archive"))
-    return rows.where(F.split("path", "/")[0].isin(*dims.DOMAINS) & ~hidden)
+    return rows.where(in_vault(F.col("path")))
+
+
+def in_vault(path: Column) -> Column:
+    """Whether a path from the root on lies under a domain folder, neither archived nor hidden."""
+    parts = F.split(path, "/")
+    return parts[0].isin(*dims.DOMAINS) & ~F.exists(parts, lambda p: F.startswith(p, F.lit(".")) | (p == "_archive"))
 
 
 def tree(files: DataFrame) -> DataFrame:
