@@ -186,7 +186,8 @@ def quality(c: Column) -> Column:
     visible = F.length(F.regexp_replace(c, r"[\s\x0B\x85\p{Z}]", ""))
     alnum = F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
     bad = F.length(F.regexp_replace(c, "[^�]", "")) + F.length(F.regexp_replace(c, r"[^\p{Cc}]|[\n\r\t]", ""))
-    cores = F.filter(F.transform(F.split(c, r"[\s\x0B\x85\p{Z}]+"), lambda x: F.regexp_replace(x, r"\A[^\p{L}\p{N}]+|[^\p{L}\p{N}]+\z", "")), lambda x: x != "")
+    # of each run without white space what lies from its first letter or digit to its last
+    cores = F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}](?:[^\s\x0B\x85\p{Z}]*[\p{L}\p{N}])?"), F.lit(0))
     runs = F.aggregate(
         cores,
         F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),

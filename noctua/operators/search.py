@@ -62,8 +62,9 @@ def bm25(rows: DataFrame, terms: list[str], fields: tuple[str, ...] = FIELDS) ->
     """``rows`` that hold a term, with ``bm25``; a term that comes twice in the query counts twice. N, lengths and
     frequencies are those of all rows."""
     own = sorted(set(terms))
-    tf = [_occurrences(w).alias(f"tf_{k}") for k, w in enumerate(own)]
-    counted = rows.withColumn("tokens", tokens(fields)).select(*rows.columns, F.size("tokens").alias("length"), *tf)
+    known = F.array(*map(F.lit, own))
+    rows_ = rows.withColumn("tokens", tokens(fields)).select(*rows.columns, F.size("tokens").alias("length"), F.filter("tokens", lambda x: F.array_contains(known, x)).alias("tokens"))
+    counted = rows_.select(*rows.columns, "length", *(_occurrences(w).alias(f"tf_{k}") for k, w in enumerate(own)))
     names = [f"tf_{k}" for k in range(len(own))]
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("average"), *(F.count_if(F.col(x) > 0).alias(f"df_{k}") for k, x in enumerate(names)))
     hit = counted.where(reduce(lambda a, b: a | b, (F.col(x) > 0 for x in names))).crossJoin(F.broadcast(stats))
