@@ -63,7 +63,9 @@ def bm25(rows: DataFrame, terms: list[str], fields: tuple[str, ...] = FIELDS) ->
     frequencies are those of all rows."""
     own = sorted(set(terms))
     known = F.array(*map(F.lit, own))
-    rows_ = rows.withColumn("tokens", tokens(fields)).select(*rows.columns, F.size("tokens").alias("length"), F.filter("tokens", lambda x: F.array_contains(known, x)).alias("tokens"))
+    found = F.struct(F.size("tokens").alias("length"), F.filter("tokens", lambda x: F.array_contains(known, x)).alias("tokens"))
+    # through a generator, so that a filter on what follows does not split the texts a second time below it
+    rows_ = rows.withColumn("tokens", tokens(fields)).select(*rows.columns, F.inline(F.array(found)))
     counted = rows_.select(*rows.columns, "length", *(_occurrences(w).alias(f"tf_{k}") for k, w in enumerate(own)))
     names = [f"tf_{k}" for k in range(len(own))]
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("average"), *(F.count_if(F.col(x) > 0).alias(f"df_{k}") for k, x in enumerate(names)))
