@@ -9,7 +9,7 @@ from noctua.operators import documents
 from noctua.sources.driver import with_
 
 from .base import query
-from .retrieval import sql_list, term_set, terms
+from .retrieval import term_set
 
 _T = "documents"
 _HTML = r"""replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace({c}, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?i)</?(p|div|br|li|h[1-6]|section|article)[^>]*>', chr(10), 'g'), '(?s)<[^>]+>', ' ', 'g'),
@@ -317,9 +317,6 @@ def u5(t):
     return d.select("doc_id", F.round(text.similarity(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
 
-__all__ = ["sql_list", "terms"]
-
-
 @query("C14_imports", "SELECT page_id AS id, CASE WHEN page_id % 8 = 3 THEN 'secrets' END AS refusal, page_id % 8 = 3 AS rejected FROM pages")
 def c14(t):
     """Imports of pages, some with a credential spliced in."""
