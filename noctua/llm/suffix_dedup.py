@@ -20,7 +20,6 @@ a task, however many rows have it; the merged ones are repeats at once.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
