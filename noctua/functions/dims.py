@@ -11,7 +11,7 @@ MEM_TYPES = ("fact", "decision", "preference", "entity", "episode")
 TASK_STATUSES = ("created", "classified", "planned", "running", "waiting_for_tool", "waiting_for_approval", "resuming", "verifying", "completed", "failed", "cancelled", "partially_completed")
 ACTIVE_STATUSES = ("running", "resuming", "verifying", "waiting_for_tool")
 TERMINAL_STATUSES = ("completed", "failed", "cancelled", "partially_completed")
-PROPOSAL_STATUSES = ("pending", "approved", "discarded", "applied")
+PROPOSAL_STATUSES = ("pending", "approved", "discarded", "auto_applied")
 KINDS = ("agent", "automation", "mcp", "plugin", "prompt", "routine", "skill", "workflow")
 #: Days after which recency falls to a half; 180 for types not named.
 HALF_LIFE = {"fact": 180, "decision": 730, "preference": 365, "entity": 365, "episode": 30}
