@@ -159,25 +159,46 @@ def _sizes_fit(one: np.ndarray, many: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(one, many) >= percent * np.maximum(one, many)
 
 
-def _forest(rec: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that span each group of members that hangs together by estimate; the most central members are visited first."""
+def _groups(rec: np.ndarray, percent: int) -> list[list[int]]:
+    """Members that hang together by estimate, two at least; the most central members are visited first."""
     values, inverse = np.unique(rec["sketch"], return_inverse=True)
     held = np.bincount(inverse.ravel())
     held[values == _PAD] = 0
     left = np.argsort(-held[inverse.reshape(rec["sketch"].shape)].sum(axis=1), kind="stable")
-    out, queue = [], []
+    out, queue, group = [], [], []
     while len(left):
         if not queue:
+            out.append(group)
             queue, left = [int(left[0])], left[1:]
+            group = list(queue)
             continue
         p = queue.pop()
         fit = np.flatnonzero(_sizes_fit(rec["n"][p], rec["n"][left], percent))
         near = fit[_estimate(rec["sketch"][p], int(rec["n"][p]), rec["sketch"][left[fit]], rec["n"][left[fit]].astype(np.int64)) >= FLOOR_SHARE]
-        if len(near):
-            got = left[near].tolist()
-            out += [(p, q) for q in got]
-            queue += got
-            left = np.delete(left, near)
+        got = left[near].tolist()
+        group += got
+        queue += got
+        left = np.delete(left, near)
+    return [g for g in (*out, group) if len(g) > 1]
+
+
+def _tree(docs: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join a group without a hub: each document with the nearest smaller id of higher priority, a hash.
+
+    Depth and degree are about the logarithm of the group's size, and groups of nearly the same members give mostly
+    the same links, so those of many lists are few after all.
+    """
+    docs = np.unique(docs)
+    rank = t.mix(docs.view(t.U64)).tolist()
+    out, stack, root = [], [], None
+    for k, doc in enumerate(docs.tolist()):
+        while stack and rank[stack[-1][0]] < rank[k]:
+            stack.pop()
+        if root is not None:
+            out.append((stack[-1][1] if stack else root, doc))
+        if not stack:
+            root = doc
+        stack.append((k, doc))
     return out
 
 
@@ -204,37 +225,39 @@ def candidates(lists: DataFrame, percent: int) -> DataFrame:
             rec = rec[np.lexsort((rec["doc"], rec["v"]))]
             edge = np.append(np.flatnonzero(np.append(True, rec["v"][1:] != rec["v"][:-1])), len(rec))
             size = np.diff(edge)
-            found = []
+            found, links = [], []
             for two in np.array_split(edge[:-1][size == 2], max(1, (size == 2).sum() // 4096)):
                 ok = _sizes_fit(rec["n"][two], rec["n"][two + 1], percent)
                 two = two[ok]
                 near = _estimate_rows(rec["sketch"][two], rec["n"][two].astype(np.int64), rec["sketch"][two + 1], rec["n"][two + 1].astype(np.int64)) >= FLOOR_SHARE
                 found.append(np.stack((two[near], two[near] + 1), axis=1))
             for k in np.flatnonzero(size > 2):
-                if tree := _forest(rec[edge[k] : edge[k + 1]], percent):
-                    found.append(np.array(tree) + edge[k])
+                for group in _groups(rec[edge[k] : edge[k + 1]], percent):
+                    links += _tree(rec["doc"][edge[k] + np.array(group)])
             pair = np.sort(rec["doc"][np.concatenate(found)], axis=1)
-            pair = np.unique(pair, axis=0) if len(pair) else pair
+            pair = np.unique(np.concatenate((pair, np.array(links, np.int64).reshape(-1, 2))), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
     return _met(_spread(rows, post)).mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
-def _roots(n: int, links: np.ndarray) -> list[tuple[int, int]]:
-    """A tree of links for each component of the links among n members."""
-    top, out = list(range(n)), []
-    for a, b in links.tolist():
-        x, y = a, b
+def _linked(n: int, links: np.ndarray) -> list[list[int]]:
+    """The components of two or more among n members."""
+    top = list(range(n))
+
+    def root(x: int) -> int:
         while top[x] != x:
             top[x] = top[top[x]]
             x = top[x]
-        while top[y] != y:
-            top[y] = top[top[y]]
-            y = top[y]
-        if x != y:
-            top[max(x, y)] = min(x, y)
-            out.append((a, b))
-    return out
+        return x
+
+    for a, b in links.tolist():
+        x, y = root(a), root(b)
+        top[max(x, y)] = min(x, y)
+    out: dict[int, list[int]] = {}
+    for a in np.unique(links).tolist():
+        out.setdefault(root(a), []).append(a)
+    return list(out.values())
 
 
 def _true_links(g: np.ndarray, edge: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
@@ -288,11 +311,12 @@ def verified(trees: DataFrame, reps: DataFrame, docs: DataFrame, size: int, perc
         links = _true_links(sets, edge, left, right, percent)
         if i == j:
             links = links[links[:, 0] < links[:, 1]]
-        tree = _roots(len(ids), links)
+        tree = [x for group in _linked(len(ids), links) for x in _tree(ids[group])]
         who, count = np.unique(links, return_counts=True)
-        a = np.concatenate((ids[[x[0] for x in tree]], ids[who])) if len(who) else np.zeros(0, np.int64)
-        b = np.concatenate((ids[[x[1] for x in tree]], np.zeros(len(who), np.int64))) if len(who) else a
-        n = np.concatenate((np.zeros(len(tree), np.int64), count)) if len(who) else a
+        one, two = zip(*tree, strict=True) if tree else ((), ())
+        a = np.concatenate((np.array(one, np.int64), ids[who]))
+        b = np.concatenate((np.array(two, np.int64), np.zeros(len(who), np.int64)))
+        n = np.concatenate((np.zeros(len(tree), np.int64), count))
         tally = np.arange(len(a)) >= len(tree)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=tally), pa.array(n, mask=~tally)], names=["a", "b", "n"])
 
