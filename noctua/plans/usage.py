@@ -197,11 +197,11 @@ def p13(t):
     return trace_steps(t.audit)
 
 
-@query("P14_catalog_filter", with_("catalog") + "SELECT ord, display_name FROM x_catalog WHERE kind = 'skill' AND contains(lower(concat_ws(' ', id, display_name, summary, category, provider, array_to_string(tags, ' '))), 'brass')")
+@query("P14_catalog_filter", with_("catalog") + "SELECT ord, display_name FROM x_catalog WHERE kind = 'skill' AND contains(lower(concat_ws(' ', id, display_name, summary, category, provider, array_to_string(tags, ' '))), 'widget')")
 def p14(t):
     from noctua.operators.catalog import matching
 
-    return matching(t.catalog, "skill", " Brass ").select("ord", "display_name")
+    return matching(t.catalog, "skill", " Widget ").select("ord", "display_name")
 
 
 @query("P15_page", with_("catalog") + "SELECT ord, display_name FROM x_catalog ORDER BY display_name, ord LIMIT 8 OFFSET 16")
