@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from noctua.functions import dims, text
-from noctua.operators import catalog
+from noctua.operators import catalog, documents
 from noctua.sources import tables, vault
 from noctua.sources.driver import with_
 
@@ -356,6 +356,11 @@ def j12(t):
     return out.where(text.similarity(F.col("wa"), F.col("wb")) >= 0.72).select("a", "b")
 
 
+@query("J12_near_duplicates_whole")
+def j12_whole(t):
+    """The same over whole texts and all pairs of documents; too much for SQL, so brute force in the tests stands beside it."""
+    return documents.near_duplicates(t.documents, 0.72)
+
 
 @query("F11_stream_deduplicated", "SELECT event_type AS kind, count(*) AS events FROM events GROUP BY 1")
 def f11s(t):

@@ -1,8 +1,12 @@
+import itertools
 import os
+import random
+import re
 
 from pyspark.sql import functions as F
 
-from noctua.operators import catalog, usage
+import __spark_entry__ as entry
+from noctua.operators import catalog, documents, usage
 from noctua.sources import tables, vault
 from noctua.streaming import events as stream
 
@@ -77,3 +81,19 @@ def test_every_query_is_registered_with_the_names_of_its_sql():
 
     q, o = e.queries(), e.oracle_sql()
     assert len(q) > 150 and set(o) <= set(q) and len(o) > 140
+
+
+def test_near_duplicates_equal_brute_force_over_all_ids_and_whole_texts(spark):
+    rng, rows = random.Random(4), []
+    head = " ".join(f"header{i}" for i in range(20))  # over 150 characters
+    for i in range(60):
+        base = [f"w{i // 6}x{j}" for j in range(30 + i % 3)]
+        for _ in range(rng.randrange(9)):
+            base[rng.randrange(len(base))] = f"edit{rng.randrange(50)}"
+        rows.append((i, " ".join(base)))
+    rows += [(100, head + " " + rows[0][1]), (101, head + " " + rows[30][1]), (7007, rows[8][1].upper()), (7008, rows[8][1]), (200, None), (201, ""), (202, "- a")]
+    sets = [(k, {w for w in re.split(r"[^a-z0-9]+", (t or "").lower()) if len(w) >= 3}) for k, t in rows]
+    want = sorted((min(a, b), max(a, b)) for (a, x), (b, y) in itertools.combinations(sets, 2) if x and y and len(x & y) / len(x | y) >= 0.72)
+    got = sorted(map(tuple, documents.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 0.72).collect()))
+    assert got == want and (7007, 7008) in got and (100, 101) not in got
+    assert "J12_near_duplicates_whole" in entry.queries()
