@@ -280,6 +280,45 @@ def test_every_exact_passage_is_found(spark):
         assert need <= have and len(have - need) <= 8
 
 
+def distance(x, y):
+    row = list(range(len(y) + 1))
+    for i, u in enumerate(x, 1):
+        before, row[0] = row[0], i
+        for j, v in enumerate(y, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (u != v))
+    return row[-1]
+
+
+def test_edit_distance_of_any_length_equals_brute_force():
+    rng = random.Random(3)
+    for n, m in [(0, 0), (0, 5), (1, 1), (7, 3), (40, 55), (90, 90), (150, 120)] * 5:
+        x, y = ([rng.randrange(6) for _ in range(k)] for k in (n, m))
+        assert passage_dedup._edits(x, y) == distance(x, y)
+
+
+def test_recall_of_fuzzy_passages_against_brute_force(spark):
+    """Copies of 80 words with replaced, inserted and deleted words; what counts is decided by edit distance."""
+    rng, rows, level = random.Random(21), [], {}
+    for k in range(240):
+        words, share = prose(5000 + k, 80).split(), (0.05, 0.1, 0.15, 0.18)[k % 4]
+        copy = []
+        for i, w in enumerate(words):
+            kind = rng.randrange(3) if rng.random() < share else 3
+            copy += [[f"new{k}x{i}"], [], [w, f"new{k}x{i}"], [w]][kind]
+        rows += [(k, prose(6000 + k, 30) + " " + " ".join(words) + " " + prose(7000 + k, 30)), (1000 + k, prose(8000 + k, 30) + " " + " ".join(copy) + " " + prose(9000 + k, 30))]
+        if 1 - distance(words, copy) / max(len(words), len(copy)) >= 0.8:
+            level[1000 + k] = share, len(copy)
+    got = {r.doc_id: r for r in passage_dedup.remove_passages(table(spark, rows)).collect()}
+    recall = {}
+    for k, (share, n) in level.items():
+        inside = sum(max(0, min(s.hi, 30 + n) - max(s.lo, 30)) for s in got[k].spans)
+        recall.setdefault(share, []).append(inside >= 0.6 * n)
+    recall = {x: sum(y) / len(y) for x, y in recall.items()}
+    print(recall)
+    assert recall[0.05] >= 0.98 and recall[0.1] >= 0.95 and recall[0.15] >= 0.9 and recall[0.18] >= 0.8
+    assert all(got[k].n_removed == 0 for k in range(240))
+
+
 def test_fenwick_chain_prefers_the_collinear_one():
     b = np.array([0, 4, 8, 30, 34, 60])
     a = np.array([100, 104, 108, 130, 134, 20])
