@@ -319,6 +319,19 @@ def test_recall_of_fuzzy_passages_against_brute_force(spark):
     assert all(got[k].n_removed == 0 for k in range(240))
 
 
+def test_seeds_go_on_to_later_holders(spark):
+    """Documents 1, 2 and 3 hold all phrases apart, 10 a passage of them, 20 and 30 fuzzy copies of that one."""
+    phrases = [prose(400 + i, 9) for i in range(8)]
+    apart = [(k, " ".join(prose(1000 * k + i, 40) + " " + x for i, x in enumerate(phrases))) for k in (1, 2, 3)]
+    between = [prose(450 + i, 2) for i in range(8)]
+    copies = [(k, prose(k, 30) + " " + " ".join(f"left{k}x{i} {between[i]} right{k}x{i} {x}" for i, x in enumerate(phrases)) + " " + prose(k + 1, 30)) for k in (10, 20, 30)]
+    rows = [*apart, *copies]
+    got = {r.doc_id: r for r in passage_dedup.remove_passages(table(spark, rows)).collect()}
+    assert [got[k].n_removed for k in (1, 2, 3, 10)] == [0] * 4
+    assert got[20].n_removed >= 80 and 10 in got[20].source_ids
+    assert got[30].n_removed >= 80 and 10 in got[30].source_ids
+
+
 def test_fenwick_chain_prefers_the_collinear_one():
     b = np.array([0, 4, 8, 30, 34, 60])
     a = np.array([100, 104, 108, 130, 134, 20])
