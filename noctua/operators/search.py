@@ -185,6 +185,18 @@ def fused(evidence: Column, most: int = 8) -> Column:
     )
 
 
+def fused_evidence(memories: DataFrame, passages: DataFrame, by: str, memories_most: int = 6, passages_most: int = 8) -> DataFrame:
+    """(by, kept): for each question ``by`` the ids of its evidence in order of score. Of its memories and of its passages
+    (id, score, path, text, and ``nr`` for equal scores) the best by score enter the fold, texts cut to 1800 characters."""
+
+    def best(rows: DataFrame, most: int, after: int) -> DataFrame:
+        ranked = rows.withColumn("text", F.left("text", F.lit(1800))).withColumn("ord", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "nr", "id"))).where(F.col("ord") <= most)
+        return ranked.select(by, F.struct("score", "path", "text", (F.col("ord") + after).alias("ord"), "id").alias("e"))
+
+    rows = best(memories, memories_most, 0).unionByName(best(passages, passages_most, memories_most)).groupBy(by).agg(F.collect_list("e").alias("e"))
+    return rows.select(by, F.transform(fused(F.col("e")), lambda x: x["id"]).alias("kept"))
+
+
 def context(results: DataFrame, budget: int = 16_000) -> DataFrame:
     """One row (block, injected, unverified) from search results in order of rank: entries while they fit the byte budget,
     a short form where the whole does not; sensitive rows never."""

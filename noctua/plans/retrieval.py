@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from noctua.functions import dims, text
-from noctua.operators import search, verify
+from noctua.operators import documents, search, verify
 from noctua.sources.driver import with_
 
 from .base import query
@@ -148,11 +148,14 @@ def a9(t):
 
 @query("A10_fused_evidence")
 def a10(t):
-    """Evidence of each import: passages as (score, path, text, ord), nearly equal ones of a path dropped."""
-    c = t.chunks.where("import_id < 40")
-    e = F.struct((F.length("body") / 2000).alias("score"), F.concat(F.lit("p"), (F.col("id") % 3).cast("string")).alias("path"), F.col("body").alias("text"), F.col("id").alias("ord"))
-    rows = c.groupBy("import_id").agg(F.slice(F.array_sort(F.collect_list(e)), 1, 14).alias("e"))
-    return rows.select("import_id", F.transform(search.fused(F.col("e")), lambda x: x["ord"]).alias("kept"))
+    """Evidence of each import: the best memories and passages of whole documents, nearly equal ones of a path dropped."""
+    number, length = F.expr("doc_id % 300").alias("import_id"), lambda c: (F.length(c) / 2000).alias("score")
+    memories = t.memories.select(number, F.concat(F.lit("memory:"), "id").alias("id"), F.col("doc_id").alias("nr"), length("body"), F.col("vault_path").alias("path"), F.col("body").alias("text"))
+    chunks = documents.chunked(t.documents.select("doc_id", "text"))
+    name = F.concat_ws(":", F.lit("source"), F.expr("doc_id % 300").cast("string"), F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("id")
+    path = F.concat(F.lit("p"), (F.col("doc_id") % 3).cast("string")).alias("path")
+    passages = chunks.select(number, name, F.col("doc_id").alias("nr"), length("chunk"), path, F.col("chunk").alias("text"))
+    return search.fused_evidence(memories, passages, "import_id")
 
 
 def _claims(t):

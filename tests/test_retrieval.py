@@ -78,6 +78,26 @@ def test_fused_evidence_drops_near_repeats_of_a_path_only(spark):
     assert [x.ord for x in df.select(search.fused(F.col("e")).alias("f")).first().f] == [1, 3]
 
 
+def test_the_best_by_score_enter_the_fusion(spark):
+    say = lambda k: " ".join(f"word{k}x{j}" for j in range(5))
+    frame_of = lambda kind, n, top: spark.createDataFrame([(q, f"{kind}{i}", i, top - 0.01 * (n - i), "p", say(f"{kind}{i}")) for q in (7, 200) for i in range(n)], "q int, id string, nr int, score double, path string, text string")
+    got = {r.q: list(r.kept) for r in search.fused_evidence(frame_of("m", 20, 0.5), frame_of("s", 40, 0.9), "q").collect()}
+    best = [f"s{i}" for i in range(39, 31, -1)]
+    assert got == {7: best, 200: best}
+    few = {r.q: list(r.kept) for r in search.fused_evidence(frame_of("m", 20, 0.955), frame_of("s", 40, 0.9), "q").collect()}
+    assert few[7] == ["m19", "m18", "m17", "m16", "m15", "m14", "s39", "s38"]
+
+
+def test_evidence_is_fused_for_every_import_from_whole_documents(spark, tmp_path):
+    from noctua.plans import registry
+
+    texts = [(i, " ".join(f"t{i}w{j}" for j in range(600 if i == 250 else 30)), "src0") for i in range(300)]
+    spark.createDataFrame(texts, "doc_id bigint, text string, source string").withColumn("lang", F.lit("en")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.import_id: list(r.kept) for r in registry.queries()["A10_fused_evidence"](spark, str(tmp_path)).collect()}
+    assert len(got) == 300 and "memory:m250" in got[250] and len([x for x in got[250] if x.startswith("source:250:250:")]) >= 3
+
+
 def test_support_terms_are_stemmed_in_order_of_endings(spark):
     df = spark.createDataFrame([("policies uses testing landed buses cats gas the",)], "s string")
     assert sorted(df.select(text.support_terms(F.col("s")).alias("t")).first().t) == ["buse", "cats", "gas", "land", "policy", "test", "uses"]
