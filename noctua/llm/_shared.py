@@ -1,4 +1,4 @@
-"""Session-level helpers of the training-data operators: shared tables, bucket counts, column guards."""
+"""Session-level helpers of the training-data operators: shared tables, row keys, groups of documents."""
 
 from __future__ import annotations
 
@@ -6,32 +6,62 @@ import os
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Text of a group of documents, about, and of the rows that a task holds while it packs them.
+GROUP_BYTES, PACKED_BYTES = 1 << 24, 1 << 25
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); unset only in local tests."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Where it is unset, a local session gets a
+    temporary one; a cluster has no folder that all its machines see, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="noctua-shared-")
-        spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def _folder(spark: SparkSession) -> str:
+    return os.path.join(shared_dir(spark), "noctua", spark.sparkContext.applicationId)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = os.path.join(shared_dir(df.sparkSession), "noctua", f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.noctua_path = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete tables that ``stored`` has written and nothing reads any more."""
+    for x in tables:
+        if x is not None:
+            _delete(x.sparkSession, x.noctua_path)
 
 
-def n_buckets(spark: SparkSession, times: int = 4) -> int:
-    """Buckets of a hashed exchange: follows the configured shuffle width, so a larger job has more of them."""
-    return max(16, times * int(spark.conf.get("spark.sql.shuffle.partitions")))
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has stored, once the results that read them are written."""
+    _delete(spark, _folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def n_buckets(spark: SparkSession, times: int = 4, n_bytes: int = 0) -> int:
+    """Buckets of a hashed exchange: follows the configured shuffle width, and the data where ``n_bytes`` is given."""
+    return max(16, times * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // GROUP_BYTES))
 
 
 def documents_of(df: DataFrame, *columns: str) -> DataFrame:
@@ -43,15 +73,41 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def grouped(docs: DataFrame, times: int = 8) -> DataFrame:
-    """``docs`` with a group number ``g`` from doc_id: many even groups of documents, each of which fits a task.
+def survey(docs: DataFrame) -> tuple[int, bool]:
+    """Bytes of all texts, and whether doc_id tells the rows apart: no null, no repeat. Only ids are shuffled."""
+    per = docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col("text").cast("string"))).alias("size"))
+    size, most, no_id = per.agg(F.sum("size"), F.max("n"), F.max(F.col("doc_id").isNull())).first()
+    return size or 0, (most or 0) < 2 and not no_id
+
 
-    Plans that deal these rows out by ``g`` more than once share one exchange.
+#: Name of the column that tells rows apart; no table of others has it.
+ROW = "noctua_row_key"
+
+
+def keyed(docs: DataFrame, unique: bool) -> DataFrame:
+    """``docs`` with ``ROW``, a number that tells the rows apart and rises with doc_id.
+
+    It is doc_id itself where that is unique. Else rows are numbered in the order of doc_id and of the text's digest,
+    those without a doc_id last, and stored, so that a row has the same number wherever it is read.
     """
-    return docs.withColumn("g", group_of(F.col("doc_id"), n_buckets(docs.sparkSession, times)))
+    if unique:
+        return docs.withColumn(ROW, F.col("doc_id").cast("bigint"))
+    order = [F.col("doc_id").asc_nulls_last(), F.sha2(F.col("text").cast("string"), 256).asc_nulls_first()]
+    return stored(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def named(out: DataFrame, rows: DataFrame, unique: bool, *lists: str) -> DataFrame:
+    """``out`` of row numbers, as ``doc_id`` and in ``lists``, with the doc_ids of ``rows`` in their place."""
+    if unique:
+        return out
+    names, columns = rows.select(ROW, F.col("doc_id").alias("real_id")), out.columns
+    for x in lists:
+        one = out.select("doc_id", F.explode(x).alias(ROW)).join(names, ROW).groupBy("doc_id").agg(F.array_sort(F.collect_set("real_id")).alias(x))
+        out = out.drop(x).join(one, "doc_id", "left").withColumn(x, F.coalesce(x, F.array().cast("array<bigint>")))
+    return out.withColumnRenamed("doc_id", ROW).join(names, ROW).withColumnRenamed("real_id", "doc_id").select(*columns)
 
 
-def group_of(doc_id, n: int):
+def group_of(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n)).cast("int")
 
 
@@ -59,3 +115,47 @@ def groups_of(doc_ids: np.ndarray, n: int) -> np.ndarray:
     """The same group numbers, in Python."""
     ids, inverse = np.unique(doc_ids, return_inverse=True)
     return np.array([zlib.crc32(b"%d" % x) % n for x in ids.tolist()], np.int32)[inverse]
+
+
+def dealt(docs: DataFrame, n: int) -> DataFrame:
+    """(g, payload): the rows of ``docs``, with doc_id, packed and compressed by group of doc_id.
+
+    Plans that use this more than once share one exchange, and texts take a third of their size in it.
+    """
+    order = docs.columns
+
+    def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        g = table.column("g").to_numpy()
+        by = np.argsort(g, kind="stable")
+        g, table = g[by], table.select(order).take(pa.array(by))
+        edge = np.append(np.flatnonzero(np.append(True, g[1:] != g[:-1])), len(g))
+        packed, option = [], pa.ipc.IpcWriteOptions(compression="zstd")
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=option) as w:
+                w.write_table(table.slice(lo, hi - lo).combine_chunks())
+            packed.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(g[edge[:-1]], pa.int32()), pa.array(packed, pa.binary())], names=["g", "payload"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size > PACKED_BYTES:
+                yield out(held)
+                held, size = [], 0
+        if held:
+            yield out(held)
+
+    return docs.withColumn("g", group_of(F.col("doc_id"), n)).mapInArrow(pack, "g int, payload binary")
+
+
+def unpacked(table: pa.Table) -> pa.RecordBatch | None:
+    """All rows of a group, in order of doc_id; None for no row."""
+    held = [b for x in table.column("payload") for b in pa.ipc.open_stream(x.as_buffer())]
+    if not held:
+        return None
+    rows = pa.Table.from_batches(held)
+    return rows.take(pa.array(np.argsort(rows.column("doc_id").to_numpy(), kind="stable"))).combine_chunks().to_batches()[0]

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as t
-from ._shared import documents_of, grouped, n_buckets, stored
+from ._shared import dealt, documents_of, n_buckets, stored, survey, unpacked
 
 CLASSES, ENDINGS, WIDTH, NOISE, BATCH, ROUNDS, RATE, CALM, SMOOTH = 1024, 64, 24, 32, 1024, 2, 0.1, 30.0, 0.1
 _LOW = np.uint64(ENDINGS - 1)
@@ -65,13 +65,13 @@ def _asked(docs: DataFrame, n: int) -> DataFrame:
         edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
         g = table.column("g")[0].as_py()
         cut = lambda x, size: pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((edge * size).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
-        return pa.Table.from_arrays([pa.array(bucket[edge[:-1]]), pa.array(np.full(len(edge) - 1, g, np.int32)), cut(word, 8), cut(count.astype("<i4"), 4)], names=["bucket", "g", "words", "counts"])
+        return pa.Table.from_arrays([pa.array(bucket[edge[:-1]]), pa.array(np.full(len(edge) - 1, g, np.int32)), cut(word, 8), cut(count.astype("<i8"), 8)], names=["bucket", "g", "words", "counts"])
 
     return docs.groupBy("g").applyInArrow(ask, _ASKED)
 
 
 def _chunked(table: pa.Table) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    return t.chunks(iter(table.combine_chunks().to_batches()), "text")
+    return t.chunks(iter([unpacked(table)]), "text")
 
 
 def _distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -105,14 +105,13 @@ def _merged(packed: list[bytes], most: int) -> bytes:
     return _packed(head[:ENDINGS], head[ENDINGS:], rec["word"], rec["n"], most)
 
 
-def counted(docs: DataFrame, most: int) -> DataFrame:
-    """kind 0: (g, bucket, counts) totals in the order asked; kind 1: one packed summary of each bucket."""
-    n = n_buckets(docs.sparkSession, 1)
+def counted(docs: DataFrame, most: int, n: int) -> DataFrame:
+    """kind 0: (g, bucket, counts) totals in the order asked; kind 1: one packed summary of each of ``n`` buckets."""
 
     def solve(bucket: int, rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         word, inverse = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
         total = np.bincount(inverse, np.concatenate([r[2] for r in rows]), len(word)).astype(np.int64)
-        back = total[inverse].astype("<u4")
+        back = total[inverse].astype("<i8")
         edge = np.concatenate(([0], np.cumsum([len(r[1]) for r in rows])))
         ending = (word & _LOW).astype(np.int64)
         summary = _packed(np.bincount(ending, total, ENDINGS), np.bincount(ending, total > 0, ENDINGS), word, total, most)
@@ -129,7 +128,7 @@ def counted(docs: DataFrame, most: int) -> DataFrame:
                     yield from solve(now, held)
                     held = []
                 now = bucket
-                held.append((g, np.frombuffer(words.as_buffer(), np.uint64).copy(), np.frombuffer(counts.as_buffer(), "<i4").astype(np.int64)))
+                held.append((g, np.frombuffer(words.as_buffer(), np.uint64).copy(), np.frombuffer(counts.as_buffer(), "<i8").copy()))
         if held:
             yield from solve(now, held)
 
@@ -311,14 +310,15 @@ def scored(docs: DataFrame, by: int = 10, classes: int = CLASSES, rounds: int =
     """
     spark = docs.sparkSession
     docs = documents_of(docs, "text").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (remainder(F.col("doc_id"), by) != 0).alias("train"))
-    groups = grouped(docs, 4)
+    size, _ = survey(docs)
+    n = n_buckets(spark, 1, size)
+    groups = dealt(docs, n_buckets(spark, 4, size))
     most = classes - ENDINGS - 1
-    table = stored(counted(groups, most), "counts")
-    by_n, by_v, words, counts = summary(table, n_buckets(spark, 1), most)
+    table = stored(counted(groups, most, n), "counts")
+    by_n, by_v, words, counts = summary(table, n, most)
     vocabulary = Vocabulary(words, counts, by_n, by_v)
     model = trained(docs, vocabulary, rounds)
     sent = spark.sparkContext.broadcast((model, vocabulary, model.normalisers()))
-    n_buckets_ = n_buckets(spark, 1)
 
     def score(own: pa.Table, told: pa.Table) -> pa.Table:
         model, words, z = sent.value
@@ -327,10 +327,10 @@ def scored(docs: DataFrame, by: int = 10, classes: int = CLASSES, rounds: int =
         if not own.num_rows:
             return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
         known, _ = _distinct(own)
-        bucket = (t.mix(known) % np.uint64(n_buckets_)).astype(np.int32)
+        bucket = (t.mix(known) % np.uint64(n)).astype(np.int32)
         known = known[np.argsort(bucket, kind="stable")]
         back = sorted(zip(told.column("bucket").to_pylist(), told.column("counts").to_pylist(), strict=True))
-        total = np.frombuffer(b"".join(x[1] for x in back), "<u4").astype(float)
+        total = np.frombuffer(b"".join(x[1] for x in back), "<i8").astype(float)
         order = np.argsort(known)
         known, total = known[order], total[order]
         log_base = np.log10((total + SMOOTH) / (words.n + SMOOTH * (words.v + 1)))

@@ -5,7 +5,7 @@ repeated lines and words in repeated three-word windows, and takes the share of
 repeated n-grams of several lengths and inside repeated lines. ``judge`` turns these into a verdict.
 
 A null or blank text has no words; all its counts are 0 and ``base_failed`` is true. Repeated rows are measured one by
-one. The work needs no shuffle: a document is measured where it is read, in slices of about 2 MB of text.
+one, and rows without an id too. The work needs no shuffle: a document is measured where it is read, in slices of about 2 MB of text.
 """
 
 from __future__ import annotations
@@ -76,15 +76,16 @@ def measures(data: np.ndarray, at: np.ndarray, lengths: tuple[int, ...]) -> dict
     ls, le = ls[keep], le[keep]
     line_row = np.searchsorted(at, ls, "right") - 1
     mark = lambda key, r: t.mix(key ^ t.mix(r.astype(np.uint64) + np.uint64(1)))
-    _, later = _twice(mark(t.span_hash(t.prefix(data), ls, le), line_row))
+    _, later = _twice(mark(t.span_hash(data, ls, le), line_row))
     out["n_dup_lines"] = np.bincount(line_row[later], minlength=len(at) - 1)
     line_chars = np.concatenate(([0], np.cumsum(((data & 0xC0) != 0x80) & ~t.SPACE[data])))
     inside = np.bincount(line_row[later], (line_chars[le] - line_chars[ls])[later], minlength=len(at) - 1)
     least = np.maximum(out["word_chars"], 1)
     out["dup_line_share"] = inside / least
+    rolling = t.Rolling(h)
     for k in dict.fromkeys((3, *lengths)):
         pos = t.gram_rows(first, k)
-        twice, _ = _twice(mark(t.grams(h, k)[pos], row[pos]))
+        twice, _ = _twice(mark(rolling.runs(k)[pos], row[pos]))
         cover = _covered(pos[twice], k, n)
         if k == 3:
             out["n_repeat_words"] = np.bincount(row[cover], minlength=len(at) - 1)

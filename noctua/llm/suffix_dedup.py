@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as t
-from ._shared import documents_of, grouped, groups_of, n_buckets, stored
+from ._shared import ROW, dealt, groups_of, keyed, n_buckets, named, stored, survey, unpacked
 
 LENGTH, GRAM = 100, 32
 #: Bytes of segments sorted at once.
@@ -93,8 +93,7 @@ def segments(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[
     empty = np.zeros(0, np.int64)
     if not len(rows):
         return empty, empty, empty, empty.view(t.U64), empty.view(t.U64)
-    sums = t.prefix(data)
-    g = t.window_hash(sums, gram)
+    g = t.window_hash(data, gram)
     w = length - gram + 1  # grams in a window
     least, span = g.copy(), 1
     while span * 2 <= w:  # least of the next 2, 4, ... grams
@@ -111,7 +110,7 @@ def segments(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[
     new[1:] |= g[start[1:] - 1] == key[1:]  # in periodic text the same gram comes again: another anchor
     edge = np.flatnonzero(new)
     lo, hi = start[edge], start[np.append(edge[1:], len(start)) - 1]
-    return row[edge], lo - at[row[edge]], hi - lo + length, key[edge], t.span_hash(sums, lo, hi + length)
+    return row[edge], lo - at[row[edge]], hi - lo + length, key[edge], t.span_hash(data, lo, hi + length)
 
 
 def _merged(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,9 +156,8 @@ def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return [(int(x[0]), int(x[-1]) + length) for x in np.split(starts, cut)]
 
 
-def found_hits(docs: DataFrame, n_groups: int, length: int, gram: int) -> DataFrame:
+def found_hits(docs: DataFrame, n_groups: int, n: int, length: int, gram: int) -> DataFrame:
     """(g, payload): packed hits of each group's documents: repeated segments (gram 0), and segments to be compared."""
-    n = n_buckets(docs.sparkSession, 1)
 
     def cut(batches):
         seg, hit = t.Scatter(n), t.Scatter(n_groups)
@@ -237,7 +235,7 @@ def compared(docs: DataFrame, hits: DataFrame, n_groups: int, length: int) -> Da
         held = []
         rec = np.frombuffer(b"".join(told.column("payload").to_pylist()), _HIT)
         wanted = _by_doc([rec[rec["gram"] != 0].tobytes()])
-        for part, data, at in t.chunks(iter(own.combine_chunks().to_batches()), "text") if own.num_rows and wanted else ():
+        for part, data, at in t.chunks(iter([unpacked(own)]), "text") if own.num_rows and wanted else ():
             for k, doc in enumerate(part.column(0).to_pylist()):
                 if doc in wanted:
                     own_hits = wanted[doc]
@@ -290,15 +288,23 @@ def _union(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, spans (lo, hi), kept (the remaining bytes) and kept_sha256 of each document.
+    """doc_id, n_bytes, n_removed, n_spans, spans (lo, hi), kept (the remaining bytes) and kept_sha256 of each row.
 
-    Null is the empty text. Of rows that share a doc_id the bytes are numbered alike: what repeats in one is cut from all.
+    Null is the empty text. Rows that share a doc_id, and rows without one, are documents of their own, which follow each
+    other in the order of their texts' digests, those without a doc_id after all others; an equal row goes as a whole.
     """
-    n_groups = n_buckets(docs.sparkSession, 2)
-    docs = documents_of(docs, "text").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    dealt = grouped(docs, 2)
-    hits = found_hits(docs, n_groups, length, gram)
-    every = hits.union(compared(dealt, hits, n_groups, length))
+    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    size, unique = survey(docs)
+    rows = keyed(docs, unique)
+    return named(_removed(rows.select(F.col(ROW).alias("doc_id"), "text"), size, length, gram), rows, unique)
+
+
+def _removed(docs: DataFrame, n_bytes: int, length: int, gram: int) -> DataFrame:
+    """The result for (doc_id, text) of unique doc_ids, with ``n_bytes`` bytes of text."""
+    n_groups, n = (n_buckets(docs.sparkSession, x, n_bytes) for x in (2, 1))
+    groups = dealt(docs, n_groups)
+    hits = found_hits(docs, n_groups, n, length, gram)
+    every = hits.union(compared(groups, hits, n_groups, length))
     span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", span), ("kept", pa.binary()), ("kept_sha256", pa.string())]
     ddl = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<lo:int,hi:int>>, kept binary, kept_sha256 string"
@@ -307,7 +313,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         out = []
         rec = np.frombuffer(b"".join(told.column("payload").to_pylist()), _HIT)
         by_doc = _by_doc([rec[rec["gram"] == 0].tobytes()])
-        for part, data, at in t.chunks(iter(own.combine_chunks().to_batches()), "text") if own.num_rows else ():
+        for part, data, at in t.chunks(iter([unpacked(own)]), "text") if own.num_rows else ():
             for k, doc in enumerate(part.column(0).to_pylist()):
                 text = data[at[k] : at[k + 1]].tobytes()
                 gone = [(a, min(b, len(text))) for a, b in _union(by_doc[doc]["lo"], by_doc[doc]["hi"]) if a < len(text)] if doc in by_doc else []
@@ -320,4 +326,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         cols = list(zip(*out, strict=True)) or [()] * len(fields)
         return pa.Table.from_arrays([pa.array(c, x) for c, (_, x) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
 
-    return dealt.groupBy("g").cogroup(every.groupBy("g")).applyInArrow(run, ddl)
+    return groups.groupBy("g").cogroup(every.groupBy("g")).applyInArrow(run, ddl)

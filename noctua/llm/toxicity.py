@@ -54,10 +54,9 @@ def _terms(data: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarr
     """Hashes of whole words and of their beginnings (0 where a word is too short); starts, ends, first words."""
     plain = _LEET[data]
     s, e, first = t.word_borders(plain, at, _LETTER)
-    sums = t.prefix(plain)
-    out = [t.span_hash(sums, s, e)]
+    out = [t.span_hash(plain, s, e)]
     for n in STARTS:
-        out.append(np.where(e - s > n, t.span_hash(sums, s, np.minimum(s + n, e)) ^ np.uint64(n), np.uint64(0)))
+        out.append(np.where(e - s > n, t.span_hash(plain, s, np.minimum(s + n, e)) ^ np.uint64(n), np.uint64(0)))
     return out, s, e, first
 
 
