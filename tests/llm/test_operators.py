@@ -114,7 +114,19 @@ def test_two_stage_suffix_array():
 
 def test_suffix_dedup_of_odd_rows(spark, odd, odd_rows):
     got = suffix_dedup.remove_repeats(odd, length=100).collect()
-    assert len(got) == len(odd_rows) - 1 and all(r.n_bytes == r.n_removed + len(r.kept) for r in got)
+    assert len(got) == len(odd_rows) and all(r.n_bytes == r.n_removed + len(r.kept) for r in got)
+    assert [r.n_removed == r.n_bytes for r in got if r.doc_id is None] == [True]
+    assert suffix_dedup.remove_repeats(table(spark, [])).count() == 0
+
+
+def test_suffix_dedup_of_repeated_ids_with_different_texts(spark):
+    a, b = prose(31, 60), prose(32, 90)
+    rows = [(1, a + " x " + b), (1, b), (1, b), (2, a), (None, a[:200]), (None, None), (3, "short")]
+    got = suffix_dedup.remove_repeats(table(spark, rows).repartition(4), length=100).collect()
+    assert len(got) == len(rows)
+    first = sorted((t for k, t in rows if k == 1), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    want = brute_repeats([*enumerate(first), (10, a), (11, "short"), (12, a[:200]), (13, None)], 100)
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want.values())
 
 
 def brute_hits(docs, items, size=10):
@@ -260,7 +272,8 @@ def test_passages_are_cut_from_later_documents_only(spark):
 def test_passages_of_odd_rows(spark, odd, odd_rows):
     got = passage_dedup.remove_passages(odd).collect()
     by = {r.doc_id: r for r in got}
-    assert len(got) == len(odd_rows) - 1 and by[1].kept is None and by[2].kept == "" and by[0].n_removed == 0
+    assert len(got) == len(odd_rows) and by[1].kept is None and by[2].kept == "" and by[0].n_removed == 0
+    assert [r.kept for r in got if r.doc_id is None] == [""]
     assert by[5].kept == "" and by[10].n_removed > 140 and by[11].n_removed == 160 and by[6].n_removed == 0
     assert passage_dedup.remove_passages(table(spark, [])).count() == 0
 
@@ -280,6 +293,39 @@ def test_every_exact_passage_is_found(spark):
         assert need <= have and len(have - need) <= 8
 
 
+@pytest.mark.parametrize("size", [48, 100, 400])
+def test_gaps_of_any_length_are_aligned(spark, size):
+    words = prose(41, 120 + size).split()
+    middle = [x for i, w in enumerate(words[60:-60]) for x in ([w, f"new{i}"] if i % 4 == 3 else [w])]
+    copy = [*words[:60], *middle, *words[-60:]]
+    got = {r.doc_id: r for r in passage_dedup.remove_passages(table(spark, [(1, " ".join(words)), (2, " ".join(copy))])).collect()}
+    assert got[1].n_removed == 0 and got[2].n_removed == len(copy) and got[2].kept == ""
+
+
+def test_pieces_of_several_places_or_documents_add_up_to_nothing(spark):
+    pieces = [prose(60 + i, 22) for i in range(8)]
+    rows = [(1, prose(1, 40) + " " + " ".join(pieces)), (2, " ".join(reversed(pieces)))]
+    rows += [(10 + i, prose(80 + i, 60) + " " + prose(200 + i, 22) + " " + prose(90 + i, 60)) for i in range(8)]
+    rows += [(30, " ".join(prose(200 + i, 22) for i in range(8)))]
+    got = passage_dedup.remove_passages(table(spark, rows)).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {k: 0 for k, _ in rows}
+
+
+def test_a_passage_whose_parts_are_held_apart_is_found_in_whole(spark):
+    words = prose(71, 200).split()
+    rows = [(1, prose(1, 50) + " " + " ".join(words[:40]) + " " + prose(2, 50)), (2, prose(3, 50) + " " + " ".join(words[40:80]) + " " + prose(4, 50)), (3, " ".join(words)), (4, prose(5, 30) + " " + " ".join(words))]
+    got = {r.doc_id: r for r in passage_dedup.remove_passages(table(spark, rows)).collect()}
+    assert [got[k].n_removed for k in (1, 2, 3, 4)] == [0, 0, 0, 200] and list(got[4].source_ids) == [3]
+
+
+def test_passages_of_repeated_ids_with_different_texts(spark):
+    a, b = prose(51, 90), prose(52, 70)
+    rows = [(7, a), (7, a + " " + b), (7, a), (8, b), (None, b), (None, None), (9, "")]
+    got = passage_dedup.remove_passages(table(spark, rows).repartition(5)).collect()
+    assert len(got) == len(rows) and sum(r.n_words - r.n_removed for r in got) == 160
+    assert all(list(r.source_ids) == [7] for r in got if r.n_removed) and [r.n_removed for r in got if r.doc_id == 8] == [70]
+
+
 def distance(x, y):
     row = list(range(len(y) + 1))
     for i, u in enumerate(x, 1):
@@ -336,7 +382,7 @@ def test_fenwick_chain_prefers_the_collinear_one():
     b = np.array([0, 4, 8, 30, 34, 60])
     a = np.array([100, 104, 108, 130, 134, 20])
     chain = next(passage_dedup.chains(b, a))
-    assert (chain[0][0], chain[-1][1], chain[0][2], chain[-1][3]) == (0, 42, 100, 142)
+    assert (chain[0][0], chain[-1][1], chain[0][2], chain[-1][3]) == (0, 34 + passage_dedup.K, 100, 134 + passage_dedup.K)
 
 
 def test_toxicity_on_held_out_rows(spark):
