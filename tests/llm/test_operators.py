@@ -385,6 +385,13 @@ def test_fenwick_chain_prefers_the_collinear_one():
     assert (chain[0][0], chain[-1][1], chain[0][2], chain[-1][3]) == (0, 34 + passage_dedup.K, 100, 134 + passage_dedup.K)
 
 
+def test_text_that_repeats_itself_is_chained_in_little_time(spark):
+    rows = [(1, prose(1, 60) + " " + "lepa " * 300), (2, "lepa " * 250 + prose(2, 60)), (3, "a b c " * 40_000), (4, "a b c " * 30_000), (5, (prose(3, 30) + " ") * 2000), (6, (prose(3, 30) + " ") * 1000)]
+    got = {r.doc_id: r for r in passage_dedup.remove_passages(table(spark, rows)).collect()}
+    assert [got[k].n_removed for k in (1, 3, 5)] == [0] * 3 and 250 <= got[2].n_removed <= 252
+    assert got[4].n_removed == 90_000 and got[6].n_removed == 30_000
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(2)
     bad, docs, labels = ["idiot", "trash", "grobian"], [], []
