@@ -14,21 +14,21 @@ The phrases are broadcast in groups of bounded size (``MOST_PHRASES``); more phr
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as t
-from ._shared import documents_of, stored
+from ._shared import dropped, stored
 
 WINDOW, MOST_PHRASES = 10, 200_000
-#: Words between two documents of a segment, so that no phrase or window reaches from one into the next.
-GAP = 64
-INDEX = "segment bigint, doc_ids binary, starts binary, n_words binary, terms binary, ends binary, places binary"
+#: Places left free between two documents of a segment, so that no phrase reaches from one into the next.
+GAP = 1
+INDEX = "segment bigint, doc_ids array<bigint>, starts binary, n_words binary, terms binary, ends binary, places binary"
 
 
 def _terms(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,7 +36,7 @@ def _terms(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, first
 
 
-def _segment(ids: np.ndarray, h: np.ndarray, first: np.ndarray) -> dict[str, bytes | int]:
+def _segment(h: np.ndarray, first: np.ndarray) -> dict[str, bytes]:
     n = np.diff(first)
     shift = np.arange(len(n)) * GAP
     place = (np.arange(len(h)) + np.repeat(shift, n)).astype(np.int32)
@@ -44,22 +44,23 @@ def _segment(ids: np.ndarray, h: np.ndarray, first: np.ndarray) -> dict[str, byt
     terms, begin = np.unique(h[order], return_index=True)
     ends = np.append(begin[1:], len(h)).astype(np.int32)
     starts = (first[:-1] + shift).astype(np.int32)
-    parts = {"doc_ids": ids.astype(np.int64), "starts": starts, "n_words": n.astype(np.int32), "terms": terms, "ends": ends[: len(terms)], "places": place[order]}
-    name = int.from_bytes(hashlib.blake2b(ids.tobytes() + terms[:64].tobytes(), digest_size=7).digest(), "big")
-    return {"segment": name, **{k: v.tobytes() for k, v in parts.items()}}
+    parts = {"starts": starts, "n_words": n.astype(np.int32), "terms": terms, "ends": ends[: len(terms)], "places": place[order]}
+    return {k: v.tobytes() for k, v in parts.items()}
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """Index segments of (doc_id, text), one for each 2 MB or so of text; null texts have no words. Not yet stored."""
+    """Index segments of (doc_id, text), one for each 2 MB or so of text; null texts have no words. Not yet stored:
+    a segment is named by its task and place in it, so searches in several passes need a stored index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in INDEX.split(", ")]
-        kinds = [pa.int64(), *[pa.binary()] * 6]
-        for part, data, at in t.chunks(batches, "text"):
-            row = _segment(part.column(0).to_numpy(), *_terms(data, at))
-            yield pa.RecordBatch.from_arrays([pa.array([row[x]], k) for x, k in zip(names, kinds, strict=True)], names=names)
+        kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5]
+        task = TaskContext.get().partitionId() << 32
+        for k, (part, data, at) in enumerate(t.chunks(batches, "text")):
+            row = {"segment": task + k, "doc_ids": part.column(0), **_segment(*_terms(data, at))}
+            yield pa.RecordBatch.from_arrays([pa.array([row[x]], kind) for x, kind in zip(names, kinds, strict=True)], names=names)
 
-    return documents_of(docs, "text").select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, INDEX)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, INDEX)
 
 
 class _Lists:
@@ -67,7 +68,7 @@ class _Lists:
 
     def __init__(self, row: dict[str, pa.Scalar]):
         at = lambda name, kind: np.frombuffer(row[name].as_buffer(), kind)
-        self.doc_ids, self.starts, self.n_words = at("doc_ids", np.int64), at("starts", np.int32), at("n_words", np.int32)
+        self.doc_ids, self.starts, self.n_words = row["doc_ids"].values, at("starts", np.int32), at("n_words", np.int32)
         self.terms, self.ends, self.places = at("terms", np.uint64), at("ends", np.int32), at("places", np.int32)
 
     def spots(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,9 +127,10 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def phrase_hits(index: DataFrame, phrases: DataFrame, most: int = MOST_PHRASES) -> DataFrame:
-    """(doc_id, doc_row, n_words, item_id, lo, hi): word spans of documents that equal a phrase (item_id, terms).
+    """(doc_id, segment, doc_row, n_words, item_id, lo, hi): word spans of documents that equal a phrase (item_id, terms).
 
-    Every document also has one row with a null item_id, which carries its n_words. doc_row tells rows of one doc_id apart.
+    Every document also has one row with a null item_id, which carries its n_words. Segment and doc_row name a row,
+    whether or not others have its doc_id. An item_id may be null no more than a phrase may be empty.
     """
     spark = index.sparkSession
     out = None
@@ -138,7 +140,7 @@ def phrase_hits(index: DataFrame, phrases: DataFrame, most: int = MOST_PHRASES)
     for p in range(parts):
         rows = (phrases if parts == 1 else phrases.where(F.pmod(F.xxhash64("item_id", "terms"), F.lit(parts)) == p)).collect()
         sent = spark.sparkContext.broadcast(([r.item_id for r in rows], [bytes(r.terms) for r in rows]))
-        got = index.mapInArrow(_search(sent, p == 0), "doc_id bigint, doc_row string, n_words bigint, item_id bigint, lo int, hi int")
+        got = index.mapInArrow(_search(sent, p == 0), "doc_id bigint, segment bigint, doc_row int, n_words bigint, item_id bigint, lo int, hi int")
         out = got if out is None else out.union(got)
     return out
 
@@ -166,51 +168,61 @@ def _search(sent, with_all: bool):
                 none = np.zeros(n, np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(lists.doc_ids[every]),
-                        pa.array([f"{name}-{x}" for x in every.tolist()], pa.string()),
+                        lists.doc_ids.take(pa.array(every)),
+                        pa.array(np.full(len(every), name)),
+                        pa.array(every.astype(np.int32)),
                         pa.array(lists.n_words[every].astype(np.int64)),
                         pa.array(np.concatenate((items[k], none)), pa.int64(), mask=np.arange(len(every)) >= len(d)),
                         pa.array(np.concatenate((lo, none)).astype(np.int32)),
                         pa.array(np.concatenate((lo + size[k], none)).astype(np.int32)),
                     ],
-                    names=["doc_id", "doc_row", "n_words", "item_id", "lo", "hi"],
+                    names=["doc_id", "segment", "doc_row", "n_words", "item_id", "lo", "hi"],
                 )
 
     return run
 
 
-def proximity_hits(index: DataFrame, queries: DataFrame, span: int) -> DataFrame:
+def proximity_hits(index: DataFrame, queries: DataFrame, span: int, most: int = MOST_PHRASES) -> DataFrame:
     """(doc_id, query_id, lo, hi): for each query (query_id, text) the shortest windows of at most ``span`` words
-    that hold all its distinct terms in any order, one for each place of its rarest term, found from that term's list."""
-    if span > GAP:
-        raise ValueError(f"span is at most {GAP}")
+    that hold all its distinct terms in any order, one for each place of its rarest term, found from that term's list.
+    Queries go out ``most`` at a time; rows of ``queries`` without an id or a word match nothing."""
     spark = index.sparkSession
-    packed = windows(queries.select(F.col("query_id").alias("item_id"), "text"), 1 << 20).limit(MOST_PHRASES + 1).collect()
-    if len(packed) > MOST_PHRASES:
-        raise ValueError(f"at most {MOST_PHRASES} queries at a time")
-    sent = spark.sparkContext.broadcast([(r.item_id, np.unique(np.frombuffer(r.terms, np.uint64))) for r in packed])
+    packed = windows(queries.select(F.col("query_id").alias("item_id"), "text"), 1 << 30).distinct()
+    parts = -(-packed.count() // most) or 1
+    out = None
+    for p in range(parts):
+        rows = (packed if parts == 1 else packed.where(F.pmod(F.xxhash64("item_id", "terms"), F.lit(parts)) == p)).collect()
+        sent = spark.sparkContext.broadcast([(r.item_id, np.unique(np.frombuffer(r.terms, np.uint64))) for r in rows])
+        got = index.mapInArrow(_near(sent, span), "doc_id bigint, query_id bigint, lo int, hi int")
+        out = got if out is None else out.union(got)
+    return out
 
+
+def _near(sent, span: int):
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
                 lists = _Lists({x: batch.column(i)[row] for i, x in enumerate(batch.schema.names)})
-                out = []
+                doc, out = [], []
                 for query, terms in sent.value:
                     begin, end = lists.spots(terms)
                     if (end == begin).any():
                         continue
                     held = sorted((lists.places[a:b] for a, b in zip(begin, end, strict=True)), key=len)
-                    for p in held[0].tolist():
-                        near = [x[np.searchsorted(x, p - span + 1) : np.searchsorted(x, p + span)] for x in held[1:]]
+                    for p, d in zip(held[0].tolist(), lists.docs(held[0]).tolist(), strict=True):
+                        start = int(lists.starts[d])
+                        low, high = max(start, p - span + 1), min(start + int(lists.n_words[d]), p + span)
+                        near = [x[np.searchsorted(x, low) : np.searchsorted(x, high)] for x in held[1:]]
                         if all(map(len, near)):
                             marks = sorted([(p, 0), *((int(v), k + 1) for k, x in enumerate(near) for v in x)])
                             if best := _shortest(marks, len(held), p, span):
-                                d = int(lists.docs(np.array([p]))[0])
-                                out.append((int(lists.doc_ids[d]), query, best[0] - int(lists.starts[d]), best[1] + 1 - int(lists.starts[d])))
-                cols = list(zip(*out, strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["doc_id", "query_id", "lo", "hi"])
+                                doc.append(d)
+                                out.append((query, best[0] - start, best[1] + 1 - start))
+                cols = list(zip(*out, strict=True)) or [()] * 3
+                ids = lists.doc_ids.take(pa.array(doc, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["doc_id", "query_id", "lo", "hi"])
 
-    return index.mapInArrow(run, "doc_id bigint, query_id bigint, lo int, hi int")
+    return run
 
 
 def _shortest(marks: list[tuple[int, int]], n: int, p: int, span: int) -> tuple[int, int] | None:
@@ -223,12 +235,15 @@ def _shortest(marks: list[tuple[int, int]], n: int, p: int, span: int) -> tuple[
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit (words inside any window of an item), n_items, item_ids (sorted as
+    """Per row: doc_id, n_words, n_hit (words inside any window of an item), n_items, item_ids (sorted as
     strings), contaminated. Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. Texts and
-    items that are null or have no words hit nothing; an empty benchmark leaves all documents clean."""
+    items that are null or have no words hit nothing; an empty benchmark leaves all documents clean. Repeated rows, rows
+    that share a doc_id and rows without one have a result each; of rows that share an item_id all windows count for it."""
     index = stored(build_index(docs), "index")
     hits = phrase_hits(index, windows(items, size))
-    merged = hits.groupBy("doc_row", "doc_id", "n_words").agg(
+    merged = hits.groupBy("segment", "doc_row").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.first("n_words").alias("n_words"),
         F.array_sort(F.collect_set(F.when(F.col("item_id").isNotNull(), F.struct("lo", "hi")))).alias("spans"),
         F.array_sort(F.transform(F.collect_set("item_id"), lambda x: x.cast("string"))).alias("item_ids"),
     )
@@ -237,3 +252,11 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     return merged.select(
         "doc_id", "n_words", fold.alias("n_hit"), F.size("item_ids").cast("bigint").alias("n_items"), "item_ids"
     ).withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def hit_ids(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(doc_id): the ids of documents with any window of an item; stored, it holds no other documents."""
+    index = stored(build_index(docs), "index")
+    found = stored(phrase_hits(index, windows(items, size)).where("item_id IS NOT NULL").select("doc_id").distinct(), "hits")
+    dropped(index)
+    return found
