@@ -2,6 +2,11 @@
 
 Each stage reads what the one before has written, works on all of it, and returns the columns of ``documents`` (the last:
 the packed pieces). Documents that a stage rejects are gone for the next one.
+
+Every row is a document of its own: rows that share a doc_id, equal rows and rows without a doc_id are kept, cut or dropped
+one by one, and none is multiplied. Where an order decides (which copy stays, who keeps a passage), it is that of doc_id,
+then of the text's digest, rows without a doc_id last. Null and empty texts fail the quality rules; nulls in other
+columns, and further columns under any name, go through. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,35 +15,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noctua.llm import decontaminate, minhash, packing, passage_dedup, quality
-from noctua.llm._shared import read, stored
+from noctua.llm._shared import ROW, keyed, read, stored, survey
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
-    kept = quality.judge(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """Rows whose text no quality rule rejects."""
+    return quality.kept_rows(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates: shingles of five words, similarity 0.8."""
-    kept = minhash.near_duplicates(docs, size=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """The first row of each group of near-duplicates: shingles of five words, similarity 0.8. Rows without words stay."""
+    n_bytes, unique = survey(docs)
+    rows = keyed(docs, unique)
+    found = minhash.classes(rows.select(F.col(ROW).alias("doc_id"), F.col("text").cast("string").alias("text")), n_bytes, size=5, percent=80)
+    return _without(rows, found.where("NOT kept").select("doc_id")).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages of 50 words or more that earlier ones hold; documents of which nothing is left go."""
-    cut = passage_dedup.remove_passages(docs, least=50).where("n_removed > 0").select("doc_id", F.col("kept").alias("cut_text"))
-    names = docs.columns
-    out = docs.join(cut, "doc_id", "left")
-    text = F.coalesce("cut_text", "text")
-    out = out.withColumn("text", text).withColumn("n_chars", F.when(F.col("cut_text").isNotNull(), F.length("cut_text").cast("bigint")).otherwise(F.col("n_chars")))
-    return out.where(F.col("cut_text").isNull() | F.col("cut_text").rlike(r"[^\x20\x09-\x0D]")).select(*names)
+    """All rows, without passages of 50 words or more that earlier ones hold; rows of which no word is left go."""
+    gone = F.col(ROW + "_removed") > 0
+    out = passage_dedup.cut_rows(docs, least=50).where(~gone | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return out.withColumn("n_chars", F.when(gone, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of ten words of a benchmark item."""
-    found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.join(found, "doc_id", "left_anti")
+    """Rows that hold no window of ten words of a benchmark item."""
+    _, unique = survey(docs)
+    rows = keyed(docs, unique)
+    found = decontaminate.hit_ids(rows.select(F.col(ROW).alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
+    return _without(rows, found).select(*docs.columns)
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` but those whose keys are in ``gone`` (doc_id). A table of keys below the session's broadcast threshold
+    goes to the rows; else both are dealt out by key."""
+    return rows.join(stored(gone.withColumnRenamed("doc_id", ROW), "gone"), ROW, "left_anti")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

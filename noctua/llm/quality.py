@@ -10,11 +10,12 @@ one, and rows without an id too. The work needs no shuffle: a document is measur
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as t
@@ -110,20 +111,35 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     return rows.mapInArrow(run, ddl).withColumnRenamed("id", id_col)
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+def base_failed(of: Callable[[str], Any] = F.col) -> Any:
+    """The base rule on figures that ``of`` gives by name: columns, or arrays."""
+    return (of("n_words") < MIN_WORDS) | (100 * of("n_repeat_words") > REPEAT_PERCENT * of("n_words"))
 
 
-def verdict(limits: dict[int, float] | None = None) -> Column:
+def verdict(limits: dict[int, float] | None = None, of: Callable[[str], Any] = F.col) -> Any:
     """True for a document that no rule rejects; the base rule is not among them."""
     limits = NGRAM_LIMITS if limits is None else limits
-    ok = (F.col("dup_line_share") <= LINE_LIMIT) & (F.col("n_symbols") <= SYMBOL_LIMIT * F.col("word_chars"))
-    ok &= F.col("n_capital_words") <= CAPITALS_LIMIT * F.col("n_words")
+    ok = (of("dup_line_share") <= LINE_LIMIT) & (of("n_symbols") <= SYMBOL_LIMIT * of("word_chars"))
+    ok &= of("n_capital_words") <= CAPITALS_LIMIT * of("n_words")
     for k, most in limits.items():
-        ok &= F.col(f"dup_{k}gram_share") <= most
+        ok &= of(f"dup_{k}gram_share") <= most
     return ok
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The figures with ``base_failed`` and ``kept``: false where the base rule or one of the method's fails."""
     return measure(docs, id_col, text_col).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict())
+
+
+def kept_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns, where they are read: nothing is joined or shuffled.
+
+    Each row is judged by its own text, so repeated rows, and rows that share an id or have none, are kept or go by themselves.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, at in t.chunks(batches, text_col):
+            got = measures(data, at, tuple(NGRAM_LIMITS))
+            yield part.filter(pa.array(~base_failed(got.__getitem__) & verdict(of=got.__getitem__)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -63,9 +63,10 @@ def near_copies(seed, n, copies, edits):
 def test_near_duplicates_equal_brute_force(spark, odd, odd_rows, n):
     rows = list(odd_rows) + [(100 + 50 * s + i, t) for s in range(6) for i, t in enumerate(near_copies(s, 40 + 60 * s, 14, 14))]
     df = odd.select("doc_id", "text").union(table(spark, rows[len(odd_rows) :]))
-    got = minhash.near_duplicates(df, size=n, percent=80)
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows, n)
-    assert all(r.kept == (r.doc_id == r.component_id) for r in got.collect())
+    got = minhash.near_duplicates(df, size=n, percent=80).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None) == brute_components(rows, n)
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(0, False)]
+    assert sorted(r.doc_id for r in got if r.kept) == sorted({c for *_, c in brute_components(rows, n)})
 
 
 def test_large_clusters_meet_in_blocks(spark, monkeypatch):
@@ -75,9 +76,41 @@ def test_large_clusters_meet_in_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows, 4)
 
 
+def test_large_clusters_of_several_groups_meet_in_blocks(spark, monkeypatch):
+    """Loose clusters that fall apart, and chains of links, over many blocks and list parts."""
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 5)
+    monkeypatch.setattr(minhash, "HOT", 6)
+    monkeypatch.setattr(minhash, "IDLE", 2)
+    base, rows = prose(77, 60).split(), []
+    for i in range(60):
+        w = list(base)
+        for j in range(i // 4):
+            w[(7 * j) % 60] = f"step{i // 4}x{j}"
+        w[i % 60] = f"own{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join([*base[:30], *prose(300 + i // 3, 30).split()])) for i in range(24)]
+    got = minhash.near_duplicates(table(spark, rows), size=2)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows, 2)
+
+
+def test_structured_words_are_told_apart(spark):
+    thue = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    rows = [(1, thue), (2, thue.translate(str.maketrans("ab", "ba"))), (3, thue)]
+    assert sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(table(spark, rows)).collect()) == [(1, 1), (2, 2), (3, 1)]
+    lines = table(spark, [(1, "\n".join([rows[0][1], rows[1][1]])), (2, "\n".join([thue, thue]))])
+    assert sorted((r.doc_id, r.n_dup_lines) for r in quality.judge(lines).collect()) == [(1, 0), (2, 1)]
+
+
+def test_near_duplicates_of_repeated_ids_with_different_texts(spark):
+    a, b = prose(11, 80), prose(12, 80)
+    rows = [(5, a), (5, b), (5, a), (6, b), (7, a), (None, a), (None, None)]
+    got = minhash.near_duplicates(table(spark, rows).repartition(4)).collect()
+    assert len(got) == len(rows) and sum(r.kept for r in got) == 3 and {r.component_id for r in got if r.n_shingles} == {5}
+
+
 def test_odd_rows_and_extra_columns_near_duplicates(spark, odd):
     got = {r.doc_id: r for r in minhash.near_duplicates(odd, size=4).collect()}
-    assert (got[1].n_shingles, got[1].component_id, got[2].component_id, got[8].component_id, got[5].component_id) == (0, 1, 2, 7, 0) and None not in got
+    assert (got[1].n_shingles, got[1].component_id, got[2].component_id, got[8].component_id, got[5].component_id) == (0, 1, 2, 7, 0) and got[None].component_id == 0
 
 
 def brute_repeats(rows, length):
@@ -150,9 +183,19 @@ def brute_hits(docs, items, size=10):
 def test_contamination_equals_brute_force(spark, odd, odd_rows):
     items = [(1, prose(1, 160)[40:400]), (2, "Word"), (3, None), (4, "---"), (20, "漢字 ünïcode"), (11, prose(77, 25)), (11, prose(77, 25))]
     bench = spark.createDataFrame([(*x, 1) for x in items], "item_id bigint, text string, doc_id int")
-    rows = [r for r in odd_rows if r[0] is not None] + [(60, prose(77, 25).upper().replace(" ", "--"))]
-    got = decontaminate.contamination(odd.select("doc_id", "text", "g").unionByName(table(spark, rows[-1:]), allowMissingColumns=True), bench)
-    assert sorted((r.doc_id, r.n_words, r.n_hit, list(r.item_ids), r.contaminated) for r in got.collect()) == brute_hits(rows, items)
+    rows = [(-1 if k is None else k, t) for k, t in odd_rows] + [(60, prose(77, 25).upper().replace(" ", "--"))]
+    docs = odd.select("doc_id", "text", "g").unionByName(table(spark, rows[-1:]), allowMissingColumns=True).repartition(7)
+    got = decontaminate.contamination(docs, bench)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_hit, list(r.item_ids), r.contaminated) for r in got.collect()) == brute_hits(rows, items)
+    assert decontaminate.contamination(docs.where("false"), bench).count() == 0 and not decontaminate.contamination(docs, bench.where("false")).where("contaminated").count()
+
+
+def test_equal_rows_and_ids_with_different_texts_keep_their_hits(spark):
+    a, b = prose(1, 30), prose(2, 30)
+    docs = table(spark, [(1, a), (1, a), (1, b), (None, a), (2, "short")]).repartition(5)
+    bench = spark.createDataFrame([(9, a), (None, b)], "item_id bigint, text string")
+    got = decontaminate.contamination(docs, bench).collect()
+    assert sorted((r.doc_id or 0, r.n_hit) for r in got) == [(0, 30), (1, 0), (1, 30), (1, 30), (2, 0)]
 
 
 def test_phrases_in_several_passes_and_proximity(spark):
@@ -164,6 +207,10 @@ def test_phrases_in_several_passes_and_proximity(spark):
     q = spark.createDataFrame([(7, "beta alpha")], "query_id bigint, text string")
     near = decontaminate.proximity_hits(index, q, span=3).collect()
     assert sorted((r.doc_id, r.lo, r.hi) for r in near) == [(1, 0, 3), (3, 0, 2)]
+    wide = table(spark, [(1, "alpha " + "x " * 90 + "beta"), (2, "alpha"), (3, "beta " * 3)])
+    two = spark.createDataFrame([(7, "beta alpha"), (8, "alpha x")], "query_id bigint, text string")
+    far = decontaminate.proximity_hits(decontaminate.build_index(wide).cache(), two, span=92, most=1).collect()
+    assert sorted((r.doc_id, r.query_id, r.lo, r.hi) for r in far) == [(1, 7, 0, 92), (1, 8, 0, 2)]
 
 
 def brute_quality(text):
@@ -236,14 +283,13 @@ def test_packing_loses_nothing(spark, odd, odd_rows):
     got = packing.packed(odd.select("doc_id", "text").union(table(spark, rows)), shard_rows=100).collect()
     want = Counter()
     for k, t in [*odd_rows, *rows]:
-        if k is not None:
-            want[k] += len(WORD.findall(t or ""))
+        want[k] += len(WORD.findall(t or ""))
     have, bins = Counter(), {}
     for r in got:
         have[r.doc_id] += r.n_tokens
         if r.bin >= 0:
             bins.setdefault((r.shard, r.bin), []).append(r)
-    assert have == want and {r.doc_id for r in got} == {k for k, _ in [*odd_rows, *rows] if k is not None}
+    assert have == want and {r.doc_id for r in got} == {k for k, _ in [*odd_rows, *rows]}
     for pieces in bins.values():
         used = sum(p.n_tokens for p in pieces)
         assert all(p.used == used for p in pieces) and used <= pieces[0].capacity == min(c for c in packing.LENGTHS if c >= used)
@@ -258,6 +304,43 @@ def test_packing_opens_the_cheapest_bin():
     assert [b for b, _ in got] == [0, 0, 0] and got[0][1] == 1024
 
 
+def least_cost(sizes, lengths):
+    """Of all ways to put few pieces into bins, the cheapest."""
+    best = [math.inf]
+
+    def go(i, bins):
+        if i == len(sizes):
+            best[0] = min(best[0], sum(packing.cost(min(c for c in lengths if c >= b)) for b in bins))
+            return
+        for k in range(len(bins)):
+            if bins[k] + sizes[i] <= max(lengths):
+                go(i + 1, [*bins[:k], bins[k] + sizes[i], *bins[k + 1 :]])
+        go(i + 1, [*bins, sizes[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def total_cost(got):
+    return sum(packing.cost(c) for c in dict(got).values())
+
+
+def test_packing_is_near_the_least_cost_of_brute_force():
+    rng, share = random.Random(4), []
+    for _ in range(60):
+        sizes = [rng.randrange(1, rng.choice([300, 900, 2000])) for _ in range(rng.randrange(1, 8))]
+        got, least = total_cost(packing.pack(sizes)), least_cost(sizes, packing.LENGTHS)
+        assert least - 1e-6 <= got <= 1.35 * least
+        share.append(got <= least + 1e-6)
+    assert sum(share) >= 0.6 * len(share)
+
+
+def test_lengths_are_chosen_jointly():
+    """Pieces of 300 waste bins of 512, which is the least length that fits; three of them fill one of 1024."""
+    got = packing.pack([300] * 6)
+    assert sorted(dict(got).values()) == [1024, 1024] and total_cost(got) == least_cost([300] * 6, packing.LENGTHS) < 6 * packing.cost(512)
+
+
 def test_passages_are_cut_from_later_documents_only(spark):
     passage = prose(500, 80)
     words = passage.split()

@@ -37,6 +37,26 @@ def test_stages_keep_what_they_should(spark, tmp_path):
     assert TERM.findall(low(leak))
 
 
+def test_repeated_rows_and_columns_of_other_names(spark, tmp_path):
+    """Equal rows, ids with several texts, rows without an id, and columns that operators use themselves."""
+    a, b, c, passage, leak = prose(1, 200), prose(2, 180), prose(3, 90), prose(4, 70), prose(5, 30)
+    rows = [(1, a), (1, a), (1, b), (1, "short"), (2, c + "\n" + passage), (3, prose(6, 90) + "\n" + passage), (3, prose(6, 90) + "\n" + passage), (None, prose(7, 80)), (None, a), (4, prose(8, 60) + " " + leak), (None, None)]
+    extra = "cut_text string, kept string, noctua string, g int, spans array<int>, n_removed int"
+    docs = spark.createDataFrame([(k, t, None, "s", len(t or ""), "x", "y", None, 1, [2], 3) for k, t in rows], COLUMNS + ", " + extra).repartition(6)
+    spark.createDataFrame([(1, leak)], "item_id bigint, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    seen = {}
+    for name, stage in cp.STAGES[:-1]:
+        out = stored(stage(spark, docs, f"file://{tmp_path}"), name)
+        assert out.columns == docs.columns
+        docs, seen[name] = out, sorted((r.doc_id or 0, r.text) for r in out.collect())
+    assert len(seen["quality_rules"]) == 9
+    assert seen["near_dedup"] == sorted([(1, a), (1, b), (2, rows[4][1]), (3, rows[5][1]), (0, rows[7][1]), (4, rows[9][1])])
+    assert seen["substring_dedup"] == sorted((k, prose(6, 90) + "\n" if k == 3 else t) for k, t in seen["near_dedup"])
+    assert [k for k, _ in seen["benchmark_decontamination"]] == [0, 1, 1, 2, 3]
+    packed = cp.STAGES[-1][1](spark, docs, f"file://{tmp_path}").collect()
+    assert sum(r.n_tokens for r in packed) == sum(len(t.split()) for _, t in seen["benchmark_decontamination"])
+
+
 def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
