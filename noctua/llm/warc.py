@@ -29,32 +29,37 @@ _READ = "archive string, offset bigint, record_id string, record_type string, ta
 
 
 def plan(pages: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
-    """(page_id, url, payload, digest, refers_to): refers_to is the smallest page_id of an equal payload of ``least``
-    bytes or more, null for that page itself and for smaller payloads. Only digests and ids are grouped."""
-    rows = pages.where("page_id IS NOT NULL").select("page_id", F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
+    """(page_id, url, payload, digest, refers_to), one for each row: refers_to is the smallest page_id of an equal payload of
+    ``least`` bytes or more, null for that page itself and for smaller payloads.
+
+    Rows that share that smallest page_id are all responses, and so are rows without a page_id, which nothing refers to.
+    Only digests and ids are grouped; payloads meet what they refer to by page_id, so common payloads load no task.
+    """
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    first = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(first, "digest", "left")
-    return joined.select("page_id", "url", "payload", "digest", F.when(F.col("first_id") < F.col("page_id"), F.col("first_id")).alias("refers_to"))
+    ids = rows.where((F.octet_length("payload") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest")
+    first = ids.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id")).where("first_id < last_id").drop("last_id")
+    refers = ids.join(first, "digest").where("first_id < page_id").select("page_id", "digest", F.col("first_id").alias("refers_to")).distinct()
+    return rows.join(refers, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
 
 def _sha(data: bytes) -> str:
     return "sha256:" + hashlib.sha256(data).hexdigest()
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """The bytes of one record, as one gzip member."""
     block = b"" if refers_to is not None else _HTTP % len(payload) + payload
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
     head = {
         "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page/{page_id}')}>",
+        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page/{page_id}' if page_id is not None else f'row/{url}/{_sha(payload)}')}>",
         "WARC-Date": _DATE,
         "WARC-Target-URI": uri,
         "Content-Type": "application/http; msgtype=response",
         "WARC-Block-Digest": _sha(block),
         "WARC-Payload-Digest": _sha(payload),
-        "X-Page-Id": str(page_id),
+        **({} if page_id is None else {"X-Page-Id": str(page_id)}),
         "X-Payload-Length": str(len(payload)),
     }
     if refers_to is not None:
@@ -79,7 +84,7 @@ def write(planned: DataFrame, most: int = ARCHIVE_BYTES) -> DataFrame:
         for batch in batches:
             for page_id, url, payload, refers_to in zip(*(batch.column(i) for i in (0, 1, 2, 4)), strict=True):
                 one = record(page_id.as_py(), url.as_py(), payload.as_py(), refers_to.as_py())
-                name = page_id.as_py() if name is None else name
+                name = f"{page_id.as_py()}-{hashlib.sha256(one).hexdigest()[:16]}" if name is None else name
                 held.append(one)
                 size += len(one)
                 if size >= most:
