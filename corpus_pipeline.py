@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noctua.llm import decontaminate, minhash, packing, passage_dedup, quality
-from noctua.llm._shared import ROW, keyed, read, stored, survey
+from noctua.llm._shared import ROW, keyed, n_buckets, read, scratch, stored, survey, without
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first row of each group of near-duplicates: shingles of five words, similarity 0.8. Rows without words stay."""
     n_bytes, unique = survey(docs)
     rows = keyed(docs, unique)
-    found = minhash.classes(rows.select(F.col(ROW).alias("doc_id"), F.col("text").cast("string").alias("text")), n_bytes, size=5, percent=80)
-    return _without(rows, found.where("NOT kept").select("doc_id")).select(*docs.columns)
+    with scratch(spark) as keep:
+        found = minhash.classes(rows.select(F.col(ROW).alias("doc_id"), F.col("text").cast("string").alias("text")), n_bytes, size=5, percent=80)
+        copies = keep(stored(found.where("NOT kept").select("doc_id"), "copies"))
+    return without(rows, copies, n_buckets(spark, 2, n_bytes)).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,14 +44,11 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     """Rows that hold no window of ten words of a benchmark item."""
     _, unique = survey(docs)
     rows = keyed(docs, unique)
-    found = decontaminate.hit_ids(rows.select(F.col(ROW).alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
-    return _without(rows, found).select(*docs.columns)
-
-
-def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """``rows`` but those whose keys are in ``gone`` (doc_id). A table of keys below the session's broadcast threshold
-    goes to the rows; else both are dealt out by key."""
-    return rows.join(stored(gone.withColumnRenamed("doc_id", ROW), "gone"), ROW, "left_anti")
+    with scratch(spark) as keep:
+        found = decontaminate.hit_ids(rows.select(F.col(ROW).alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
+        hit = keep(stored(found.withColumnRenamed("doc_id", ROW), "hit"))
+    # keys below the session's broadcast threshold go to the rows; else both are dealt out by key
+    return rows.join(hit, ROW, "left_anti").select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,12 +6,15 @@ import os
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Text of a group of documents, about, and of the rows that a task holds while it packs them.
 GROUP_BYTES, PACKED_BYTES = 1 << 24, 1 << 25
@@ -39,9 +42,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.noctua_path = path
+    for held in _scratch:
+        held.append(path)
     return out
 
 
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes, in the end, the tables that were stored meanwhile, but for those given to the function it hands out."""
+    kept: list[str] = []
+    _scratch.append([])
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table.noctua_path)
+        return table
+
+    try:
+        yield keep
+    finally:
+        for path in _scratch.pop():
+            if path not in kept:
+                _delete(spark, path)
+
+
 def dropped(*tables: DataFrame | None) -> None:
     """Delete tables that ``stored`` has written and nothing reads any more."""
     for x in tables:
@@ -159,3 +185,37 @@ def unpacked(table: pa.Table) -> pa.RecordBatch | None:
         return None
     rows = pa.Table.from_batches(held)
     return rows.take(pa.array(np.argsort(rows.column("doc_id").to_numpy(), kind="stable"))).combine_chunks().to_batches()[0]
+
+
+def with_text(docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """The rows of ``keys`` (doc_id, ...) with the text of ``docs`` (doc_id, text), whose doc_ids are unique: an inner join in
+    which texts travel packed, alike at every size."""
+    schema = T.StructType([*keys.schema.fields, T.StructField("text", T.StringType())])
+
+    def join(own: pa.Table, told: pa.Table) -> pa.Table:
+        if not own.num_rows or not told.num_rows:
+            return to_arrow_schema(schema).empty_table()
+        rows, ids = unpacked(own), told.column("doc_id").to_numpy()
+        at = np.searchsorted(rows.column("doc_id").to_numpy(), ids)
+        text = rows.column("text").take(pa.array(at))
+        return pa.Table.from_arrays([*told.drop_columns(["g"]).columns, pa.chunked_array([text])], names=schema.names)
+
+    told = keys.withColumn("g", group_of(F.col("doc_id"), n))
+    return dealt(docs, n).groupBy("g").cogroup(told.groupBy("g")).applyInArrow(join, schema)
+
+
+def without(rows: DataFrame, gone: DataFrame, n: int) -> DataFrame:
+    """``rows`` (with ``ROW``) but those whose keys are in ``gone`` (doc_id), in the same way; ``ROW`` goes too."""
+    names = [x for x in rows.columns if x != ROW]
+    schema = T.StructType([x for x in rows.schema.fields if x.name != ROW])
+    hidden = rows.select(F.col(ROW).alias("doc_id"), *(F.col(x).alias(f"c{k}") for k, x in enumerate(names)))
+
+    def drop(own: pa.Table, told: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return to_arrow_schema(schema).empty_table()
+        held = unpacked(own)
+        held = held.filter(pa.array(~np.isin(held.column("doc_id").to_numpy(), told.column("doc_id").to_numpy())))
+        return pa.Table.from_arrays(held.columns[1:], names=names)
+
+    told = gone.select("doc_id", group_of(F.col("doc_id"), n).alias("g"))
+    return dealt(hidden, n).groupBy("g").cogroup(told.groupBy("g")).applyInArrow(drop, schema)

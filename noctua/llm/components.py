@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import stored
+from ._shared import dropped, stored
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -21,12 +21,15 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         now = label.agg(F.sum(F.col("component").cast("decimal(38,0)")), F.count("*")).first()
         if now == state or not now[1]:
+            dropped(both)
             return label
         state = now
         near = both.join(label, both.b == label.id).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         fell = label.join(near, "id").select("id", F.least("component", "near").alias("component"))
         up = fell.select(F.col("id").alias("up_id"), F.col("component").alias("up"))
+        before = label
         label = stored(
             fell.join(up, fell.component == up.up_id, "left").select("id", F.least("component", F.coalesce("up", "component")).alias("component")), "labels"
         )
+        dropped(before)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as t
-from ._shared import dropped, stored
+from ._shared import stored
 
 WINDOW, MOST_PHRASES = 10, 200_000
 #: Places left free between two documents of a segment, so that no phrase reaches from one into the next.
@@ -255,8 +255,6 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
 
 
 def hit_ids(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(doc_id): the ids of documents with any window of an item; stored, it holds no other documents."""
+    """(doc_id): the ids of documents with any window of an item, and of no others."""
     index = stored(build_index(docs), "index")
-    found = stored(phrase_hits(index, windows(items, size)).where("item_id IS NOT NULL").select("doc_id").distinct(), "hits")
-    dropped(index)
-    return found
+    return phrase_hits(index, windows(items, size)).where("item_id IS NOT NULL").select("doc_id").distinct()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as t
-from ._shared import ROW, dealt, keyed, n_buckets, stored, survey, unpacked
+from ._shared import ROW, dealt, keyed, n_buckets, stored, survey, unpacked, with_text
 from .components import components
 
 K, FLOOR_SHARE = 32, 0.375
@@ -384,7 +384,7 @@ def _solved(rows: DataFrame, size: int, percent: int) -> DataFrame:
     return dealt_.mapInArrow(run, "a bigint, b bigint")
 
 
-def verified(trees: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def verified(trees: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int, n: int) -> DataFrame:
     """(a, b): true links, as trees, of the documents that hang together by ``trees``.
 
     Each text goes once to a block of its cluster, together with one text, the pivot, that all blocks of the cluster share.
@@ -395,12 +395,11 @@ def verified(trees: DataFrame, reps: DataFrame, docs: DataFrame, size: int, perc
     per = F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int")
     blocks = sized.groupBy("component").agg(per.alias("n_blocks"))
     placed = stored(cluster.join(blocks, "component").select(F.col("id").alias("doc_id"), "component", "n_blocks", F.pmod(F.xxhash64("id"), "n_blocks").cast("int").alias("i"), F.xxhash64("id", F.lit("pivot")).alias("rank")), "blocks")
-    text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     large = placed.where("n_blocks > 1")
     pivots = large.groupBy("component").agg(F.min_by(F.struct("doc_id", "n_blocks", "i"), "rank").alias("p")).select("p.doc_id", "component", F.explode(F.sequence(F.lit(0), F.col("p.n_blocks") - 1)).alias("at"), F.col("p.i").alias("own"))
     zero = F.lit(0)
     first = placed.select("doc_id", "component", "i", zero.alias("j"), zero.alias("other")).union(pivots.where("at <> own").select("doc_id", "component", F.col("at").alias("i"), zero, zero))
-    links = stored(_solved(text.join(first, "doc_id"), size, percent), "links")
+    links = stored(_solved(with_text(docs, first, n), size, percent), "links")
     if large.isEmpty():
         return links
     # clusters of several blocks: what hangs together after the first pass, and what stands apart from the most of it
@@ -412,7 +411,7 @@ def verified(trees: DataFrame, reps: DataFrame, docs: DataFrame, size: int, perc
     cells = apart.join(n_cells, "component")
     every = cells.select("doc_id", "component", "i", F.explode(F.sequence(F.lit(0), F.col("n_cells") - 1)).alias("j"), zero.alias("other"))
     again = cells.where("apart").select("doc_id", "component", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("i"), F.pmod(F.xxhash64("doc_id", F.lit("cell")), "n_cells").cast("int").alias("j"), F.lit(1).alias("other"))
-    return links.union(_solved(text.join(every.union(again), "doc_id"), size, percent))
+    return links.union(_solved(with_text(docs, every.union(again), n), size, percent))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -441,7 +440,7 @@ def classes(docs: DataFrame, n_bytes: int, size: int, percent: int) -> DataFrame
     equal = sig.where("n_shingles > 0").groupBy("sig_a", "sig_b", "n_shingles").agg(F.min_by("sketch", "doc_id").alias("sketch"), F.min("doc_id").alias("doc_id"))
     reps = stored(equal, "classes")
     n, n_groups = (n_buckets(docs.sparkSession, x, n_bytes // 4) for x in (1, 2))
-    links = verified(candidates(listed(dealt(reps.select("doc_id", "n_shingles", "sketch"), n_groups), n), percent), reps, docs, size, percent)
+    links = verified(candidates(listed(dealt(reps.select("doc_id", "n_shingles", "sketch"), n_groups), n), percent), reps, docs, size, percent, n_buckets(docs.sparkSession, 2, n_bytes))
     comp = components(links)
     named_ = reps.select("sig_a", "sig_b", "n_shingles", F.col("doc_id").alias("rep")).join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     out = sig.drop("sketch").join(named_, ["sig_a", "sig_b", "n_shingles"], "left")

@@ -243,6 +243,17 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(warc.write(warc.plan(pages.where("false")))).count() == 0
 
 
+def test_warc_of_repeated_rows_and_rows_without_an_id(spark):
+    html = "<p>" + "x" * 200 + "</p>"
+    rows = [(3, "a", html), (3, "b", html), (5, "c", html), (5, "c", html), (None, "d", html), (None, None, None), (7, "e", "y" * 150), (7, "f", html)]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id bigint, url string, html string, refers_to string").repartition(4)
+    got = warc.read_archives(warc.write(warc.plan(pages), most=400)).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0, r.payload_bytes) for r in got) == sorted(
+        [(3, "response", 0, 207), (3, "response", 0, 207), (5, "revisit", 3, 207), (5, "revisit", 3, 207), (0, "response", 0, 207), (0, "response", 0, 0), (7, "response", 0, 150), (7, "revisit", 3, 207)]
+    )
+    assert all(r.error is None for r in got) and len({r.archive for r in got}) > 1
+
+
 def test_damaged_archives_are_read_on(spark):
     good = [warc.record(k, "u", b"payload %d " % k * 30, None) for k in range(3)]
     broken = bytearray(good[1])
@@ -275,6 +286,9 @@ def test_url_rules_equal_brute_force(spark):
     want = sorted((i, *brute_url(u, RULES)) for i, u in enumerate(urls) for _ in range(2))
     assert got == want
     assert {r.verdict for r in url_filter.judge(pages, rules.where("false")).collect()} == {"allow"}
+    odd_pages = [(None, "http://example.com/de/" + "x" * 100_000), (None, None), (1, "http://" + "a." * 3000 + "net/"), (1, "http://" + "a." * 3000 + "net/")]
+    got = url_filter.judge(spark.createDataFrame(odd_pages, "page_id bigint, url string"), rules).collect()
+    assert sorted((r.page_id or 0, r.rule or "", r.verdict) for r in got) == [(0, "", "allow"), (0, "example.com/de/", "block"), (1, "net/", "block"), (1, "net/", "block")]
     assert url_filter.judge(pages.where("false"), rules).count() == 0
 
 
