@@ -47,12 +47,23 @@ def verified(log: DataFrame, span: int = 100_000) -> DataFrame:
     """One row (ok, checked_rows, broken_at): the first row whose link or hash does not hold, and the rows up to it.
 
     Each row's hash is recomputed where it is. Links need the predecessor alone: rows are dealt by ranges of ``span`` ids,
-    and only the last hash of each range crosses over, so no task sees the whole log.
+    and only the last hash of each range crosses over, so no task sees the whole log. A null hash or link holds nowhere,
+    and of rows that share an id one at most can hold.
     """
+    # hash and link of a row as they are, and whether there is one before: a null hash before is not the begin of the log
+    seen = F.struct(F.col("hash").alias("hash"))
     ranged = log.withColumn("part", F.floor(F.col("id") / span))
-    ends = ranged.groupBy("part").agg(F.max_by("hash", "id").alias("end_hash"))
-    before = ends.select("part", F.lag("end_hash").over(Window.orderBy("part")).alias("carried"))
-    w = Window.partitionBy("part").orderBy("id")
-    linked = ranged.withColumn("inner", F.lag("hash").over(w)).join(F.broadcast(before), "part").withColumn("expected", F.coalesce("inner", "carried", F.lit(GENESIS)))
-    bad = linked.where((F.col("prev_hash") != F.col("expected")) | (F.col("hash") != row_hash(F.col("prev_hash")))).agg(F.min("id").alias("broken_at"))
+    ends = ranged.groupBy("part").agg(F.max_by(seen, F.struct("id", "prev_hash", "hash")).alias("end"))
+    # the range before the next one of any rows: the log's ranges, not its rows, are in order in one window for each
+    # block of ranges, and the blocks' ends cross over likewise
+    block = F.floor(F.col("part") / span)
+    ends = ends.withColumn("block", block)
+    tops = ends.groupBy("block").agg(F.max_by("end", "part").alias("top"))
+    tops = tops.select("block", F.lag("top").over(Window.orderBy("block")).alias("below"))
+    before = ends.join(tops, "block").select("part", F.coalesce(F.lag("end").over(Window.partitionBy("block").orderBy("part")), "below").alias("carried"))
+    w = Window.partitionBy("part").orderBy("id", "prev_hash", "hash")
+    linked = ranged.withColumn("inner", F.lag(seen).over(w)).join(before, "part").withColumn("link", F.coalesce("inner", "carried"))
+    expected = F.when(F.col("link").isNull(), F.lit(GENESIS)).otherwise(F.col("link.hash"))
+    holds = F.col("prev_hash").isNotNull() & F.col("hash").isNotNull() & F.col("prev_hash").eqNullSafe(expected) & F.col("hash").eqNullSafe(row_hash(F.coalesce("prev_hash", F.lit(""))))
+    bad = linked.where(~holds).agg(F.min("id").alias("broken_at"))
     return log.crossJoin(F.broadcast(bad)).agg(F.first("broken_at").isNull().alias("ok"), F.count_if(F.col("broken_at").isNull() | (F.col("id") <= F.col("broken_at"))).alias("checked_rows"), F.first("broken_at").alias("broken_at"))

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from noctua.functions import dims
@@ -145,3 +146,23 @@ def test_turn_results_take_the_last(spark):
 
 def test_constants_are_whole():
     assert len(dims.SEARCH_STOPWORDS) == 24 and len(dims.SUPPORT_STOPWORDS) == 52 and len(dims.CLAIM_POINTS) == 19 and len(dims.HIGH_RISK) == 14
+
+
+@pytest.mark.parametrize("span", [2, 5, 1000])
+def test_forged_rows_break_the_chain(spark, span):
+    """Rows changed, dropped or added after the fact, nulls in hash or link among them, over few and many ranges of ids."""
+    rows = [(i, f"run-{i % 3}", None if i % 4 else "t", f"2026-01-0{i % 9 + 1}", "output", f"s{i}", None if i % 5 else "d", i if i % 2 else None, None if i % 3 else 0.5) for i in range(3, 40, 2)]
+    log = audit.appended(spark.createDataFrame(rows, "id bigint, run_id string, task_id string, ts string, kind string, summary string, detail string, tokens bigint, cost_usd double")).collect()
+    schema = "id bigint, run_id string, task_id string, ts string, kind string, summary string, detail string, tokens bigint, cost_usd double, prev_hash string, hash string"
+    log = [r.asDict() for r in log]
+
+    def broken(forged):
+        return tuple(audit.verified(spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in forged], schema), span=span).first())
+
+    assert broken(log) == (True, len(log), None)
+    changed = lambda k, **x: [{**r, **x} if i == k else r for i, r in enumerate(log)]
+    for forged, at in [
+        (changed(7, hash=None), 7), (changed(7, prev_hash=None), 7), (changed(7, prev_hash=None, hash=None), 7), (changed(0, prev_hash=None), 0), (changed(18, hash=None), 18),
+        (changed(9, summary="other"), 9), (log[:6] + log[7:], 6), (log + [{**log[-1], "id": 77}], 19), (log[1:], 0), (changed(4, hash="0" * 64), 4),
+    ]:
+        assert broken(forged)[::2] == (False, sorted(r["id"] for r in forged)[at]), (at, forged[at])
