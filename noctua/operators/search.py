@@ -1,12 +1,13 @@
 """Ranked retrieval: exact titles, BM25, recency, trust and staleness; passages, excerpts, evidence, context.
 
-A query's term frequencies are counted inside the scan, and the corpus figures (documents, average length, document
-frequency of each query term) come from one aggregate row that is broadcast; no posting leaves its task. For many
-queries against one corpus, ``postings`` gives a table to partition by term and keep.
+A search reads an ``Index``: postings in order of term, of which a query's filter reaches only the row groups with its
+terms, and one row of corpus figures. Texts are read again only for the rows that are returned. Without an index the
+terms are counted inside the scan of the texts, and the figures come from one aggregate row that is broadcast.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from math import log
 
@@ -53,14 +54,51 @@ def postings(rows: DataFrame, fields: tuple[str, ...] = FIELDS, key: str = "id")
     return t.groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
 
 
-def corpus_stats(index: DataFrame, key: str = "id") -> DataFrame:
-    """Document frequency of each term."""
-    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+def corpus_stats(rows: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(term, df, cf): in how many rows each term occurs, and how often. Rows are counted where they are read; one partial
+    sum for each term and task is all that is shuffled."""
+    own = rows.select(F.array_sort(tokens(fields)).alias("t"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))))
+    each = own.select(F.explode(F.arrays_zip("t", before.alias("b"))).alias("x")).select(F.col("x.t").alias("term"), F.col("x.b").alias("b"))
+    return each.select("term", (~F.col("b").eqNullSafe(F.col("term"))).cast("bigint").alias("first")).groupBy("term").agg(F.sum("first").alias("df"), F.count("*").alias("cf"))
 
 
-def bm25(rows: DataFrame, terms: list[str], fields: tuple[str, ...] = FIELDS) -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """Postings (term, id, tf, length) and one row of figures (n, average) of the rows that a search may return."""
+
+    postings: DataFrame
+    figures: DataFrame
+
+
+def ordered_postings(rows: DataFrame, fields: tuple[str, ...] = FIELDS, key: str = "id") -> DataFrame:
+    """The postings in order of term, for files whose row groups hold few terms each. Partial counts leave one row of each
+    term and document to shuffle; ranges of (term, id) split a term that all rows hold."""
+    found = postings(rows, fields, key).withColumnRenamed(key, "id")
+    return found.select("term", "id", "tf", "length").repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+
+
+def figures(rows: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    return rows.agg(F.count("*").alias("n"), F.avg(F.size(tokens(fields))).alias("average"))
+
+
+def _indexed(rows: DataFrame, terms: list[str], index: Index) -> DataFrame:
+    """``rows`` that hold a term, with ``bm25``, from the postings of the query's terms."""
+    own = sorted(set(terms))
+    hit = index.postings.where(F.col("term").isin(own))
+    df = hit.groupBy("term").agg(F.count("*").alias("df"))  # one row for each term of the query
+    times = F.element_at(F.create_map(*(F.lit(x) for w in own for x in (w, terms.count(w)))), F.col("term"))
+    idf = F.greatest(F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    score = times * idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
+    scores = hit.join(F.broadcast(df), "term").crossJoin(F.broadcast(index.figures)).groupBy("id").agg(F.sum(score).alias("bm25"))
+    return rows.join(scores, "id").select(*rows.columns, "bm25")
+
+
+def bm25(rows: DataFrame, terms: list[str], fields: tuple[str, ...] = FIELDS, index: Index | None = None) -> DataFrame:
     """``rows`` that hold a term, with ``bm25``; a term that comes twice in the query counts twice. N, lengths and
-    frequencies are those of all rows."""
+    frequencies are those of all rows, or of those in the index."""
+    if index is not None:
+        return _indexed(rows, terms, index)
     own = sorted(set(terms))
     known = F.array(*map(F.lit, own))
     found = F.struct(F.size("tokens").alias("length"), F.filter("tokens", lambda x: F.array_contains(known, x)).alias("tokens"))
@@ -89,14 +127,14 @@ def exact(rows: DataFrame, query: str, limit: int) -> DataFrame:
     return hit.select("id", F.lit(1.0).alias("relevance"), F.lit(0).alias("lane"), (F.row_number().over(Window.orderBy(F.desc("updated_at"), "id")) - 1).alias("position"))
 
 
-def ranked(rows: DataFrame, query: str, domain: str | None, include_stale: bool, limit: int) -> DataFrame:
+def ranked(rows: DataFrame, query: str, domain: str | None, include_stale: bool, limit: int, index: Index | None = None) -> DataFrame:
     """(id, relevance, lane, position): the ``limit`` best by BM25, relevance from score and rank.
 
     The window runs over ``limit`` rows at most, after the sort with limit."""
     terms = query_terms(query)
     if not terms:
         return rows.where("false").select("id", F.lit(1.0).alias("relevance"), F.lit(1).alias("lane"), F.lit(0).alias("position"))
-    live = bm25(rows.where("status <> 'expired'"), terms).where(visible(domain, include_stale))
+    live = bm25(rows.where("status <> 'expired'"), terms, index=index).where(visible(domain, include_stale))
     top = live.withColumn("rounded", F.round("bm25", 9)).orderBy(F.desc("rounded"), "doc_id").limit(limit)
     top = top.withColumn("position", F.row_number().over(Window.orderBy(F.desc("rounded"), "doc_id")) - 1)
     most = F.max("bm25").over(Window.partitionBy())
@@ -132,14 +170,14 @@ def composite(as_of: str) -> Column:
     return F.greatest(F.lit(0.0), score)
 
 
-def search(rows: DataFrame, query: str, as_of: str, domain: str | None = None, include_stale: bool = True, limit: int = 8) -> DataFrame:
+def search(rows: DataFrame, query: str, as_of: str, domain: str | None = None, include_stale: bool = True, limit: int = 8, index: Index | None = None) -> DataFrame:
     """The best memories for a query, with score and its parts, in order of ``rank``; a blank query finds none."""
     if len(query) > 1000:
         raise ValueError("a query has at most 1000 characters")
     if domain is not None and domain not in dims.DOMAINS:
         raise ValueError(f"unknown domain {domain}")
     limit = min(50, max(1, limit))
-    lanes = exact(rows.where(visible(domain, include_stale)), query, limit).union(ranked(rows, query, domain, include_stale, limit * 5))
+    lanes = exact(rows.where(visible(domain, include_stale)), query, limit).union(ranked(rows, query, domain, include_stale, limit * 5, index))
     first = lanes.groupBy("id").agg(F.min(F.struct("lane", "position", "relevance")).alias("c")).select("id", "c.*")
     scored = rows.join(F.broadcast(first), "id").withColumn("score", composite(as_of))
     if not query.strip():
@@ -149,13 +187,13 @@ def search(rows: DataFrame, query: str, as_of: str, domain: str | None = None, i
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def passages(chunks: DataFrame, imports: DataFrame, query: str, domain: str, limit: int = 8) -> DataFrame:
+def passages(chunks: DataFrame, imports: DataFrame, query: str, domain: str, limit: int = 8, index: Index | None = None) -> DataFrame:
     """(id, import_id, score): passages by BM25, rescored by the share of query terms they cover."""
     terms = query_terms(query)
     usable = imports.where("extraction_quality_status <> 'failed'").select(F.col("id").alias("import_id"))
     if not terms:
         return chunks.where("false").select("id", "import_id", F.lit(0.0).alias("score"))
-    hits = bm25(chunks, terms, ("body",)).where(F.col("domain") == domain).join(usable, "import_id", "left_semi")
+    hits = bm25(chunks, terms, ("body",), index).where(F.col("domain") == domain).join(usable, "import_id", "left_semi")
     hits = hits.withColumn("rounded", F.round("bm25", 9)).orderBy(F.desc("rounded"), "id").limit(limit * 4)
     hits = hits.withColumn("position", F.row_number().over(Window.orderBy(F.desc("rounded"), "id")) - 1)
     asked = text.term_set(F.lit(query))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,15 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def index(self, name: str, fields: tuple[str, ...], live: str = "true"):
+        """The search index of the rows of a model table that are ``live``, built once for the application."""
+        from noctua.operators import search
+        from noctua.sources.tables import kept
+
+        rows = lambda: getattr(self, name).where(live)
+        at = f"index-{name}-{hashlib.sha256(self.sf_dir.encode()).hexdigest()[:16]}"
+        return search.Index(kept(self.spark, f"{at}/postings", lambda: search.ordered_postings(rows(), fields)), kept(self.spark, f"{at}/figures", lambda: search.figures(rows(), fields)))
+
     def __getattr__(self, name: str) -> DataFrame:
         from noctua.sources import driver
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 RING = 2000
 
+from noctua.sources.tables import shared_dir
+
 
 def event_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """New files of a folder of Parquet events, as a stream."""
@@ -49,8 +50,7 @@ def ring_counts(events: DataFrame, most: int = RING) -> DataFrame:
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over all that is there now into a Parquet table beside its checkpoint, and read that."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="noctua-stream-")
-    path = f"{base.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
     run = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).outputMode("append").start()
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
