@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noctua.functions import dims, text
@@ -93,40 +93,41 @@ def kind_confidence(kind: Column) -> Column:
 
 
 def merged(items: DataFrame) -> DataFrame:
-    """One row per id of items reported several times, folded in order of ``ord``.
+    """One row per id of items reported several times, as if folded in order of ``ord``.
 
     Of two, the one of higher confidence leads, or of lower kind rank among equals; its optional texts give way to
     longer ones (in bytes) of the other. A local provider gives way to a named one, tags are joined, dates and
     confidence take the greater.
+
+    An item that leads all before it is a record. Then every field is an extreme: the last record's, the longest text's,
+    on a tie the last record's of them or else the first, and so on. So one sorted pass finds the records and plain
+    aggregates do the rest; no array of an id's reports is made, however many there are.
     """
     texts = [c for c in (*_OPTIONAL, *_RICH) if c in items.columns]
-    cols = [c for c in items.columns if c != "id"]
-    rows = items.select("id", F.struct("ord", *(F.col(c) for c in cols if c != "ord")).alias("x"))
-
-    def fold(a, b):
-        ahead = (b["confidence"] > a["confidence"]) | ((b["confidence"] == a["confidence"]) & (kind_rank(b["kind"]) < kind_rank(a["kind"])))
-        lead = lambda c: F.when(ahead, b[c]).otherwise(a[c])
-        rest = lambda c: F.when(ahead, a[c]).otherwise(b[c])
-        out = []
-        for c in ("ord", *(c for c in cols if c != "ord")):
-            if c in texts:
-                v = F.when(lead(c).isNull() | (F.octet_length(rest(c)) > F.octet_length(lead(c))), F.coalesce(rest(c), lead(c))).otherwise(lead(c))
-            elif c == "provider":
-                v = preferred_provider(lead(c), rest(c))
-            elif c == "tags":
-                v = text.distinct_tags(F.concat(lead(c), rest(c)))
-            elif c in ("updated_at", "confidence"):
-                v = F.greatest(a[c], b[c])
-            elif c == "ord":
-                v = a[c]
-            else:
-                v = lead(c)
-            out.append(v.alias(c))
-        return F.struct(*out)
-
-    listed = rows.groupBy("id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    first = F.element_at("xs", 1)
-    return listed.select("id", F.aggregate(F.slice("xs", 2, F.greatest(F.size("xs") - 1, F.lit(0))), first, fold).alias("m")).select("id", *(F.col(f"m.{c}").alias(c) for c in cols if c != "ord"))
+    rank = F.struct(F.col("confidence"), (-kind_rank(F.col("kind"))).alias("rank"))
+    before = Window.partitionBy("id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    rows = items.withColumn("_rank", rank).withColumn("_best", F.max("_rank").over(before))
+    rows = rows.withColumn("_record", F.col("_best").isNull() | (F.col("_rank") > F.col("_best")))
+    # the last record, else the first of the others
+    late = F.struct(F.col("_record"), F.when(F.col("_record"), F.col("ord")).otherwise(-F.col("ord")))
+    named = (F.col("provider") != "local").cast("int")
+    aggregates = []
+    for c in items.columns:
+        if c in texts:
+            aggregates.append(F.max_by(c, F.struct(F.coalesce(F.octet_length(c), F.lit(-1)), late)).alias(c))
+        elif c == "provider":
+            aggregates.append(F.max_by(c, F.struct(named, late)).alias(c))
+        elif c in ("updated_at", "confidence"):
+            aggregates.append(F.max(c).alias(c))
+        elif c not in ("id", "ord", "tags"):
+            aggregates.append(F.max_by(c, late).alias(c))
+    # tags of records come first, the last record's before; then those of the others
+    place = F.struct((~F.col("_record")).alias("other"), F.when(F.col("_record"), -F.col("ord")).otherwise(F.col("ord")).alias("at"), "i", "tag")
+    each = rows.select("id", "_record", "ord", F.posexplode("tags").alias("i", "tag")).where(F.trim("tag") != "")
+    each = each.groupBy("id", text.ascii_lower(F.col("tag")).alias("low")).agg(F.min(place).alias("x"))
+    tags = each.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["tag"]).alias("tags"))
+    out = rows.groupBy("id").agg(*aggregates).join(tags, "id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    return out.select("id", *(c for c in items.columns if c not in ("id", "ord")))
 
 
 def ordered(items: DataFrame) -> DataFrame:
