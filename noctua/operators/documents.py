@@ -201,25 +201,24 @@ def best_attempt(attempts: DataFrame, key: str) -> DataFrame:
     return rated.groupBy(key).agg(F.max_by(F.struct("engine_order", "score", "passed"), rank).alias("x")).select(key, "x.*")
 
 
-def near_duplicates(docs: DataFrame, theta: float = 0.72) -> DataFrame:
-    """(a, b), a < b: all pairs of documents (doc_id, text) whose sets of words have Jaccard similarity ``theta`` or more.
+def near_duplicates(docs: DataFrame, theta: float = 0.72) -> tuple[DataFrame, DataFrame]:
+    """Classes (doc_id, class_id) of documents (doc_id, text) with equal sets of words, named by their least id, and all pairs
+    (a, b), a < b, of classes whose sets have Jaccard similarity ``theta`` or more. Copies are not paired one by one.
 
-    Documents of equal sets are one until the end. Two sets that are alike share one of the rarest words of both (prefix
-    filter over whole texts); length and place of the first such word bound what they can share. Empty sets have no pairs.
+    Two sets that are alike share one of the rarest words of both (prefix filter over whole texts); length and place of the
+    first such word bound what they can share. Documents without words are classes of their own, without pairs.
     """
-    d = docs.select("doc_id", text.term_set(F.col("text")).alias("w")).where(F.size("w") > 0)
-    d = d.withColumn("key", F.sha2(F.array_join(F.array_sort("w"), " "), 256))
-    sets = d.groupBy("key").agg(F.min_by("w", "doc_id").alias("w"))
-    n = F.size("w")
-    each = sets.select("key", n.alias("n"), F.explode("w").alias("x"))
+    d = docs.select("doc_id", F.array_sort(text.term_set(F.col("text"))).alias("w"))
+    d = d.select("doc_id", F.when(F.size("w") > 0, F.sha2(F.array_join("w", " "), 256)).otherwise(F.col("doc_id").cast("string")).alias("key"), "w")
+    sets = d.where(F.size("w") > 0).groupBy("key").agg(F.min("doc_id").alias("id"), F.first("w").alias("w"))
+    each = sets.select("id", F.size("w").alias("n"), F.explode("w").alias("x"))
     freq = each.groupBy("x").agg(F.count("*").alias("df"))
-    ranked = each.join(freq, "x").withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("df", "x")))
-    rare = ranked.where("df > 1").where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * theta - 1e-9) + 1).select("key", "x", "n", "k")
-    a, b = (rare.select("x", *(F.col(c).alias(c + side) for c in ("key", "n", "k"))) for side in "ab")
+    ranked = each.join(freq, "x").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("df", "x")))
+    rare = ranked.where("df > 1").where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * theta - 1e-9) + 1).select("id", "x", "n", "k")
+    a, b = (rare.select("x", *(F.col(c).alias(c + side) for c in ("id", "n", "k"))) for side in "ab")
     bound = 1 + F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb"))
-    may = a.join(b, "x").where("keya < keyb").where(bound >= F.lit(theta / (1 + theta)) * (F.col("na") + F.col("nb")) - 1e-6).select("keya", "keyb").distinct()
-    sides = (sets.select(F.col("key").alias("key" + side), F.col("w").alias("w" + side)) for side in "ab")
-    alike = may.join(next(sides), "keya").join(next(sides), "keyb").where(text.similarity(F.col("wa"), F.col("wb")) >= theta).select("keya", "keyb")
-    ids_a, ids_b = (d.select(F.col("key").alias("key" + side), F.col("doc_id").alias(side)) for side in "ab")
-    across = alike.join(ids_a, "keya").join(ids_b, "keyb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return across.unionByName(ids_a.join(ids_b, F.col("keya") == F.col("keyb")).where("a < b").select("a", "b"))
+    may = a.join(b, "x").where("ida < idb").where(bound >= F.lit(theta / (1 + theta)) * (F.col("na") + F.col("nb")) - 1e-6).select("ida", "idb").distinct()
+    sides = (sets.select(F.col("id").alias("id" + side), F.col("w").alias("w" + side)) for side in "ab")
+    alike = may.join(next(sides), "ida").join(next(sides), "idb").where(text.similarity(F.col("wa"), F.col("wb")) >= theta)
+    classes = d.groupBy("key").agg(F.min("doc_id").alias("class_id"))
+    return d.select("doc_id", "key").join(classes, "key").select("doc_id", "class_id"), alike.select(F.col("ida").alias("a"), F.col("idb").alias("b"))

@@ -88,9 +88,9 @@ def g11(t):
     return catalog.counts(t.catalog)
 
 
-@query("O2_catalog_order", with_("catalog") + f"SELECT ord, kind FROM x_catalog ORDER BY {_KR.format(c='kind')}, display_name, id, ord LIMIT 300")
+@query("O2_catalog_order", with_("catalog") + f"SELECT ord, kind FROM x_catalog ORDER BY {_KR.format(c='kind')}, display_name, id, ord")
 def o2(t):
-    return t.catalog.orderBy(catalog.kind_rank(F.col("kind")), "display_name", "id", "ord").select("ord", "kind").limit(300)
+    return t.catalog.orderBy(catalog.kind_rank(F.col("kind")), "display_name", "id", "ord").select("ord", "kind")
 
 
 @query("O7_last_of_best", with_("catalog") + "SELECT id, max_by(ord, (confidence, ord)) AS ord FROM x_catalog GROUP BY id")
@@ -105,9 +105,9 @@ def o6(t):
     return t.catalog.select("id", "ord", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("confidence"), "ord")).cast("bigint").alias("place"))
 
 
-@query("O5_claim_order", "SELECT doc_id, score, claim FROM (SELECT doc_id, doc_id % 5 AS score, left(text, 30) AS claim FROM documents) ORDER BY score DESC, claim, doc_id LIMIT 100")
+@query("O5_claim_order", "SELECT doc_id, score, claim FROM (SELECT doc_id, doc_id % 5 AS score, text AS claim FROM documents) ORDER BY score DESC, claim, doc_id")
 def o5(t):
-    return t.documents.select("doc_id", (F.col("doc_id") % 5).alias("score"), F.left("text", F.lit(30)).alias("claim")).orderBy(F.desc("score"), "claim", "doc_id").limit(100)
+    return t.documents.select("doc_id", (F.col("doc_id") % 5).alias("score"), F.col("text").alias("claim")).orderBy(F.desc("score"), "claim", "doc_id")
 
 
 _FILES = ("agent.py", "readme.md", "SKILL.md", "run.sh", "workflow.yaml", "notes", ".env", "playwright.spec.ts", "x.prompt.txt")
@@ -240,11 +240,11 @@ def s3(t):
 
 
 def _notes(t):
-    m = t.memories.where("doc_id % 4 = 1")
+    m = t.memories
     return m.select("id", "mem_type", "domain", F.concat(F.lit("T \"q\" "), "id").alias("title"), "created_at", "updated_at", "confidence", "sensitivity", F.array("lang", "source").alias("tags"), "stale_after_days", "expires_at", F.lit(None).cast("string").alias("valid_from"), F.lit(None).cast("string").alias("valid_until"), "body", "vault_path")
 
 
-@query("S5_parsed_notes", with_("memories") + "SELECT id, vault_path AS path, mem_type, domain, 'T \"q\" ' || id AS title, updated_at, confidence, [lang, source] AS tags, stale_after_days, sha256(body) AS body_hash, NULL::VARCHAR AS error FROM x_memories WHERE doc_id % 4 = 1")
+@query("S5_parsed_notes", with_("memories") + "SELECT id, vault_path AS path, mem_type, domain, 'T \"q\" ' || id AS title, updated_at, confidence, [lang, source] AS tags, stale_after_days, sha256(body) AS body_hash, NULL::VARCHAR AS error FROM x_memories")
 def s5(t):
     """Notes rendered to files (S6) and parsed back."""
     files = _notes(t).select(F.col("vault_path").alias("path"), vault.rendered(_notes(t)).alias("content"))
@@ -252,7 +252,7 @@ def s5(t):
 
 
 @query("S6_rendered_notes", with_("memories") + """SELECT id, '---' || chr(10) || 'id: ' || id || chr(10) || 'type: ' || mem_type || chr(10) || 'domain: ' || domain || chr(10) || 'title: "T \\"q\\" ' || id || '"' || chr(10) || 'created: ' || created_at || chr(10) || 'updated: ' || updated_at || chr(10) || 'confidence: ' || confidence || chr(10) || 'sensitivity: ' || sensitivity || chr(10)
-|| CASE WHEN stale_after_days IS NULL THEN '' ELSE 'stale_after_days: ' || stale_after_days || chr(10) END || CASE WHEN expires_at IS NULL THEN '' ELSE 'expires: ' || expires_at || chr(10) END || 'tags: [' || lang || ', ' || source || ']' || chr(10) || '---' || chr(10) || body AS file FROM x_memories WHERE doc_id % 4 = 1""")
+|| CASE WHEN stale_after_days IS NULL THEN '' ELSE 'stale_after_days: ' || stale_after_days || chr(10) END || CASE WHEN expires_at IS NULL THEN '' ELSE 'expires: ' || expires_at || chr(10) END || 'tags: [' || lang || ', ' || source || ']' || chr(10) || '---' || chr(10) || body AS file FROM x_memories""")
 def s6(t):
     return _notes(t).select("id", vault.rendered(_notes(t)).alias("file"))
 
@@ -290,7 +290,7 @@ def s11(t):
 
 @query("S13_pdf_signature", "SELECT doc_id, doc_id % 3 = 0 AS is_pdf FROM documents")
 def s13(t):
-    raw = F.concat(F.when(F.col("doc_id") % 3 == 0, "%PDF-1.7 ").otherwise("PK "), F.left("text", F.lit(50)))
+    raw = F.concat(F.when(F.col("doc_id") % 3 == 0, "%PDF-1.7 ").otherwise("PK "), "text")
     return t.documents.select("doc_id", F.startswith(F.unbase64(F.base64(F.encode(raw, "UTF-8"))), F.encode(F.lit("%PDF-"), "UTF-8")).alias("is_pdf"))
 
 
@@ -341,25 +341,17 @@ def p20(t):
     return m.select("id", "body").join(m.where("doc_id % 3 = 0").select("id", "status"), "id", "left").select("id", F.coalesce("status", F.lit("active")).alias("status"), F.length("body").cast("bigint").alias("n"))
 
 
-@query("J12_near_duplicates", "WITH d AS (SELECT doc_id, doc_id % 40 AS part, list_distinct(list_filter(string_split_regex(lower(left(text, 150)), '[^\\p{L}\\p{N}]+'), lambda t: length(t) >= 3)) AS w FROM documents) SELECT a.doc_id AS a, b.doc_id AS b FROM d a JOIN d b ON a.part = b.part AND a.doc_id < b.doc_id AND len(a.w) > 0 AND len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)) >= 0.72")
+@query(
+    "J12_near_duplicates",
+    "WITH d AS (SELECT doc_id, list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: length(t) >= 3))) AS w FROM documents), c AS (SELECT w, min(doc_id) AS class_id FROM d WHERE len(w) > 0 GROUP BY w), "
+    "p AS (SELECT a.class_id AS x, b.class_id AS y FROM c a JOIN c b ON a.class_id < b.class_id AND least(len(a.w), len(b.w)) >= 0.72 * greatest(len(a.w), len(b.w)) AND len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)) >= 0.72), "
+    "n AS (SELECT x AS class_id, count(*) AS n_links FROM (SELECT x FROM p UNION ALL SELECT y FROM p) GROUP BY 1) SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links FROM d LEFT JOIN c USING (w) LEFT JOIN n USING (class_id)",
+)
 def j12(t):
-    """Pairs of the same part whose word sets are alike: candidates share one of the rarest words of both (prefix filter)."""
-    from pyspark.sql import Window
-
-    d = t.documents.select("doc_id", (F.col("doc_id") % 40).alias("part"), text.term_set(F.left("text", F.lit(150))).alias("w"))
-    each = d.select("doc_id", "part", F.size("w").alias("n"), F.explode("w").alias("x"))
-    freq = each.groupBy("part", "x").agg(F.count("*").alias("df"))
-    ranked = each.join(freq, ["part", "x"]).withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "x")))
-    rare = ranked.where("df > 1").where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * 0.72 - 1e-9) + 1).select("doc_id", "part", "x")
-    pairs = rare.withColumnRenamed("doc_id", "a").join(rare.withColumnRenamed("doc_id", "b"), ["part", "x"]).where("a < b").select("a", "b").distinct()
-    out = pairs.join(d.select(F.col("doc_id").alias("a"), F.col("w").alias("wa")), "a").join(d.select(F.col("doc_id").alias("b"), F.col("w").alias("wb")), "b")
-    return out.where(text.similarity(F.col("wa"), F.col("wb")) >= 0.72).select("a", "b")
-
-
-@query("J12_near_duplicates_whole")
-def j12_whole(t):
-    """The same over whole texts and all pairs of documents; too much for SQL, so brute force in the tests stands beside it."""
-    return documents.near_duplicates(t.documents, 0.72)
+    """Each document with the first one of the same words, and how many other sets of words are alike; whole texts, all ids."""
+    classes, pairs = documents.near_duplicates(t.documents, 0.72)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    return classes.join(links, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 @query("F11_stream_deduplicated", "SELECT event_type AS kind, count(*) AS events FROM events GROUP BY 1")

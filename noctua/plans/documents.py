@@ -6,12 +6,18 @@ from pyspark.sql import functions as F
 
 from noctua.functions import dims, text
 from noctua.operators import documents
-from noctua.sources.driver import with_
+from noctua.sources.driver import CHUNKS, with_
 
 from .base import query
 from .retrieval import term_set
 
 _T = "documents"
+
+
+def _second_half():
+    return F.expr("substring(text, cast(length(text) div 2 as int) + 1)")
+
+
 _HTML = r"""replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace({c}, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?i)</?(p|div|br|li|h[1-6]|section|article)[^>]*>', chr(10), 'g'), '(?s)<[^>]+>', ' ', 'g'),
 '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', '''')"""
 _SPACED = "trim(regexp_replace({c}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
@@ -24,12 +30,12 @@ def c1(t):
     return t.pages.select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
 
-_SPLICED = "'**' || left(text, 80) || ' [' || doc_id || '](http://x/' || doc_id || ') <b>bold</b>  `' || substr(text, 81, 80) || '`'"
+_SPLICED = "'**' || text || ' [' || doc_id || '](http://x/' || doc_id || ') <b>bold</b>  `' || text || '`'"
 
 
 def _spliced():
     i = F.col("doc_id").cast("string")
-    return F.concat(F.lit("**"), F.left("text", F.lit(80)), F.lit(" ["), i, F.lit("](http://x/"), i, F.lit(") <b>bold</b>  `"), F.substring("text", 81, 80), F.lit("`"))
+    return F.concat(F.lit("**"), "text", F.lit(" ["), i, F.lit("](http://x/"), i, F.lit(") <b>bold</b>  `"), "text", F.lit("`"))
 
 
 @query("C2_clean_markdown", f"SELECT doc_id, {_MD.format(c='s')} AS clean FROM (SELECT doc_id, {_SPLICED} AS s FROM documents)")
@@ -39,23 +45,23 @@ def c2(t):
 
 @query(
     "C3_sentences",
-    f"""WITH RECURSIVE d AS (SELECT doc_id, {_TRIM.format(c="left(text, 3000)")} AS s FROM documents WHERE doc_id % 5 = 1), cut AS (SELECT doc_id, s, list_filter(range(1, length(s)), lambda i: regexp_matches(substr(s, i, 2), '^[.!?]\\s')) AS ends FROM d),
+    f"""WITH RECURSIVE d AS (SELECT doc_id, {_TRIM.format(c="text")} AS s FROM documents), cut AS (SELECT doc_id, s, list_filter(range(1, length(s)), lambda i: regexp_matches(substr(s, i, 2), '^[.!?]\\s')) AS ends FROM d),
 fold AS (SELECT doc_id, s, ends, 0::BIGINT AS k, 0::BIGINT AS p0, []::VARCHAR[] AS out FROM cut WHERE length(s) > 320 UNION ALL
 SELECT doc_id, s, ends, k + 1, CASE WHEN ends[k + 1] - 1 - p0 >= 45 THEN ends[k + 1] ELSE p0 END, CASE WHEN ends[k + 1] - 1 - p0 >= 45 THEN list_append(out, substr(s, p0 + 1, ends[k + 1] - p0)) ELSE out END FROM fold WHERE k < len(ends)),
 done AS (SELECT doc_id, CASE WHEN p0 < length(s) THEN list_append(out, substr(s, p0 + 1)) ELSE out END AS out FROM fold WHERE k = len(ends))
 SELECT doc_id, list_filter(list_transform(out, lambda x: {_TRIM.format(c="x")}), lambda x: length(x) >= 45) AS sentences FROM done UNION ALL SELECT doc_id, [s] FROM cut WHERE length(s) <= 320""",
 )
 def c3(t):
-    return t.documents.where("doc_id % 5 = 1").select("doc_id", documents.sentences(F.left("text", F.lit(3000))).alias("sentences"))
+    return t.documents.select("doc_id", documents.sentences(F.col("text")).alias("sentences"))
 
 
-_CLAIM = "left(text, 90) || CASE doc_id % 4 WHEN 0 THEN ' authentication is required with a JWT' WHEN 1 THEN ' we decided on 2026-05-01, for example `x`' WHEN 2 THEN ' the endpoint must support POST /x' ELSE '' END"
+_CLAIM = "text || CASE doc_id % 4 WHEN 0 THEN ' authentication is required with a JWT' WHEN 1 THEN ' we decided on 2026-05-01, for example `x`' WHEN 2 THEN ' the endpoint must support POST /x' ELSE '' END"
 
 
 def _claim():
     k = F.col("doc_id") % 4
     end = F.when(k == 0, " authentication is required with a JWT").when(k == 1, " we decided on 2026-05-01, for example `x`").when(k == 2, " the endpoint must support POST /x").otherwise("")
-    return F.concat(F.left("text", F.lit(90)), end)
+    return F.concat("text", end)
 
 
 _LOW = "translate('notes ' || s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -76,30 +82,23 @@ def c4(t):
 @query("C5_candidates")
 def c5(t):
     """Candidates of documents made of spliced claims under headings."""
-    d = t.documents.where("doc_id % 3 = 0").select("doc_id", F.left("text", F.lit(20)).alias("title"), F.concat(F.lit("# Setup\n- "), _claim(), F.lit("\n- "), F.substring("text", 50, 100), F.lit(" must be enabled\n\n## Decisions\n"), _claim(), F.lit(".\n```\ncode\n```\n")).alias("text"))
+    d = t.documents.select("doc_id", F.concat(F.lit("Notes "), "lang").alias("title"), F.concat(F.lit("# Setup\n- "), _claim(), F.lit("\n- "), F.col("text"), F.lit(" must be enabled\n\n## Decisions\n"), _claim(), F.lit(".\n```\ncode\n```\n")).alias("text"))
     return documents.candidates(d, "doc_id", "title", "text")
 
 
 @query("C6_markdown_blocks")
 def c6(t):
-    return documents.blocks(t.documents.where("doc_id % 4 = 0"), "doc_id", "text")
+    return documents.blocks(t.documents, "doc_id", "text")
 
 
-@query(
-    "C7_chunks",
-    r"""WITH RECURSIVE d AS (SELECT doc_id, replace(replace(text, chr(0), ''), chr(13) || chr(10), chr(10)) AS s FROM documents),
-step AS (SELECT doc_id, 0::BIGINT AS p0, s FROM d WHERE length(s) > 0 UNION ALL SELECT doc_id, stop - 220, s FROM (
-  SELECT doc_id, p0, s, CASE WHEN p0 + 1500 < length(s) AND length(regexp_extract(substr(s, greatest(p0 + 1260, p0 + 1) + 1, 240), '(?s)^.*\s')) > 0 THEN p0 + 1260 + length(regexp_extract(substr(s, p0 + 1261, 240), '(?s)^.*\s')) ELSE least(p0 + 1500, length(s)) END AS stop FROM step) WHERE stop < length(s)),
-cut AS (SELECT doc_id, p0, substr(s, p0 + 1, CASE WHEN p0 + 1500 < length(s) AND length(regexp_extract(substr(s, p0 + 1261, 240), '(?s)^.*\s')) > 0 THEN 1260 + length(regexp_extract(substr(s, p0 + 1261, 240), '(?s)^.*\s')) ELSE 1500 END) AS c FROM step)
-SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY p0) - 1)::INT AS chunk_index, regexp_replace(c, '^\s+|\s+$', '', 'g') AS chunk FROM cut WHERE regexp_matches(c, '\S')""",
-)
+@query("C7_chunks", CHUNKS)
 def c7(t):
     return documents.chunked(t.documents.select("doc_id", "text"))
 
 
-@query("C8_pdf_text", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(left(text, 500) || '  ' || chr(12) || ' x ' || chr(10) || 'y  ', chr(0), ''), chr(12), chr(10) || chr(10)), '[ \t\r]+(\n|$)', '\1', 'g'), '^\s+', ''), '\s+$', '') AS text FROM documents")
+@query("C8_pdf_text", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(text || '  ' || chr(12) || ' x ' || chr(10) || 'y  ', chr(0), ''), chr(12), chr(10) || chr(10)), '[ \t\r]+(\n|$)', '\1', 'g'), '^\s+', ''), '\s+$', '') AS text FROM documents")
 def c8(t):
-    return t.documents.select("doc_id", documents.pdf_text(F.concat(F.left("text", F.lit(500)), F.lit("  \x0c x \ny  "))).alias("text"))
+    return t.documents.select("doc_id", documents.pdf_text(F.concat("text", F.lit("  \x0c x \ny  "))).alias("text"))
 
 
 _SPACED_OUT = "CASE WHEN doc_id % 10 = 3 THEN regexp_replace(left(text, 60), '(.)', '\\1 ', 'g') || text WHEN doc_id % 10 = 4 THEN left(text, 30) || chr(65533) ELSE text END"
@@ -125,7 +124,7 @@ def c9(t):
 @query("C10_best_attempt")
 def c10(t):
     one = t.documents.select("doc_id", F.lit(1).alias("engine_order"), _garbled().alias("text"))
-    two = t.documents.where("doc_id % 2 = 0").select("doc_id", F.lit(2).alias("engine_order"), "text")
+    two = t.documents.select("doc_id", F.lit(2).alias("engine_order"), "text")
     return documents.best_attempt(one.union(two), "doc_id")
 
 
@@ -134,10 +133,10 @@ _SLUG = "regexp_replace(regexp_replace(lower({c}), '[^a-z0-9]+', '-', 'g'), '^-+
 
 @query(
     "C11_candidate_tags",
-    f"SELECT doc_id, list_distinct_ordered AS tags FROM (SELECT doc_id, list_reduce(list_filter(string_split(CASE WHEN s = '' THEN 'document' ELSE left(s, 80) END, '-'), lambda x: strlen(x) >= 3)[1:4], lambda a, x: CASE WHEN list_contains(a, x) THEN a ELSE list_append(a, x) END, ['document-import']) AS list_distinct_ordered FROM (SELECT doc_id, {_SLUG.format(c='left(text, 60)')} AS s FROM documents))",
+    f"SELECT doc_id, list_distinct_ordered AS tags FROM (SELECT doc_id, list_reduce(list_filter(string_split(CASE WHEN s = '' THEN 'document' ELSE left(s, 80) END, '-'), lambda x: strlen(x) >= 3)[1:4], lambda a, x: CASE WHEN list_contains(a, x) THEN a ELSE list_append(a, x) END, ['document-import']) AS list_distinct_ordered FROM (SELECT doc_id, {_SLUG.format(c='text')} AS s FROM documents))",
 )
 def c11(t):
-    return t.documents.select("doc_id", documents.candidate_tags(F.left("text", F.lit(60))).alias("tags"))
+    return t.documents.select("doc_id", documents.candidate_tags(F.col("text")).alias("tags"))
 
 
 @query("C12_numbered_lines", r"SELECT l, n, regexp_matches(l, '^[.)]*[0-9][0-9.)]*') AND regexp_matches(l, '^[^.)]*[.)] ') AS numbered FROM (SELECT n, unnest([n || '. point', n || ') x', n || '.x', 'a' || n || '. b', '(' || n || ') c']) AS l FROM (SELECT doc_id AS n FROM documents))")
@@ -147,11 +146,11 @@ def c12(t):
     return t.documents.select(F.col("doc_id").alias("n"), F.explode(lines).alias("l")).withColumn("numbered", text.numbered_line(F.col("l")))
 
 
-@query("C13_replaced_chunks", with_("chunks") + "SELECT id, import_id FROM x_chunks WHERE import_id <> 7 UNION ALL SELECT 1000000 + id, import_id FROM x_chunks WHERE import_id = 7")
+@query("C13_replaced_chunks", with_("chunks") + "SELECT id, import_id FROM x_chunks WHERE import_id <> 7 UNION ALL SELECT 1000000000000 + id, import_id FROM x_chunks WHERE import_id = 7")
 def c13(t):
     """Passages after those of one import were made anew."""
     c = t.chunks.select("id", "import_id")
-    new = c.where("import_id = 7").withColumn("id", F.col("id") + 1_000_000)
+    new = c.where("import_id = 7").withColumn("id", F.col("id") + 1_000_000_000_000)
     return c.join(new.select("import_id").distinct(), "import_id", "left_anti").select("id", "import_id").unionByName(new)
 
 
@@ -189,12 +188,12 @@ def t5(t):
     return t.documents.select("doc_id", text.distinct_tags(_tags()).alias("tags"))
 
 
-@query("T6_merged_bodies", "WITH d AS (SELECT doc_id, trim(left(text, 700)) AS o, trim(CASE doc_id % 3 WHEN 0 THEN left(text, 300) WHEN 1 THEN text ELSE right(text, 600) END) AS n FROM documents) SELECT doc_id, CASE WHEN contains(o, n) THEN o WHEN contains(n, o) THEN n WHEN length(o || chr(10) || chr(10) || 'Update:' || chr(10) || n) > 1200 THEN n ELSE o || chr(10) || chr(10) || 'Update:' || chr(10) || n END AS body FROM d")
+@query("T6_merged_bodies", "WITH d AS (SELECT doc_id, trim(text) AS o, trim(CASE doc_id % 3 WHEN 0 THEN substr(text, length(text) // 2 + 1) WHEN 1 THEN text || ' and more' ELSE 'another note ' || doc_id END) AS n FROM documents) SELECT doc_id, CASE WHEN contains(o, n) THEN o WHEN contains(n, o) THEN n WHEN length(o || chr(10) || chr(10) || 'Update:' || chr(10) || n) > 1200 THEN n ELSE o || chr(10) || chr(10) || 'Update:' || chr(10) || n END AS body FROM d")
 def t6(t):
     from noctua.operators.gate import merged_body
 
-    new = F.when(F.col("doc_id") % 3 == 0, F.left("text", F.lit(300))).when(F.col("doc_id") % 3 == 1, F.col("text")).otherwise(F.right("text", F.lit(600)))
-    return t.documents.select("doc_id", merged_body(F.left("text", F.lit(700)), new, F.lit("fact")).alias("body"))
+    new = F.when(F.col("doc_id") % 3 == 0, _second_half()).when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit(" and more"))).otherwise(F.concat(F.lit("another note "), F.col("doc_id").cast("string")))
+    return t.documents.select("doc_id", merged_body(F.col("text"), new, F.lit("fact")).alias("body"))
 
 
 @query("T7_xml_escaped", "SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages")
@@ -220,17 +219,17 @@ def t10(t):
 @query("T11_unified_diff")
 def t11(t):
     """Unified diff of two wordings of each document, three lines of context."""
-    d = t.documents.where("doc_id % 20 = 0").select("doc_id", F.col("text").alias("old"), F.replace("text", F.lit("the"), F.lit("THE")).alias("new"))
+    d = t.documents.select("doc_id", F.col("text").alias("old"), F.replace("text", F.lit("the"), F.lit("THE")).alias("new"))
     from noctua.functions.diff import unified
 
     return unified(d, "doc_id", "old", "new")
 
 
-@query("T12_item_ids", "SELECT doc_id, '~/p/' || doc_id || '::' || regexp_replace(regexp_replace(translate(left(text, 30), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS id FROM documents")
+@query("T12_item_ids", "SELECT doc_id, '~/p/' || doc_id || '::' || regexp_replace(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS id FROM documents")
 def t12(t):
     from noctua.operators.catalog import item_id
 
-    return t.documents.select("doc_id", item_id(F.concat(F.lit("/home/u/p/"), F.col("doc_id").cast("string")), "/home/u", F.left("text", F.lit(30))).alias("id"))
+    return t.documents.select("doc_id", item_id(F.concat(F.lit("/home/u/p/"), F.col("doc_id").cast("string")), "/home/u", F.col("text")).alias("id"))
 
 
 @query("T13_json_paths", with_("agent_lines") + "SELECT task_id, seq, CASE WHEN line LIKE '{%' THEN line ->> '$.item.type' END AS item_type, CASE WHEN line LIKE '{%' THEN (line ->> '$.usage.output_tokens')::BIGINT END AS output_tokens, CASE WHEN line LIKE '{%' THEN line ->> '$.error.message' END AS error FROM x_agent_lines")
@@ -239,9 +238,9 @@ def t13(t):
     return t.agent_lines.select("task_id", "seq", get("$.item.type").alias("item_type"), get("$.usage.output_tokens").cast("bigint").alias("output_tokens"), get("$.error.message").alias("error"))
 
 
-@query("T16_base64", "SELECT doc_id, base64(encode(left(text, 100))) AS code, left(text, 100) AS back FROM documents")
+@query("T16_base64", "SELECT doc_id, base64(encode(text)) AS code, text AS back FROM documents")
 def t16(t):
-    code = F.replace(F.base64(F.encode(F.left("text", F.lit(100)), "UTF-8")), F.lit("\r\n"), F.lit(""))
+    code = F.replace(F.base64(F.encode("text", "UTF-8")), F.lit("\r\n"), F.lit(""))
     return t.documents.select("doc_id", code.alias("code"), F.decode(F.unbase64(code), "UTF-8").alias("back"))
 
 
@@ -290,30 +289,29 @@ def t22(t):
     return t.events.select("event_id", F.round(F.exp(-F.ln(F.lit(2)) * (F.col("event_id") % 400) / 180), 6).alias("decay"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value") / 100)).alias("clamped"))
 
 
-@query("U1_searchable_terms", f"SELECT doc_id, list_sort({term_set('left(text, 300)')}) AS terms FROM documents")
+@query("U1_searchable_terms", f"SELECT doc_id, list_sort({term_set('text')}) AS terms FROM documents")
 def u1(t):
-    return t.documents.select("doc_id", F.array_sort(text.term_set(F.left("text", F.lit(300)))).alias("terms"))
+    return t.documents.select("doc_id", F.array_sort(text.term_set(F.col("text"))).alias("terms"))
 
 
-@query("U2_normalized_terms", f"SELECT doc_id, list_sort({term_set('left(text, 300)', 2)}) AS terms FROM documents")
+@query("U2_normalized_terms", f"SELECT doc_id, list_sort({term_set('text', 2)}) AS terms FROM documents")
 def u2(t):
-    return t.documents.select("doc_id", F.array_sort(text.term_set(F.left("text", F.lit(300)), 2)).alias("terms"))
+    return t.documents.select("doc_id", F.array_sort(text.term_set(F.col("text"), 2)).alias("terms"))
 
 
-@query("U3_word_set", "SELECT doc_id, list_sort(list_distinct(list_transform(list_filter(string_split_regex(left(text, 300), '[^\\p{L}\\p{N}]+'), lambda t: length(t) >= 3), lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')))) AS words FROM documents")
+@query("U3_word_set", "SELECT doc_id, list_sort(list_distinct(list_transform(list_filter(string_split_regex(text, '[^\\p{L}\\p{N}]+'), lambda t: length(t) >= 3), lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')))) AS words FROM documents")
 def u3(t):
-    return t.documents.select("doc_id", F.array_sort(text.word_set(F.left("text", F.lit(300)))).alias("words"))
+    return t.documents.select("doc_id", F.array_sort(text.word_set(F.col("text"))).alias("words"))
 
 
-@query("U4_slugs", f"SELECT doc_id, {_SLUG.format(c='left(text, 40)')} AS document_slug, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(left(text, 40)), '[ _-]', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-{{2,}}', '-', 'g'), '^-|-$', '', 'g') AS path_slug FROM documents WHERE doc_id % 2 = 0 AND length(text) > 60")
+@query("U4_slugs", f"SELECT doc_id, CASE WHEN {_SLUG.format(c='text')} = '' THEN 'document' ELSE left({_SLUG.format(c='text')}, 80) END AS document_slug, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[ _-]', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-{{2,}}', '-', 'g'), '^-|-$', '', 'g') AS path_slug FROM documents")
 def u4(t):
-    d = t.documents.where("doc_id % 2 = 0 AND length(text) > 60")
-    return d.select("doc_id", text.import_slug(F.left("text", F.lit(40))).alias("document_slug"), text.slug(F.left("text", F.lit(40))).alias("path_slug"))
+    return t.documents.select("doc_id", text.import_slug(F.col("text")).alias("document_slug"), text.slug(F.col("text")).alias("path_slug"))
 
 
-@query("U5_jaccards", f"WITH p AS (SELECT doc_id, {term_set('left(text, 200)', 2)} AS a, {term_set('substr(text, 100, 200)', 2)} AS b FROM documents) SELECT doc_id, CASE WHEN len(list_distinct(a || b)) = 0 THEN 0 ELSE round(len(list_intersect(a, b)) / len(list_distinct(a || b)), 6) END AS jaccard FROM p")
+@query("U5_jaccards", f"WITH p AS (SELECT doc_id, {term_set('text', 2)} AS a, {term_set('substr(text, length(text) // 2 + 1)', 2)} AS b FROM documents) SELECT doc_id, CASE WHEN len(list_distinct(a || b)) = 0 THEN 0 ELSE round(len(list_intersect(a, b)) / len(list_distinct(a || b)), 6) END AS jaccard FROM p")
 def u5(t):
-    d = t.documents.select("doc_id", text.term_set(F.left("text", F.lit(200)), 2).alias("a"), text.term_set(F.substring("text", 100, 200), 2).alias("b"))
+    d = t.documents.select("doc_id", text.term_set(F.col("text"), 2).alias("a"), text.term_set(_second_half(), 2).alias("b"))
     return d.select("doc_id", F.round(text.similarity(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
 

@@ -19,10 +19,10 @@ _PAYLOADS = (
 
 
 def _payload():
-    return F.concat(F.left("text", F.lit(200)), F.lit(" "), F.element_at(F.array(*map(F.lit, _PAYLOADS)), (F.col("doc_id") % 12 + 1).cast("int")))
+    return F.concat("text", F.lit(" "), F.element_at(F.array(*map(F.lit, _PAYLOADS)), (F.col("doc_id") % 12 + 1).cast("int")))
 
 
-_SPLICE = f"left(text, 200) || ' ' || {sql_list(_PAYLOADS)}[(doc_id % 12)::INT + 1]"
+_SPLICE = f"text || ' ' || {sql_list(_PAYLOADS)}[(doc_id % 12)::INT + 1]"
 
 
 def _clean(c: str) -> str:
@@ -61,7 +61,7 @@ def _requests(t):
         F.when(k % 31 == 0, "note").otherwise(F.element_at(F.array(*map(F.lit, dims.MEM_TYPES)), (k % 5 + 1).cast("int"))).alias("mem_type"),
         F.when(k % 29 == 0, "garden").otherwise(F.element_at(F.array(*map(F.lit, dims.DOMAINS)), (k % 6 + 1).cast("int"))).alias("domain"),
         F.when(k % 23 == 0, " ").otherwise(F.left("text", F.lit(40))).alias("title"),
-        F.when(k % 19 == 0, F.left("text", F.lit(1300))).otherwise(_payload()).alias("body"),
+        F.when(k % 19 == 0, F.col("text")).otherwise(_payload()).alias("body"),
         F.when(k % 17 == 0, "tomorrow").otherwise("2026-01-01").alias("valid_from"),
         F.when(k % 13 == 0, "2025-01-01").otherwise("2026-12-01T10:00:00Z").alias("valid_until"),
         F.lit(None).cast("string").alias("expires"),
@@ -72,7 +72,7 @@ def _requests(t):
 
 
 _REQ = f"""r AS (SELECT doc_id AS request_id, CASE WHEN doc_id % 31 = 0 THEN 'note' ELSE {sql_list(dims.MEM_TYPES)}[(doc_id % 5)::INT + 1] END AS mem_type, CASE WHEN doc_id % 29 = 0 THEN 'garden' ELSE {sql_list(dims.DOMAINS)}[(doc_id % 6)::INT + 1] END AS domain,
-CASE WHEN doc_id % 23 = 0 THEN ' ' ELSE left(text, 40) END AS title, CASE WHEN doc_id % 19 = 0 THEN left(text, 1300) ELSE {_SPLICE} END AS body, doc_id % 17 = 0 AS bad_date, doc_id % 13 = 0 AS bad_order, doc_id % 37 = 0 AS bad_days, doc_id % 41 = 0 AS bad_confidence,
+CASE WHEN doc_id % 23 = 0 THEN ' ' ELSE left(text, 40) END AS title, CASE WHEN doc_id % 19 = 0 THEN text ELSE {_SPLICE} END AS body, doc_id % 17 = 0 AS bad_date, doc_id % 13 = 0 AS bad_order, doc_id % 37 = 0 AS bad_days, doc_id % 41 = 0 AS bad_confidence,
 CASE WHEN doc_id % 41 = 0 THEN 1.5 WHEN doc_id % 3 = 0 THEN 0.7 END AS confidence, CASE WHEN doc_id % 7 = 0 THEN 'somewhere' WHEN doc_id % 2 = 0 THEN 'manual' ELSE 'meeting:12' END AS source FROM documents),
 g AS (SELECT *, CASE WHEN mem_type = 'note' THEN 'type' WHEN domain = 'garden' THEN 'domain' WHEN trim(title) = '' OR trim(body) = '' THEN 'title' WHEN bad_date OR bad_order OR bad_days OR bad_confidence THEN 'lifecycle'
 WHEN {_secret("title || chr(10) || body")} THEN 'secrets' WHEN {_any("title || chr(10) || body", dims.INJECTIONS)} THEN 'injection' WHEN mem_type IN ('fact', 'decision', 'preference') AND length(body) > 1200 THEN 'body_length' WHEN source = 'somewhere' THEN 'provenance' END AS reject_reason FROM r)"""
@@ -90,13 +90,13 @@ def d5(t):
 
 
 def _title_requests(t):
-    return t.memories.where("doc_id % 3 = 1").select(F.col("doc_id").alias("request_id"), "domain", F.when(F.col("doc_id") % 2 == 0, F.col("title")).otherwise(F.concat(F.lit("Re "), F.translate("title", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))).alias("title"))
+    return t.memories.select(F.col("doc_id").alias("request_id"), "domain", F.when(F.col("doc_id") % 2 == 0, F.col("title")).otherwise(F.concat(F.lit("Re "), F.translate("title", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))).alias("title"))
 
 
 @query(
     "D6_similar_titles",
     with_("memories")
-    + f""", q AS (SELECT doc_id AS request_id, domain, {term_set("CASE WHEN doc_id % 2 = 0 THEN title ELSE 'Re ' || translate(title, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') END", 2)} AS own FROM x_memories WHERE doc_id % 3 = 1), m AS (SELECT id AS memory_id, domain, {term_set("title", 2)} AS terms FROM x_memories WHERE status <> 'expired'),
+    + f""", q AS (SELECT doc_id AS request_id, domain, {term_set("CASE WHEN doc_id % 2 = 0 THEN title ELSE 'Re ' || translate(title, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') END", 2)} AS own FROM x_memories), m AS (SELECT id AS memory_id, domain, {term_set("title", 2)} AS terms FROM x_memories WHERE status <> 'expired'),
 p AS (SELECT request_id, memory_id, len(list_intersect(own, terms)) / len(list_distinct(own || terms)) AS score FROM q JOIN m USING (domain) WHERE len(own) > 0 AND len(terms) > 0)
 SELECT request_id, memory_id, round(score, 6) AS score FROM p WHERE score >= 0.82 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, memory_id DESC) = 1""",
 )
@@ -130,8 +130,8 @@ def d10(t):
 
 
 def _proposals(t):
-    m = t.memories.where("doc_id % 8 < 3")
-    op = F.when(F.col("doc_id") % 8 == 0, "update").when(F.col("doc_id") % 8 == 1, "supersede").otherwise("create")
+    m = t.memories
+    op = F.when(F.col("doc_id") % 3 == 0, "update").when(F.col("doc_id") % 3 == 1, "supersede").otherwise("create")
     stale_hash = F.when(F.col("doc_id") % 5 == 2, "other").otherwise(F.sha2("body", 256))
     return m.select(F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("id"), op.alias("op"), F.when(op != "create", F.col("id")).alias("target_id"), stale_hash.alias("base_hash"), "domain", F.lit("fact").alias("mem_type"), "title", F.lit("new wording").alias("body"), F.lit("2026-06-01").alias("valid_from"))
 
@@ -139,7 +139,7 @@ def _proposals(t):
 @query(
     "D11_applied",
     with_("memories")
-    + """, p AS (SELECT *, CASE WHEN doc_id % 8 = 0 THEN 'update' WHEN doc_id % 8 = 1 THEN 'supersede' WHEN doc_id % 8 = 2 THEN 'create' END AS op, doc_id % 5 <> 2 AS fresh FROM x_memories)
+    + """, p AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'update' WHEN doc_id % 3 = 1 THEN 'supersede' ELSE 'create' END AS op, doc_id % 5 <> 2 AS fresh FROM x_memories)
 SELECT id, CASE WHEN op IN ('update', 'supersede') AND fresh AND op = 'supersede' THEN 'stale' WHEN op = 'update' AND fresh THEN 'active' ELSE status END AS status, CASE WHEN op = 'supersede' AND fresh THEN '2026-06-01' END AS valid_until, confirmation_count + CASE WHEN op = 'update' AND fresh THEN 1 ELSE 0 END AS confirmation_count,
 CASE WHEN op IS NULL OR op = 'create' THEN 'kept' WHEN NOT fresh THEN 'conflict' WHEN op = 'update' THEN 'updated' ELSE 'superseded' END AS outcome FROM p
 UNION ALL SELECT 'n' || doc_id, 'active', NULL, 1, 'created' FROM p WHERE op = 'create' OR (op = 'supersede' AND fresh)""",
@@ -211,12 +211,12 @@ def e6(t):
     return lifecycle.maintained(t.memories, AS_OF).select("id", "status")
 
 
-@query("S18_upserted", with_("memories") + "SELECT id, CASE WHEN doc_id % 4 = 0 THEN 'new ' || doc_id ELSE title END AS title, doc_id AS access_count FROM x_memories WHERE doc_id < 200 UNION ALL SELECT 'z' || doc_id, 'new ' || doc_id, 0 FROM x_memories WHERE doc_id < 50")
+@query("S18_upserted", with_("memories") + "SELECT id, CASE WHEN doc_id % 4 = 0 THEN 'new ' || doc_id ELSE title END AS title, doc_id AS access_count FROM x_memories UNION ALL SELECT 'z' || doc_id, 'new ' || doc_id, 0 FROM x_memories")
 def s18(t):
-    m = t.memories.where("doc_id < 200")
+    m = t.memories
     index = m.select("id", "title", F.col("doc_id").alias("access_count"))
     title = F.concat(F.lit("new "), F.col("doc_id").cast("string")).alias("title")
-    rows = m.where("doc_id % 4 = 0").select("id", title, F.lit(0).cast("bigint").alias("access_count")).union(m.where("doc_id < 50").select(F.concat(F.lit("z"), F.col("doc_id").cast("string")), title, F.lit(0).cast("bigint")))
+    rows = m.where("doc_id % 4 = 0").select("id", title, F.lit(0).cast("bigint").alias("access_count")).union(m.select(F.concat(F.lit("z"), F.col("doc_id").cast("string")), title, F.lit(0).cast("bigint")))
     return lifecycle.upserted(index, rows)
 
 
@@ -226,27 +226,28 @@ def f1(t):
 
 
 def _log(t):
-    return audit.appended(t.audit.where("run_id = 'run-7'").withColumn("cost_usd", F.lit(None).cast("double")))
+    return audit.appended(t.audit.withColumn("cost_usd", F.lit(None).cast("double")))
 
 
-_CHAIN = f""", r AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM x_audit WHERE run_id = 'run-7'),
-chain AS (SELECT 0::BIGINT AS n, 0::BIGINT AS id, '' AS prev_hash, '{audit.GENESIS}' AS hash UNION ALL SELECT r.n, r.id, c.hash, sha256(c.hash || run_id || coalesce(task_id, '') || ts || kind || summary || detail || coalesce(tokens, 0) || '0') FROM chain c JOIN r ON r.n = c.n + 1)"""
+#: All hashes of the log, one after another, and the ids in order.
+_CHAIN = f""", r AS (SELECT list(run_id || coalesce(task_id, '') || ts || kind || summary || detail || coalesce(tokens, 0) || '0' ORDER BY id) AS parts, list(id ORDER BY id) AS ids FROM x_audit),
+c AS (SELECT ids, list_reduce(list_prepend('{audit.GENESIS}', parts), lambda a, x: a || sha256(right(a, 64) || x)) AS hashes FROM r)"""
 
 
-@query("F2_appended_chain", with_("audit") + _CHAIN + " SELECT id, prev_hash, hash FROM chain WHERE n > 0")
+@query("F2_appended_chain", with_("audit") + _CHAIN + " SELECT ids[n] AS id, substr(hashes, 64 * n - 63, 64) AS prev_hash, substr(hashes, 64 * n + 1, 64) AS hash FROM c, (SELECT unnest(range(1, len(ids) + 1)) AS n FROM c)")
 def f2(t):
     return _log(t).select("id", "prev_hash", "hash")
 
 
-@query("F3_chain_verified", with_("audit") + ", r AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM x_audit WHERE run_id = 'run-7') SELECT false AS ok, 5::BIGINT AS checked_rows, id AS broken_at FROM r WHERE n = 5")
+@query("F3_chain_verified", with_("audit") + ", r AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM x_audit) SELECT false AS ok, 5::BIGINT AS checked_rows, id AS broken_at FROM r WHERE n = 5")
 def f3(t):
     """A log of which the fifth row was changed after the fact."""
     log = _log(t)
-    fifth = t.audit.where("run_id = 'run-7'").orderBy("id").offset(4).limit(1).select(F.col("id").alias("bad_id"))
+    fifth = t.audit.orderBy("id").offset(4).limit(1).select(F.col("id").alias("bad_id"))
     return audit.verified(log.crossJoin(F.broadcast(fifth)).withColumn("summary", F.when(F.col("id") == F.col("bad_id"), "changed").otherwise(F.col("summary"))).drop("bad_id"), span=1000)
 
 
-@query("F3_chain_intact", with_("audit") + "SELECT true AS ok, count(*) AS checked_rows, NULL::BIGINT AS broken_at FROM x_audit WHERE run_id = 'run-7'")
+@query("F3_chain_intact", with_("audit") + "SELECT true AS ok, count(*) AS checked_rows, NULL::BIGINT AS broken_at FROM x_audit")
 def f3b(t):
     return audit.verified(_log(t), span=1000)
 
@@ -260,9 +261,9 @@ def f5(t):
     return events.latest_state(e.select(F.col("user_id").alias("task_id"), k.alias("seq"), F.when(k % 3 == 0, F.col("event_type")).alias("status"), F.when(k % 2 == 0, k % 7).alias("step"), F.when(k % 5 == 0, k % 100).alias("tokens")))
 
 
-@query("F6_task_detail", with_("tasks") + "SELECT id, [{'step_index': 0, 'title': 'Plan'}, {'step_index': 1, 'title': 'Execute'}, {'step_index': 2, 'title': 'Verify'}] AS steps, coalesce((SELECT max(event_id) FROM events WHERE user_id = id), 0) AS last_seq FROM x_tasks WHERE id < 300")
+@query("F6_task_detail", with_("tasks") + "SELECT id, [{'step_index': 0, 'title': 'Plan'}, {'step_index': 1, 'title': 'Execute'}, {'step_index': 2, 'title': 'Verify'}] AS steps, coalesce((SELECT max(event_id) FROM events WHERE user_id = id), 0) AS last_seq FROM x_tasks")
 def f6(t):
-    tasks = t.tasks.where("id < 300").select("id")
+    tasks = t.tasks.select("id")
     return events.task_detail(tasks, events.default_steps(tasks), t.events.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq")))
 
 

@@ -48,9 +48,9 @@ df AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY term),
 hits AS (SELECT {key}, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / average))) AS bm25 FROM qt JOIN tf USING (term) JOIN df USING (term), stat WHERE tf > 0 GROUP BY {key})"""
 
 
-@query("A1_match_terms", f"SELECT doc_id, list_filter({terms('left(text, 200)', 2)}, lambda t: NOT list_contains({sql_list(dims.SEARCH_STOPWORDS)}, t)) AS terms FROM documents")
+@query("A1_match_terms", f"SELECT doc_id, list_filter({terms('text', 2)}, lambda t: NOT list_contains({sql_list(dims.SEARCH_STOPWORDS)}, t)) AS terms FROM documents")
 def a1(t):
-    return t.documents.select("doc_id", text.match_terms(F.left("text", F.lit(200))).alias("terms"))
+    return t.documents.select("doc_id", text.match_terms(F.col("text")).alias("terms"))
 
 
 @query("A2_exact_lane", with_("memories") + "SELECT id, 1.0::DOUBLE AS relevance FROM x_memories WHERE lower(trim(title)) = 'that it.' AND status <> 'expired' ORDER BY updated_at DESC, id LIMIT 8")
@@ -58,6 +58,14 @@ def a2(t):
     return search.exact(t.memories.where(search.visible(None)), SHORT, 8).select("id", "relevance")
 
 
+def _memories(t):
+    return t.index("memories", search.FIELDS, "status <> 'expired'")
+
+
+def _passages(t):
+    return t.index("chunks", ("body",))
+
+
 _RANKED = (
     bm25("(SELECT * FROM x_memories WHERE status <> 'expired')", "id", "{q}", "title", "summary", "body")
     + """, top AS (SELECT id, bm25, row_number() OVER (ORDER BY round(bm25, 9) DESC, doc_id) - 1 AS position FROM hits JOIN x_memories USING (id) WHERE {where} ORDER BY position LIMIT 40),
@@ -71,7 +79,7 @@ def _ranked(q: str, where: str = "true") -> str:
 
 @query("A3_bm25_lane", with_("memories") + _ranked(QUERY, "domain = 'work'") + "SELECT id, round(relevance, 6) AS relevance, position FROM rel")
 def a3(t):
-    return search.ranked(t.memories, QUERY, "work", True, 40).select("id", F.round("relevance", 6).alias("relevance"), F.col("position").cast("bigint").alias("position"))
+    return search.ranked(t.memories, QUERY, "work", True, 40, _memories(t)).select("id", F.round("relevance", 6).alias("relevance"), F.col("position").cast("bigint").alias("position"))
 
 
 _HALF = "CASE mem_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in dims.HALF_LIFE.items()) + " ELSE 180 END"
@@ -97,7 +105,7 @@ found AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, lane, posi
 
 @query("A6_search", with_("memories") + _ranked(SHORT) + _SEARCH + " SELECT rank::BIGINT AS rank, id, round(score, 6) AS score, round(relevance, 6) AS relevance FROM found")
 def a6(t):
-    return search.search(t.memories, SHORT, AS_OF).select(F.col("rank").cast("bigint").alias("rank"), "id", F.round("score", 6).alias("score"), F.round("relevance", 6).alias("relevance"))
+    return search.search(t.memories, SHORT, AS_OF, index=_memories(t)).select(F.col("rank").cast("bigint").alias("rank"), "id", F.round("score", 6).alias("score"), F.round("relevance", 6).alias("relevance"))
 
 
 _ESC = "replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
@@ -117,7 +125,7 @@ FROM (SELECT f.*, e.vault_path AS path, e.stale AS stale, e.k AS k2, CASE WHEN u
 SELECT block, used, injected, unverified FROM fold ORDER BY k DESC LIMIT 1""",
 )
 def a7(t):
-    return search.context(search.search(t.memories, SHORT, AS_OF)).withColumn("used", F.col("used").cast("bigint"))
+    return search.context(search.search(t.memories, SHORT, AS_OF, index=_memories(t))).withColumn("used", F.col("used").cast("bigint"))
 
 
 _ASKED = sql_list(sorted({w for w in QUERY.lower().split() if len(w) > 2}))
@@ -131,7 +139,7 @@ _ASKED = sql_list(sorted({w for w in QUERY.lower().split() if len(w) > 2}))
 s AS (SELECT *, greatest(0, least(1, 0.72 * len(list_intersect({_ASKED}, {term_set("body")})) / len({_ASKED}) + 0.28 / (1 + 0.18 * position))) AS score FROM pool) SELECT id, import_id, round(score, 6) AS score FROM s ORDER BY round(score, 9) DESC, position LIMIT 8""",
 )
 def a8(t):
-    return search.passages(t.chunks, t.imports, QUERY, "work").select("id", "import_id", F.round("score", 6).alias("score"))
+    return search.passages(t.chunks, t.imports, QUERY, "work", index=_passages(t)).select("id", "import_id", F.round("score", 6).alias("score"))
 
 
 _TRIM = r"regexp_replace(regexp_replace({c}, '^\s+', ''), '\s+$', '')"
@@ -139,11 +147,11 @@ _TRIM = r"regexp_replace(regexp_replace({c}, '^\s+', ''), '\s+$', '')"
 
 @query(
     "A9_excerpt",
-    f"""WITH p AS (SELECT doc_id, text, list_filter(list_transform(string_split_regex(text, '[\\n.!?]'), lambda x: {_TRIM.format(c="x")}), lambda x: x <> '') AS parts FROM documents WHERE doc_id % 5 = 0),
+    f"""WITH p AS (SELECT doc_id, text, list_filter(list_transform(string_split_regex(text, '[\\n.!?]'), lambda x: {_TRIM.format(c="x")}), lambda x: x <> '') AS parts FROM documents),
 s AS (SELECT doc_id, text, list_max(list_transform(parts, lambda x, i: {{'n': len(list_intersect({term_set("x")}, {_ASKED})), 'i': i, 'x': x}})) AS best FROM p) SELECT doc_id, left(coalesce(best.x, {_TRIM.format(c="text")}), 420) AS excerpt FROM s""",
 )
 def a9(t):
-    return t.documents.where("doc_id % 5 = 0").select("doc_id", search.excerpt(F.col("text"), F.lit(QUERY)).alias("excerpt"))
+    return t.documents.select("doc_id", search.excerpt(F.col("text"), F.lit(QUERY)).alias("excerpt"))
 
 
 @query("A10_fused_evidence")
@@ -158,8 +166,12 @@ def a10(t):
     return search.fused_evidence(memories, passages, "import_id")
 
 
+def _second_half():
+    return F.expr("substring(text, cast(length(text) div 2 as int) + 1)")
+
+
 def _claims(t):
-    d = t.documents.where("doc_id % 4 = 0")
+    d = t.documents
     words = F.regexp_extract_all("text", F.lit(r"[^ \n\t\r]+"), F.lit(0))
     no = F.explode(F.sequence(F.lit(1), F.lit(3))).alias("claim_no")
     return d.select("doc_id", words.alias("w"), no).select(
@@ -170,15 +182,14 @@ def _claims(t):
 
 
 def _evidence(t):
-    d = t.documents.where("doc_id % 4 = 0")
-    return d.select(F.col("doc_id").alias("question_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("number"), "text").select(
-        "question_id", "number", F.concat(F.lit("p"), F.col("number").cast("string")).alias("path"), F.when(F.col("number") == 1, F.left("text", F.lit(400))).otherwise(F.left("text", F.lit(90))).alias("text"), (1.0 - 0.1 * F.col("number")).alias("score")
+    return t.documents.select(F.col("doc_id").alias("question_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("number"), "text").select(
+        "question_id", "number", F.concat(F.lit("p"), F.col("number").cast("string")).alias("path"), F.when(F.col("number") == 1, F.col("text")).otherwise(_second_half()).alias("text"), (1.0 - 0.1 * F.col("number")).alias("score")
     )
 
 
-_CLAIMS = f"""WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '[^ \\n\\t\\r]+') AS w FROM documents WHERE doc_id % 4 = 0),
+_CLAIMS = f"""WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '[^ \\n\\t\\r]+') AS w FROM documents),
 c AS (SELECT doc_id AS question_id, n AS claim_no, trim(array_to_string(w[n * 4 - 3:n * 4], ' ') || CASE WHEN n = 3 THEN ' nowhere' ELSE '' END) AS text, list_distinct(list_filter([1, n], lambda x: x <= 2)) AS cites FROM d, (SELECT unnest([1, 2, 3]) AS n)),
-e AS (SELECT doc_id AS question_id, n AS number, 'p' || n AS path, CASE WHEN n = 1 THEN left(text, 400) ELSE left(text, 90) END AS text, 1.0 - 0.1 * n AS score FROM d, (SELECT unnest([1, 2]) AS n)),
+e AS (SELECT doc_id AS question_id, n AS number, 'p' || n AS path, CASE WHEN n = 1 THEN text ELSE substr(text, length(text) // 2 + 1) END AS text, 1.0 - 0.1 * n AS score FROM d, (SELECT unnest([1, 2]) AS n)),
 ev AS (SELECT c.question_id, c.claim_no, c.text, list_sort(list(number)) AS citations, flatten(list({support("e.text")})) AS terms FROM c JOIN e ON e.question_id = c.question_id AND list_contains(c.cites, e.number) WHERE c.text <> '' AND length(c.text) <= 600 GROUP BY ALL),
 ok AS (SELECT question_id, claim_no, text, citations FROM ev WHERE len({support("text")}) > 0 AND len(list_filter({support("text")}, lambda t: NOT list_contains(terms, t))) = 0)"""
 
@@ -194,9 +205,9 @@ def b2(t):
     return verify.accepted(_claims(t), _evidence(t))
 
 
-@query("B3_support_test", f"SELECT doc_id, len({support('left(text, 60)')}) > 0 AND len(list_filter({support('left(text, 60)')}, lambda t: NOT list_contains({support('left(text, 300)')}, t))) = 0 AS supported FROM documents")
+@query("B3_support_test", f"WITH s AS (SELECT doc_id, {support('c')} AS own, {support('text')} AS other FROM (SELECT doc_id, text, substr(text, length(text) // 2 + 1) || CASE WHEN doc_id % 2 = 0 THEN ' nowhere' ELSE '' END AS c FROM documents)) SELECT doc_id, len(own) > 0 AND len(list_filter(own, lambda t: NOT list_contains(other, t))) = 0 AS supported FROM s")
 def b3(t):
-    return t.documents.select("doc_id", verify.supported(F.left("text", F.lit(60)), F.left("text", F.lit(300))).alias("supported"))
+    return t.documents.select("doc_id", verify.supported(F.concat(_second_half(), F.when(F.col("doc_id") % 2 == 0, " nowhere").otherwise("")), F.col("text")).alias("supported"))
 
 
 @query("B4_support_terms", f"SELECT item_id, list_sort({support('text')}) AS terms FROM benchmark")
@@ -227,7 +238,7 @@ def b6(t):
 
 @query("G17_term_frequencies", with_("memories") + f"SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM (SELECT id, unnest({index_tokens('title', 'summary', 'body')}) AS term FROM x_memories) GROUP BY term HAVING df >= 20")
 def g17(t):
-    return search.corpus_stats(search.postings(t.memories)).where("df >= 20")
+    return search.corpus_stats(t.memories).where("df >= 20")
 
 
 @query("G18_citation_figures", _CLAIMS + " SELECT question_id, round(avg(score), 6) AS average, count(DISTINCT path) AS sources FROM (SELECT DISTINCT question_id, unnest(citations) AS number FROM ok) JOIN e USING (question_id, number) GROUP BY 1")
@@ -238,12 +249,12 @@ def g18(t):
 
 @query("J1_hits_with_memories", with_("memories") + bm25("(SELECT * FROM x_memories WHERE status <> 'expired')", "id", SHORT, "title", "summary", "body") + " SELECT id, title, domain, round(bm25, 6) AS bm25 FROM hits JOIN x_memories USING (id)")
 def j1(t):
-    return search.bm25(t.memories.where("status <> 'expired'"), search.query_terms(SHORT)).select("id", "title", "domain", F.round("bm25", 6).alias("bm25"))
+    return search.bm25(t.memories.where("status <> 'expired'"), search.query_terms(SHORT), index=_memories(t)).select("id", "title", "domain", F.round("bm25", 6).alias("bm25"))
 
 
 @query("J2_hits_chunks_imports", with_("chunks", "imports") + bm25("x_chunks", "id", SHORT, "body") + " SELECT id, import_id, source_url, round(bm25, 6) AS bm25 FROM hits JOIN x_chunks USING (id) JOIN (SELECT id AS import_id, source_url FROM x_imports) USING (import_id)")
 def j2(t):
-    hits = search.bm25(t.chunks, search.query_terms(SHORT), ("body",))
+    hits = search.bm25(t.chunks, search.query_terms(SHORT), ("body",), _passages(t))
     return hits.join(t.imports.select(F.col("id").alias("import_id"), "source_url"), "import_id").select("id", "import_id", "source_url", F.round("bm25", 6).alias("bm25"))
 
 

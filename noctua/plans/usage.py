@@ -301,13 +301,13 @@ def f7(t):
     return a.join(d, "id", "left").select("id", F.coalesce("decided", "status").alias("status"))
 
 
-@query("S1_declared_schema", with_("tasks") + "SELECT id, status, cost_usd FROM x_tasks WHERE id < 100")
+@query("S1_declared_schema", with_("tasks") + "SELECT id, status, cost_usd FROM x_tasks")
 def s1(t):
     """Stored tasks, read with a schema that declares a column the file does not have."""
     from noctua.sources.tables import append
 
     declared = t.spark.createDataFrame([], "id bigint, status string, cost_usd double, later string")
-    return append(declared, t.tasks.where("id < 100").select("id", "status", "cost_usd")).select("id", "status", "cost_usd")
+    return append(declared, t.tasks.select("id", "status", "cost_usd")).select("id", "status", "cost_usd")
 
 
 @query("S17_path_guard", "SELECT page_id, NOT list_contains(string_split(path, '/'), '..') AND NOT starts_with(path, '/') AS safe FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'work/' || page_id || '.md' WHEN 1 THEN '../' || page_id ELSE '/etc/' || page_id END AS path FROM pages)")
@@ -333,5 +333,5 @@ def s4(t):
     from noctua.sources.vault import in_vault
 
     m = t.memories.select(F.col("vault_path").alias("path"), "domain")
-    more = m.limit(20).select(F.concat(F.lit("_archive/"), "path").alias("path"), "domain").union(m.limit(20).select(F.concat(F.lit(".git/"), "path"), "domain"))
+    more = m.select(F.concat(F.lit("_archive/"), "path").alias("path"), "domain").union(m.select(F.concat(F.lit(".git/"), "path"), "domain"))
     return m.union(more).where(in_vault(F.col("path")))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noctua.functions import dims
+from noctua.operators.documents import chunked
 
 _MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
 
@@ -76,7 +77,7 @@ def tasks(t) -> DataFrame:
 
 
 def approvals(t) -> DataFrame:
-    return t.orders.where("o_orderkey % 5 = 0").select(
+    return t.orders.select(
         (F.col("o_orderkey") * 10).alias("id"),
         F.col("o_orderkey").alias("task_id"),
         F.when(F.col("o_orderkey") % 3 == 0, "pending").when(F.col("o_orderkey") % 3 == 1, "approved").otherwise("denied").alias("status"),
@@ -110,9 +111,10 @@ def proposals(t) -> DataFrame:
 
 
 def chunks(t) -> DataFrame:
-    """Source passages: paragraphs of about ten lines of documents, as if of the import of the same number."""
-    return t.documents.where("doc_id % 10 <> 3").select(
-        F.col("doc_id").alias("id"), F.expr("doc_id % 300").alias("import_id"), _pick(dims.DOMAINS, "cast(substr(source, 4) as int) % 6").alias("domain"), F.left("text", F.lit(1500)).alias("body")
+    """Source passages: whole documents cut into passages (C7), each document as if of the import of the same number."""
+    cut = chunked(t.documents.select("doc_id", "source", "text"))
+    return cut.select(
+        (F.col("doc_id") * 100_000 + F.col("chunk_index")).alias("id"), F.expr("doc_id % 300").alias("import_id"), _pick(dims.DOMAINS, "cast(substr(source, 4) as int) % 6").alias("domain"), F.col("chunk").alias("body")
     )
 
 
@@ -152,7 +154,7 @@ def agent_lines(t) -> DataFrame:
 def catalog(t) -> DataFrame:
     """Catalog items from parts: several detectors may report one id, in the order of ``ord``."""
     li = t.lineitem.select("l_partkey", "l_orderkey", "l_linenumber", "l_shipdate", "l_quantity").join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_type", "p_size"), "l_partkey")
-    return li.where("l_orderkey % 10 = 1").select(
+    return li.select(
         F.concat(F.lit("~/p/"), (F.col("l_partkey") % 500).cast("string")).alias("id"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"),
         _pick(dims.KINDS, "cast(l_quantity as int) % 8").alias("kind"),
@@ -173,6 +175,13 @@ def _case(values, key: str) -> str:
 _WHEN = "CASE WHEN doc_id % 2 = 0 THEN strftime({d}, '%Y-%m-%d') || 'T08:30:00Z' ELSE strftime({d}, '%Y-%m-%d') END"
 _DAY = f"(DATE '{dims.AS_OF}' - (doc_id % 400)::INT)"
 
+#: Passages (doc_id, chunk_index, chunk) of all documents.
+CHUNKS = r"""WITH RECURSIVE d AS (SELECT doc_id, replace(replace(text, chr(0), ''), chr(13) || chr(10), chr(10)) AS s FROM documents),
+step AS (SELECT doc_id, 0::BIGINT AS p0, s FROM d WHERE length(s) > 0 UNION ALL SELECT doc_id, stop - 220, s FROM (
+  SELECT doc_id, p0, s, CASE WHEN p0 + 1500 < length(s) AND length(regexp_extract(substr(s, greatest(p0 + 1260, p0 + 1) + 1, 240), '(?s)^.*\s')) > 0 THEN p0 + 1260 + length(regexp_extract(substr(s, p0 + 1261, 240), '(?s)^.*\s')) ELSE least(p0 + 1500, length(s)) END AS stop FROM step) WHERE stop < length(s)),
+cut AS (SELECT doc_id, p0, substr(s, p0 + 1, CASE WHEN p0 + 1500 < length(s) AND length(regexp_extract(substr(s, p0 + 1261, 240), '(?s)^.*\s')) > 0 THEN 1260 + length(regexp_extract(substr(s, p0 + 1261, 240), '(?s)^.*\s')) ELSE 1500 END) AS c FROM step)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY p0) - 1)::INT AS chunk_index, regexp_replace(c, '^\s+|\s+$', '', 'g') AS chunk FROM cut WHERE regexp_matches(c, '\S')"""
+
 SQL = {
     "memories": f"""SELECT doc_id, 'm' || doc_id AS id, {_case(dims.DOMAINS, "substr(source, 4)::INT % 6")} || '/memories/m' || doc_id || '.md' AS vault_path,
  {_case(dims.DOMAINS, "substr(source, 4)::INT % 6")} AS domain, {_case(dims.MEM_TYPES, "doc_id % 5")} AS mem_type,
@@ -188,12 +197,12 @@ SQL = {
  {_case(("push the release branch", "update notes for the team", "summarise open questions", "delete old invoices", "improve the docs", "list recent work"), "o_orderkey % 6")} AS goal,
  lower(c_mktsegment) AS domain, {_case(dims.TASK_STATUSES, "o_orderkey % 12")} AS status, {_case(("low", "medium", "high"), "o_orderkey % 3")} AS risk_level, o_orderkey % 5000 AS tokens,
  CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS cost_usd, o_orderdate::DATE AS updated_on FROM orders JOIN customer ON c_custkey = o_custkey""",
-    "approvals": """SELECT o_orderkey * 10 AS id, o_orderkey AS task_id, CASE o_orderkey % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'approved' ELSE 'denied' END AS status, o_orderdate::DATE AS requested_on FROM orders WHERE o_orderkey % 5 = 0""",
+    "approvals": """SELECT o_orderkey * 10 AS id, o_orderkey AS task_id, CASE o_orderkey % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'approved' ELSE 'denied' END AS status, o_orderdate::DATE AS requested_on FROM orders""",
     "imports": f"""SELECT page_id AS id, {_case(dims.DOMAINS, "page_id % 6")} AS domain, url AS source_url, html, CASE WHEN page_id % 9 = 0 THEN 'failed' ELSE 'passed' END AS extraction_quality_status,
  DATE '{dims.AS_OF}' - (page_id % 90)::INT AS created_on FROM pages""",
     "proposals": f"""SELECT page_id * 10 + k AS id, page_id AS import_id, {_case(dims.DOMAINS, "page_id % 6")} AS domain, CASE (page_id + k) % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'approved' ELSE 'discarded' END AS status,
  DATE '{dims.AS_OF}' - (page_id % 90)::INT AS created_on FROM (SELECT page_id, unnest(range(0, page_id % 4 + 1)) AS k FROM pages WHERE page_id % 7 <> 0)""",
-    "chunks": f"""SELECT doc_id AS id, doc_id % 300 AS import_id, {_case(dims.DOMAINS, "substr(source, 4)::INT % 6")} AS domain, left(text, 1500) AS body FROM documents WHERE doc_id % 10 <> 3""",
+    "chunks": f"""SELECT doc_id * 100000 + chunk_index AS id, doc_id % 300 AS import_id, {_case(dims.DOMAINS, "substr(source, 4)::INT % 6")} AS domain, chunk AS body FROM ({CHUNKS}) JOIN documents USING (doc_id)""",
     "audit": f"""SELECT event_id AS id, 'run-' || user_id AS run_id, CASE WHEN event_id % 4 <> 0 THEN user_id::VARCHAR END AS task_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts,
  {_case(("tool_call", "approval", "output", "model_call", "context"), "event_id % 5")} AS kind, event_type AS summary, props AS detail, CASE WHEN event_id % 3 = 0 THEN event_id % 100 END AS tokens FROM events""",
     "agent_lines": """SELECT conv_id AS task_id, turn AS seq, CASE (conv_id + turn) % 9 WHEN 0 THEN '{"type":"thread.started","thread_id":"th"}' WHEN 1 THEN '{"type":"turn.started"}'
@@ -204,7 +213,7 @@ SQL = {
     "catalog": f"""SELECT '~/p/' || (l_partkey % 500) AS id, l_orderkey * 10 + l_linenumber AS ord, {_case(dims.KINDS, "floor(l_quantity)::INT % 8")} AS kind, p_name AS display_name,
  CASE WHEN l_linenumber % 3 <> 0 THEN p_type END AS summary, CASE WHEN l_linenumber % 2 = 0 THEN p_brand END AS category, {_case(("local", "claude", "gemini", "local"), "l_orderkey % 4")} AS provider,
  [lower(p_brand), split_part(p_type, ' ', 1)] AS tags, CASE WHEN l_linenumber % 4 <> 0 THEN date_diff('day', DATE '1970-01-01', l_shipdate::DATE) END AS updated_at,
- ([0.72, 0.82, 0.82, 0.9]::DOUBLE[])[(l_linenumber % 4)::INT + 1] AS confidence FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 10 = 1""",
+ ([0.72, 0.82, 0.82, 0.9]::DOUBLE[])[(l_linenumber % 4)::INT + 1] AS confidence FROM lineitem JOIN part ON p_partkey = l_partkey""",
 }
 
 
