@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ._shared import dropped, stored
 
+#: Tasks that share the rows of one label.
+SALTS = 8
+
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``links`` (a, b) → (id, component): the smallest id that can be reached, for each id with a link.
@@ -26,10 +29,12 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         state = now
         near = both.join(label, both.b == label.id).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         fell = label.join(near, "id").select("id", F.least("component", "near").alias("component"))
-        up = fell.select(F.col("id").alias("up_id"), F.col("component").alias("up"))
+        # labels that have a lower one themselves; a label that most rows bear is met in SALTS tasks
+        moves = fell.select(F.col("component").alias("at")).distinct().join(fell, F.col("at") == F.col("id")).where("component < at")
+        moves = moves.select("at", F.col("component").alias("up"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = fell.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
         before = label
-        label = stored(
-            fell.join(up, fell.component == up.up_id, "left").select("id", F.least("component", F.coalesce("up", "component")).alias("component")), "labels"
-        )
+        jumped = salted.join(moves, (salted.component == moves["at"]) & (salted.salt == moves["salt"]), "left")
+        label = stored(jumped.select("id", F.least("component", F.coalesce("up", "component")).alias("component")), "labels")
         dropped(before)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
