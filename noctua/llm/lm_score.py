@@ -3,16 +3,19 @@
 Counts. Every training token of the corpus is counted: groups of documents send each of their distinct words once
 with its count, and get its total back, in the order asked. A word is named by a 64-bit hash whose low bits are its ending class.
 
-Model. The most frequent words are classes of their own; all others form ``ENDINGS`` classes by their last letters. A
+Model. The most frequent words are classes of their own; all others form ``ENDINGS`` classes by their last letters, each of
+which is dealt into leaves by the word's hash. The number of leaves grows with the square root of the corpus. A
 context is the two tokens before, a log-bilinear predictor is the sum of their vectors, each scaled by the
-weights of its place, and scores of all classes are its products with their vectors, plus a bias. Training is
-noise-contrastive: true classes are told from draws of the unigram distribution, which needs no normalisation. All
+weights of its place, and scores of all classes are its products with their vectors, plus a bias; so are scores of the
+leaves of a class. Training is noise-contrastive on both levels: true classes and leaves are told from draws of
+the unigram distribution, which needs no normalisation. All
 training tokens are used once, in ``ROUNDS`` rounds: each task trains on its rows from the common start, and the
 weighted mean of all tasks is the next start. Means are summed on the executors; only one model reaches the driver.
 
-Scores. Products of all contexts with all classes, in batches, give the normaliser of each context once. The
-probability of a token is that of its class, times, for an ending class, the smoothed share of the word in it, where
-each ending class keeps the share of one unseen word. So probabilities over all known words and the unseen ones add up to 1.
+Scores. Products of all contexts with all classes, in batches, give the normaliser of each context once, products with the
+leaves of the token's class that of the leaf. The probability of a token is that of its class, times, for an ending class,
+that of its leaf and the smoothed share of the word in the leaf, where each leaf keeps the share of one unseen
+word. So probabilities over all known words and the unseen ones add up to 1.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from . import _text as t
 from ._shared import dealt, documents_of, n_buckets, stored, survey, unpacked
 
 CLASSES, ENDINGS, WIDTH, NOISE, BATCH, ROUNDS, RATE, CALM, SMOOTH = 1024, 64, 24, 32, 1024, 2, 0.1, 30.0, 0.1
+#: Noise leaves of a token; leaves of a class at most; floats of the model that are summed at once.
+LEAF_NOISE, MOST_LEAVES, SUMMED = 2, 4096, 8192
 _LOW = np.uint64(ENDINGS - 1)
 #: The end of a text, as a token.
 END = np.uint64(0xE0D0E0D0E0D0E0C0)
@@ -35,6 +40,16 @@ _ASKED = "bucket int, g int, words binary, counts binary"
 _COUNTED = "kind tinyint, g int, bucket int, counts binary"
 
 
+def leaves_for(n_bytes: int) -> int:
+    """Leaves of an ending class for a corpus of so many bytes: 16 at 0.2 GB, 32 at 1 GB, 512 at 250 GB, ``MOST_LEAVES`` from 16 TB on."""
+    return min(MOST_LEAVES, 1 << max(0, round(np.log2(max(1, n_bytes) ** 0.5 / 1024))))
+
+
+def leaf_of(words: np.ndarray, leaves: int) -> np.ndarray:
+    """The leaf of a word: its ending class, then bits of its hash."""
+    return ((words & _LOW) * np.uint64(leaves) + ((words >> np.uint64(6)) & np.uint64(leaves - 1))).astype(np.int64)
+
+
 def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of all rows, each row's words and then ``END``; and each row's first token, with the total last."""
     low = t.lower(data)
@@ -90,7 +105,7 @@ _TOP = np.dtype([("word", "<u8"), ("n", "<i8")])
 
 
 def _packed(by_n: np.ndarray, by_v: np.ndarray, words: np.ndarray, totals: np.ndarray, most: int) -> bytes:
-    """Tokens and words of each ending class, and the ``most`` most frequent words, with the end in any case."""
+    """Tokens and words of each leaf, and the ``most`` most frequent words, with the end in any case."""
     top = np.argsort(-totals, kind="stable")[:most]
     top = np.union1d(top[totals[top] > 0], np.flatnonzero((words == END) & (totals > 0)))
     rec = np.empty(len(top), _TOP)
@@ -98,14 +113,15 @@ def _packed(by_n: np.ndarray, by_v: np.ndarray, words: np.ndarray, totals: np.nd
     return by_n.astype("<i8").tobytes() + by_v.astype("<i8").tobytes() + rec.tobytes()
 
 
-def _merged(packed: list[bytes], most: int) -> bytes:
-    head = np.sum([np.frombuffer(x[: 16 * ENDINGS], "<i8") for x in packed], axis=0)
-    rec = np.concatenate([np.frombuffer(x[16 * ENDINGS :], _TOP) for x in packed])
+def _merged(packed: list[bytes], most: int, n: int) -> bytes:
+    """The summaries of several buckets, with ``n`` leaves, as one."""
+    head = np.sum([np.frombuffer(x[: 16 * n], "<i8") for x in packed], axis=0)
+    rec = np.concatenate([np.frombuffer(x[16 * n :], _TOP) for x in packed])
     rec = rec[np.lexsort((rec["word"], -rec["n"]))]
-    return _packed(head[:ENDINGS], head[ENDINGS:], rec["word"], rec["n"], most)
+    return _packed(head[:n], head[n:], rec["word"], rec["n"], most)
 
 
-def counted(docs: DataFrame, most: int, n: int) -> DataFrame:
+def counted(docs: DataFrame, most: int, n: int, leaves: int) -> DataFrame:
     """kind 0: (g, bucket, counts) totals in the order asked; kind 1: one packed summary of each of ``n`` buckets."""
 
     def solve(bucket: int, rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -113,8 +129,8 @@ def counted(docs: DataFrame, most: int, n: int) -> DataFrame:
         total = np.bincount(inverse, np.concatenate([r[2] for r in rows]), len(word)).astype(np.int64)
         back = total[inverse].astype("<i8")
         edge = np.concatenate(([0], np.cumsum([len(r[1]) for r in rows])))
-        ending = (word & _LOW).astype(np.int64)
-        summary = _packed(np.bincount(ending, total, ENDINGS), np.bincount(ending, total > 0, ENDINGS), word, total, most)
+        leaf = leaf_of(word, leaves)
+        summary = _packed(np.bincount(leaf, total, ENDINGS * leaves), np.bincount(leaf, total > 0, ENDINGS * leaves), word, total, most)
         counts = [back[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)] + [summary]
         kind = np.append(np.zeros(len(rows), np.int8), np.int8(1))
         g = np.array([r[0] for r in rows] + [0], np.int32)
@@ -135,19 +151,19 @@ def counted(docs: DataFrame, most: int, n: int) -> DataFrame:
     return _asked(docs, n).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _COUNTED)
 
 
-def summary(table: DataFrame, n: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens and words of each ending class, frequent words and their counts. Buckets' summaries are merged in about
+def summary(table: DataFrame, n: int, most: int, leaves: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens and words of each leaf, frequent words and their counts. Buckets' summaries are merged in about
     the square root of their number of groups, and those on the driver, so neither holds more than a few thousand."""
-    wide = max(1, int(n**0.5))
+    wide, size = max(1, int(n**0.5)), ENDINGS * leaves
 
     def merge(part: pa.Table) -> pa.Table:
-        return pa.table({"counts": pa.array([_merged(part.column("counts").to_pylist(), most)], pa.binary())})
+        return pa.table({"counts": pa.array([_merged(part.column("counts").to_pylist(), most, size)], pa.binary())})
 
     rows = table.where("kind = 1").withColumn("part", F.col("bucket") % wide).select("part", "counts").groupBy("part").applyInArrow(merge, "counts binary").collect()
     packed = [bytes(r.counts) for r in rows]
-    whole = _merged(packed, most) if packed else _packed(np.zeros(ENDINGS), np.zeros(ENDINGS), np.zeros(0, np.uint64), np.zeros(0, np.int64), most)
-    head, rec = np.frombuffer(whole[: 16 * ENDINGS], "<i8"), np.frombuffer(whole[16 * ENDINGS :], _TOP)
-    return head[:ENDINGS].astype(float), head[ENDINGS:].astype(float), rec["word"].copy(), rec["n"].copy()
+    whole = _merged(packed, most, size) if packed else _packed(np.zeros(size), np.zeros(size), np.zeros(0, np.uint64), np.zeros(0, np.int64), most)
+    head, rec = np.frombuffer(whole[: 16 * size], "<i8"), np.frombuffer(whole[16 * size :], _TOP)
+    return head[:size].astype(float), head[size:].astype(float), rec["word"].copy(), rec["n"].copy()
 
 
 class Vocabulary:
@@ -162,11 +178,12 @@ class Vocabulary:
         self.n, self.v = int(by_n.sum()), int(by_v.sum())
         own = np.append(self.words, END)
         own_n = np.append(counts, ends)
-        ending = (own & _LOW).astype(np.int64)
-        self.rest_n = by_n - np.bincount(ending, own_n, ENDINGS)
-        self.rest_v = by_v - np.bincount(ending, own_n > 0, ENDINGS)
+        self.leaves = len(by_n) // ENDINGS
+        leaf = leaf_of(own, self.leaves)
+        self.rest_n = by_n - np.bincount(leaf, own_n, len(by_n))
+        self.rest_v = by_v - np.bincount(leaf, own_n > 0, len(by_n))
         self.size = ENDINGS + 1 + len(self.words)
-        self.counts = np.concatenate((self.rest_n, [ends], counts)).astype(float)
+        self.counts = np.concatenate((self.rest_n.reshape(ENDINGS, -1).sum(axis=1), [ends], counts)).astype(float)
 
     def classes(self, words: np.ndarray) -> np.ndarray:
         out = (words & _LOW).astype(np.int64)
@@ -188,7 +205,7 @@ class Vocabulary:
 
 
 class Model:
-    """Vectors of classes as context (R) and as target (Q), weights of the two places (C), biases (b)."""
+    """Vectors of classes as context (R) and as target (Q), weights of the two places (C), biases (b), vectors and biases of leaves (U, c)."""
 
     def __init__(self, vocabulary: Vocabulary, width: int = WIDTH, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -200,7 +217,11 @@ class Model:
             "C": np.ones((2, width), "f4") * np.array([[1.0], [0.7]], "f4"),
             "b": np.log(share).astype("f4"),
         }
-        self.noise = share
+        self.leaves = vocabulary.leaves
+        inside = vocabulary.rest_n.reshape(ENDINGS, -1) + SMOOTH
+        inside = (inside / inside.sum(axis=1, keepdims=True)).ravel()
+        self.parts |= {"U": np.zeros((len(inside), width), "f4"), "c": np.log(inside).astype("f4")}
+        self.noise, self.leaf_noise = share, inside
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.parts.values()])
@@ -213,11 +234,30 @@ class Model:
         return self
 
     def trainer(self, seed: int, noise: int = NOISE, rate: float = RATE):
-        """A function that takes one batch (target, one before, two before) and steps uphill; steps are scaled by past gradients."""
+        """A function that takes one batch (target, leaf, one before, two before) and steps uphill; steps are scaled by past gradients."""
         rng = np.random.default_rng(seed)
         p, past = self.parts, {k: np.full_like(v, CALM) for k, v in self.parts.items()}
         log_noise = np.log(noise * self.noise).astype("f4")
         edge = np.cumsum(self.noise)
+        leaves, leaf_edge = self.leaves, np.cumsum(self.leaf_noise)
+        log_leaf = np.log(LEAF_NOISE * self.leaf_noise).astype("f4")
+
+        def descend(w: np.ndarray, leaf: np.ndarray, h: np.ndarray, dh: np.ndarray) -> None:
+            """Tells the leaves of ending classes from others of their class; adds to dh."""
+            rows = np.flatnonzero(w < ENDINGS)
+            if leaves < 2 or not len(rows):
+                return
+            true, h_ = leaf[rows], h[rows]
+            # each ending class takes up 1 of the cumulated noise
+            drawn = np.minimum(np.searchsorted(leaf_edge, w[rows][:, None] + rng.random((len(rows), LEAF_NOISE))), (w[rows][:, None] + 1) * leaves - 1)
+            drawn = np.maximum(drawn, w[rows][:, None] * leaves)
+            ut, ud = p["U"][true], p["U"][drawn]
+            gt = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", h_, ut) + p["c"][true] - log_leaf[true], -30, 30)))
+            gn = -1 / (1 + np.exp(-np.clip(np.einsum("ij,ikj->ik", h_, ud) + p["c"][drawn] - log_leaf[drawn], -30, 30)))
+            dh[rows] += gt[:, None] * ut + np.einsum("ik,ikj->ij", gn, ud)
+            ids = np.concatenate((true, drawn.ravel()))
+            add("U", ids, np.concatenate((gt[:, None] * h_, (gn[:, :, None] * h_[:, None, :]).reshape(-1, h_.shape[1]))))
+            add("c", ids, np.concatenate((gt, gn.ravel())))
 
         def add(name: str, ids: np.ndarray, g: np.ndarray) -> None:
             order = np.argsort(ids, kind="stable")
@@ -227,7 +267,7 @@ class Model:
             past[name][who] += total * total
             p[name][who] += rate * total / np.sqrt(past[name][who])
 
-        def step(w: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        def step(w: np.ndarray, leaf: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
             r1, r2 = p["R"][one], p["R"][two]
             h = p["C"][0] * r1 + p["C"][1] * r2
             drawn = np.minimum(np.searchsorted(edge, rng.random(noise) * edge[-1]), len(edge) - 1)
@@ -237,6 +277,7 @@ class Model:
             false = h @ qn.T + (p["b"][drawn] - log_noise[drawn])
             gn = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
             dh = gd[:, None] * qw + gn @ qn
+            descend(w, leaf, h, dh)
             add("Q", np.concatenate((w, drawn)), np.concatenate((gd[:, None] * h, gn.T @ h)))
             add("b", np.concatenate((w, drawn)), np.concatenate((gd, gn.sum(axis=0))))
             add("R", np.concatenate((one, two)), np.concatenate((p["C"][0] * dh, p["C"][1] * dh)))
@@ -255,13 +296,24 @@ class Model:
             out[i] = np.log(np.exp(s - top).sum(axis=0)) + top
         return out
 
-    def log_probability(self, w: np.ndarray, one: np.ndarray, two: np.ndarray, z: np.ndarray) -> np.ndarray:
-        p = self.parts
+    def log_probability(self, w: np.ndarray, one: np.ndarray, two: np.ndarray, z: np.ndarray, leaf: np.ndarray | None = None) -> np.ndarray:
+        """Of the classes, and of the leaves where they are given."""
+        p, n = self.parts, self.leaves
         out = np.empty(len(w))
         for lo in range(0, len(w), 1 << 16):
             s = slice(lo, lo + (1 << 16))
             h = p["C"][0] * p["R"][one[s]] + p["C"][1] * p["R"][two[s]]
             out[s] = np.einsum("ij,ij->i", h, p["Q"][w[s]]) + p["b"][w[s]] - z[one[s], two[s]]
+            if leaf is not None and n > 1:
+                order = np.argsort(w[s], kind="stable")
+                cut = np.searchsorted(w[s][order], np.arange(ENDINGS + 1))
+                for c in np.flatnonzero(np.diff(cut)).tolist():
+                    for at in range(int(cut[c]), int(cut[c + 1]), max(1, (1 << 22) // n)):
+                        rows = order[at : min(int(cut[c + 1]), at + max(1, (1 << 22) // n))]
+                        x = h[rows] @ p["U"][c * n : c * n + n].T + p["c"][c * n : c * n + n]
+                        top = x.max(axis=1)
+                        total = np.log(np.exp(x - top[:, None]).sum(axis=1)) + top
+                        out[lo + rows] += x[np.arange(len(rows)), leaf[s][rows] - c * n] - total
         return out
 
 
@@ -275,25 +327,31 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Mo
         def run(batches: Iterator[pa.RecordBatch], sent=sent, k=k) -> Iterator[pa.RecordBatch]:
             start, words = sent.value
             own = Model.__new__(Model)
-            own.parts, own.noise = {x: v.copy() for x, v in start.parts.items()}, start.noise
+            own.parts, own.noise, own.leaves, own.leaf_noise = {x: v.copy() for x, v in start.parts.items()}, start.noise, start.leaves, start.leaf_noise
             step, seen = own.trainer(1000 + k), 0
             for _, data, at in t.chunks(batches, "text"):
                 word, first = tokens(data, at)
-                w = words.classes(word)
+                w, leaf = words.classes(word), leaf_of(word, words.leaves)
                 one, two = words.contexts(w, first)
                 for lo in range(0, len(w), BATCH):
                     s = slice(lo, lo + BATCH)
-                    step(w[s], one[s], two[s])
+                    step(w[s], leaf[s], one[s], two[s])
                 seen += len(w)
             if seen:
-                flat = own.flat().astype(float) * seen
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat)), pa.int64()), pa.array(np.append(float(seen), flat))], names=["i", "x"])
+                flat = np.append(float(seen), own.flat().astype(float) * seen)
+                parts = [flat[lo : lo + SUMMED].tobytes() for lo in range(0, len(flat), SUMMED)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["i", "x"])
+
+        def add_up(table: pa.Table) -> pa.Table:
+            total = 0.0
+            for x in table.column("x"):
+                total = total + np.frombuffer(x.as_buffer())
+            return pa.table({"i": table.column("i")[:1], "x": pa.array([total.tobytes()], pa.binary())})
 
         part = docs.where("train").where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == k).select("text")
-        sums = part.mapInArrow(run, "i bigint, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+        sums = part.mapInArrow(run, "i int, x binary").groupBy("i").applyInArrow(add_up, "i int, x binary").toArrow()
         if sums.num_rows:
-            order = np.argsort(sums.column("i").to_numpy())
-            x = sums.column("x").to_numpy()[order]
+            x = np.concatenate([np.frombuffer(y) for _, y in sorted(zip(sums.column("i").to_pylist(), sums.column("x").to_pylist(), strict=True))])
             model.set(x[1:] / x[0])
     return model
 
@@ -314,8 +372,9 @@ def scored(docs: DataFrame, by: int = 10, classes: int = CLASSES, rounds: int =
     n = n_buckets(spark, 1, size)
     groups = dealt(docs, n_buckets(spark, 4, size))
     most = classes - ENDINGS - 1
-    table = stored(counted(groups, most, n), "counts")
-    by_n, by_v, words, counts = summary(table, n, most)
+    leaves = leaves_for(size)
+    table = stored(counted(groups, most, n, leaves), "counts")
+    by_n, by_v, words, counts = summary(table, n, most, leaves)
     vocabulary = Vocabulary(words, counts, by_n, by_v)
     model = trained(docs, vocabulary, rounds)
     sent = spark.sparkContext.broadcast((model, vocabulary, model.normalisers()))
@@ -334,14 +393,14 @@ def scored(docs: DataFrame, by: int = 10, classes: int = CLASSES, rounds: int =
         order = np.argsort(known)
         known, total = known[order], total[order]
         log_base = np.log10((total + SMOOTH) / (words.n + SMOOTH * (words.v + 1)))
-        ending = (known & _LOW).astype(np.int64)
-        log_share = np.log((total + SMOOTH) / (words.rest_n[ending] + SMOOTH * (words.rest_v[ending] + 1)))
+        leaf = leaf_of(known, words.leaves)
+        log_share = np.log((total + SMOOTH) / (words.rest_n[leaf] + SMOOTH * (words.rest_v[leaf] + 1)))
         out = []
         for part, data, at in _chunked(own):
             token, first = tokens(data, at)
             i = np.searchsorted(known, token)
             w = words.classes(token)
-            logp = model.log_probability(w, *words.contexts(w, first), z) + np.where(w < ENDINGS, log_share[i], 0.0)
+            logp = model.log_probability(w, *words.contexts(w, first), z, leaf[i]) + np.where(w < ENDINGS, log_share[i], 0.0)
             row = t.row_of(first)
             per = lambda x: np.bincount(row, x, part.num_rows)
             train = part.column(part.schema.get_field_index("train")).to_numpy(zero_copy_only=False)

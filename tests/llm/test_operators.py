@@ -543,3 +543,51 @@ def test_model_learns_what_follows_and_is_normalised(spark):
     w = np.arange(v.size)
     p = np.exp(m.log_probability(w, np.full(v.size, 3), np.full(v.size, v.size), m.normalisers()))
     assert abs(p.sum() - 1) < 1e-4
+
+
+def test_probabilities_of_words_add_up_to_one_over_leaves():
+    """Each known word once, and an unseen one for each leaf: their probabilities in one context, by plain sums, are 1."""
+    rng, n = np.random.default_rng(3), 4
+    words = rng.integers(1, 1 << 62, 900).astype(np.uint64)
+    counts = rng.integers(1, 50, 900)
+    leaf = lm_score.leaf_of(words, n)
+    v = lm_score.Vocabulary(words[:20], counts[:20], np.bincount(leaf, counts, 64 * n), np.bincount(leaf, minlength=64 * n).astype(float))
+    m = lm_score.Model(v)
+    for x in ("Q", "U"):
+        m.parts[x] = rng.normal(0, 1, m.parts[x].shape).astype("f4")
+    z = m.normalisers()
+    all_ = np.concatenate((words, [lm_score.END]))
+    w, l = v.classes(all_), lm_score.leaf_of(all_, n)
+    two = np.full(len(all_), v.size)
+    p = np.exp(m.log_probability(w, np.full(len(all_), 5), two, z, l)) * np.where(w < 64, (np.append(counts, 0) + 0.1) / (v.rest_n[l] + 0.1 * (v.rest_v[l] + 1)), 1.0)
+    unseen = np.arange(64 * n)
+    q = np.exp(m.log_probability(unseen // n, np.full(64 * n, 5), np.full(64 * n, v.size), z, unseen)) * 0.1 / (v.rest_n + 0.1 * (v.rest_v + 1))
+    assert abs(p.sum() + q.sum() - 1) < 1e-3
+    # one probability by hand: class, then leaf, then share
+    h = m.parts["C"][0] * m.parts["R"][5] + m.parts["C"][1] * m.parts["R"][v.size]
+    k = int(np.flatnonzero(w < 64)[7])
+    of_class = np.exp(m.parts["Q"] @ h + m.parts["b"])
+    of_leaf = np.exp(m.parts["U"][w[k] * n : w[k] * n + n] @ h + m.parts["c"][w[k] * n : w[k] * n + n])
+    want = of_class[w[k]] / of_class.sum() * of_leaf[l[k] - w[k] * n] / of_leaf.sum() * (counts[k] + 0.1) / (v.rest_n[l[k]] + 0.1 * (v.rest_v[l[k]] + 1))
+    assert abs(p[k] / want - 1) < 1e-3
+
+
+def test_leaves_learn_what_follows(spark, monkeypatch):
+    """Words too rare for a class of their own, each after a word that foretells it: leaves tell them apart."""
+    monkeypatch.setattr(lm_score, "leaves_for", lambda n: 16)
+    rows = []
+    for i in range(500):
+        rng = random.Random(i)
+        rows.append((i, " ".join(f"a{k} xx{k}zzz" for k in (rng.randrange(40) for _ in range(60)))))
+    got = [r for r in lm_score.scored(table(spark, rows), classes=106, rounds=2).collect() if r.held_out]
+    assert sum(r.score for r in got) > 0.8 * sum(r.base_score for r in got)
+
+
+def test_odd_rows_and_toxicity(spark, odd, odd_rows):
+    """Nulls, repeats, long texts, clashing columns and empty tables; equal texts have equal scores."""
+    labels = spark.createDataFrame([(0, 1), (4, 0), (4, 1), (6, 0), (9, None), (None, 1), (10, 0), (11, 1)], "doc_id bigint, toxic int")
+    got = toxicity.scored(odd, labels).collect()
+    assert len(got) == len(odd_rows) - 1 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    by = {r.doc_id: r for r in got}
+    assert by[0].score == by[4].score and by[1].score == by[2].score == by[3].score and sum(r.doc_id == 4 for r in got) == 2
+    assert toxicity.scored(odd.where("false"), labels).count() == 0
