@@ -89,12 +89,18 @@ def _chunked(table: pa.Table) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.n
     return t.chunks(iter([unpacked(table)]), "text")
 
 
-def _distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    held, weight = [], []
+def _parsed(table: pa.Table) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of a group's rows: their distinct tokens, sorted, the number among those of each token, each row's first token."""
     for part, data, at in _chunked(table):
         word, first = tokens(data, at)
-        train = part.column(part.schema.get_field_index("train")).to_numpy(zero_copy_only=False)
         u, inverse = np.unique(word, return_inverse=True)
+        yield part, u, inverse, first
+
+
+def _distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    held, weight = [], []
+    for part, u, inverse, first in _parsed(table):
+        train = part.column(part.schema.get_field_index("train")).to_numpy(zero_copy_only=False)
         held.append(u)
         weight.append(np.bincount(inverse, np.repeat(train, np.diff(first)), len(u)))
     word, inverse = np.unique(np.concatenate(held), return_inverse=True)
@@ -260,7 +266,7 @@ class Model:
             add("c", ids, np.concatenate((gt, gn.ravel())))
 
         def add(name: str, ids: np.ndarray, g: np.ndarray) -> None:
-            order = np.argsort(ids, kind="stable")
+            order = np.argsort(ids.astype(np.uint16) if len(p[name]) < 1 << 16 else ids, kind="stable")  # by radix where it can
             ids = ids[order]
             at = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
             who, total = ids[at], np.add.reduceat(g[order], at, axis=0)
@@ -385,7 +391,8 @@ def scored(docs: DataFrame, by: int = 10, classes: int = CLASSES, rounds: int =
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         if not own.num_rows:
             return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
-        known, _ = _distinct(own)
+        parts = list(_parsed(own))
+        known = np.unique(np.concatenate([u for _, u, *_ in parts]))
         bucket = (t.mix(known) % np.uint64(n)).astype(np.int32)
         known = known[np.argsort(bucket, kind="stable")]
         back = sorted(zip(told.column("bucket").to_pylist(), told.column("counts").to_pylist(), strict=True))
@@ -396,10 +403,10 @@ def scored(docs: DataFrame, by: int = 10, classes: int = CLASSES, rounds: int =
         leaf = leaf_of(known, words.leaves)
         log_share = np.log((total + SMOOTH) / (words.rest_n[leaf] + SMOOTH * (words.rest_v[leaf] + 1)))
         out = []
-        for part, data, at in _chunked(own):
-            token, first = tokens(data, at)
-            i = np.searchsorted(known, token)
-            w = words.classes(token)
+        class_ = words.classes(known)
+        for part, u, inverse, first in parts:
+            i = np.searchsorted(known, u)[inverse]
+            w = class_[i]
             logp = model.log_probability(w, *words.contexts(w, first), z, leaf[i]) + np.where(w < ENDINGS, log_share[i], 0.0)
             row = t.row_of(first)
             per = lambda x: np.bincount(row, x, part.num_rows)
