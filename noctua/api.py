@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noctua.functions import dims
@@ -21,7 +21,7 @@ SCHEMAS = {
     "approvals": "id bigint, task_id bigint, status string, requested_on date",
     "audit": "id bigint, run_id string, task_id string, ts string, kind string, summary string, detail string, tokens bigint, cost_usd double, prev_hash string, hash string",
     "memories": "doc_id bigint, id string, vault_path string, domain string, mem_type string, title string, summary string, body string, sensitivity string, confidence double, updated_at string, created_at string, last_confirmed_at string, expires_at string, stale_after_days bigint, confirmation_count bigint, status string",
-    "proposals": "id bigint, import_id bigint, domain string, status string, created_on date",
+    "proposals": "id bigint, import_id bigint, domain string, status string, created_on date, op string, target_id string, base_hash string, mem_type string, title string, body string, valid_from string",
     "imports": "id bigint, domain string, title string, content string, input_kind string, extraction_quality_status string, created_on date",
     "chunks": "id bigint, import_id bigint, domain string, body string",
     "threads": "id bigint, cwd string, title string, updated_at bigint, updated_at_ms bigint, tokens_used bigint, model string, archived int",
@@ -40,6 +40,15 @@ class Store:
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name] if name in self.tables else self.spark.createDataFrame([], SCHEMAS[name])
 
+    def _chained(self, rows: DataFrame, order: str) -> DataFrame:
+        """New audit rows (run_id, task_id, kind, summary, detail) in the given order, numbered and chained to the log's last row."""
+        last = self["audit"].orderBy(F.desc("id")).select("id", "hash").limit(1).collect()
+        number, link = (last[0].id, last[0].hash) if last else (0, audit.GENESIS)
+        rows = rows.withColumn("id", F.row_number().over(Window.orderBy(order)).cast("bigint") + number)  # of the new rows only
+        text = {x: F.col(x) if x in rows.columns else F.lit(None) for x in ("task_id", "detail")}
+        rows = rows.select("id", "run_id", text["task_id"].cast("string").alias("task_id"), F.lit(f"{self.as_of}T00:00:00Z").alias("ts"), "kind", "summary", F.coalesce(text["detail"].cast("string"), F.lit("{}")).alias("detail"), F.lit(None).cast("bigint").alias("tokens"), F.lit(None).cast("double").alias("cost_usd"))
+        return audit.appended(rows, link)
+
     # overview
 
     def get_app_snapshot(self, now_s: int) -> dict[str, DataFrame]:
@@ -69,7 +78,7 @@ class Store:
         return self["events"].where((F.col("task_id") == task_id) & (F.col("seq") > seq)).orderBy("seq")
 
     def tasks_submit(self, goals: DataFrame) -> dict[str, DataFrame]:
-        """Rows that submitting goals (id, goal, domain) adds: tasks, steps, approvals, audit rows (not chained yet)."""
+        """Rows that submitting goals (id, goal, domain) adds: tasks, steps, approvals, audit rows."""
         level, approval, sandbox = gate.goal_policy(F.col("goal"))
         t = goals.withColumns({"risk_level": level, "needs_approval": approval, "sandbox": sandbox, "title": F.when(F.length(F.trim("goal")) <= 64, F.trim("goal")).otherwise(F.concat(F.left(F.trim("goal"), F.lit(61)), F.lit("...")))})
         t = t.withColumn("status", F.when(F.col("needs_approval"), "waiting_for_approval").otherwise("planned"))
@@ -78,7 +87,9 @@ class Store:
             "tasks": t,
             "task_steps": events.default_steps(t),
             "approvals": t.where("needs_approval").select(F.col("id").alias("task_id"), F.lit("pending").alias("status"), F.lit(self.as_of).cast("date").alias("requested_on")),
-            "audit": t.select(F.col("id").cast("string").alias("run_id"), F.col("id").cast("string").alias("task_id"), F.explode(said).alias("summary")),
+            "audit": self._chained(
+                t.select("id", F.col("id").cast("string").alias("run_id"), F.col("id").cast("string").alias("task_id"), F.lit("policy").alias("kind"), F.posexplode(said).alias("step", "summary")).withColumn("place", F.struct("id", "step")), "place"
+            ),
         }
 
     def tasks_cancel(self, task_id: int) -> DataFrame:
@@ -119,28 +130,50 @@ class Store:
     def memory_search(self, query: str, domain: str | None = None, include_stale: bool = True, limit: int = 8) -> DataFrame:
         return search.search(self["memories"], query, self.as_of, domain, include_stale, limit)
 
+    def memory_search_touch(self, found: DataFrame) -> DataFrame:
+        """Memories after a search that returned ``found``: one access more for those, on this day."""
+        return lifecycle.accessed(self["memories"], found.select("id"), self.as_of)
+
+    def _passages(self) -> DataFrame:
+        """Source passages, with those of imports that were not cut into passages yet."""
+        known = self["chunks"].select("id", "import_id", "domain", "body")
+        bare = self["imports"].where("extraction_quality_status <> 'failed' AND content IS NOT NULL").join(known.select(F.col("import_id").alias("id")).distinct(), "id", "left_anti")
+        cut = documents.chunked(bare.select(F.col("id").alias("import_id"), "domain", F.col("content").alias("text")))
+        return known.unionByName(cut.select((-1 - F.col("import_id") * 100_000 - F.col("chunk_index")).alias("id"), "import_id", "domain", F.col("chunk").alias("body")))
+
     def memory_evidence(self, question: str, domain: str, include_stale: bool = True) -> DataFrame:
         """(number, path, text, score): the passages an answer may cite, numbered from 1."""
         if len(question.strip()) < 2:
             raise ValueError("a question has at least two characters")
         m = self.memory_search(question, domain, include_stale).where("rank <= 6")
         own = m.select(F.struct(F.col("score"), F.col("vault_path").alias("path"), F.left("body", F.lit(1800)).alias("text"), F.col("rank").cast("int").alias("ord")).alias("e"))
-        hits = search.passages(self["chunks"], self["imports"], question, domain, 8).join(self["chunks"].select("id", "body"), "id")
-        from_files = hits.select(F.struct("score", F.concat(F.lit("import/"), F.col("import_id").cast("string")).alias("path"), F.left("body", F.lit(1800)).alias("text"), (F.col("id") + 100).cast("int").alias("ord")).alias("e"))
+        chunks = self._passages()
+        hits = search.passages(chunks, self["imports"], question, domain, 8).join(chunks.select("id", "body"), "id")
+        from_files = hits.select(F.struct("score", F.concat(F.lit("import/"), F.col("import_id").cast("string")).alias("path"), F.left("body", F.lit(1800)).alias("text"), (F.row_number().over(Window.orderBy(F.desc("score"), "id")) + 100).alias("ord")).alias("e"))
         rows = own.union(from_files).agg(F.collect_list("e").alias("es")).select(F.posexplode(search.fused(F.col("es"))).alias("number", "e"))
         return rows.select((F.col("number") + 1).alias("number"), "e.path", "e.text", "e.score")
 
     def memory_ask(self, question: str, domain: str, claims: DataFrame, include_stale: bool = True) -> DataFrame:
-        """The verified answer from claims (claim_no, text, citations) that a model has made of the evidence; no row if none holds."""
+        """One row: the verified answer from claims (claim_no, text, citations) that a model has made of the evidence, or an
+        abstention with a warning if none holds."""
         one = lambda df: df.withColumn("question_id", F.lit(1))
         evidence = one(self.memory_evidence(question, domain, include_stale))
-        return verify.answers(verify.accepted(one(claims), evidence), evidence)
+        found = verify.answers(verify.accepted(one(claims), evidence), evidence)
+        asked = self.spark.createDataFrame([(1,)], "question_id int").join(found, "question_id", "left").withColumn("abstained", F.col("answer").isNull())
+        warning = F.when(F.col("abstained"), "no claim is supported by the evidence")
+        return asked.withColumns({"sources": F.coalesce("sources", F.lit(0)), "score": F.coalesce("score", F.lit(0.0)), "confidence": F.coalesce("confidence", F.lit("low")), "warning": warning})
+
+    def memory_ask_audit(self, answer_id: str, answer: DataFrame) -> DataFrame:
+        """The chained audit row of an answer of ``memory_ask``, or of its abstention."""
+        kind = F.when(F.col("abstained"), "memory_ask_abstained").otherwise("memory_ask_answer")
+        detail = F.to_json(F.struct("sources", "score", "confidence"))
+        return self._chained(answer.select("question_id", F.lit(f"memory-ask:{answer_id}").alias("run_id"), kind.alias("kind"), F.coalesce("answer", "warning").alias("summary"), detail.alias("detail")), "question_id")
 
     def memory_answer_feedback(self, answer_id: str, question: str, domain: str, value: str) -> DataFrame:
-        """The audit row of a reader's mark on an answer; ``flagged`` is the only mark."""
+        """The chained audit row of a reader's mark on an answer; ``flagged`` is the only mark."""
         if value != "flagged" or domain not in dims.DOMAINS or len(question.strip()) < 2 or len(question) > 1000:
             raise ValueError("invalid answer feedback")
-        return self.spark.createDataFrame([(f"memory-ask:{answer_id}", "memory_ask_feedback", value)], "run_id string, kind string, summary string")
+        return self._chained(self.spark.createDataFrame([(f"memory-ask:{answer_id}", "memory_ask_feedback", value)], "run_id string, kind string, summary string"), "run_id")
 
     def memory_context(self, query: str, domain: str) -> DataFrame:
         return search.context(self.memory_search(query, domain))
@@ -156,6 +189,10 @@ class Store:
     def memory_ingest(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         return gate.ingested(batch)
 
+    def memory_gate_audit(self, rejected: DataFrame) -> DataFrame:
+        """The chained audit rows of requests (request_id, reject_reason) that the gate turned away."""
+        return self._chained(rejected.select("request_id", F.lit("memory-gate").alias("run_id"), F.lit("rejected").alias("kind"), F.col("reject_reason").alias("summary")), "request_id")
+
     def memory_import_document(self, raw: DataFrame) -> DataFrame:
         return imports.imported(raw)
 
@@ -176,8 +213,16 @@ class Store:
         rows = self["proposals"] if status is None else self["proposals"].where(F.col("status") == status)
         return rows.orderBy(F.desc("created_on"), "id")
 
-    def memory_proposals_decide(self, decisions: DataFrame) -> DataFrame:
-        return gate.decided(self["proposals"], decisions)
+    def memory_proposals_decide(self, decisions: DataFrame) -> dict[str, DataFrame]:
+        """Proposals and memories after decisions (id, approve, at). What is approved is applied; a proposal whose memory has
+        changed since stays pending, and the memory as it is."""
+        after = gate.decided(self["proposals"], decisions)
+        now = after.where("status = 'approved'").join(self["proposals"].where("status = 'pending'").select("id"), "id", "left_semi")
+        made = now.select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("id"), "op", "target_id", "base_hash", "domain", "mem_type", "title", "body", "valid_from")
+        memories = gate.applied(self["memories"], made, self.as_of)
+        conflict = now.join(memories.where("outcome = 'conflict'").select(F.col("id").alias("target_id")), "target_id", "left_semi").select("id", F.lit(True).alias("again"))
+        status = F.when(F.col("again"), "pending").otherwise(F.col("status"))
+        return {"proposals": after.join(conflict, "id", "left").withColumn("status", status).drop("again"), "memories": memories}
 
     def memory_confirm(self, ids: list[str]) -> DataFrame:
         return lifecycle.confirmed(self["memories"], ids, self.as_of)

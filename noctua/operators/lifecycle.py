@@ -57,5 +57,15 @@ def touched(memories: DataFrame, log: DataFrame) -> DataFrame:
     return memories.join(log.groupBy("id").agg(F.count("*").alias("hits"), F.max("at").alias("last")), "id", "left").select(*memories.columns, F.coalesce("hits", F.lit(0)).alias("access_count"), F.col("last").alias("last_accessed_at"))
 
 
+def accessed(memories: DataFrame, hits: DataFrame, as_of: str) -> DataFrame:
+    """Memories after each of ``hits`` (id) was returned once more; access figures that are missing count as none."""
+    have = memories.columns
+    count = F.coalesce(F.col("access_count") if "access_count" in have else F.lit(None), F.lit(0)).cast("bigint")
+    last = F.col("last_accessed_at") if "last_accessed_at" in have else F.lit(None).cast("string")
+    hit = F.col("_hit").isNotNull()
+    out = memories.join(hits.distinct().withColumn("_hit", F.lit(True)), "id", "left")
+    return out.withColumns({"access_count": count + hit.cast("bigint"), "last_accessed_at": F.when(hit, F.lit(as_of)).otherwise(last)}).drop("_hit")
+
+
 def maintained(memories: DataFrame, as_of: str) -> DataFrame:
     return staled(expired(memories, as_of), as_of)

@@ -121,7 +121,12 @@ def c9(t):
     return t.documents.select("doc_id", text.quality(_garbled()).alias("q")).select("doc_id", text.quality_score(q).alias("score"), text.quality_passed(q).alias("passed"), q["run"].cast("bigint").alias("run"), q["singles"].cast("bigint").alias("singles"))
 
 
-@query("C10_best_attempt")
+@query(
+    "C10_best_attempt",
+    _Q.replace("WITH d AS (SELECT doc_id, " + _SPACED_OUT + " AS s FROM documents), f AS (SELECT doc_id,", "WITH d AS (SELECT doc_id, 1 AS engine_order, " + _SPACED_OUT + " AS s FROM documents UNION ALL SELECT doc_id, 2, text FROM documents), f AS (SELECT doc_id, engine_order,")
+    + """, t AS (SELECT *, NOT (run >= 8 OR (tokens >= 12 AND ratio > 0.22)) AND score >= 70 AND visible >= 40 AS passed FROM s)
+SELECT doc_id, engine_order, score, passed FROM t QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY passed DESC, CASE WHEN passed THEN engine_order END, score DESC, engine_order DESC) = 1""",
+)
 def c10(t):
     one = t.documents.select("doc_id", F.lit(1).alias("engine_order"), _garbled().alias("text"))
     two = t.documents.select("doc_id", F.lit(2).alias("engine_order"), "text")

@@ -43,7 +43,10 @@ def test_ask_is_grounded(spark):
     claims = spark.createDataFrame([(1, "The gateway signs tokens", [ours]), (2, "The gateway sings songs", [1, 2])], "claim_no int, text string, citations array<int>")
     got = s.memory_ask("gateway tokens", "work", claims).collect()
     assert len(got) == 1 and got[0].answer == "The gateway signs tokens [1]." and got[0].sources == 1
-    assert s.memory_ask("gateway tokens", "work", claims.where("claim_no = 2")).count() == 0
+    no = s.memory_ask("gateway tokens", "work", claims.where("claim_no = 2"))
+    assert [(r.abstained, r.answer, r.sources) for r in no.collect()] == [(True, None, 0)] and no.first().warning
+    row = s.memory_ask_audit("q1", no).first()
+    assert (row.id, row.run_id, row.kind, row.prev_hash) == (3, "memory-ask:q1", "memory_ask_abstained", s["audit"].orderBy(F.desc("id")).first().hash)
     with pytest.raises(ValueError):
         s.memory_evidence("x", "work")
 
@@ -59,11 +62,36 @@ def test_writes_return_what_changes(spark):
     assert {(r.id, r.status) for r in s.memory_maintenance_run().collect()} == {("m1", "active"), ("m2", "stale")}
     assert s.memory_confirm(["m2"]).where("id = 'm2'").first().confirmation_count == 2
     assert s.skills_distill().first().body == "1. ls\n2. done"
-    assert s.memory_answer_feedback("a", "what?", "work", "flagged").count() == 1
+    for rows in (s.memory_answer_feedback("a", "what?", "work", "flagged"), out["audit"], s.memory_gate_audit(spark.createDataFrame([(2, "secrets"), (1, "type")], "request_id int, reject_reason string"))):
+        log = s["audit"].unionByName(rows)
+        assert audit.verified(log).first().ok and log.count() > 2
     with pytest.raises(ValueError):
         s.memory_answer_feedback("a", "what?", "work", "approved")
 
 
+def test_search_touches_what_it_returns(spark):
+    s = store(spark)
+    got = {r.id: (r.access_count, r.last_accessed_at) for r in s.memory_search_touch(s.memory_search("gateway")).collect()}
+    assert got == {"m1": (1, DAY), "m2": (0, None)}
+
+
+def test_decided_proposals_are_applied_unless_the_memory_has_changed(spark):
+    s = store(spark)
+    hashes = {r.id: r.h for r in s["memories"].select("id", F.sha2("body", 256).alias("h")).collect()}
+    rows = [(1, "pending", "update", "m1", hashes["m1"], "Tokens last a day."), (2, "pending", "update", "m2", "old", "x"), (3, "pending", "create", None, None, "New"), (4, "discarded", "create", None, None, "Never"), (5, "pending", "create", None, None, "Not yet")]
+    s.tables["proposals"] = spark.createDataFrame([(k, 7, "work", st, DAY, op, to, h, "fact", "T", b, None) for k, st, op, to, h, b in rows], "id bigint, import_id bigint, domain string, status string, created_on string, op string, target_id string, base_hash string, mem_type string, title string, body string, valid_from string")
+    out = s.memory_proposals_decide(spark.createDataFrame([(k, k != 5, 1) for k in range(1, 6)], "id bigint, approve boolean, at int"))
+    assert {r.id: r.status for r in out["proposals"].collect()} == {1: "approved", 2: "pending", 3: "approved", 4: "discarded", 5: "discarded"}
+    m = {r.id: r for r in out["memories"].collect()}
+    assert set(m) == {"m1", "m2", "p3"} and "Tokens last a day." in m["m1"].body and m["m2"].body == "Menu of the day."
+
+
+def test_imports_without_passages_are_cut_before_they_are_asked(spark):
+    s = store(spark)
+    s.tables["imports"] = spark.createDataFrame([(8, "work", "T", "The gateway rotates its signing keys weekly.", "text", "passed", DAY)], "id bigint, domain string, title string, content string, input_kind string, extraction_quality_status string, created_on string")
+    assert "import/8" in {r.path for r in s.memory_evidence("gateway signing keys", "work").collect()}
+
+
 def test_save_updates_the_same_title_and_routes(spark):
     c = "request_id int, mem_type string, domain string, title string, body string, valid_from string, valid_until string, expires string, stale_after_days int, confidence double, source string"
     rows = [(1, "fact", "work", "gateway TOKENS", "new", None, None, None, None, None, "manual"), (2, "preference", "work", "Tea", "green", None, None, None, None, 0.9, "chat:1"), (3, "fact", "family", "Pets", "cat", None, None, None, None, None, "manual")]
