@@ -591,3 +591,16 @@ def test_odd_rows_and_toxicity(spark, odd, odd_rows):
     by = {r.doc_id: r for r in got}
     assert by[0].score == by[4].score and by[1].score == by[2].score == by[3].score and sum(r.doc_id == 4 for r in got) == 2
     assert toxicity.scored(odd.where("false"), labels).count() == 0
+
+
+def test_many_nested_url_rules_equal_brute_force(spark):
+    rng = random.Random(8)
+    host = lambda n: ".".join(rng.choice("abc") for _ in range(rng.randrange(1, n)))
+    path = lambda: "".join(rng.choice(["/", "x", "é", "y", "\U0010ffff"]) for _ in range(rng.randrange(0, 6)))
+    rules = [(host(5), path(), rng.choice(["allow", "block"])) for _ in range(300)]
+    urls = [f"http://{host(7)}{'/' + path()}" for _ in range(600)]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    odd = [*rules, (None, "/", "block"), ("", "/", "block"), ("C.b", None, "block")]
+    got = url_filter.judge(frame, spark.createDataFrame(odd, "host string, path string, verdict string")).collect()
+    plain = [*rules, ("c.b", "", "block")]
+    assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got) == [(i, *brute_url(u, plain)) for i, u in enumerate(urls)]
