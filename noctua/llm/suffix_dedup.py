@@ -13,6 +13,9 @@ suffix array is needed for is far less, and is found in three steps:
    over the first-byte buckets. Runs of adjacent common prefixes of ``length`` or more are the repeated windows.
 3. The repeated intervals are joined with their documents and cut out.
 
+A gram with more than ``HOT_GRAM`` different segments is taken apart: each window of its segments goes by its own hash, equal ones
+of a group of documents as one, so contexts of a common line meet only where they are equal, in many tasks.
+
 A text that many documents copy, or a passage that many hold, sends one segment record for each 16 MB of records of
 a task, however many rows have it; the merged ones are repeats at once.
 """
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from . import _text as t
 from ._shared import ROW, dealt, groups_of, keyed, n_buckets, named, stored, survey, unpacked
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM, HOT_GRAM = 100, 32, 256
 #: Bytes of segments sorted at once.
 SORTED_BYTES = 1 << 19
 _SEG = np.dtype([("gram", "<u8"), ("body", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("size", "<i2")])
@@ -156,8 +159,9 @@ def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return [(int(x[0]), int(x[-1]) + length) for x in np.split(starts, cut)]
 
 
-def found_hits(docs: DataFrame, n_groups: int, n: int, length: int, gram: int) -> DataFrame:
-    """(g, payload): packed hits of each group's documents: repeated segments (gram 0), and segments to be compared."""
+def found_hits(docs: DataFrame, n_groups: int, n: int, length: int, gram: int, hot: int) -> DataFrame:
+    """(g, payload): packed hits of each group's documents: repeated segments (gram 0), and segments to be compared; their
+    ``hi`` is negative where more than ``hot`` share a gram."""
 
     def cut(batches):
         seg, hit = t.Scatter(n), t.Scatter(n_groups)
@@ -195,7 +199,11 @@ def found_hits(docs: DataFrame, n_groups: int, n: int, length: int, gram: int) -
             same = np.flatnonzero(kept["gram"][1:] == kept["gram"][:-1])
             open_ = np.zeros(len(kept), bool)
             open_[same] = open_[same + 1] = True
-            for hits in (_hits(gone, False), _hits(kept[open_], True)):
+            compare = _hits(kept[open_], True)
+            edge = t.edges(compare["gram"])
+            many = np.repeat(np.diff(edge) > hot, np.diff(edge))
+            compare["hi"][many] *= -1
+            for hits in (_hits(gone, False), compare):
                 yield from rest(out.add(groups_of(hits["doc"], n_groups).astype(t.U64), hits))
 
         now, held = None, []
@@ -232,13 +240,16 @@ def compared(docs: DataFrame, hits: DataFrame, n_groups: int, length: int) -> Da
     binary = lambda data, off: pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
     def fetch(own: pa.Table, told: pa.Table) -> pa.Table:
-        held = []
+        held, apart = [], []
         rec = np.frombuffer(b"".join(told.column("payload").to_pylist()), _HIT)
         wanted = _by_doc([rec[rec["gram"] != 0].tobytes()])
         for part, data, at in t.chunks(iter([unpacked(own)]), "text") if own.num_rows and wanted else ():
             for k, doc in enumerate(part.column(0).to_pylist()):
                 if doc in wanted:
                     own_hits = wanted[doc]
+                    if (own_hits["hi"] < 0).any():
+                        apart.append((doc, data[at[k] : at[k + 1]], own_hits[own_hits["hi"] < 0]))
+                        own_hits = own_hits[own_hits["hi"] > 0]
                     size = own_hits["hi"] - own_hits["lo"]
                     off = np.concatenate(([0], np.cumsum(size)))
                     take = np.repeat(at[k] + own_hits["lo"] - off[:-1], size) + np.arange(off[-1])
@@ -246,7 +257,26 @@ def compared(docs: DataFrame, hits: DataFrame, n_groups: int, length: int) -> Da
         if not held:
             return pa.Table.from_batches([], schema=_BYTES)
         gram, doc, lo, size, data = (np.concatenate([np.ascontiguousarray(x[i]) for x in held]) for i in range(5))
-        return pa.Table.from_arrays([pa.array(gram), pa.array(doc), pa.array(lo), binary(data, np.concatenate(([0], np.cumsum(size))))], schema=_BYTES)
+        out = [pa.Table.from_arrays([pa.array(gram), pa.array(doc), pa.array(lo), binary(data, np.concatenate(([0], np.cumsum(size))))], schema=_BYTES)]
+        return pa.concat_tables([*out, *singles(apart)])
+
+    def singles(apart):
+        """The windows of segments of frequent grams, each by its hash: the earliest of equal ones with its bytes, the others,
+        repeats at once, without."""
+        held = []
+        for doc, text, hits in apart:  # documents come in order
+            hash_ = t.window_hash(text, length)
+            lo = np.unique(np.concatenate([np.arange(a, -b - length + 1) for a, b in zip(hits["lo"].tolist(), hits["hi"].tolist(), strict=True)]))
+            held.append((hash_[lo], np.full(len(lo), doc), lo, text[lo[:, None] + np.arange(length)]))
+        if held:
+            hash_, doc, lo, body = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(hash_, kind="stable")
+            first = np.zeros(len(order), bool)
+            first[order[t.edges(hash_[order])[:-1]]] = True
+            size = np.where(first, length, 0)
+            bytes_ = pa.Array.from_buffers(pa.binary(), len(first), [pa.py_buffer(np.packbits(first, bitorder="little").tobytes()), pa.py_buffer(np.concatenate(([0], np.cumsum(size))).astype(np.int32).tobytes()), pa.py_buffer(body[first].tobytes())])
+            key = np.where(first, hash_, t.mix(hash_ ^ doc.view(np.uint64))).view(np.int64)
+            yield pa.Table.from_arrays([pa.array(key), pa.array(doc), pa.array(lo.astype(np.int32)), bytes_], schema=_BYTES)
 
     def sort_suffixes(batches):
         """Segments of one gram stay together; many grams share one suffix array, in which equal windows meet only if their grams are equal."""
@@ -254,8 +284,8 @@ def compared(docs: DataFrame, hits: DataFrame, n_groups: int, length: int) -> Da
 
         def solve():
             nonlocal rows, size
-            done, rows, size = sorted(rows), [], 0
-            found = []
+            found = [(doc, lo, lo + length, 0) for doc, lo, body in rows if body is None]
+            done, rows, size = sorted(x for x in rows if x[2] is not None), [], 0
             for (doc, lo, _), starts in zip(done, repeated_windows([x[2] for x in done], length), strict=True):
                 found += [(doc, lo + a, lo + b, 0) for a, b in _runs(starts, length)]
             rec = np.array(found, _HIT)
@@ -269,7 +299,7 @@ def compared(docs: DataFrame, hits: DataFrame, n_groups: int, length: int) -> Da
                         yield from solve()
                     now = key
                 rows.append((doc, lo, body))
-                size += len(body)
+                size += len(body or b"") + 16
         if rows:
             yield from solve()
 
@@ -287,7 +317,7 @@ def _union(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(lo[first].tolist(), top[np.append(np.flatnonzero(first)[1:], len(lo)) - 1].tolist(), strict=True))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT_GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (lo, hi), kept (the remaining bytes) and kept_sha256 of each row.
 
     Null is the empty text. Rows that share a doc_id, and rows without one, are documents of their own, which follow each
@@ -296,14 +326,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size, unique = survey(docs)
     rows = keyed(docs, unique)
-    return named(_removed(rows.select(F.col(ROW).alias("doc_id"), "text"), size, length, gram), rows, unique)
+    return named(_removed(rows.select(F.col(ROW).alias("doc_id"), "text"), size, length, gram, hot), rows, unique)
 
 
-def _removed(docs: DataFrame, n_bytes: int, length: int, gram: int) -> DataFrame:
+def _removed(docs: DataFrame, n_bytes: int, length: int, gram: int, hot: int) -> DataFrame:
     """The result for (doc_id, text) of unique doc_ids, with ``n_bytes`` bytes of text."""
     n_groups, n = (n_buckets(docs.sparkSession, x, n_bytes) for x in (2, 1))
     groups = dealt(docs, n_groups)
-    hits = found_hits(docs, n_groups, n, length, gram)
+    hits = found_hits(docs, n_groups, n, length, gram, hot)
     every = hits.union(compared(groups, hits, n_groups, length))
     span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", span), ("kept", pa.binary()), ("kept_sha256", pa.string())]

@@ -138,6 +138,15 @@ def test_suffix_dedup_equals_brute_force(spark, odd_rows):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()} == brute_repeats(rows, 100)
 
 
+@pytest.mark.parametrize("hot", [2, 8])
+def test_frequent_grams_are_taken_apart(spark, hot):
+    """A line that all documents hold, between words of their own and words that some share."""
+    rng = random.Random(9)
+    rows = [(i, f"{prose(i % 5, 12)} {prose(100 + i, rng.randrange(1, 9))}\nthe common line of all these documents, {'x' * 30}\n{prose(i % 3, 15)} {prose(300 + i, 9)}") for i in range(30)]
+    got = suffix_dedup.remove_repeats(table(spark, rows), length=100, hot=hot).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_repeats(rows, 100)
+
+
 def test_two_stage_suffix_array():
     rng = random.Random(1)
     for _ in range(200):
