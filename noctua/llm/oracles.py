@@ -84,4 +84,39 @@ gap AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER
 cut AS (SELECT g.doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS kept FROM gap g JOIN d USING (doc_id) GROUP BY g.doc_id)
 SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)"""
 
-SQL = {"op9_suffix_dedup": _OP9, "op4_warc": _OP4, "op5_url_filter": _OP5, "op2_decontaminate": _OP2, "op3_minhash_dedup": _OP3, "op8_quality_rules": _op8()}
+_OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+known AS (SELECT doc_id, coalesce(max(quality = 1), false) AS good, coalesce(max(toxic = 1), false) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+      {'A': len(ws) < 100, 'B': 100 * len(list_distinct(ws)) < 80 * len(ws), 'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text),
+       'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(doc_id > least, false)} AS x FROM w LEFT JOIN known USING (doc_id)),
+fails AS (SELECT part, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda c: x[c]) AS failed, count(*) AS n FROM (SELECT part, good, toxic, map(['A', 'B', 'C', 'D', 'E'], [x.A, x.B, x.C, x.D, x.E]) AS x FROM f) GROUP BY ALL),
+letter(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (SELECT a.c || b.c || d.c || e.c || g.c AS o FROM letter a, letter b, letter d, letter e, letter g WHERE len(list_distinct([a.c, b.c, d.c, e.c, g.c])) = 5),
+place AS (SELECT o, step, substr(o, step, 1) AS c, string_split(substr(o, 1, step - 1), '') AS earlier FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+run AS (SELECT part, o, step, c, good, toxic, n, failed, list_contains(failed, c) AS here, len(list_intersect(failed, earlier)) > 0 AS gone FROM fails, place),
+seen AS (SELECT part, o AS filter_order, step::INT AS step, c, coalesce(sum(n) FILTER (NOT here AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (here AND NOT gone), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (here AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (failed = [c]), 0)::BIGINT AS unique_fails,
+         coalesce(sum(n) FILTER (here AND NOT gone AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (here AND NOT gone AND toxic), 0)::BIGINT AS toxic_lost FROM run GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, c))::BIGINT AS shapley FROM seen"""
+
+_OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS c FROM w GROUP BY 1, 2 HAVING count(DISTINCT row) >= 30),
+own AS (SELECT lang, source, term, count(*) AS c FROM w JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+grp AS (SELECT DISTINCT lang, source FROM d),
+lang_n AS (SELECT lang, count(*) AS v, sum(c) AS total FROM kept GROUP BY 1),
+grp_n AS (SELECT g.lang, g.source, coalesce(sum(c), 0) AS total FROM grp g LEFT JOIN own USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, k.term, coalesce(o.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(o.c, 0) + 5)) // (g.total + 5 * l.v)::HUGEINT AS p,
+      1 + (1000000000::HUGEINT * (k.c + 5)) // (l.total + 5 * l.v)::HUGEINT AS q
+      FROM grp_n g JOIN lang_n l USING (lang) JOIN kept k USING (lang) LEFT JOIN own o USING (lang, source, term)),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+         UNION ALL SELECT a.lang, a.source, 'pair', b.source, 0 FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source WHERE a.lang NOT IN (SELECT lang FROM lang_n)),
+term AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+SQL = {"op12_filter_audit": _OP12, "op13_source_audit": _OP13, "op9_suffix_dedup": _OP9, "op4_warc": _OP4, "op5_url_filter": _OP5, "op2_decontaminate": _OP2, "op3_minhash_dedup": _OP3, "op8_quality_rules": _op8()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lm_score, minhash, oracles, packing, passage_dedup, quality, suffix_dedup, toxicity, url_filter, warc
+from . import decontaminate, filter_audit, lm_score, minhash, oracles, packing, passage_dedup, pu_quality, quality, source_audit, suffix_dedup, toxicity, url_filter, warc
 from ._shared import documents_of, read, stored
 
 
@@ -64,6 +64,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "n_spans", "source_ids", "kept_sha256")
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pu_quality.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), by=4, held_out=2, least=0.7)
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergence(read(spark, sf_dir, "documents"), least_docs=30, most_ranks=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
