@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from noctua.functions import dims
 from noctua.operators import audit, catalog, documents, events, gate, imports, lifecycle, search, usage, verify
+from noctua.operators.index import Index
+from noctua.sources.tables import exists
 
 SCHEMAS = {
     "tasks": "id bigint, title string, goal string, domain string, status string, risk_level string, tokens bigint, cost_usd double, updated_on date",
@@ -31,11 +33,13 @@ SCHEMAS = {
 
 @dataclass
 class Store:
-    """Tables by name, and the day on which they are looked at."""
+    """Tables by name, and the day on which they are looked at. In ``folder``, which all machines share, search indexes and cut
+    passages are kept; without one, terms are counted and imports cut anew for each search."""
 
     spark: SparkSession
     as_of: str
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    folder: str | None = None
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name] if name in self.tables else self.spark.createDataFrame([], SCHEMAS[name])
@@ -49,6 +53,13 @@ class Store:
         rows = rows.select("id", "run_id", text["task_id"].cast("string").alias("task_id"), F.lit(f"{self.as_of}T00:00:00Z").alias("ts"), "kind", "summary", F.coalesce(text["detail"].cast("string"), F.lit("{}")).alias("detail"), F.lit(None).cast("bigint").alias("tokens"), F.lit(None).cast("double").alias("cost_usd"))
         return audit.appended(rows, link)
 
+    def _index(self, name: str, rows: DataFrame, fields: tuple[str, ...]) -> Index | None:
+        """The kept index of a table, built when it is first asked for."""
+        if self.folder is None:
+            return None
+        path = f"{self.folder}/index-{name}"
+        return Index(self.spark, path) if Index.there(self.spark, path) else Index.build(rows, path, fields)
+
     # overview
 
     def get_app_snapshot(self, now_s: int) -> dict[str, DataFrame]:
@@ -127,19 +138,52 @@ class Store:
         m = self["memories"].where(F.col("vault_path") == path)
         return m.select(F.col("vault_path").alias("path"), "body", F.coalesce("status", F.lit("active")).alias("status"))
 
+    def _memory_index(self) -> Index | None:
+        return self._index("memories", self["memories"].where("status <> 'expired'"), search.FIELDS)
+
     def memory_search(self, query: str, domain: str | None = None, include_stale: bool = True, limit: int = 8) -> DataFrame:
-        return search.search(self["memories"], query, self.as_of, domain, include_stale, limit)
+        return search.search(self["memories"], query, self.as_of, domain, include_stale, limit, self._memory_index())
+
+    def memory_search_questions(self, questions: DataFrame, limit: int = 8) -> DataFrame:
+        """(q, rank, id, score, relevance) for a table of questions (q, query, domain) in one job; needs a folder."""
+        if self.folder is None:
+            raise ValueError("a table of questions is searched on a kept index: give the store a folder")
+        return search.search_questions(self["memories"], questions, self.as_of, self._memory_index(), limit)
+
+    def memory_index_changed(self, ids: DataFrame) -> Index | None:
+        """Take into the index what became of the memories of ``ids`` (id): new, changed, expired or gone. To be called once a write
+        is stored, as the tables of this store; a search before it reads the index as it was."""
+        index = self._memory_index()
+        if index is None:
+            return None
+        ids = ids.select("id").distinct()
+        live = self["memories"].where("status <> 'expired'").join(ids, "id", "left_semi")
+        return index.changed(live, ids)
 
     def memory_search_touch(self, found: DataFrame) -> DataFrame:
         """Memories after a search that returned ``found``: one access more for those, on this day."""
         return lifecycle.accessed(self["memories"], found.select("id"), self.as_of)
 
-    def _passages(self) -> DataFrame:
-        """Source passages, with those of imports that were not cut into passages yet."""
+    def _passages(self) -> tuple[DataFrame, Index | None]:
+        """Source passages and their index. Imports that were not cut yet are, once: what is cut is stored, and indexed as a change."""
         known = self["chunks"].select("id", "import_id", "domain", "body")
-        bare = self["imports"].where("extraction_quality_status <> 'failed' AND content IS NOT NULL").join(known.select(F.col("import_id").alias("id")).distinct(), "id", "left_anti")
+        path = f"{self.folder}/passages"
+        stored = self.folder is not None and exists(self.spark, path)
+        have = known.unionByName(self.spark.read.parquet(path)) if stored else known
+        bare = self["imports"].where("extraction_quality_status <> 'failed' AND content IS NOT NULL").join(have.select(F.col("import_id").alias("id")).distinct(), "id", "left_anti")
         cut = documents.chunked(bare.select(F.col("id").alias("import_id"), "domain", F.col("content").alias("text")))
-        return known.unionByName(cut.select((-1 - F.col("import_id") * 100_000 - F.col("chunk_index")).alias("id"), "import_id", "domain", F.col("chunk").alias("body")))
+        cut = cut.select((-1 - F.col("import_id") * 100_000 - F.col("chunk_index")).alias("id"), "import_id", "domain", F.col("chunk").alias("body"))
+        if self.folder is None:
+            return known.unionByName(cut), None
+        if not bare.isEmpty():
+            index = self._index("passages", have, ("body",))
+            new = f"{self.folder}/passages-new-{index.version}"
+            cut.write.mode("overwrite").parquet(new)
+            cut = self.spark.read.parquet(new)
+            cut.write.mode("append").parquet(path)
+            index.changed(cut)
+        all_ = known.unionByName(self.spark.read.parquet(path)) if exists(self.spark, path) else known
+        return all_, self._index("passages", all_, ("body",))
 
     def memory_evidence(self, question: str, domain: str, include_stale: bool = True) -> DataFrame:
         """(number, path, text, score): the passages an answer may cite, numbered from 1."""
@@ -147,8 +191,8 @@ class Store:
             raise ValueError("a question has at least two characters")
         m = self.memory_search(question, domain, include_stale).where("rank <= 6")
         own = m.select(F.struct(F.col("score"), F.col("vault_path").alias("path"), F.left("body", F.lit(1800)).alias("text"), F.col("rank").cast("int").alias("ord")).alias("e"))
-        chunks = self._passages()
-        hits = search.passages(chunks, self["imports"], question, domain, 8).join(chunks.select("id", "body"), "id")
+        chunks, index = self._passages()
+        hits = search.passages(chunks, self["imports"], question, domain, 8, index).join(chunks.select("id", "body"), "id")
         from_files = hits.select(F.struct("score", F.concat(F.lit("import/"), F.col("import_id").cast("string")).alias("path"), F.left("body", F.lit(1800)).alias("text"), (F.row_number().over(Window.orderBy(F.desc("score"), "id")) + 100).alias("ord")).alias("e"))
         rows = own.union(from_files).agg(F.collect_list("e").alias("es")).select(F.posexplode(search.fused(F.col("es"))).alias("number", "e"))
         return rows.select((F.col("number") + 1).alias("number"), "e.path", "e.text", "e.score")

@@ -1,13 +1,12 @@
 """Ranked retrieval: exact titles, BM25, recency, trust and staleness; passages, excerpts, evidence, context.
 
-A search reads an ``Index``: postings in order of term, of which a query's filter reaches only the row groups with its
-terms, and one row of corpus figures. Texts are read again only for the rows that are returned. Without an index the
-terms are counted inside the scan of the texts, and the figures come from one aggregate row that is broadcast.
+A search reads an ``index.Index``, which follows its table: bounds of blocks, then the entries of the blocks that can hold
+one of the best rows. Texts are read only for rows that are returned. Without an index the terms are counted inside the scan
+of the texts, and the figures come from one aggregate row that is broadcast. Questions come one by one or as a table.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 from math import log
 
@@ -15,9 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noctua.functions import dims, text
+from noctua.operators.index import K1, B, Index, folded
 
-K1, B = 1.2, 0.75
-FIELDS = ("title", "summary", "body")
+FIELDS = ("title", "summary", "body", "tags")
 
 
 def visible(domain: str | None, include_stale: bool = True) -> Column:
@@ -44,66 +43,37 @@ def query_terms(query: str) -> list[str]:
     return [w.translate(table) for w in words if len(w) > 1 and w not in dims.SEARCH_STOPWORDS]
 
 
-def tokens(fields: tuple[str, ...]) -> Column:
-    return F.concat(*(text.index_terms(F.coalesce(f, F.lit(""))) for f in fields))
+def tokens(rows: DataFrame, fields: tuple[str, ...]) -> Column:
+    """All terms of the fields that the table has, repeats kept."""
+    return F.concat(*(text.index_terms(folded(rows, f)) for f in fields if f in rows.columns))
 
 
-def postings(rows: DataFrame, fields: tuple[str, ...] = FIELDS, key: str = "id") -> DataFrame:
-    """(id, term, tf, length): the inverted index as a table."""
-    t = rows.select(key, tokens(fields).alias("tokens")).select(key, F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    return t.groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
+def question_terms(questions: DataFrame, key: str, body: str, *others: str) -> DataFrame:
+    """(q, term, others): a row for each term of each question, repeats kept; accents go, as in the index."""
+    words = F.transform(text.match_terms(F.col(body)), lambda x: F.translate(x, text.ACCENTED, text.BASE))
+    return questions.select(F.col(key).alias("q"), *others, F.explode(words).alias("term"))
 
 
 def corpus_stats(rows: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(term, df, cf): in how many rows each term occurs, and how often. Rows are counted where they are read; one partial
     sum for each term and task is all that is shuffled."""
-    own = rows.select(F.array_sort(tokens(fields)).alias("t"))
+    own = rows.select(F.array_sort(tokens(rows, fields)).alias("t"))
     before = F.concat(F.array(F.lit(None).cast("string")), F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))))
     each = own.select(F.explode(F.arrays_zip("t", before.alias("b"))).alias("x")).select(F.col("x.t").alias("term"), F.col("x.b").alias("b"))
     return each.select("term", (~F.col("b").eqNullSafe(F.col("term"))).cast("bigint").alias("first")).groupBy("term").agg(F.sum("first").alias("df"), F.count("*").alias("cf"))
 
 
-@dataclass(frozen=True)
-class Index:
-    """Postings (term, id, tf, length) and one row of figures (n, average) of the rows that a search may return."""
-
-    postings: DataFrame
-    figures: DataFrame
-
-
-def ordered_postings(rows: DataFrame, fields: tuple[str, ...] = FIELDS, key: str = "id") -> DataFrame:
-    """The postings in order of term, for files whose row groups hold few terms each. Partial counts leave one row of each
-    term and document to shuffle; ranges of (term, id) split a term that all rows hold."""
-    found = postings(rows, fields, key).withColumnRenamed(key, "id")
-    return found.select("term", "id", "tf", "length").repartitionByRange("term", "id").sortWithinPartitions("term", "id")
-
-
-def figures(rows: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    return rows.agg(F.count("*").alias("n"), F.avg(F.size(tokens(fields))).alias("average"))
-
-
-def _indexed(rows: DataFrame, terms: list[str], index: Index) -> DataFrame:
-    """``rows`` that hold a term, with ``bm25``, from the postings of the query's terms."""
-    own = sorted(set(terms))
-    hit = index.postings.where(F.col("term").isin(own))
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))  # one row for each term of the query
-    times = F.element_at(F.create_map(*(F.lit(x) for w in own for x in (w, terms.count(w)))), F.col("term"))
-    idf = F.greatest(F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    score = times * idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
-    scores = hit.join(F.broadcast(df), "term").crossJoin(F.broadcast(index.figures)).groupBy("id").agg(F.sum(score).alias("bm25"))
-    return rows.join(scores, "id").select(*rows.columns, "bm25")
-
-
 def bm25(rows: DataFrame, terms: list[str], fields: tuple[str, ...] = FIELDS, index: Index | None = None) -> DataFrame:
     """``rows`` that hold a term, with ``bm25``; a term that comes twice in the query counts twice. N, lengths and
     frequencies are those of all rows, or of those in the index."""
     if index is not None:
-        return _indexed(rows, terms, index)
+        hits = index.hits(terms).withColumnRenamed("id", "hit_id")
+        return rows.join(hits, F.col("id").cast("string") == F.col("hit_id")).select(*rows.columns, "bm25")
     own = sorted(set(terms))
     known = F.array(*map(F.lit, own))
     found = F.struct(F.size("tokens").alias("length"), F.filter("tokens", lambda x: F.array_contains(known, x)).alias("tokens"))
     # through a generator, so that a filter on what follows does not split the texts a second time below it
-    rows_ = rows.withColumn("tokens", tokens(fields)).select(*rows.columns, F.inline(F.array(found)))
+    rows_ = rows.withColumn("tokens", tokens(rows, fields)).select(*rows.columns, F.inline(F.array(found)))
     counted = rows_.select(*rows.columns, "length", *(_occurrences(w).alias(f"tf_{k}") for k, w in enumerate(own)))
     names = [f"tf_{k}" for k in range(len(own))]
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("average"), *(F.count_if(F.col(x) > 0).alias(f"df_{k}") for k, x in enumerate(names)))
@@ -128,18 +98,44 @@ def exact(rows: DataFrame, query: str, limit: int) -> DataFrame:
 
 
 def ranked(rows: DataFrame, query: str, domain: str | None, include_stale: bool, limit: int, index: Index | None = None) -> DataFrame:
-    """(id, relevance, lane, position): the ``limit`` best by BM25, relevance from score and rank.
-
-    The window runs over ``limit`` rows at most, after the sort with limit."""
+    """(id, relevance, lane, position): the ``limit`` best by BM25, relevance from score and rank."""
     terms = query_terms(query)
     if not terms:
         return rows.where("false").select("id", F.lit(1.0).alias("relevance"), F.lit(1).alias("lane"), F.lit(0).alias("position"))
-    live = bm25(rows.where("status <> 'expired'"), terms, index=index).where(visible(domain, include_stale))
-    top = live.withColumn("rounded", F.round("bm25", 9)).orderBy(F.desc("rounded"), "doc_id").limit(limit)
-    top = top.withColumn("position", F.row_number().over(Window.orderBy(F.desc("rounded"), "doc_id")) - 1)
-    most = F.max("bm25").over(Window.partitionBy())
-    relevance = 0.65 * F.when(most > 0, F.col("bm25") / most).otherwise(F.lit(0.0)) + 0.35 / (1 + F.col("position") * 0.12)
-    return top.select("id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), relevance)).alias("relevance"), F.lit(1).alias("lane"), "position")
+    live = rows.where(visible(domain, include_stale))
+    if index is not None:
+        asked = rows.sparkSession.createDataFrame([(0, w) for w in terms], "q int, term string")
+        top = index.best(asked, live, limit, tie="doc_id", own=sorted(set(terms)))
+    else:
+        found = bm25(rows.where("status <> 'expired'"), terms).where(visible(domain, include_stale))
+        top = found.withColumn("rounded", F.round("bm25", 9)).orderBy(F.desc("rounded"), "doc_id").limit(limit)
+        top = top.withColumn("position", F.row_number().over(Window.orderBy(F.desc("rounded"), "doc_id")) - 1).withColumn("q", F.lit(0))  # of ``limit`` rows
+    return relevant(top).select("id", "relevance", F.lit(1).alias("lane"), "position")
+
+
+def relevant(top: DataFrame) -> DataFrame:
+    """``top`` (q, bm25, position, …) with ``relevance``: the score as a share of the question's best, and the place."""
+    most = F.max("bm25").over(Window.partitionBy("q"))
+    share = 0.65 * F.when(most > 0, F.col("bm25") / most).otherwise(F.lit(0.0)) + 0.35 / (1 + F.col("position") * 0.12)
+    return top.withColumn("relevance", F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
+
+
+def search_questions(rows: DataFrame, questions: DataFrame, as_of: str, index: Index, limit: int = 8) -> DataFrame:
+    """(q, rank, id, score, relevance): ``search`` for every row of ``questions`` (q, query, and domain, null for all) in one job.
+
+    Exact titles and ranked rows of each question meet by question; a question that is blank or too long finds none."""
+    limit = min(50, max(1, limit))
+    asked = questions.where(refusal(F.col("query")).isNull()).select("q", "query", "domain")
+    live = rows.where(visible(None))
+    title = F.lower(F.trim("title"))
+    same = live.select("id", "updated_at", title.alias("title"), F.col("domain").alias("own")).join(asked.select("q", "domain", F.lower(F.trim("query")).alias("title")), "title").where(F.col("domain").isNull() | (F.col("domain") == F.col("own")))
+    place = Window.partitionBy("q").orderBy(F.desc("updated_at"), "id")
+    titled = same.withColumn("nr", F.row_number().over(place)).where(F.col("nr") <= limit).select("q", "id", F.lit(1.0).alias("relevance"), F.lit(0).alias("lane"), (F.col("nr") - 1).alias("position"))
+    best = relevant(index.best(question_terms(asked, "q", "query", "domain"), live, limit * 5, tie="doc_id")).select("q", "id", "relevance", F.lit(1).alias("lane"), "position")
+    first = titled.union(best).groupBy("q", "id").agg(F.min(F.struct("lane", "position", "relevance")).alias("c")).select("q", "id", "c.*")
+    scored = first.join(live.select("id", "updated_at", "mem_type", "confidence", "confirmation_count", "status"), "id").withColumn("score", composite(as_of))
+    order = Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "lane", "position")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("q", "rank", "id", "score", "relevance")
 
 
 def age_days(c: Column, as_of: str) -> Column:
@@ -187,19 +183,40 @@ def search(rows: DataFrame, query: str, as_of: str, domain: str | None = None, i
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def _pool(chunks: DataFrame, imports: DataFrame) -> DataFrame:
+    usable = imports.where("extraction_quality_status <> 'failed'").select(F.col("id").alias("import_id"))
+    return chunks.join(usable, "import_id", "left_semi")
+
+
+def _rescored(pool: DataFrame, asked: Column, limit: int) -> DataFrame:
+    """The ``limit`` best of each question's pool (q, id, import_id, position, body) by the share of its terms ``asked`` that they cover."""
+    coverage = F.when(F.size(asked) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(asked, text.term_set(F.col("body")))) / F.size(asked))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.72 * coverage + 0.28 / (1 + F.col("position") * 0.18)))
+    order = Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "position")
+    return pool.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("q", "rank", "id", "import_id", "score")
+
+
 def passages(chunks: DataFrame, imports: DataFrame, query: str, domain: str, limit: int = 8, index: Index | None = None) -> DataFrame:
     """(id, import_id, score): passages by BM25, rescored by the share of query terms they cover."""
     terms = query_terms(query)
-    usable = imports.where("extraction_quality_status <> 'failed'").select(F.col("id").alias("import_id"))
     if not terms:
         return chunks.where("false").select("id", "import_id", F.lit(0.0).alias("score"))
-    hits = bm25(chunks, terms, ("body",), index).where(F.col("domain") == domain).join(usable, "import_id", "left_semi")
-    hits = hits.withColumn("rounded", F.round("bm25", 9)).orderBy(F.desc("rounded"), "id").limit(limit * 4)
-    hits = hits.withColumn("position", F.row_number().over(Window.orderBy(F.desc("rounded"), "id")) - 1)
-    asked = text.term_set(F.lit(query))
-    coverage = F.when(F.size(asked) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(asked, text.term_set(F.col("body")))) / F.size(asked))
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.72 * coverage + 0.28 / (1 + F.col("position") * 0.18)))
-    return hits.select("id", "import_id", score.alias("score"), "position").orderBy(F.desc(F.round("score", 9)), "position").limit(limit).drop("position")
+    if index is not None:
+        asked = chunks.sparkSession.createDataFrame([(0, w) for w in terms], "q int, term string")
+        top = index.best(asked, _pool(chunks, imports).where(F.col("domain") == domain), limit * 4, own=sorted(set(terms)))
+        hits = chunks.select("id", "import_id", "body").join(F.broadcast(top), "id")  # at most 4 * limit rows
+    else:
+        hits = _pool(bm25(chunks, terms, ("body",)).where(F.col("domain") == domain), imports).withColumn("rounded", F.round("bm25", 9)).orderBy(F.desc("rounded"), "id").limit(limit * 4)
+        hits = hits.withColumn("position", F.row_number().over(Window.orderBy(F.desc("rounded"), "id")) - 1).withColumn("q", F.lit(0))
+    return _rescored(hits, text.term_set(F.lit(query)), limit).orderBy("rank").select("id", "import_id", "score")
+
+
+def passage_questions(chunks: DataFrame, imports: DataFrame, questions: DataFrame, index: Index, limit: int = 8) -> DataFrame:
+    """(q, rank, id, import_id, score): ``passages`` for every row of ``questions`` (q, query, and domain, null for all) in one job."""
+    asked = questions.where(refusal(F.col("query")).isNull()).select("q", "query", "domain")
+    top = index.best(question_terms(asked, "q", "query", "domain"), _pool(chunks, imports), limit * 4)
+    hits = top.join(chunks.select("id", "import_id", "body"), "id").join(asked.select("q", text.term_set(F.col("query")).alias("asked")), "q")
+    return _rescored(hits, F.col("asked"), limit)
 
 
 def excerpt(body: Column, question: Column, most: int = 420) -> Column:

@@ -29,14 +29,31 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @property
+    def _input(self) -> str:
+        return hashlib.sha256(self.sf_dir.encode()).hexdigest()[:16]
+
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table made of this input, stored once for the application."""
+        from noctua.sources.tables import kept
+
+        return kept(self.spark, f"{name}-{self._input}", make)
+
     def index(self, name: str, fields: tuple[str, ...], live: str = "true"):
         """The search index of the rows of a model table that are ``live``, built once for the application."""
-        from noctua.operators import search
-        from noctua.sources.tables import kept
+        from noctua.operators.index import Index
+        from noctua.sources.tables import kept_dir
+
+        folder = f"{kept_dir(self.spark)}/index-{name}-{self._input}"
+        return Index(self.spark, folder) if Index.there(self.spark, folder) else Index.build(getattr(self, name).where(live), folder, fields)
+
+    def scratch(self, name: str) -> str:
+        """A new folder beside the kept tables."""
+        import uuid
+
+        from noctua.sources.tables import kept_dir
 
-        rows = lambda: getattr(self, name).where(live)
-        at = f"index-{name}-{hashlib.sha256(self.sf_dir.encode()).hexdigest()[:16]}"
-        return search.Index(kept(self.spark, f"{at}/postings", lambda: search.ordered_postings(rows(), fields)), kept(self.spark, f"{at}/figures", lambda: search.figures(rows(), fields)))
+        return f"{kept_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
 
     def __getattr__(self, name: str) -> DataFrame:
         from noctua.sources import driver

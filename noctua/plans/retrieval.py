@@ -14,6 +14,7 @@ QUERY = "That it was this with for erhant"
 SHORT = "that it."
 AS_OF = dims.AS_OF
 _SPLIT = r"'[^\p{L}\p{N}]+'"
+_FIELDS = ("title", "summary", "body", "array_to_string(tags, ' ')")
 
 
 def sql_list(words) -> str:
@@ -67,14 +68,14 @@ def _passages(t):
 
 
 _RANKED = (
-    bm25("(SELECT * FROM x_memories WHERE status <> 'expired')", "id", "{q}", "title", "summary", "body")
+    bm25("(SELECT * FROM x_memories WHERE status <> 'expired')", "id", "{q}", *_FIELDS)
     + """, top AS (SELECT id, bm25, row_number() OVER (ORDER BY round(bm25, 9) DESC, doc_id) - 1 AS position FROM hits JOIN x_memories USING (id) WHERE {where} ORDER BY position LIMIT 40),
 rel AS (SELECT id, greatest(0, least(1, 0.65 * bm25 / max(bm25) OVER () + 0.35 / (1 + 0.12 * position))) AS relevance, 1 AS lane, position FROM top)"""
 )
 
 
 def _ranked(q: str, where: str = "true") -> str:
-    return bm25("(SELECT * FROM x_memories WHERE status <> 'expired')", "id", q, "title", "summary", "body") + _RANKED[_RANKED.index(", top AS") :].replace("{where}", where)
+    return bm25("(SELECT * FROM x_memories WHERE status <> 'expired')", "id", q, *_FIELDS) + _RANKED[_RANKED.index(", top AS") :].replace("{where}", where)
 
 
 @query("A3_bm25_lane", with_("memories") + _ranked(QUERY, "domain = 'work'") + "SELECT id, round(relevance, 6) AS relevance, position FROM rel")
@@ -82,6 +83,82 @@ def a3(t):
     return search.ranked(t.memories, QUERY, "work", True, 40, _memories(t)).select("id", F.round("relevance", 6).alias("relevance"), F.col("position").cast("bigint").alias("position"))
 
 
+@query("A3_tag_lane", with_("memories") + _ranked("shelf 13", "true") + "SELECT id, round(relevance, 6) AS relevance, position FROM rel")
+def a3_tags(t):
+    """Words that memories hold in their tags only."""
+    return search.ranked(t.memories, "shelf 13", None, True, 40, _memories(t)).select("id", F.round("relevance", 6).alias("relevance"), F.col("position").cast("bigint").alias("position"))
+
+
+def many(source: str, key: str, *cols: str) -> str:
+    """Subqueries ask (q, query, domain) to hits (q, key, bm25) over a subquery, for the items of ``benchmark`` as questions."""
+    return f""", ask AS (SELECT item_id AS q, left(text, 1000) AS query, {_DOMAIN} AS domain FROM benchmark), qt AS (SELECT q, term, count(*) AS times FROM
+ (SELECT q, strip_accents(unnest(list_filter({terms("query", 2)}, lambda t: NOT list_contains({sql_list(dims.SEARCH_STOPWORDS)}, t)))) AS term FROM ask) GROUP BY ALL),
+tok AS (SELECT {key}, {index_tokens(*cols)} AS tokens FROM {source}), stat AS (SELECT count(*) AS n, avg(len(tokens)) AS average FROM tok),
+tf AS (SELECT {key}, dl, term, count(*) AS tf FROM (SELECT {key}, len(tokens) AS dl, unnest(tokens) AS term FROM tok) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+hits AS (SELECT q, {key}, sum(times * greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / average))) AS bm25 FROM qt JOIN tf USING (term) JOIN df USING (term), stat GROUP BY q, {key})"""
+
+
+_DOMAIN = f"CASE WHEN item_id % 2 = 0 THEN {sql_list(dims.DOMAINS)}[(item_id % 6 + 1)::INT] END"
+_LIVE = "(SELECT * FROM x_memories WHERE status <> 'expired')"
+
+
+def _questions(t):
+    """The items of ``benchmark`` as questions, every second one in one domain only."""
+    domain = F.when(F.col("item_id") % 2 == 0, F.element_at(F.array(*map(F.lit, dims.DOMAINS)), (F.col("item_id") % 6 + 1).cast("int")))
+    return t.benchmark.select(F.col("item_id").alias("q"), F.left("text", F.lit(1000)).alias("query"), domain.alias("domain"))
+
+
+_MANY_RANKED = many(_LIVE, "id", *_FIELDS) + """, top AS (SELECT q, id, bm25, row_number() OVER (PARTITION BY q ORDER BY round(bm25, 9) DESC, doc_id) - 1 AS position FROM hits JOIN x_memories USING (id) JOIN ask USING (q)
+ WHERE ask.domain IS NULL OR ask.domain = x_memories.domain QUALIFY position < 40)"""
+
+
+@query("A3_questions", with_("memories") + _MANY_RANKED + " SELECT q, id, position, round(bm25, 6) AS bm25 FROM top")
+def a3_questions(t):
+    """The ranked lane of all questions in one job."""
+    asked = search.question_terms(_questions(t), "q", "query", "domain")
+    found = _memories(t).best(asked, t.memories.where(search.visible(None)), 40, tie="doc_id")
+    return found.select("q", "id", F.col("position").cast("bigint").alias("position"), F.round("bm25", 6).alias("bm25"))
+
+
+@query(
+    "A8_questions",
+    with_("chunks", "imports")
+    + many("x_chunks", "id", "body")
+    + f""", pool AS (SELECT q, id, import_id, body, query, row_number() OVER (PARTITION BY q ORDER BY round(bm25, 9) DESC, id) - 1 AS position FROM hits JOIN x_chunks USING (id) JOIN ask USING (q)
+ WHERE (ask.domain IS NULL OR ask.domain = x_chunks.domain) AND import_id IN (SELECT id FROM x_imports WHERE extraction_quality_status <> 'failed') QUALIFY position < 32),
+s AS (SELECT *, greatest(0, least(1, 0.72 * coalesce(len(list_intersect({term_set("query")}, {term_set("body")})) / nullif(len({term_set("query")}), 0), 0) + 0.28 / (1 + 0.18 * position))) AS score FROM pool)
+SELECT q, id, import_id, round(score, 6) AS score, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, position) AS rank FROM s QUALIFY rank <= 8""",
+)
+def a8_questions(t):
+    """Passages for all questions in one job."""
+    found = search.passage_questions(t.chunks, t.imports, _questions(t), _passages(t))
+    return found.select("q", F.col("rank").cast("bigint").alias("rank"), "id", "import_id", F.round("score", 6).alias("score"))
+
+
+_AFTER = """, x_after AS (SELECT * REPLACE (CASE WHEN doc_id % 4 = 0 THEN 'erhant for ' || doc_id ELSE title END AS title, CASE WHEN doc_id % 4 = 0 THEN ['moved'] ELSE tags END AS tags) FROM x_memories WHERE status <> 'expired' AND doc_id % 10 <> 3)"""
+
+
+@query(
+    "S18_index_followed",
+    with_("memories")
+    + _AFTER
+    + bm25("x_after", "id", QUERY + " moved", *_FIELDS)
+    + " SELECT id, round(bm25, 6) AS bm25, row_number() OVER (ORDER BY round(bm25, 9) DESC, doc_id) - 1 AS position FROM hits JOIN x_after USING (id) QUALIFY position < 40",
+)
+def s18_index(t):
+    """A search after memories came, changed and went: the index has followed by segments of what changed."""
+    from noctua.operators.index import Index
+
+    live = t.memories.where("status <> 'expired'")
+    index = Index.build(live.where("doc_id % 9 <> 4"), t.scratch("followed"), search.FIELDS).changed(live.where("doc_id % 9 = 4"))
+    new = live.where("doc_id % 4 = 0 AND doc_id % 10 <> 3").withColumns({"title": F.concat(F.lit("erhant for "), F.col("doc_id").cast("string")), "tags": F.array(F.lit("moved"))})
+    index = index.changed(new, live.where("doc_id % 10 = 3").select("id"))
+    words = search.query_terms(QUERY + " moved")
+    asked = t.spark.createDataFrame([(0, w) for w in words], "q int, term string")
+    found = index.best(asked, live.where("doc_id % 10 <> 3"), 40, tie="doc_id", own=sorted(set(words)))
+    return found.select("id", F.round("bm25", 6).alias("bm25"), F.col("position").cast("bigint").alias("position"))
+
+
 _HALF = "CASE mem_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in dims.HALF_LIFE.items()) + " ELSE 180 END"
 _AGE = f"CASE WHEN contains(updated_at, 'T') THEN trunc(epoch(TIMESTAMP '{AS_OF}' - replace(replace(updated_at, 'T', ' '), 'Z', '')::TIMESTAMP) / 86400)::BIGINT ELSE date_diff('day', updated_at::DATE, DATE '{AS_OF}') END"
 _RECENCY, _TRUST = f"exp(-ln(2) * age / {_HALF})", "confidence * least(1, 0.6 + 0.1 * confirmation_count)"
@@ -236,9 +313,9 @@ def b6(t):
     return verify.answers(verify.accepted(_claims(t), e), e)
 
 
-@query("G17_term_frequencies", with_("memories") + f"SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM (SELECT id, unnest({index_tokens('title', 'summary', 'body')}) AS term FROM x_memories) GROUP BY term HAVING df >= 20")
+@query("G17_term_frequencies", with_("memories") + f"SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM (SELECT id, unnest({index_tokens(*_FIELDS)}) AS term FROM x_memories) GROUP BY term")
 def g17(t):
-    return search.corpus_stats(t.memories).where("df >= 20")
+    return search.corpus_stats(t.memories)
 
 
 @query("G18_citation_figures", _CLAIMS + " SELECT question_id, round(avg(score), 6) AS average, count(DISTINCT path) AS sources FROM (SELECT DISTINCT question_id, unnest(citations) AS number FROM ok) JOIN e USING (question_id, number) GROUP BY 1")
@@ -247,7 +324,7 @@ def g18(t):
     return used.groupBy("question_id").agg(F.round(F.avg("score"), 6).alias("average"), F.count_distinct("path").alias("sources"))
 
 
-@query("J1_hits_with_memories", with_("memories") + bm25("(SELECT * FROM x_memories WHERE status <> 'expired')", "id", SHORT, "title", "summary", "body") + " SELECT id, title, domain, round(bm25, 6) AS bm25 FROM hits JOIN x_memories USING (id)")
+@query("J1_hits_with_memories", with_("memories") + bm25("(SELECT * FROM x_memories WHERE status <> 'expired')", "id", SHORT, *_FIELDS) + " SELECT id, title, domain, round(bm25, 6) AS bm25 FROM hits JOIN x_memories USING (id)")
 def j1(t):
     return search.bm25(t.memories.where("status <> 'expired'"), search.query_terms(SHORT), index=_memories(t)).select("id", "title", "domain", F.round("bm25", 6).alias("bm25"))
 

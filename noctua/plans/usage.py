@@ -224,7 +224,7 @@ def j3(t):
 
 @query("J4_imports_without_chunks", with_("imports", "chunks") + "SELECT i.id FROM x_imports i LEFT JOIN x_chunks c ON c.import_id = i.id WHERE extraction_quality_status <> 'failed' GROUP BY i.id HAVING count(c.id) = 0")
 def j4(t):
-    return t.imports.where("extraction_quality_status <> 'failed'").select("id").join(t.chunks.select(F.col("import_id").alias("id")), "id", "left_anti")
+    return t.imports.where("extraction_quality_status <> 'failed'").select("id").join(t.chunked_imports.select(F.col("import_id").alias("id")), "id", "left_anti")
 
 
 def _files(t):

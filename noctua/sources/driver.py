@@ -42,6 +42,7 @@ def memories(t) -> DataFrame:
         F.when(F.expr("doc_id % 5 in (0, 2, 3)"), F.when(F.expr("doc_id % 5 = 0"), 180).otherwise(365)).cast("bigint").alias("stale_after_days"),
         (F.col("doc_id") % 6).alias("confirmation_count"),
         F.when(F.col("doc_id") % 7 == 0, "stale").when(F.col("doc_id") % 11 == 0, "expired").otherwise("active").alias("status"),
+        F.array(F.concat(F.lit("shelf-"), (F.col("doc_id") % 97).cast("string")), F.concat(F.lit("lang "), "lang")).alias("tags"),
         "lang",
         "source",
     )
@@ -111,7 +112,16 @@ def proposals(t) -> DataFrame:
 
 
 def chunks(t) -> DataFrame:
-    """Source passages: whole documents cut into passages (C7), each document as if of the import of the same number."""
+    """Source passages: whole documents cut into passages (C7), each document as if of the import of the same number. They are cut once and stored."""
+    return t.kept("chunks", lambda: _cut(t))
+
+
+def chunked_imports(t) -> DataFrame:
+    """(import_id) of the passages, repeats kept: a text that is not blank has one at least, so nothing is cut."""
+    return t.documents.where(F.col("text").rlike(r"[^\s\x00]")).select(F.expr("doc_id % 300").alias("import_id"))
+
+
+def _cut(t) -> DataFrame:
     cut = chunked(t.documents.select("doc_id", "source", "text"))
     return cut.select(
         (F.col("doc_id") * 100_000 + F.col("chunk_index")).alias("id"), F.expr("doc_id % 300").alias("import_id"), _pick(dims.DOMAINS, "cast(substr(source, 4) as int) % 6").alias("domain"), F.col("chunk").alias("body")
@@ -189,7 +199,7 @@ SQL = {
  CASE WHEN toxic = 1 THEN 'sensitive' ELSE 'normal' END AS sensitivity, CASE WHEN quality = 1 THEN 0.9::DOUBLE WHEN quality = 0 THEN 0.4::DOUBLE ELSE 0.7::DOUBLE END AS confidence,
  {_WHEN.format(d=_DAY)} AS updated_at, {_WHEN.format(d=_DAY + " - 30")} AS created_at, CASE WHEN doc_id % 3 = 0 THEN {_WHEN.format(d=_DAY + " - 10")} END AS last_confirmed_at,
  CASE WHEN doc_id % 5 = 4 THEN strftime({_DAY} + 90, '%Y-%m-%d') END AS expires_at, (CASE WHEN doc_id % 5 = 0 THEN 180 WHEN doc_id % 5 IN (2, 3) THEN 365 END)::BIGINT AS stale_after_days,
- doc_id % 6 AS confirmation_count, CASE WHEN doc_id % 7 = 0 THEN 'stale' WHEN doc_id % 11 = 0 THEN 'expired' ELSE 'active' END AS status, lang, source
+ doc_id % 6 AS confirmation_count, CASE WHEN doc_id % 7 = 0 THEN 'stale' WHEN doc_id % 11 = 0 THEN 'expired' ELSE 'active' END AS status, ['shelf-' || (doc_id % 97), 'lang ' || lang] AS tags, lang, source
  FROM documents LEFT JOIN labels USING (doc_id)""",
     "threads": """SELECT event_id AS id, '/home/u/ws/p' || (user_id % 40) AS cwd, event_type AS title, epoch_us(ts) // 1000000 AS updated_at, CASE WHEN event_id % 3 <> 0 THEN epoch_us(ts) // 1000 END AS updated_at_ms,
  floor(abs(value))::BIGINT AS tokens_used, CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type END AS model, (event_id % 4 = 0)::INT AS archived FROM events""",

@@ -19,6 +19,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if it is missing."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in files.listStatus(hadoop)] if files.exists(hadoop) else []
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``). Where it is unset, a local session gets a
     temporary one; a cluster has no folder that all its machines see, so there it is an error."""
@@ -32,9 +44,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def kept_dir(spark: SparkSession) -> str:
+    """The application's own folder in the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/noctua/{spark.sparkContext.applicationId}"
+
+
 def kept(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """A table that is made once for the application, under a name that tells its input, and read from the shared folder."""
-    path = f"{shared_dir(spark).rstrip('/')}/noctua/{spark.sparkContext.applicationId}/{name}"
+    path = f"{kept_dir(spark)}/{name}"
     if not exists(spark, f"{path}/_SUCCESS"):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

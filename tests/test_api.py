@@ -107,3 +107,25 @@ def test_import_to_candidates(spark):
     assert (got[1].status, got[1].candidates, got[1].chunks) == ("pending", 2, 1)
     assert (got[2].status, got[2].refusal) == ("rejected", "secrets") and got[3].refusal == "empty"
     assert store(spark).memory_import_candidates(raw).count() == 2
+
+
+def test_a_store_with_a_folder_keeps_indexes_and_passages(spark, tmp_path):
+    s = store(spark)
+    s.folder = f"file://{tmp_path}/kept"
+    m = s["memories"].withColumn("tags", F.when(F.col("id") == "m2", F.array(F.lit("canteen"))))
+    s.tables["memories"] = m
+    assert [r.id for r in s.memory_search("canteen").collect()] == ["m2"]
+    s.tables["memories"] = m.withColumn("title", F.when(F.col("id") == "m2", "Supper").otherwise(F.col("title"))).withColumn("tags", F.lit(None).cast("array<string>")).withColumn("status", F.when(F.col("id") == "m1", "expired").otherwise(F.col("status")))
+    index = s.memory_index_changed(spark.createDataFrame([("m1",), ("m2",)], "id string"))
+    assert index.n == 1 and [r.id for r in s.memory_search("supper").collect()] == ["m2"] and s.memory_search("gateway").count() == s.memory_search("canteen").count() == 0
+    asked = spark.createDataFrame([(1, "supper", "work"), (2, "supper", "finance")], "q int, query string, domain string")
+    assert [(r.q, r.id) for r in s.memory_search_questions(asked).collect()] == [(1, "m2")]
+    s.tables["imports"] = s["imports"].union(spark.createDataFrame([(8, "work", "T", "Renewed gateway tokens of import eight", "text", "passed", DAY)], s["imports"].schema))
+    first = {r.path for r in s.memory_evidence("gateway tokens", "work").collect()}
+    files = set(spark.read.parquet(f"{s.folder}/passages").inputFiles())
+    assert first == {"import/7", "import/8"} and {r.path for r in s.memory_evidence("gateway tokens", "work").collect()} == first
+    assert set(spark.read.parquet(f"{s.folder}/passages").inputFiles()) == files
+    s.folder = None
+    assert {r.path for r in s.memory_evidence("gateway tokens", "work").collect()} == first
+    with pytest.raises(ValueError):
+        s.memory_search_questions(asked)

@@ -126,19 +126,3 @@ def test_unsupported_uncited_or_late_claims_are_dropped(spark):
 def test_json_is_found_in_prose(spark):
     df = spark.createDataFrame([("Here:\n```json\n{\"claims\": [{}]}\n``` done",), ("none",)], "s string")
     assert [r.j for r in df.select(verify.json_object(F.col("s")).alias("j")).collect()] == ['{"claims": [{}]}', None]
-
-
-def test_a_search_on_the_index_equals_one_on_the_texts(spark):
-    from noctua.plans.base import Tables
-
-    t = Tables(spark, "/root/testdata/sf0.001")
-    live, index = t.memories.where("status <> 'expired'"), t.index("memories", search.FIELDS, "status <> 'expired'")
-    for query in ("that it was this with for", "erhant erhant the", "nothingofthekind"):
-        terms = search.query_terms(query) or ["erhant"]
-        both = ({r.id: round(r.bm25, 9) for r in search.bm25(live, terms, index=x).collect()} for x in (None, index))
-        assert next(both) == next(both)
-    assert search.figures(live).first() == index.figures.first() and index.postings.count() == search.postings(live).count()
-    again = t.index("memories", search.FIELDS, "status <> 'expired'")
-    assert again.postings.inputFiles() == index.postings.inputFiles()
-    plan = index.postings.where("term IN ('the', 'of')")._jdf.queryExecution().executedPlan().toString()
-    assert "In(term" in plan.split("PushedFilters")[1]
