@@ -23,6 +23,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from noctua.functions import text
 from noctua.sources.tables import children, deleted, exists
@@ -31,8 +33,30 @@ K1, B = 1.2, 0.75
 #: Documents of a block; deltas that are read beside the first segment; blocks that a question opens first, for eight rows that it wants.
 BLOCK, MOST_SEGMENTS, FIRST_BLOCKS = 128, 8, 1
 
-_ENTRY = pa.struct([("doc", pa.int32()), ("length", pa.int32()), ("tf", pa.list_(pa.int32()))])
-_RAW = "term string, block bigint, n int, most array<int>, least int, entries array<struct<doc:int,length:int,tf:array<int>>>, ids array<string>, lengths array<int>"
+#: Questions that are scored together; blocks of one scoring group; blocks of an index so small that bounds don't pay.
+ASKED, SPAN, SMALL = 1024, 32, 512
+
+
+def _entry(n_fields: int) -> np.dtype:
+    """An entry of a posting: the document's number in its block, its length, and the counts in each field."""
+    return np.dtype([("doc", "<u2"), ("length", "<u4"), ("tf", "<u4", (n_fields,))])
+
+
+def _most(n_fields: int) -> list[str]:
+    return [f"most_{k}" for k in range(n_fields)]
+
+
+def _packed(records: np.ndarray, edge: np.ndarray) -> pa.Array:
+    """Runs of records that begin at ``edge``, as binary values."""
+    off = np.append(edge, len(records)).astype(np.int32) * np.int32(records.dtype.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(np.ascontiguousarray(records).tobytes())])
+
+
+def _unpacked(column: pa.Array, n_fields: int) -> tuple[np.ndarray, np.ndarray]:
+    """All records of a column, and how many each value holds."""
+    values = column.to_pylist()
+    records = np.frombuffer(b"".join(values), _entry(n_fields))
+    return records, np.array([len(v) for v in values], np.int64) // records.dtype.itemsize
 
 
 def folded(rows: DataFrame, field: str) -> Column:
@@ -61,27 +85,22 @@ def _blocks(n_fields: int, block: int):
         code, doc, field = (np.concatenate(x) for x in (codes, docs, fields))
         length = np.bincount(doc, minlength=n)
         key, count = np.unique(((doc // block) * len(names) + code) * block + doc % block, return_inverse=True)
-        tf = np.bincount(count * n_fields + field, minlength=len(key) * n_fields).reshape(-1, n_fields).astype(np.int32)
-        run, own = key // block, (key % block).astype(np.int32)
+        tf = np.bincount(count * n_fields + field, minlength=len(key) * n_fields).reshape(-1, n_fields)
+        run, own = key // block, key % block
         edge = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else np.zeros(0, np.int64)
         at = (run // max(len(names), 1)) * block + own
-        size = length[at].astype(np.int32)
-        lists = lambda values, k: pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * k), pa.array(np.ascontiguousarray(values).ravel(), pa.int32()))
-        entry = pa.StructArray.from_arrays([pa.array(own), pa.array(size), lists(tf, n_fields)], fields=list(_ENTRY))
-        entries = pa.ListArray.from_arrays(pa.array(np.append(edge, len(run)).astype(np.int32)), entry)
+        records = np.zeros(len(run), _entry(n_fields))
+        records["doc"], records["length"], records["tf"] = own, length[at], tf
         most = np.maximum.reduceat(tf, edge) if len(edge) else tf
-        least = np.minimum.reduceat(size, edge) if len(edge) else size
+        least = np.minimum.reduceat(length[at], edge) if len(edge) else length[at]
         blocks = np.arange(-(-n // block))
-        bounds = np.append(blocks * block, n).astype(np.int32)
-        none = pa.nulls(len(blocks))
-        ids = pa.ListArray.from_arrays(pa.array(bounds), batch.column(0))
-        lengths = pa.ListArray.from_arrays(pa.array(bounds), pa.array(length, pa.int32()))
-        own_rows = [
-            names.take(pa.array(run[edge] % max(len(names), 1))), pa.array(first + run[edge] // max(len(names), 1)), pa.array(np.diff(np.append(edge, len(run))), pa.int32()), lists(most, n_fields), pa.array(least, pa.int32()), entries,
-            pa.nulls(len(edge), ids.type), pa.nulls(len(edge), lengths.type),
-        ]
-        doc_rows = [none.cast(pa.string()), pa.array(first + blocks), none.cast(pa.int32()), none.cast(lengths.type), none.cast(pa.int32()), pa.nulls(len(blocks), entries.type), ids, lengths]
-        return pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]) for a, b in zip(own_rows, doc_rows, strict=True)], names=["term", "block", "n", "most", "least", "entries", "ids", "lengths"])
+        bounds = pa.array(np.append(blocks * block, n).astype(np.int32))
+        word = names.take(pa.array(run[edge] % max(len(names), 1)))
+        counts = [np.diff(np.append(edge, len(run))), *most.T, least]
+        ids, lengths = pa.ListArray.from_arrays(bounds, batch.column(0)), pa.ListArray.from_arrays(bounds, pa.array(length, pa.int32()))
+        own_rows = [word, pa.array(first + run[edge] // max(len(names), 1)), *(pa.array(x, pa.int32()) for x in counts), _packed(records, edge), pa.nulls(len(edge), ids.type), pa.nulls(len(edge), lengths.type)]
+        doc_rows = [pa.nulls(len(blocks), pa.string()), pa.array(first + blocks), *(pa.nulls(len(blocks), pa.int32()) for _ in counts), pa.nulls(len(blocks), pa.binary()), ids, lengths]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(own_rows, doc_rows, strict=True)], names=["term", "block", "n", *_most(n_fields), "least", "entries", "ids", "lengths"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -132,7 +151,15 @@ class Index:
         old.groupBy("segment", "block").agg(F.array_sort(F.collect_list("doc")).alias("gone")).write.parquet(f"{path}/void")
         void = self.spark.read.parquet(f"{path}/void")
         # what becomes void takes its counts off: a pass over postings, whose blocks meet the few that lose documents
-        dead = self.raw_postings().join(void, ["segment", "block"]).select("term", F.size(F.filter("entries", lambda e: F.array_contains("gone", e["doc"]))).alias("dead")).where("dead > 0")
+        n_fields = len(self.fields)
+
+        def lost_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    _, row, gone = _gone(batch, n_fields)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(row[gone], minlength=batch.num_rows))], names=["term", "dead"])
+
+        dead = self.raw_postings().join(void, ["segment", "block"]).select("term", "entries", "gone").mapInArrow(lost_of, "term string, dead bigint").where("dead > 0")
         dead.groupBy("term").agg((-F.sum("dead")).alias("df")).write.mode("append").parquet(f"{path}/terms")
         lost = old.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total")).first()
         now = [(r.segment, r.n, r.total, list(self.fields)) for r in self._rows]
@@ -143,8 +170,7 @@ class Index:
         """One segment with the live rows of all; blocks keep their documents and bounds, less what is void."""
         name = _name()
         path = f"{self.folder}/{name}"
-        live = self.live_postings().select("term", "segment", "block", F.size("entries").cast("int").alias("n"), *_bounds("entries", len(self.fields)), "entries")
-        _sorted(live).write.parquet(f"{path}/postings")
+        _sorted(self.live_postings()).write.parquet(f"{path}/postings")
         self.docs().write.parquet(f"{path}/docs")
         self.terms().write.parquet(f"{path}/terms")
         return _commit(self.spark, self.folder, [(name, self.n, self.total, list(self.fields))])
@@ -168,13 +194,26 @@ class Index:
         out = self._each("postings")
         return out if terms is None else out.where(F.col("term").isin(list(terms)))
 
-    def live_postings(self, terms: Sequence[str] | None = None) -> DataFrame:
-        """Postings without what is void; rows without entries go."""
-        out = self.raw_postings(terms)
+    def live_postings(self) -> DataFrame:
+        """Postings without what is void, with their bounds; rows without entries go."""
+        out, n_fields = self.raw_postings(), len(self.fields)
         if len(self.segments) == 1:
             return out
-        left = F.when(F.col("gone").isNull(), F.col("entries")).otherwise(F.filter("entries", lambda e: ~F.array_contains("gone", e["doc"])))
-        return out.join(self.void(), ["segment", "block"], "left").withColumn("entries", left).drop("gone").where(F.size("entries") > 0)
+        names = ["term", "segment", "block", "n", *_most(n_fields), "least", "entries"]
+
+        def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                records, row, gone = _gone(batch, n_fields)
+                records, row = records[~gone], row[~gone]
+                edge = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+                there = pa.array(row[edge])
+                counts = [np.diff(np.append(edge, len(row)))]
+                counts += [*np.maximum.reduceat(records["tf"], edge).T, np.minimum.reduceat(records["length"], edge)] if len(edge) else [row] * (n_fields + 1)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(there) for k in range(3)), *(pa.array(x.astype(np.int32)) for x in counts), _packed(records, edge)], names=names)
+
+        kinds = "term string, segment string, block bigint, n int, " + ", ".join(f"{x} int" for x in _most(n_fields)) + ", least int, entries binary"
+        touched = out.join(self.void(), ["segment", "block"], "left").select("term", "segment", "block", "entries", "gone")
+        return touched.mapInArrow(left, kinds)
 
     def terms(self, own: Sequence[str] | None = None) -> DataFrame:
         """(term, df) of the live rows."""
@@ -191,10 +230,8 @@ class Index:
     def _idf(self) -> Column:
         return F.greatest(F.ln((F.lit(float(self.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
 
-    def _gain(self, tf: Column, length: Column, weights: dict[str, float] | None) -> Column:
-        """What a term adds for its counts in the fields, before its weight in the question."""
-        all_ = reduce(lambda a, b: a + b, ((weights or {}).get(f, 1.0) * F.get(tf, F.lit(k)) for k, f in enumerate(self.fields)))
-        return all_ * (K1 + 1) / (all_ + K1 * (1 - B + B * length / F.lit(self.average or 1.0)))
+    def _weights(self, weights: dict[str, float] | None) -> np.ndarray:
+        return np.array([(weights or {}).get(f, 1.0) for f in self.fields])
 
     def asked(self, questions: DataFrame, own: Sequence[str] | None = None) -> DataFrame:
         """(q, term, weight): the terms of ``questions`` (q, term, one row for each occurrence) that the index holds."""
@@ -203,52 +240,119 @@ class Index:
         # the terms of a few questions are a few rows: looked up once, they travel with the plan
         return out if own is None else self.spark.createDataFrame(out.collect(), out.schema)
 
-    def _scored(self, opened: DataFrame, own: Sequence[str] | None, weights: dict[str, float] | None) -> DataFrame:
-        """(q, segment, block, doc, bm25) of all documents that hold a term in the blocks of ``opened`` (q, term, weight, segment, block)."""
-        hit = self.live_postings(own).select("term", "segment", "block", "entries").join(opened, ["term", "segment", "block"]).select("q", "segment", "block", "weight", F.inline("entries"))
-        return hit.groupBy("q", "segment", "block", "doc").agg(F.sum(F.col("weight") * self._gain(F.col("tf"), F.col("length"), weights)).alias("bm25"))
+    def bounds(self, asked: DataFrame, own: Sequence[str] | None, weights: dict[str, float] | None) -> DataFrame:
+        """(q, term, weight, segment, block, bound): the blocks of each question, and what no document of a block can exceed."""
+        heads = self.raw_postings(own).select("term", "segment", "block", *_most(len(self.fields)), "least").join(asked, "term")
+        tf = reduce(lambda a, b: a + b, (F.lit(float(w)) * F.col(x) for w, x in zip(self._weights(weights), _most(len(self.fields)), strict=True)))
+        gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("least") / F.lit(self.average or 1.0)))
+        most = heads.select("q", "term", "weight", "segment", "block", (F.col("weight") * gain).alias("gain"))
+        return most.withColumn("bound", F.sum("gain").over(Window.partitionBy("q", "segment", "block"))).drop("gain")
+
+    def _scored(self, postings: DataFrame, allowed: DataFrame, limits: list[str], k: int | None, weights: dict[str, float] | None, groups: int = 1) -> DataFrame:
+        """(q, id, tie, bm25): of each group of blocks the ``k`` best rows of each question, or all.
+
+        ``postings`` (g, segment, block, entries, qs) has the questions of a group g beside the term's entries, so entries travel
+        once for all of them; ``allowed`` (segment, block, doc, id, tie, limits) has the rows that may be returned."""
+        n_fields, average, per_field, names = len(self.fields), self.average or 1.0, self._weights(weights), limits
+        q_kind = postings.schema["qs"].dataType.elementType["q"].dataType
+        schema = T.StructType([T.StructField("q", q_kind), allowed.schema["id"], allowed.schema["tie"], T.StructField("bm25", T.DoubleType())])
+
+        def score(key: tuple, told: pa.Table, rows: pa.Table) -> pa.Table:
+            if not told.num_rows or not rows.num_rows:
+                return to_arrow_schema(schema).empty_table()
+            # blocks and rows of this group by number; documents that are void or not wanted have no row
+            blocks = {b: i for i, b in enumerate(dict.fromkeys(zip(rows["segment"].to_pylist(), rows["block"].to_pylist(), strict=True)))}
+            of = lambda t: np.array([blocks.get(x, -1) for x in zip(t["segment"].to_pylist(), t["block"].to_pylist(), strict=True)], np.int64)
+            qs = told["qs"].combine_chunks()
+            each, per_row = pc.list_flatten(qs), pc.list_value_length(qs).to_numpy()
+            coded = each.field("q").dictionary_encode()
+            q, weight = coded.indices.to_numpy(), each.field("weight").to_numpy()
+            records, n = _unpacked(told["entries"].combine_chunks(), n_fields)
+            tf = records["tf"] @ per_field
+            gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * records["length"] / average))
+            place = np.full((len(blocks) + 1, 1 + max(pc.max(rows["doc"]).as_py(), int(records["doc"].max()))), -1, np.int64)
+            place[of(rows), rows["doc"].to_numpy()] = np.arange(rows.num_rows)
+            at = place[np.repeat(of(told), n), records["doc"]]  # -1 in the last row too, that of blocks without rows
+            sums, hit = np.zeros((len(coded.dictionary), rows.num_rows)), np.zeros((len(coded.dictionary), rows.num_rows), bool)
+            e_edge, q_edge = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(per_row))
+            for i in range(told.num_rows):  # a term of a block: its questions by its documents
+                mine = at[e_edge[i] : e_edge[i + 1]]
+                there = mine >= 0
+                whose = slice(q_edge[i], q_edge[i + 1])
+                sums[q[whose][:, None], mine[there]] += weight[whose][:, None] * gain[e_edge[i] : e_edge[i + 1]][there]
+                hit[q[whose][:, None], mine[there]] = True
+            for c in names:  # a question's limit is null or the row's own value
+                own = rows[c].combine_chunks().dictionary_encode()
+                code = {v: j for j, v in enumerate(own.dictionary.to_pylist())}
+                limit = np.full(len(coded.dictionary), -2)
+                for j, v in zip(q.tolist(), each.field(c).to_pylist(), strict=True):
+                    limit[j] = -2 if v is None else code.get(v, -1)
+                hit &= (limit[:, None] == -2) | (limit[:, None] == own.indices.fill_null(-3).to_numpy())
+            rank = np.empty(rows.num_rows, np.int64)
+            rank[pc.sort_indices(rows["tie"]).to_numpy()] = np.arange(rows.num_rows)
+            who, what = [], []
+            for j in range(len(sums)):
+                found = np.flatnonzero(hit[j])
+                if k is not None and len(found) > k:
+                    found = found[np.lexsort((rank[found], -np.round(sums[j, found], 9)))[:k]]
+                who.append(np.full(len(found), j))
+                what.append(found)
+            who, what = np.concatenate(who), np.concatenate(what)
+            return pa.Table.from_arrays([coded.dictionary.take(pa.array(who)), rows["id"].combine_chunks().take(pa.array(what)), rows["tie"].combine_chunks().take(pa.array(what)), pa.array(sums[who, what])], names=schema.names)
+
+        by = ["g", "segment", "span"]
+        told = postings.select("g", "segment", (F.col("block") / SPAN).cast("bigint").alias("span"), "block", "entries", "qs")
+        rows = allowed.withColumn("span", (F.col("block") / SPAN).cast("bigint")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        return told.groupBy(*by).cogroup(rows.groupBy(*by)).applyInArrow(score, schema)
 
     def hits(self, terms: Sequence[str], weights: dict[str, float] | None = None) -> DataFrame:
         """(id, bm25) of every row that holds one of ``terms``, a query's terms with repeats."""
         own = sorted(set(terms))
         asked = self.asked(self.spark.createDataFrame([(0, w) for w in terms], "q int, term string"), own)
-        opened = self.raw_postings(own).select("term", "segment", "block").join(F.broadcast(asked), "term")
-        return self._scored(opened, own, weights).join(self.docs(), ["segment", "block", "doc"]).select("id", "bm25")
-
-    def bounds(self, asked: DataFrame, own: Sequence[str] | None, weights: dict[str, float] | None) -> DataFrame:
-        """(q, term, weight, segment, block, bound): the blocks of each question, and what no document of a block can exceed."""
-        heads = self.raw_postings(own).select("term", "segment", "block", "most", "least").join(asked, "term")
-        most = heads.withColumn("gain", F.col("weight") * self._gain(F.col("most"), F.col("least"), weights)).drop("most", "least")
-        return most.withColumn("bound", F.sum("gain").over(Window.partitionBy("q", "segment", "block"))).drop("gain")
+        told = self.raw_postings(own).join(asked, "term").select(F.lit(0).alias("g"), "segment", "block", "entries", F.array(F.struct("q", "weight")).alias("qs"))
+        return self._scored(told, self.docs().select("segment", "block", "doc", "id", F.col("id").alias("tie")), [], None, weights).select("id", "bm25")
 
     def best(self, questions: DataFrame, rows: DataFrame, k: int, tie: str = "id", own: Sequence[str] | None = None, weights: dict[str, float] | None = None) -> DataFrame:
         """(q, id, bm25, position) of the ``k`` best rows of each question, from 0.
 
         ``questions`` (q, term, and columns that ``rows`` has too, which must then be equal or null) may hold any number; ``rows``
-        (id, tie, …) are those that may be returned. ``own``, all terms of a few questions, lets the scan skip other terms.
+        (id, tie, …) are those that may be returned. ``own`` names all terms of one question, whose scan skips other terms, and
+        blocks by their bounds. A table of questions is scored in groups against every posting of its terms, each read once.
         Equal scores (to nine digits) go by ``tie``."""
-        asked = self.asked(questions.select("q", "term"), own)
         limits = [c for c in questions.columns if c not in ("q", "term")]
-        wanted = questions.select("q", *(F.col(c).alias(f"q_{c}") for c in limits)).distinct()
-        blocks = self.bounds(asked, own, weights)
+        asked = self.asked(questions.select("q", "term"), own)
+        may = rows.select(F.col("id").alias("row_id"), F.col(tie).alias("tie"), *limits)
+        docs = self.docs().select("segment", "block", "doc", F.col("id").alias("doc_key")).join(may, F.col("doc_key") == F.col("row_id").cast("string")).select("segment", "block", "doc", F.col("row_id").alias("id"), "tie", *limits)
+        order = Window.partitionBy("q").orderBy(F.desc(F.round("bm25", 9)), "tie")
 
-        def allowed(opened: DataFrame) -> DataFrame:
-            own_rows = rows.select(F.col("id").alias("row_id"), F.col(tie).alias("tie"), *limits)
-            found = self._scored(opened, own, weights).join(self.docs(), ["segment", "block", "doc"]).join(own_rows, F.col("id") == F.col("row_id").cast("string"))
-            found = found.join(wanted, "q") if limits else found
-            for c in limits:
-                found = found.where(F.col(f"q_{c}").isNull() | (F.col(f"q_{c}") == F.col(c)))
-            order = Window.partitionBy("q").orderBy(F.desc(F.round("bm25", 9)), "tie")
+        def first(found: DataFrame) -> DataFrame:
             best = found.withColumn("nr", F.row_number().over(order)).where(F.col("nr") <= k)  # a limit that each task takes first
-            return best.select("q", F.col("row_id").alias("id"), "bm25", (F.col("nr") - 1).alias("position"))
+            return best.select("q", "id", "bm25", (F.col("nr") - 1).alias("position"))
+
+        if own is None:
+            groups = max(1, -(-asked.select("q").distinct().count() // ASKED))
+            wanted = asked if not limits else asked.join(questions.select("q", *limits).distinct(), "q")
+            g = F.pmod(F.xxhash64("q"), F.lit(groups)).cast("int").alias("g")
+            lists = wanted.groupBy("term", g).agg(F.collect_list(F.struct("q", "weight", *limits)).alias("qs"))  # about ASKED at most
+            told = self.raw_postings().select("term", "segment", "block", "entries").join(lists, "term")
+            return first(self._scored(told, docs, limits, k, weights, groups))
+
+        if self.n <= SMALL * BLOCK:
+            told = self.raw_postings(own).select("term", "segment", "block", "entries").join(asked, "term").select(F.lit(0).alias("g"), "segment", "block", "entries", F.array(F.struct("q", "weight")).alias("qs"))
+            return first(self._scored(told, docs, [], k, weights))
+        blocks = self.bounds(asked, own, weights)
+
+        def scored(opened: DataFrame) -> DataFrame:
+            told = self.raw_postings(own).select("term", "segment", "block", "entries").join(opened.select("q", "term", "weight", "segment", "block"), ["term", "segment", "block"])
+            told = told.select(F.lit(0).alias("g"), "segment", "block", "entries", F.array(F.struct("q", "weight")).alias("qs"))
+            return first(self._scored(told, docs.join(opened.select("segment", "block").distinct(), ["segment", "block"], "left_semi"), [], k, weights))
 
         one = blocks.select("q", "segment", "block", "bound").distinct()
-        first = one.withColumn("nr", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "segment", "block"))).where(F.col("nr") <= max(1, FIRST_BLOCKS * k // 8))
-        seen = allowed(blocks.join(first.select("q", "segment", "block"), ["q", "segment", "block"]))
+        start = one.withColumn("nr", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "segment", "block"))).where(F.col("nr") <= max(1, FIRST_BLOCKS * k // 8))
+        seen = scored(blocks.join(start.select("q", "segment", "block"), ["q", "segment", "block"]))
         least = seen.groupBy("q").agg(F.count("*").alias("n"), F.min("bm25").alias("least")).where(F.col("n") == k).select("q", "least")
         # rounding may let a row a little below the threshold tie with it
-        opened = blocks.join(least, "q", "left").where("least IS NULL OR bound >= least - 1e-8").drop("least", "bound")
-        return allowed(opened)
+        return scored(blocks.join(least, "q", "left").where("least IS NULL OR bound >= least - 1e-8"))
 
 
 def opened_share(index: Index, questions: DataFrame, rows: DataFrame, k: int, own: Sequence[str] | None = None) -> float:
@@ -263,9 +367,13 @@ def _name() -> str:
     return f"segment-{uuid.uuid4().hex}"
 
 
-def _bounds(entries: str, n_fields: int) -> list[Column]:
-    most = F.array(*(F.array_max(F.transform(entries, lambda e, k=k: F.get(e["tf"], F.lit(k)))) for k in range(n_fields)))
-    return [most.alias("most"), F.array_min(F.transform(entries, lambda e: e["length"])).alias("least")]
+def _gone(batch: pa.RecordBatch, n_fields: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All entries of a batch of postings (entries, gone), the row of each, and whether it is among the row's void documents."""
+    records, n = _unpacked(batch.column("entries"), n_fields)
+    row = np.repeat(np.arange(batch.num_rows), n)
+    lists = batch.column("gone")
+    of, what = pc.list_parent_indices(lists).to_numpy().astype(np.int64), pc.list_flatten(lists).to_numpy().astype(np.int64)
+    return records, row, np.isin(row * (1 << 16) + records["doc"], of * (1 << 16) + what)
 
 
 def _sorted(postings: DataFrame) -> DataFrame:
@@ -278,11 +386,12 @@ def _segment(rows: DataFrame, folder: str, fields: Sequence[str], key: str) -> t
     spark, name = rows.sparkSession, _name()
     path = f"{folder.rstrip('/')}/{name}"
     have = [folded(rows, f) if f in rows.columns else F.lit("") for f in fields]
-    raw = rows.select(F.col(key).cast("string").alias("id"), *(x.alias(f"f{i}") for i, x in enumerate(have))).mapInArrow(_blocks(len(have), BLOCK), _RAW)
+    kinds = "term string, block bigint, n int, " + ", ".join(f"{x} int" for x in _most(len(have))) + ", least int, entries binary, ids array<string>, lengths array<int>"
+    raw = rows.select(F.col(key).cast("string").alias("id"), *(x.alias(f"f{i}") for i, x in enumerate(have))).mapInArrow(_blocks(len(have), BLOCK), kinds)
     raw.write.parquet(f"{path}/raw")  # numbers of blocks are those of this one reading
     raw = spark.read.parquet(f"{path}/raw")
     own = F.lit(name).alias("segment")
-    _sorted(raw.where("term IS NOT NULL").select("term", own, "block", "n", "most", "least", "entries")).write.parquet(f"{path}/postings")
+    _sorted(raw.where("term IS NOT NULL").select("term", own, "block", "n", *_most(len(have)), "least", "entries")).write.parquet(f"{path}/postings")
     raw.where("term IS NULL").select("block", F.posexplode(F.arrays_zip("ids", "lengths")).alias("doc", "x")).select(own, "block", "doc", F.col("x.ids").alias("id"), F.col("x.lengths").alias("length")).write.parquet(f"{path}/docs")
     spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.sum("n").alias("df")).write.parquet(f"{path}/terms")
     deleted(spark, f"{path}/raw")
