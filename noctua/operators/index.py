@@ -170,7 +170,7 @@ class Index:
         """One segment with the live rows of all; blocks keep their documents and bounds, less what is void."""
         name = _name()
         path = f"{self.folder}/{name}"
-        _sorted(self.live_postings()).write.parquet(f"{path}/postings")
+        _write_sorted(self.live_postings(), f"{path}/postings")
         self.docs().write.parquet(f"{path}/docs")
         self.terms().write.parquet(f"{path}/terms")
         return _commit(self.spark, self.folder, [(name, self.n, self.total, list(self.fields))])
@@ -211,7 +211,7 @@ class Index:
                 counts += [*np.maximum.reduceat(records["tf"], edge).T, np.minimum.reduceat(records["length"], edge)] if len(edge) else [row] * (n_fields + 1)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).take(there) for k in range(3)), *(pa.array(x.astype(np.int32)) for x in counts), _packed(records, edge)], names=names)
 
-        kinds = "term string, segment string, block bigint, n int, " + ", ".join(f"{x} int" for x in _most(n_fields)) + ", least int, entries binary"
+        kinds = "term string, segment bigint, block bigint, n int, " + ", ".join(f"{x} int" for x in _most(n_fields)) + ", least int, entries binary"
         touched = out.join(self.void(), ["segment", "block"], "left").select("term", "segment", "block", "entries", "gone")
         return touched.mapInArrow(left, kinds)
 
@@ -364,7 +364,8 @@ def opened_share(index: Index, questions: DataFrame, rows: DataFrame, k: int, ow
 
 
 def _name() -> str:
-    return f"segment-{uuid.uuid4().hex}"
+    """A new segment's number, as text; documents carry it for good."""
+    return str(uuid.uuid4().int >> 66)
 
 
 def _gone(batch: pa.RecordBatch, n_fields: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -376,9 +377,9 @@ def _gone(batch: pa.RecordBatch, n_fields: int) -> tuple[np.ndarray, np.ndarray,
     return records, row, np.isin(row * (1 << 16) + records["doc"], of * (1 << 16) + what)
 
 
-def _sorted(postings: DataFrame) -> DataFrame:
+def _write_sorted(postings: DataFrame, path: str, *more: Column) -> None:
     """In order of term and block; ranges split a term that all blocks hold."""
-    return postings.repartitionByRange("term", "block").sortWithinPartitions("term", "block")
+    postings.repartitionByRange("term", "block").sortWithinPartitions("term", "block").select("*", *more).write.option("compression", "zstd").parquet(path)
 
 
 def _segment(rows: DataFrame, folder: str, fields: Sequence[str], key: str) -> tuple[str, int, int]:
@@ -388,10 +389,10 @@ def _segment(rows: DataFrame, folder: str, fields: Sequence[str], key: str) -> t
     have = [folded(rows, f) if f in rows.columns else F.lit("") for f in fields]
     kinds = "term string, block bigint, n int, " + ", ".join(f"{x} int" for x in _most(len(have))) + ", least int, entries binary, ids array<string>, lengths array<int>"
     raw = rows.select(F.col(key).cast("string").alias("id"), *(x.alias(f"f{i}") for i, x in enumerate(have))).mapInArrow(_blocks(len(have), BLOCK), kinds)
-    raw.write.parquet(f"{path}/raw")  # numbers of blocks are those of this one reading
+    raw.write.option("compression", "zstd").parquet(f"{path}/raw")  # numbers of blocks are those of this one reading
     raw = spark.read.parquet(f"{path}/raw")
-    own = F.lit(name).alias("segment")
-    _sorted(raw.where("term IS NOT NULL").select("term", own, "block", "n", *_most(len(have)), "least", "entries")).write.parquet(f"{path}/postings")
+    own = F.lit(int(name)).cast("bigint").alias("segment")
+    _write_sorted(raw.where("term IS NOT NULL").drop("ids", "lengths"), f"{path}/postings", own)
     raw.where("term IS NULL").select("block", F.posexplode(F.arrays_zip("ids", "lengths")).alias("doc", "x")).select(own, "block", "doc", F.col("x.ids").alias("id"), F.col("x.lengths").alias("length")).write.parquet(f"{path}/docs")
     spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.sum("n").alias("df")).write.parquet(f"{path}/terms")
     deleted(spark, f"{path}/raw")

@@ -21,7 +21,8 @@ def _pick(values, key: str):
 def memories(t) -> DataFrame:
     """One memory per document; two spellings of dates, all domains and types, some stale, expired or sensitive."""
     labels = t.spark.read.parquet(f"{t.sf_dir}/labels.parquet")
-    d = t.documents.join(labels, "doc_id", "left")
+    # one row for each id: plans that use no label then do without the join
+    d = t.documents.join(labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")), "doc_id", "left")
     day = F.date_sub(F.lit(dims.AS_OF).cast("date"), F.expr("cast(doc_id % 400 as int)"))
     when = lambda c: F.when(F.col("doc_id") % 2 == 0, F.concat(c.cast("string"), F.lit("T08:30:00Z"))).otherwise(c.cast("string"))
     return d.select(
@@ -30,7 +31,7 @@ def memories(t) -> DataFrame:
         F.concat(_pick(dims.DOMAINS, "cast(substr(source, 4) as int) % 6"), F.lit("/memories/m"), F.col("doc_id").cast("string"), F.lit(".md")).alias("vault_path"),
         _pick(dims.DOMAINS, "cast(substr(source, 4) as int) % 6").alias("domain"),
         _pick(dims.MEM_TYPES, "doc_id % 5").alias("mem_type"),
-        F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^ \n\t\r]+"), F.lit(0)), 1, 8), " ").alias("title"),
+        F.array_join(F.filter(F.slice(F.split(F.regexp_replace("text", r"\A[ \n\t\r]+", ""), r"[ \n\t\r]+", 9), 1, 8), lambda x: x != ""), " ").alias("title"),  # the rest is not split
         F.left("text", F.lit(280)).alias("summary"),
         F.col("text").alias("body"),
         F.when(F.col("toxic") == 1, "sensitive").otherwise("normal").alias("sensitivity"),
