@@ -279,6 +279,5 @@ class Store:
         return lifecycle.maintained(self["memories"], self.as_of)
 
     def skills_distill(self) -> DataFrame:
-        """A pending skill proposal for each task with telling steps."""
-        steps = events.trace_steps(self["audit"].where("task_id IS NOT NULL")).select(F.col("run_id").try_cast("bigint").alias("task_id"), F.col("id").alias("ord"), "summary")
-        return gate.distilled(steps, self["tasks"])
+        """A pending skill proposal for each completed task: what its trace tells, or its planned steps."""
+        return gate.distilled(events.skill_steps(self["audit"], self["tasks"], self["task_steps"]), self["tasks"])

@@ -5,6 +5,7 @@ The tokenizers differ on purpose (least length, stop words, stemming, order); th
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -167,6 +168,59 @@ def is_public_ipv4(c: Column) -> Column:
     return F.when(ok, ~special)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that it may use often: the value is computed once, and the expression stays small."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def ipv6_segments(c: Column) -> Column:
+    """The eight numbers of a version 6 address, compressed, with a dotted tail or neither; null if it is none."""
+
+    def plain(low: Column) -> Column:
+        octets = F.split(F.regexp_extract(low, r"(\d+(?:\.\d+){3})\z", 1), r"\.")
+        dotted = low.rlike(r":(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}\z")
+        pair = lambda o, k: F.lower(F.hex((F.get(o, F.lit(k)).try_cast("int") * 256 + F.get(o, F.lit(k + 1)).try_cast("int")).cast("bigint")))
+        tail = let(octets, lambda o: F.concat(pair(o, 0), F.lit(":"), pair(o, 2)))
+        return F.when(dotted, F.concat(F.regexp_replace(low, r"\d+(\.\d+){3}\z", ""), tail)).otherwise(low)
+
+    def groups(x: Column) -> Column:
+        return F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, ":"))
+
+    def segments(p: Column) -> Column:
+        short = F.contains(p, F.lit("::"))
+        left = F.when(short, let(F.substring_index(p, "::", 1), groups)).otherwise(F.split(p, ":"))
+        right = F.when(short, let(F.regexp_extract(p, r"\A.*?::(.*)\z", 1), groups)).otherwise(F.array().cast("array<string>"))
+        return let(F.struct(short.alias("short"), left.alias("left"), right.alias("right")), filled)
+
+    def filled(x: Column) -> Column:
+        missing = 8 - F.size(x["left"]) - F.size(x["right"])
+        all_ = F.concat(x["left"], F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), x["right"])
+        fits = F.when(x["short"], missing >= 1).otherwise(missing == 0)
+        return let(all_, lambda g: F.when(fits & F.forall(g, lambda y: y.rlike(r"\A[0-9a-f]{1,4}\z")), F.transform(g, lambda y: F.conv(y, 16, 10).cast("int"))))
+
+    return let(F.lower(c), lambda low: let(plain(low), segments))
+
+
+def is_public_ipv6(c: Column) -> Column:
+    """Whether a version 6 address is a public one; null if it is none. One that holds a version 4 address is judged by that."""
+
+    def public(s: Column) -> Column:
+        at = lambda k: F.get(s, F.lit(k))
+        zeros = F.forall(F.slice(s, 1, 5), lambda x: x == 0)
+        byte = lambda k, high: ((at(k) / 256).cast("int") if high else at(k) % 256).cast("string")
+        inner = F.concat_ws(".", byte(6, True), byte(6, False), byte(7, True), byte(7, False))
+        masked = lambda mask, value: at(0).bitwiseAND(F.lit(mask)) == value
+        special = masked(0xFF00, 0xFF00) | masked(0xFE00, 0xFC00) | masked(0xFFC0, 0xFE80) | ((at(0) == 0x2001) & (at(1) == 0x0DB8))
+        return F.when(s.isNotNull(), F.when(zeros & at(5).isin(0, 0xFFFF), let(inner, is_public_ipv4)).otherwise(~special))
+
+    return let(ipv6_segments(c), public)
+
+
+def is_public_address(c: Column) -> Column:
+    """Whether an address of either version is a public one; null if it is none."""
+    return F.when(F.contains(c, F.lit(":")), is_public_ipv6(c)).otherwise(is_public_ipv4(c))
+
+
 def safe_relative(c: Column) -> Column:
     """False for an absolute path, or one with a ``..`` part."""
     return ~(F.startswith(c, F.lit("/")) | c.rlike(r"(\A|/)\.\.(/|\z)"))
@@ -231,11 +285,19 @@ def fetch_refusal(url: Column) -> Column:
     u = F.trim(url)
     authority = F.regexp_extract(u, r"\A[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
     host = F.lower(F.regexp_replace(F.regexp_replace(authority, r"\A[^@]*@", ""), r":\d*\z", ""))
+
+    def reachable(h: Column) -> Column:
+        # a host whose last label is a number is an address; one in another spelling than four octets is not tried
+        number = h.rlike(r"(\A|\.)(\d+|0x[0-9a-f]*)\.?\z")
+        literal = F.regexp_extract(h, r"\A\[(.*)\]\z", 1)
+        return F.when(F.startswith(h, F.lit("[")), F.coalesce(is_public_ipv6(literal), F.lit(False))).when(number, F.coalesce(is_public_ipv4(h), F.lit(False))).otherwise(True)
+
+    public = let(host, reachable)
     return (
         F.when(F.length(u) > 2048, "too long")
         .when(~u.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), "invalid")
         .when(~F.lower(u).rlike(r"\Ahttps?://"), "scheme")
         .when(F.contains(authority, F.lit("@")), "credentials")
         .when(host == "", "no host")
-        .when((host == "localhost") | F.endswith(host, F.lit(".localhost")) | ~F.coalesce(is_public_ipv4(host), F.lit(True)), "not public")
+        .when((host == "localhost") | F.endswith(host, F.lit(".localhost")) | ~public, "not public")
     )

@@ -123,6 +123,16 @@ def trace_steps(audit: DataFrame, most: int = 25) -> DataFrame:
     return rows.where(F.col("n") <= most).select("run_id", "id", "summary")
 
 
+def skill_steps(audit: DataFrame, tasks: DataFrame, task_steps: DataFrame, most: int = 25) -> DataFrame:
+    """(task_id, ord, summary): what each completed task did, from its trace, or its planned steps (task_id, step_index, title)
+    where the trace tells nothing. Tasks in any other state have none. The run of a task is named by its number."""
+    done = tasks.where("status = 'completed'").select(F.col("id").alias("task_id"))
+    traced = trace_steps(audit, most).select(F.col("run_id").try_cast("bigint").alias("task_id"), F.col("id").alias("ord"), "summary").join(done, "task_id", "left_semi")
+    silent = done.join(traced.select("task_id").distinct(), "task_id", "left_anti")
+    planned = task_steps.join(silent, "task_id", "left_semi").select("task_id", F.col("step_index").cast("bigint").alias("ord"), F.col("title").alias("summary"))
+    return traced.unionByName(planned)
+
+
 def tail(events: DataFrame, most: int = 2000) -> DataFrame:
     """The last ``most`` events of each task, each number once (-1 as often as it comes)."""
     w = Window.partitionBy("task_id", "seq").orderBy("arrival")

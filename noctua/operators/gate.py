@@ -167,10 +167,11 @@ def captured(tasks: DataFrame, outcomes: DataFrame, as_of: str) -> DataFrame:
 
 
 def distilled(steps: DataFrame, tasks: DataFrame) -> DataFrame:
-    """A skill proposal for each task with trace steps (task_id, ord, summary); it always waits for approval."""
+    """A skill proposal for each completed task from its steps (task_id, ord, summary), none of which may be there; it always
+    waits for approval."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", "summary"))), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["summary"]))
     body = steps.groupBy(F.col("task_id").alias("id")).agg(F.array_join(lines, "\n").alias("body"))
-    return tasks.select("id", "title", "domain").join(body, "id").select(F.col("id").alias("task_id"), "title", "domain", "body", F.lit("pending").alias("status"), F.lit(True).alias("requires_approval"))
+    return tasks.where("status = 'completed'").select("id", "title", "domain").join(body, "id", "left").select(F.col("id").alias("task_id"), "title", "domain", F.coalesce("body", F.lit("")).alias("body"), F.lit("pending").alias("status"), F.lit(True).alias("requires_approval"))
 
 
 def goal_policy(goal: Column) -> tuple[Column, Column, Column]:

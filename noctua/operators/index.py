@@ -31,10 +31,10 @@ from noctua.sources.tables import children, deleted, exists
 
 K1, B = 1.2, 0.75
 #: Documents of a block; deltas that are read beside the first segment; blocks that a question opens first, for eight rows that it wants.
-BLOCK, MOST_SEGMENTS, FIRST_BLOCKS = 128, 8, 1
+BLOCK, MOST_SEGMENTS, FIRST_BLOCKS = 512, 8, 1
 
 #: Questions that are scored together; blocks of one scoring group; blocks of an index so small that bounds don't pay.
-ASKED, SPAN, SMALL = 1024, 32, 512
+ASKED, SPAN, SMALL = 1024, 8, 128
 
 
 def _entry(n_fields: int) -> np.dtype:
@@ -107,8 +107,8 @@ def _blocks(n_fields: int, block: int):
 
         first = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for lo in range(0, batch.num_rows, 8 * block):
-                part = batch.slice(lo, 8 * block)
+            for lo in range(0, batch.num_rows, 2 * block):
+                part = batch.slice(lo, 2 * block)
                 part = pa.RecordBatch.from_arrays([pa.concat_arrays([x]) for x in part.columns], names=part.schema.names)
                 yield of(part, first)
                 first += -(-part.num_rows // block)

@@ -268,18 +268,27 @@ def t19(t):
     return kinds.select("kind", text.text_content_type(F.col("kind")).alias("ok"))
 
 
-_IP = "(event_id * 7 % 256) || '.' || (event_id * 13 % 256) || '.' || (event_id % 3) || '.' || (event_id % 256)"
+_V4 = "a = 10 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR a = 127 OR (a = 169 AND b = 254) OR a >= 224 OR a = 0 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113)"
+_FIRST = (0x2001, 0x2A00, 0xFC00, 0xFDFF, 0xFE80, 0xFEBF, 0xFEC0, 0xFF02)
 
 
 @query(
     "T20_public_addresses",
-    f"""SELECT ip, NOT (a = 10 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR a = 127 OR (a = 169 AND b = 254) OR a >= 224 OR a = 0 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113)) AS public
-FROM (SELECT {_IP} AS ip, event_id * 7 % 256 AS a, event_id * 13 % 256 AS b, event_id % 3 AS c FROM events)""",
+    f"""WITH e AS (SELECT event_id, event_id * 7 % 256 AS a, event_id * 13 % 256 AS b, event_id % 3 AS c, event_id % 256 AS d, {list(_FIRST)}[event_id % 8 + 1] AS s0, CASE WHEN event_id % 3 = 0 THEN 3512 ELSE event_id % 5000 END AS s1, event_id % 65536 AS s7 FROM events),
+x AS (SELECT event_id, NOT ({_V4}) AS v4, NOT (s0 >= 65280 OR s0 BETWEEN 64512 AND 65023 OR s0 BETWEEN 65152 AND 65215 OR (s0 = 8193 AND s1 = 3512)) AS v6, a || '.' || b || '.' || c || '.' || d AS ip, format('{{:x}}:{{:x}}', s0, s1) AS head, format('{{:x}}', s7) AS tail,
+ format('{{:x}}:{{:x}}', a * 256 + b, c * 256 + d) AS low FROM e)
+SELECT ip, k, event_id, CASE WHEN public THEN 'public' WHEN NOT public THEN 'special' ELSE 'none' END AS verdict FROM (SELECT ip, v4 AS public, 0 AS k, event_id FROM x UNION ALL SELECT '::ffff:' || ip, v4, 1, event_id FROM x UNION ALL SELECT '::' || low, v4, 2, event_id FROM x UNION ALL SELECT head || ':0:0:0:1:0:' || tail, v6, 3, event_id FROM x
+UNION ALL SELECT upper(head) || '::' || tail, v6, 4, event_id FROM x UNION ALL SELECT head || '::', v6, 5, event_id FROM x UNION ALL SELECT head || ':1:2:3:4:5', NULL, 6, event_id FROM x UNION ALL SELECT head || '::1::' || tail, NULL, 7, event_id FROM x UNION ALL SELECT head || '::' || ip, v6, 8, event_id FROM x)""",
 )
 def t20(t):
+    """Addresses of both versions: whole, compressed, with a version 4 address inside, and two spellings that are none."""
     e = F.col("event_id")
-    ip = F.concat_ws(".", (e * 7 % 256).cast("string"), (e * 13 % 256).cast("string"), (e % 3).cast("string"), (e % 256).cast("string"))
-    return t.events.select(ip.alias("ip")).select("ip", text.is_public_ipv4(F.col("ip")).alias("public"))
+    a, b, c, d = e * 7 % 256, e * 13 % 256, e % 3, e % 256
+    ip, hexed = F.concat_ws(".", *(x.cast("string") for x in (a, b, c, d))), lambda x: F.lower(F.hex(x.cast("bigint")))
+    head = F.concat(hexed(F.get(F.array(*map(F.lit, _FIRST)), (e % 8).cast("int"))), F.lit(":"), hexed(F.when(e % 3 == 0, 3512).otherwise(e % 5000)))
+    low, tail, lit = F.concat(hexed(a * 256 + b), F.lit(":"), hexed(c * 256 + d)), hexed(e % 65536), F.lit
+    kinds = [ip, F.concat(lit("::ffff:"), ip), F.concat(lit("::"), low), F.concat(head, lit(":0:0:0:1:0:"), tail), F.concat(F.upper(head), lit("::"), tail), F.concat(head, lit("::")), F.concat(head, lit(":1:2:3:4:5")), F.concat(head, lit("::1::"), tail), F.concat(head, lit("::"), ip)]
+    return t.events.select(e, F.posexplode(F.array(*kinds)).alias("k", "ip")).select("event_id", "k", "ip", text.is_public_address(F.col("ip")).alias("p")).select("event_id", "k", "ip", F.when(F.col("p"), "public").when(~F.col("p"), "special").otherwise("none").alias("verdict"))
 
 
 @query("T21_safe_paths", "SELECT path, NOT (starts_with(path, '/') OR list_contains(string_split(path, '/'), '..')) AS safe FROM (SELECT unnest(['/a/' || doc_id, 'a/../' || doc_id, 'a/b..c/' || doc_id, '..']) AS path FROM documents)")
@@ -330,10 +339,11 @@ def c14(t):
     return imports.imported(raw).select("id", "refusal", (F.col("status") == "rejected").alias("rejected"))
 
 
-@query("S12_fetch_policy", "SELECT page_id, k, CASE WHEN k = 1 THEN 'scheme' WHEN k = 2 THEN 'credentials' WHEN k = 3 OR k = 4 THEN 'not public' WHEN k = 5 THEN 'invalid' END AS refusal FROM pages, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS k)")
+@query("S12_fetch_policy", "SELECT page_id, k, CASE WHEN k = 1 THEN 'scheme' WHEN k = 2 THEN 'credentials' WHEN k BETWEEN 3 AND 9 THEN 'not public' WHEN k = 10 THEN 'invalid' END AS refusal FROM pages, (SELECT unnest(range(0, 13)::INT[]) AS k)")
 def s12(t):
     i = F.col("page_id").cast("string")
-    kinds = F.array(F.col("url"), F.concat(F.lit("ftp://a.b/"), i), F.concat(F.lit("http://u:p@a.b/"), i), F.concat(F.lit("https://x.localhost:80/"), i), F.concat(F.lit("http://10.0.0.1/"), i), F.concat(F.lit("a.b/"), i))
+    refused = ("ftp://a.b/", "http://u:p@a.b/", "https://x.localhost:80/", "http://10.0.0.1/", "http://[::1]/", "http://[fe80::1]:80/", "http://[::ffff:10.0.0.1]/", "http://[::g]/", "http://127.1/", "a.b/", "http://[2a00:1450::8]:443/", "http://8.8.8.8/")
+    kinds = F.array(F.col("url"), *(F.concat(F.lit(x), i) for x in refused))
     return t.pages.select("page_id", F.posexplode(kinds).alias("k", "u")).select("page_id", "k", text.fetch_refusal(F.col("u")).alias("refusal"))
 
 

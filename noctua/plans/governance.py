@@ -9,6 +9,7 @@ from noctua.operators import audit, events, gate, lifecycle
 from noctua.sources.driver import with_
 
 from .base import query
+from .usage import SKILL_STEPS, skill_steps
 from .retrieval import AS_OF, sql_list, term_set
 
 #: Payloads that are spliced into texts so that the patterns have something to find.
@@ -160,10 +161,9 @@ def d13(t):
     return gate.captured(tasks, tasks.select("id", F.lit("done").alias("outcome")), AS_OF).select("source", "domain", "body", "expires")
 
 
-@query("D14_distilled", with_("audit", "tasks") + ", s AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_id % 50 = 0) SELECT id AS task_id, title, string_agg(n || '. ' || event_type, chr(10) ORDER BY n) AS body, 'pending' AS status FROM s JOIN x_tasks ON id = user_id GROUP BY ALL")
+@query("D14_distilled", with_("audit", "tasks") + SKILL_STEPS + ", n AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ord) AS k FROM steps) SELECT task_id, title, string_agg(k || '. ' || summary, chr(10) ORDER BY k) AS body, 'pending' AS status FROM n JOIN x_tasks ON id = task_id GROUP BY ALL")
 def d14(t):
-    steps = t.events.where("event_id % 50 = 0").select(F.col("user_id").alias("task_id"), F.col("event_id").alias("ord"), F.col("event_type").alias("summary"))
-    return gate.distilled(steps, t.tasks).select("task_id", "title", "body", "status")
+    return gate.distilled(skill_steps(t), t.tasks).select("task_id", "title", "body", "status")
 
 
 _RISK = "CASE WHEN " + " OR ".join(f"contains(lower(goal), '{w}')" for w in dims.HIGH_RISK) + " THEN 'high' WHEN " + " OR ".join(f"contains(lower(goal), '{w}')" for w in dims.MEDIUM_RISK) + " THEN 'medium' ELSE 'low' END"

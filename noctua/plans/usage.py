@@ -190,11 +190,22 @@ def p12(t):
     return t.tasks.select(F.col("id").alias("run_id"), "title", "status", "tokens", "cost_usd")
 
 
-@query("P13_trace_steps", with_("audit") + ", r AS (SELECT run_id, id, summary, row_number() OVER (PARTITION BY run_id ORDER BY id) AS n FROM x_audit WHERE kind IN ('tool_call', 'approval', 'output') AND trim(summary) <> '') SELECT run_id, id, summary FROM r WHERE n <= 25")
-def p13(t):
-    from noctua.operators.events import trace_steps
+#: Steps of completed tasks: of the trace the first 25 that tell something, else the planned ones.
+SKILL_STEPS = """, done AS (SELECT id FROM x_tasks WHERE status = 'completed'), r AS (SELECT task_id::BIGINT AS task_id, id AS ord, summary, row_number() OVER (PARTITION BY task_id ORDER BY id) AS n FROM x_audit WHERE task_id IS NOT NULL AND kind IN ('tool_call', 'approval', 'output') AND trim(summary) <> ''),
+steps AS (SELECT task_id, ord, summary FROM r WHERE n <= 25 AND task_id IN (SELECT id FROM done) UNION ALL SELECT id, i, ['Plan', 'Execute', 'Verify'][i + 1] FROM done, (SELECT unnest([0, 1, 2]) AS i) WHERE id NOT IN (SELECT task_id FROM r))"""
+
+
+def skill_steps(t):
+    """Runs of the log are named by their task here."""
+    from noctua.operators import events
 
-    return trace_steps(t.audit)
+    log = t.audit.where("task_id IS NOT NULL").withColumn("run_id", F.col("task_id"))
+    return events.skill_steps(log, t.tasks, events.default_steps(t.tasks))
+
+
+@query("P13_trace_steps", with_("audit", "tasks") + SKILL_STEPS + " SELECT task_id, ord::BIGINT AS ord, summary FROM steps")
+def p13(t):
+    return skill_steps(t)
 
 
 @query("P14_catalog_filter", with_("catalog") + "SELECT ord, display_name FROM x_catalog WHERE kind = 'skill' AND contains(lower(concat_ws(' ', id, display_name, summary, category, provider, array_to_string(tags, ' '))), 'widget')")

@@ -61,7 +61,12 @@ def test_writes_return_what_changes(spark):
     assert {(r.id, r.status, r.failure) for r in s.approvals_decide(d).collect()} == {(1, "cancelled", "Denied"), (2, "running", None)}
     assert {(r.id, r.status) for r in s.memory_maintenance_run().collect()} == {("m1", "active"), ("m2", "stale")}
     assert s.memory_confirm(["m2"]).where("id = 'm2'").first().confirmation_count == 2
-    assert s.skills_distill().first().body == "1. ls\n2. done"
+    assert s.skills_distill().count() == 0  # no task is completed
+    done = s["tasks"].withColumn("status", F.when(F.col("id") == 2, "failed").otherwise("completed"))
+    steps = spark.createDataFrame([(k, i, t) for k in (1, 2, 3) for i, t in enumerate(("Plan", "Execute"))], "task_id bigint, step_index int, title string")
+    more = done.unionByName(done.where("id = 1").withColumn("id", F.lit(3).cast("bigint"))).unionByName(done.where("id = 1").withColumn("id", F.lit(4).cast("bigint")))
+    told = Store(spark, DAY, {"tasks": more, "task_steps": steps, "audit": s["audit"]}).skills_distill()
+    assert {r.task_id: r.body for r in told.collect()} == {1: "1. ls\n2. done", 3: "1. Plan\n2. Execute", 4: ""}
     for rows in (s.memory_answer_feedback("a", "what?", "work", "flagged"), out["audit"], s.memory_gate_audit(spark.createDataFrame([(2, "secrets"), (1, "type")], "request_id int, reject_reason string"))):
         log = s["audit"].unionByName(rows)
         assert audit.verified(log).first().ok and log.count() > 2

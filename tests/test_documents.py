@@ -92,6 +92,19 @@ def test_public_addresses(spark):
         assert one(spark, ip, text.is_public_ipv4) is want
 
 
+def test_addresses_of_version_6_and_hosts_that_are_addresses(spark):
+    cases = {"::1": False, "::": False, "fe80::1": False, "FC00::1": False, "ff02::1": False, "2001:db8::5": False, "2001:4860:4860::8888": True, "::ffff:10.0.0.1": False, "::ffff:8.8.8.8": True, "::8.8.8.8": True, "64:ff9b::1": True,
+             "1:2:3:4:5:6:7:8": True, "1:2:3:4:5:6:7": None, "1::2::3": None, "1:2:3:4:5:6:7::8": None, ":1": None, "g::1": None, "::1.2.3.256": None, "8.8.8.8": True, "::12345": None, "": None}
+    assert {ip: one(spark, ip, text.is_public_address) for ip in cases} == cases
+    import ipaddress
+
+    for ip in ("2a00::1", "a:b::c:d", "::5", "1::", "::ffff:1.2.3.4", "1:2:3:4:5:6:1.2.3.4"):
+        whole = ipaddress.IPv6Address(ip).exploded.split(":")
+        assert one(spark, ip, text.ipv6_segments) == [int(x, 16) for x in whole]
+    urls = {"http://[::1]/": "not public", "http://[fe80::1]:80/x": "not public", "http://[2a00::1]/": None, "http://127.1/": "not public", "http://0x7f000001/": "not public", "http://2130706433/": "not public", "http://1.2.3.4/": None, "http://a.1b/": None}
+    assert {u: one(spark, u, text.fetch_refusal) for u in urls} == urls
+
+
 def test_dates_of_both_spellings(spark):
     got = [one(spark, s, text.first_date) for s in ("2026-07-21", "2026-07-21T10:00:00Z", "2026-07-21T10:00:00.5+02:00", "21.7.2026", "2026-02-31")]
     assert [str(d) for d in got] == ["2026-07-21"] * 3 + ["None"] * 2
