@@ -33,8 +33,8 @@ from ._shared import stored
 
 SCALE, SMOOTH = 1_000_000_000, 5
 LEAST_DOCS, MOST_RANKS = 30, 50
-#: Text that is counted at once; sources of one side of a tile; postings of a bucket, about; terms of a slab of a dense tile.
-SLICE_BYTES, BLOCK, POSTINGS, SLAB = 1 << 24, 256, 1 << 18, 512
+#: Text that is counted at once; sources of one side of a tile; least postings of a bucket, about; terms of a slab of a dense tile.
+SLICE_BYTES, BLOCK, POSTINGS, SLAB = 1 << 24, 256, 1 << 14, 512
 #: A term is heavy where its sources squared are at least this many times all sources of the language.
 HEAVY = 2
 
@@ -187,7 +187,9 @@ def _tiles(block: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
 
 def pair_sums(counts: DataFrame, groups: DataFrame) -> DataFrame:
     """lang, i, j (numbers of sources, i < j), d: what terms add to V * |z - z'|, summed over the tiles."""
-    n_buckets = F.greatest(F.lit(1), F.ceil(F.col("postings") / POSTINGS)).cast("int")
+    # a bucket gives a sum for each pair of sources, and has as many postings at least
+    least = F.greatest(F.lit(POSTINGS), (F.col("n_sources").cast("bigint") * F.col("n_sources") / 2).cast("bigint"))
+    n_buckets = F.greatest(F.lit(1), F.ceil(F.col("postings") / least)).cast("int")
     k = F.col("k")
     mine = groups.select("lang", "source", "no", "z", "total", "v", "n_sources", n_buckets.alias("buckets"))
     p = share(F.col("n"), F.col("total"), F.col("v")).cast("bigint").alias("p")
