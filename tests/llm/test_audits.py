@@ -252,3 +252,11 @@ def test_features_of_plain_texts():
     assert m["words"].tolist() == [0, 3, 6, 3] and np.allclose(m["distinct_words"], [1, 1, 4 / 6, 1 / 3 + 1 / 3]) and np.allclose(m["top_word"], [0, 1 / 3, 2 / 6, 2 / 3])
     assert np.allclose(m["capital_words"], [0, 0, 4 / 6, 0]) and np.allclose(m["repeated_lines"], [0, 0, 1 / 3, 0]) and np.allclose(m["repeated_neighbours"], [0, 0, 0, 1 / 3])
     assert np.allclose(m["symbols"], [0, 0, 1 / 16, 0]) and np.allclose(m["sentence_ends"], [0, 1 / 3, 0, 1 / 3]) and np.allclose(m["digits"], [0, 0, 1 / 16, 0])
+
+
+def test_rows_without_an_id_are_judged_by_the_registered_quality_query(spark, tmp_path):
+    from noctua.llm import queries
+
+    spark.createDataFrame([(None, "word " * 60, "en", "s"), (1, prose(5, 80), "en", "s"), (None, None, None, None)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((str(r.doc_id), r.n_words, r.kept) for r in queries.op8_quality_rules(spark, str(tmp_path)).collect())
+    assert got == [("1", 80, True), ("None", 0, False), ("None", 60, False)]
