@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noctua.functions import dims, text
+from noctua.operators import pairs
 
 TARGET, OVERLAP, LOOK_BACK = 1500, 220, 240
 
@@ -201,23 +202,22 @@ def best_attempt(attempts: DataFrame, key: str) -> DataFrame:
     return rated.groupBy(key).agg(F.max_by(F.struct("engine_order", "score", "passed"), rank).alias("x")).select(key, "x.*")
 
 
-def near_duplicates(docs: DataFrame, theta: float = 0.72) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, theta: float = 0.72, part: int = pairs.PART) -> tuple[DataFrame, DataFrame]:
     """Classes (doc_id, class_id) of documents (doc_id, text) with equal sets of words, named by their least id, and all pairs
     (a, b), a < b, of classes whose sets have Jaccard similarity ``theta`` or more. Copies are not paired one by one.
 
     Two sets that are alike share one of the rarest words of both (prefix filter over whole texts); length and place of the
-    first such word bound what they can share. Documents without words are classes of their own, without pairs.
+    first such word bound what they can share, and the list of a frequent word is cut into cells. Documents without words are classes of their own, without pairs.
     """
     d = docs.select("doc_id", F.array_sort(text.term_set(F.col("text"))).alias("w"))
     d = d.select("doc_id", F.when(F.size("w") > 0, F.sha2(F.array_join("w", " "), 256)).otherwise(F.col("doc_id").cast("string")).alias("key"), "w")
     sets = d.where(F.size("w") > 0).groupBy("key").agg(F.min("doc_id").alias("id"), F.first("w").alias("w"))
     each = sets.select("id", F.size("w").alias("n"), F.explode("w").alias("x"))
     freq = each.groupBy("x").agg(F.count("*").alias("df"))
-    ranked = each.join(freq, "x").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("df", "x")))
-    rare = ranked.where("df > 1").where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * theta - 1e-9) + 1).select("id", "x", "n", "k")
+    rare = pairs.prefixed(each, "id", ["x"], freq, theta).where("df > 1")
     a, b = (rare.select("x", *(F.col(c).alias(c + side) for c in ("id", "n", "k"))) for side in "ab")
-    bound = 1 + F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb"))
-    may = a.join(b, "x").where("ida < idb").where(bound >= F.lit(theta / (1 + theta)) * (F.col("na") + F.col("nb")) - 1e-6).select("ida", "idb").distinct()
+    reach = (F.col("ida") < F.col("idb")) & pairs.may_reach(*map(F.col, ("na", "ka", "nb", "kb")), theta)
+    may = pairs.met(a, b, ["x"], "ida", "idb", reach, part).select("ida", "idb").distinct()
     sides = (sets.select(F.col("id").alias("id" + side), F.col("w").alias("w" + side)) for side in "ab")
     alike = may.join(next(sides), "ida").join(next(sides), "idb").where(text.similarity(F.col("wa"), F.col("wb")) >= theta)
     classes = d.groupBy("key").agg(F.min("doc_id").alias("class_id"))

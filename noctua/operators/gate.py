@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noctua.functions import dims, text
+from noctua.operators import pairs
 
 SIMILAR, POOL = 0.82, 10
 
@@ -66,26 +67,35 @@ def judged(requests: DataFrame) -> DataFrame:
     return out.withColumn("report", F.transform(seen, lambda n: F.struct(n.alias("gate"), (~F.coalesce(n == F.col("reject_reason"), F.lit(False))).alias("passed"))))
 
 
-def similar_titles(requests: DataFrame, memories: DataFrame, key: str = "request_id") -> DataFrame:
-    """(key, memory_id, score): the live memory of the same domain whose title is most like the request's, if alike enough.
+def similar_titles(requests: DataFrame, memories: DataFrame, key: str = "request_id", part: int = pairs.PART) -> DataFrame:
+    """(key, memory_id, score): the live memory of the same domain whose title is most like the request's, if alike enough;
+    of equals the one of greatest id. A title without terms is like none.
 
-    Titles meet only if they share a term, and only by their rarest terms: a pair as similar as asked shares one of
-    the first few in order of frequency, so very common words bring no candidates.
+    Titles of equal terms are one class on either side, and a class that the other side has too needs no comparison. Other
+    classes meet only by their rarest terms: a pair as similar as asked shares one of the first few in order of frequency,
+    and the places of that term bound what both can share. Terms of many classes are cut into cells of bounded size.
     """
-    m = memories.where("status <> 'expired'").select(F.col("id").alias("memory_id"), "domain", text.term_set(F.col("title"), 2).alias("terms"))
-    r = requests.select(F.col(key), "domain", text.term_set(F.col("title"), 2).alias("own"))
-    each = m.select("memory_id", "domain", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    freq = each.groupBy("domain", "term").agg(F.count("*").alias("df"))
 
-    def rare(rows: DataFrame, ids: str, size: str) -> DataFrame:
-        ranked = rows.join(freq, ["domain", "term"], "left").withColumn("k", F.row_number().over(Window.partitionBy(ids).orderBy(F.coalesce("df", F.lit(0)), "term")))
-        return ranked.where(F.col("k") <= F.col(size) - F.ceil(SIMILAR * F.col(size)) + 1).select(ids, "domain", "term")
+    def classes(rows: DataFrame, title: str, ident: str) -> DataFrame:
+        terms = rows.select(F.col(ident), "domain", F.array_sort(text.term_set(F.col(title), 2)).alias("terms")).where(F.size("terms") > 0)
+        return terms.withColumn("set", F.sha2(F.array_join("terms", " "), 256))
 
-    left = rare(r.select(key, "domain", F.size("own").alias("n"), F.explode("own").alias("term")), key, "n")
-    pairs = left.join(rare(each, "memory_id", "n"), ["domain", "term"]).select(key, "memory_id").distinct()
-    scored = pairs.join(r.select(key, "own"), key).join(m.select("memory_id", "terms"), "memory_id").withColumn("score", text.similarity(F.col("own"), F.col("terms")))
-    best = scored.where(F.col("score") >= SIMILAR).groupBy(key).agg(F.max(F.struct("score", "memory_id")).alias("b"))
-    return best.select(key, F.col("b.memory_id").alias("memory_id"), F.col("b.score").alias("score"))
+    own = classes(requests, "title", key)
+    m = classes(memories.where("status <> 'expired'"), "title", "id").groupBy("domain", "set").agg(F.max("id").alias("memory_id"), F.first("terms").alias("terms"))
+    r = own.groupBy("domain", "set").agg(F.first("terms").alias("own"))
+    same = r.join(m, ["domain", "set"]).select("domain", "set", "memory_id", F.lit(1.0).alias("score"))
+    r = r.join(m, ["domain", "set"], "left_anti")
+    each = m.select("memory_id", "domain", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    freq = each.groupBy("domain", "term").agg(F.count("*").alias("df"))
+    asked = r.select("set", "domain", F.size("own").alias("n"), F.struct("domain", "set").alias("class"), F.explode("own").alias("term"))
+    on = ["domain", "term"]
+    left = pairs.prefixed(asked, "class", on, freq, SIMILAR).select(*on, "set", F.col("n").alias("na"), F.col("k").alias("ka"))
+    right = pairs.prefixed(each, "memory_id", on, freq, SIMILAR).select(*on, "memory_id", F.col("n").alias("nb"), F.col("k").alias("kb"))
+    reach = pairs.may_reach(*map(F.col, ("na", "ka", "nb", "kb")), SIMILAR)
+    may = pairs.met(left, right, on, "set", "memory_id", reach, part).select("domain", "set", "memory_id").distinct()
+    alike = may.join(r, ["domain", "set"]).join(m.select("memory_id", "terms"), "memory_id").withColumn("score", text.similarity(F.col("own"), F.col("terms"))).where(F.col("score") >= SIMILAR)
+    best = alike.groupBy("domain", "set").agg(F.max(F.struct("score", "memory_id")).alias("b")).select("domain", "set", "b.memory_id", "b.score")
+    return own.join(best.unionByName(same), ["domain", "set"]).select(key, "memory_id", "score")
 
 
 def operation(supersedes: Column, mem_type: Column, similar: Column) -> Column:

@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from noctua.functions import dims
-from noctua.operators import audit, events, gate, lifecycle
+from noctua.operators import audit, events, gate, lifecycle, pairs
 
 REQUEST = "request_id int, mem_type string, domain string, title string, body string, valid_from string, valid_until string, expires string, stale_after_days int, confidence double, source string"
 
@@ -166,3 +168,34 @@ def test_forged_rows_break_the_chain(spark, span):
         (changed(9, summary="other"), 9), (log[:6] + log[7:], 6), (log + [{**log[-1], "id": 77}], 19), (log[1:], 0), (changed(4, hash="0" * 64), 4),
     ]:
         assert broken(forged)[::2] == (False, sorted(r["id"] for r in forged)[at]), (at, forged[at])
+
+
+def test_similar_titles_with_a_word_in_every_title_equal_brute_force(spark):
+    """One word is in all titles, a third of them are that word alone, and its list is cut into cells of a few rows."""
+    rng, words = random.Random(5), [f"w{i}" for i in range(12)]
+    title = lambda: "common" if rng.randrange(3) == 0 else " ".join(rng.sample(["common", *rng.sample(words, rng.randrange(1, 6))], k=2 if rng.randrange(4) == 0 else 1) + ["common", *rng.sample(words, rng.randrange(1, 6))])
+    m = [(f"m{i}", rng.choice(["work", "family"]), title(), "expired" if i % 9 == 0 else "active") for i in range(150)] + [("n1", "work", "", "active"), ("n2", None, "common", "active"), ("n3", "work", None, "active")]
+    r = [(i, rng.choice(["work", "family"]), title()) for i in range(120)] + [(900, "work", None), (901, None, "common"), (902, "work", "")]
+    terms = lambda s: {x for x in (s or "").lower().split() if len(x) > 1}
+    want = {}
+    for k, domain, s in r:
+        scores = [(len(terms(s) & terms(u)) / len(terms(s) | terms(u)), i) for i, d, u, status in m if d == domain is not None and status != "expired" and terms(s) and terms(u)]
+        if scores and max(scores)[0] >= 0.82:
+            want[k] = max(scores)[1], round(max(scores)[0], 9)
+    left, right = spark.createDataFrame(r, "request_id int, domain string, title string"), spark.createDataFrame(m, "id string, domain string, title string, status string")
+    for part in (7, 4096):
+        got = gate.similar_titles(left, right, part=part).collect()
+        assert len(got) == len(want) and {x.request_id: (x.memory_id, round(x.score, 9)) for x in got} == want
+    empty = left.limit(0)
+    assert gate.similar_titles(empty, right).count() == 0 and gate.similar_titles(left, right.limit(0)).count() == 0
+
+
+def test_cells_of_a_hot_term_are_small_and_hold_each_pair_once(spark):
+    a = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), (F.col("id") % 500).cast("string"))).alias("x"), F.col("id").alias("ida"))
+    b = a.select("x", F.col("ida").alias("idb"))
+    cells = pairs.met(a, b, ["x"], "ida", "idb", part=64).persist()
+    want = a.join(b, "x")
+    assert cells.count() == want.count() == cells.select("ida", "idb").distinct().count()
+    sizes = cells.where("x = 'hot'").groupBy("cell_rows", "cell_columns").agg(F.count("*").alias("n")).collect()
+    assert len(sizes) == 16 * 16 and max(r.n for r in sizes) <= 4 * 64 * 64 and max(r.n for r in sizes) * 50 < 1000 * 1000
+    assert cells.where("x <> 'hot' AND (cell_rows > 0 OR cell_columns > 0)").count() == 0
