@@ -5,42 +5,98 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from noctua.sources import tables
+
+_TAIL = "id bigint, hash string, n bigint"
 GENESIS = "0" * 64
 
 
-def row_hash(prev: Column) -> Column:
-    """Hash of a row and its predecessor's hash; nulls are empty or 0, and nothing stands between the parts."""
+def payload() -> Column:
+    """What a row's hash covers besides its predecessor's hash; nulls are empty or 0, and nothing stands between the parts."""
     cost = F.coalesce("cost_usd", F.lit(0.0))
     shown = F.when(cost == F.floor(cost), F.floor(cost).cast("string")).otherwise(cost.cast("string"))
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return F.sha2(F.concat(prev, *(part(c) for c in ("run_id", "task_id", "ts", "kind", "summary", "detail")), F.coalesce("tokens", F.lit(0)).cast("string"), shown), 256)
+    return F.concat(*(part(c) for c in ("run_id", "task_id", "ts", "kind", "summary", "detail")), F.coalesce("tokens", F.lit(0)).cast("string"), shown)
+
+
+def row_hash(prev: Column) -> Column:
+    """Hash of a row and its predecessor's hash."""
+    return F.sha2(F.concat(prev, payload()), 256)
 
 
 def appended(rows: DataFrame, last_hash: str = GENESIS) -> DataFrame:
     """``rows`` with prev_hash and hash, chained in order of id.
 
-    A chain is a sequence: the rows of one append go through one task, in batches, sorted. It is the new rows only that
-    do; the log so far is represented by its last hash.
+    A chain is a sequence: the rows of one append go through one task, in batches, sorted, which does nothing but hash; what it
+    hashes is put together where the rows are. It is the new rows only that do; the log so far is represented by its last hash.
     """
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = last_hash
-        for frame in frames:
-            prev, own = [], []
-            for r in frame.itertuples(index=False):
-                text = lambda v: "" if v is None or v != v else str(v)
-                number = lambda v: "0" if v is None or v != v else repr(int(v)) if float(v) == int(v) else repr(float(v))
-                prev.append(last)
-                last = hashlib.sha256((last + text(r.run_id) + text(r.task_id) + text(r.ts) + text(r.kind) + text(r.summary) + text(r.detail) + number(r.tokens) + number(r.cost_usd)).encode()).hexdigest()
-                own.append(last)
-            yield frame.assign(prev_hash=prev, hash=own)
-
-    return rows.coalesce(1).sortWithinPartitions("id").mapInPandas(run, f"{kinds}, prev_hash string, hash string")
+        for batch in batches:
+            links = [last]
+            for x in batch.column(batch.num_columns - 1).to_pylist():
+                last = hashlib.sha256((last + x).encode()).hexdigest()
+                links.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(links[:-1], pa.string()), pa.array(links[1:], pa.string())], names=[*batch.schema.names[:-1], "prev_hash", "hash"])
+
+    return rows.withColumn("hashed", payload()).repartition(1).sortWithinPartitions("id").mapInArrow(run, f"{kinds}, prev_hash string, hash string")
+
+
+class Log:
+    """An audit log in a folder that grows by batches: ``rows/batch=N`` and, once those are whole, ``tail/N`` with the
+    last id and hash and the number of rows so far.
+
+    A batch that was taken in already, as a stream repeats it after a failure, appends nothing. A batch of which the rows
+    were written but not the tail is written anew over them. Readers see batches that have a tail, so never half a batch.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def tail(self) -> tuple[int, int, str, int]:
+        """(last batch, last id, last hash, rows); of an empty log (-1, -1, GENESIS, 0)."""
+        done = [int(x) for x in tables.children(self.spark, f"{self.folder}/tail") if x.isdigit() and tables.exists(self.spark, f"{self.folder}/tail/{x}/_SUCCESS")]
+        if not done:
+            return -1, -1, GENESIS, 0
+        last = max(done)
+        r = self.spark.read.schema(_TAIL).parquet(f"{self.folder}/tail/{last}").first()
+        return last, r.id, r.hash, r.n
+
+    def append(self, rows: DataFrame, batch: int) -> int:
+        """Take in ``rows`` (id and the columns of an audit row) as batch number ``batch``; how many came. Ids must go on
+        from the last one: a row at or below it would break the order of the chain, so it is an error."""
+        last, last_id, last_hash, n = self.tail()
+        if batch <= last:
+            return 0
+        path = f"{self.folder}/rows/batch={batch}"
+        appended(rows, last_hash).write.mode("overwrite").parquet(path)
+        written = self.spark.read.parquet(path)
+        new = written.agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("id"), F.max_by("hash", F.struct("id", "prev_hash")).alias("hash")).first()
+        if new.n and new.least <= last_id:
+            raise ValueError(f"batch {batch} begins at id {new.least}, the log ends at {last_id}")
+        row = [(new.id, new.hash, n + new.n)] if new.n else [(last_id, last_hash, n)]
+        self.spark.createDataFrame(row, _TAIL).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/tail/{batch}")
+        return new.n
+
+    def follow(self, stream: DataFrame, checkpoint: str) -> None:
+        """Append what a stream of audit rows has now, batch by batch, and go on from there next time."""
+        run = stream.writeStream.foreachBatch(lambda rows, batch: self.append(rows, batch) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        run.awaitTermination()
+
+    def read(self, schema: StructType) -> DataFrame:
+        """All rows of whole batches; ``schema`` is that of the rows taken in."""
+        last = self.tail()[0]
+        full = StructType([*schema.fields, StructField("prev_hash", StringType()), StructField("hash", StringType())])
+        if last < 0:
+            return self.spark.createDataFrame([], full)
+        return self.spark.read.schema(StructType([*full.fields, StructField("batch", LongType())])).parquet(f"{self.folder}/rows").where(F.col("batch") <= last).drop("batch")
 
 
 def verified(log: DataFrame, span: int = 100_000) -> DataFrame:

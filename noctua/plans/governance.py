@@ -239,6 +239,19 @@ def f2(t):
     return _log(t).select("id", "prev_hash", "hash")
 
 
+@query("F2_streamed_chain", with_("audit") + _CHAIN + " SELECT ids[n] AS id, substr(hashes, 64 * n - 63, 64) AS prev_hash, substr(hashes, 64 * n + 1, 64) AS hash FROM c, (SELECT unnest(range(1, len(ids) + 1)) AS n FROM c)")
+def f2s(t):
+    """The log grown by a stream in three steps, going on from its stored tail; a batch that comes again appends nothing."""
+    rows, folder = t.audit.withColumn("cost_usd", F.lit(None).cast("double")), t.scratch("F2_streamed_chain")
+    third = (rows.agg(F.max("id")).first()[0] or 0) // 3 + 1
+    log = audit.Log(t.spark, f"{folder}/log")
+    for k in range(3):
+        rows.where(F.floor(F.col("id") / third) == k).write.mode("append").parquet(f"{folder}/in")
+        log.follow(t.spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), f"{folder}/checkpoint")
+    log.append(rows.where(F.col("id") < third), 0)
+    return log.read(rows.schema).select("id", "prev_hash", "hash")
+
+
 @query("F3_chain_verified", with_("audit") + ", r AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM x_audit) SELECT false AS ok, 5::BIGINT AS checked_rows, id AS broken_at FROM r WHERE n = 5")
 def f3(t):
     """A log of which the fifth row was changed after the fact."""
@@ -310,6 +323,32 @@ def f13(t):
     return events.final_status(events.classified(lines), lines.select("task_id").distinct().select("task_id", F.when(F.col("task_id") % 5 == 0, 1).alias("exit_code")))
 
 
+@query(
+    "F13_streamed_state",
+    """WITH e AS (SELECT event_id // 5000 AS task_id, event_id % 5000 + 1 AS seq, event_id, event_type FROM events WHERE NOT (event_id % 97 = 13 AND event_id % 2 = 1)),
+s AS (SELECT task_id, max_by(event_type, seq) FILTER (seq % 3 = 0) AS status, max_by(seq % 7, seq) FILTER (seq % 2 = 0) AS step, coalesce(sum(event_id % 100) FILTER (seq % 5 = 0), 0)::BIGINT AS tokens, max(seq) AS last_seq, count(*) AS events,
+max(seq) - count(*) AS n_missing, CASE WHEN bool_or(event_type = 'error' AND event_id % 1000 = 7) THEN 'failed' ELSE 'completed' END AS outcome FROM e GROUP BY 1),
+m AS (SELECT task_id, min(seq + 1) AS first_missing FROM (SELECT task_id, seq FROM e UNION ALL SELECT DISTINCT task_id, 0 FROM e) x WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.task_id = x.task_id AND e.seq = x.seq + 1) GROUP BY 1)
+SELECT s.*, CASE WHEN first_missing <= last_seq THEN first_missing END AS first_missing FROM s JOIN m USING (task_id)""",
+)
+def f13s(t):
+    """State of tasks from a stream whose events come out of order, repeated, late (in a second run) or never."""
+    from noctua.streaming import events as stream
+
+    k, folder = F.col("event_id"), t.scratch("F13_streamed_state")
+    seq = k % 5000 + 1
+    e = t.events.select(
+        k, F.floor(k / 5000).alias("task_id"), seq.alias("seq"), k.alias("arrival"), F.when(seq % 3 == 0, F.col("event_type")).alias("status"), F.when(seq % 2 == 0, seq % 7).alias("step"),
+        F.when(seq % 5 == 0, k % 100).alias("tokens"), ((F.col("event_type") == "error") & (k % 1000 == 7)).alias("failed"),
+    )
+    again = e.where("event_id % 20 = 7 AND event_id % 97 <> 13").withColumn("arrival", k + 1_000_000_000)
+    for wave in (e.where("event_id % 97 <> 13").unionByName(again), again.unionByName(e.where("event_id % 97 = 13 AND event_id % 2 = 0"))):
+        wave.drop("event_id").write.mode("append").parquet(f"{folder}/in")
+        source = t.spark.readStream.schema(wave.drop("event_id").schema).parquet(f"{folder}/in")
+        digests = stream.followed(stream.block_states(source), folder)
+    return stream.task_states(digests)
+
+
 @query("F14_approval_effects", with_("tasks") + "SELECT id, CASE WHEN id % 6 = 0 THEN 'planned' WHEN id % 6 = 1 THEN 'cancelled' ELSE status END AS status, CASE WHEN id % 6 = 1 THEN CASE WHEN id % 4 = 1 THEN 'too risky' ELSE 'Denied' END END AS failure FROM x_tasks")
 def f14(t):
     k = F.col("id")
