@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from noctua.functions import dims, text
 from noctua.operators import pairs
+from noctua.sources.tables import stored
 
 TARGET, OVERLAP, LOOK_BACK = 1500, 220, 240
 
@@ -212,9 +213,10 @@ def near_duplicates(docs: DataFrame, theta: float = 0.72, part: int = pairs.PART
     d = docs.select("doc_id", F.array_sort(text.term_set(F.col("text"))).alias("w"))
     d = d.select("doc_id", F.when(F.size("w") > 0, F.sha2(F.array_join("w", " "), 256)).otherwise(F.col("doc_id").cast("string")).alias("key"), "w")
     sets = d.where(F.size("w") > 0).groupBy("key").agg(F.min("doc_id").alias("id"), F.first("w").alias("w"))
+    sets = stored(sets, "near_sets")
     each = sets.select("id", F.size("w").alias("n"), F.explode("w").alias("x"))
     freq = each.groupBy("x").agg(F.count("*").alias("df"))
-    rare = pairs.prefixed(each, "id", ["x"], freq, theta).where("df > 1")
+    rare = stored(pairs.prefixed(each, "id", ["x"], freq, theta).where("df > 1").select("id", F.xxhash64("x").alias("x"), "n", "k"), "near_rare")
     a, b = (rare.select("x", *(F.col(c).alias(c + side) for c in ("id", "n", "k"))) for side in "ab")
     reach = (F.col("ida") < F.col("idb")) & pairs.may_reach(*map(F.col, ("na", "ka", "nb", "kb")), theta)
     may = pairs.met(a, b, ["x"], "ida", "idb", reach, part).select("ida", "idb").distinct()

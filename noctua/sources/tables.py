@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +58,13 @@ def kept(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataF
     return spark.read.parquet(path)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A step's rows as a table of the application's folder: later steps that read it several times begin there."""
+    path = f"{kept_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A Parquet table with at least the declared columns, or an empty one if it is missing; missing columns are null."""
     try:
