@@ -1,7 +1,9 @@
 """Removal of passages that earlier documents hold, word for word or nearly so, by collinear chaining.
 
-1. Seeds are runs of ``K`` words: of each ``W`` in a row the one of least hash, so any ``K + W - 1`` equal words share a
-   seed. Documents are dealt into groups; a group asks once, for each distinct seed, where it occurs first (least
+1. Seeds are spaced: words 0, 1, 2, 3 and 5 of ``K`` in a row, so one of them survives where every fifth word differs. A
+   place is a seed if the least hash of its five words is that of the first or the last one. That depends on those words
+   alone, so a seed is one in every copy that keeps them; and of ``W`` places in a row one is a seed (the least word of
+   ten either begins one or ends one), so any ``K + W - 1`` equal words share a seed. Documents are dealt into groups; a group asks once, for each distinct seed, where it occurs first (least
    doc_id, then position). A seed that a third of all documents hold costs one request per group.
 2. A document's seeds with their earlier occurrences in one other document are points in a plane. Runs on one
    diagonal merge to segments, and a Fenwick tree over the other document's positions finds the chain of segments,
@@ -36,9 +38,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from . import _text as t
 from ._shared import ROW, dealt, groups_of, keyed, n_buckets, named, stored, survey, unpacked
 
-K, W, LEAST, IDENTITY = 5, 4, 50, 0.8
+#: Words of a seed, counted from its place.
+SHAPE = (0, 1, 2, 3, 5)
+K, W, LEAST, IDENTITY = SHAPE[-1] + 1, 5, 50, 0.8
 #: Cost of a word of gap in a chain; the longest step between seeds of one segment; words fetched beyond the last shared seed; gap that may split a chain.
-GAP_COST, STEP, EXTEND, SPLIT = 0.25, 20, 24, 12
+GAP_COST, STEP, EXTEND, SPLIT = 0.15, 20, 24, 12
 #: In text that repeats itself at once, a seed is no point again within so many words; extension goes over them.
 AGAIN = 16
 #: A seed is paired with so many of the next shared ones, at most so many words further on.
@@ -58,22 +62,27 @@ _CHAIN_FIELDS = [("g", pa.int32()), ("kind", pa.int8()), ("doc_id", pa.int64()),
 _GROUPED = "g int, kind tinyint, payload binary"
 
 
+def seed_hashes(h: np.ndarray) -> np.ndarray:
+    """Hash of the words of ``SHAPE`` at each place; the last ``K - 1`` places have none."""
+    m = max(0, len(h) - K + 1)
+    out = np.zeros(m, t.U64)
+    for k in SHAPE if m else ():
+        out = t.mix((out ^ h[k : k + m]) * np.uint64(0xD6E8FEB86659FD93))
+    return out
+
+
 def seeds(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(seed hash, row, word position) of each row's seeds, in order, from word hashes and each row's first word."""
-    g = t.grams(h, K)
-    count = np.maximum(0, np.diff(first) - (K + W - 2))
-    start = np.repeat(first[:-1] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    chosen = np.zeros(len(h), bool)
-    if len(start):
-        least, at = g[start], np.zeros(len(start), np.int8)
-        for k in range(1, W):
-            x = g[start + k]
-            less = x < least
-            least[less], at[less] = x[less], k
-        chosen[start + at] = True
-    pos = np.flatnonzero(chosen)
+    m = max(0, len(h) - K + 1)
+    if not m:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inner = np.minimum.reduce([h[k : k + m] for k in SHAPE[1:-1]])
+    begin, end = h[:m], h[K - 1 : K - 1 + m]
+    pos = np.flatnonzero(np.minimum(begin, end) <= inner)
     row = np.searchsorted(first, pos, "right") - 1
-    return g[pos] if len(pos) else np.zeros(0, np.uint64), row, pos - first[row]
+    inside = pos + K <= first[row + 1]
+    pos, row = pos[inside], row[inside]
+    return seed_hashes(h)[pos], row, pos - first[row]
 
 
 def _again(seed: np.ndarray, doc: np.ndarray, pos: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -397,8 +406,9 @@ class _Found:
             left, right = self.near.around(doc, lo, hi - K)
             self.rows.append((self.g, 0, doc, ref, self.g, 0, 0, np.array(chain, np.int32).tobytes()))
             near, far = self.asked.get(ref, (1 << 30, 0))
-            low = chain[0][2] - (lo - left) * 5 // 4 - EXTEND
-            high = chain[-1][3] + (right - hi) * 5 // 4 + EXTEND
+            more = max(EXTEND, self.least - (hi - lo))  # a chain at one end of a passage has the rest of it on one side
+            low = chain[0][2] - (lo - left) * 5 // 4 - more
+            high = chain[-1][3] + (right - hi) * 5 // 4 + more
             self.asked[ref] = min(near, max(0, low)), max(far, high)
 
     def table(self) -> pa.Table:
@@ -517,7 +527,7 @@ def _settled(docs: DataFrame, found: DataFrame, least: int, identity: float) ->
         for x in _PLACE.names:
             have[x] = place[x]
         at = first[np.searchsorted(ids, place["doc"])] + place["pos"] if len(place) else np.zeros(0, np.int64)
-        have["seed"] = t.grams(h, K)[at] if len(at) else 0
+        have["seed"] = seed_hashes(h)[at] if len(at) else 0
         edge = np.searchsorted(place["doc"], np.append(ids, 1 << 62))
         for k, doc in enumerate(ids.tolist()):
             if doc not in held:

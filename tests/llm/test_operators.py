@@ -467,10 +467,43 @@ def test_recall_of_fuzzy_passages_against_brute_force(spark):
         recall.setdefault(share, []).append(inside >= 0.6 * n)
     recall = {x: sum(y) / len(y) for x, y in recall.items()}
     print(recall)
-    assert recall[0.05] >= 0.98 and recall[0.1] >= 0.95 and recall[0.15] >= 0.9 and recall[0.18] >= 0.8
+    assert recall[0.05] >= 0.98 and recall[0.1] >= 0.95 and recall[0.15] >= 0.9 and recall[0.18] >= 0.9
     assert all(got[k].n_removed == 0 for k in range(240))
 
 
+def test_any_ten_equal_words_share_a_seed():
+    rng = random.Random(5)
+    h = np.array([rng.getrandbits(64) for _ in range(20_000)], np.uint64)
+    seed, row, pos = passage_dedup.seeds(h, np.array([0, 7_000, 7_004, 7_004, 20_000]))
+    assert set(row.tolist()) == {0, 3}
+    start = np.array([0, 7_000, 7_004, 7_004])[row] + pos
+    assert (np.diff(start[row == 0]) <= passage_dedup.W).all() and (np.diff(start[row == 3]) <= passage_dedup.W).all()
+    assert (start[row == 0] + passage_dedup.K <= 7_000).all() and 0.35 < len(start) / 20_000 < 0.45
+    other = np.concatenate((h[100:110], h[500:502]))  # what is chosen depends on its own words alone
+    again, _, at = passage_dedup.seeds(other, np.array([0, 12]))
+    assert set(again[at + passage_dedup.K <= 10].tolist()) == set(seed[(start >= 100) & (start + passage_dedup.K <= 110)].tolist()) != set()
+
+
+@pytest.mark.parametrize("size", [60, 80, 160])
+def test_recall_of_copies_with_evenly_spaced_edits(spark, size):
+    """Every fifth (identity 0.8) to ninth word replaced, from each possible one on; what counts is decided by edit distance."""
+    rows, of = [], {}
+    for k in range(200):
+        step, words = 5 + k % 5, prose(15_000 + k, size).split()
+        copy = [f"new{k}x{i}" if (i + k // 5) % step == 0 else w for i, w in enumerate(words)]
+        rows += [(k, prose(16_000 + k, 30) + " " + " ".join(words) + " " + prose(17_000 + k, 30)), (1000 + k, prose(18_000 + k, 30) + " " + " ".join(copy) + " " + prose(19_000 + k, 30))]
+        if 1 - distance(words, copy) / size >= 0.8:
+            of[1000 + k] = step
+    got = {r.doc_id: r for r in passage_dedup.remove_passages(table(spark, rows)).collect()}
+    recall = {}
+    for k, step in of.items():
+        recall.setdefault(step, []).append(sum(max(0, min(s.hi, 30 + size) - max(s.lo, 30)) for s in got[k].spans) >= 0.6 * size)
+    recall = {x: sum(y) / len(y) for x, y in sorted(recall.items())}
+    print(size, recall)
+    assert set(recall) == {5, 6, 7, 8, 9} and min(recall.values()) >= (0.85 if size == 60 else 0.95)
+    assert all(got[k].n_removed == 0 for k in range(200))
+
+
 def test_seeds_go_on_to_later_holders(spark):
     """Documents 1, 2 and 3 hold all phrases apart, 10 a passage of them, 20 and 30 fuzzy copies of that one."""
     phrases = [prose(400 + i, 9) for i in range(8)]
