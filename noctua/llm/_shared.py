@@ -90,11 +90,6 @@ def n_buckets(spark: SparkSession, times: int = 4, n_bytes: int = 0) -> int:
     return max(16, times * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // GROUP_BYTES))
 
 
-def documents_of(df: DataFrame, *columns: str) -> DataFrame:
-    """The operator's own columns; extra columns, whatever their names, go no further. Rows without a doc_id go."""
-    return df.select("doc_id", *columns).where(F.col("doc_id").isNotNull())
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -143,8 +138,8 @@ def groups_of(doc_ids: np.ndarray, n: int) -> np.ndarray:
     return np.array([zlib.crc32(b"%d" % x) % n for x in ids.tolist()], np.int32)[inverse]
 
 
-def dealt(docs: DataFrame, n: int) -> DataFrame:
-    """(g, payload): the rows of ``docs``, with doc_id, packed and compressed by group of doc_id.
+def dealt(docs: DataFrame, n: int, key: Column | None = None) -> DataFrame:
+    """(g, payload): the rows of ``docs``, with doc_id, packed and compressed by group of doc_id, or of ``key`` where ids may be null.
 
     Plans that use this more than once share one exchange, and texts take a third of their size in it.
     """
@@ -175,16 +170,18 @@ def dealt(docs: DataFrame, n: int) -> DataFrame:
         if held:
             yield out(held)
 
-    return docs.withColumn("g", group_of(F.col("doc_id"), n)).mapInArrow(pack, "g int, payload binary")
+    return docs.withColumn("g", group_of(F.col("doc_id") if key is None else key, n)).mapInArrow(pack, "g int, payload binary")
 
 
 def unpacked(table: pa.Table) -> pa.RecordBatch | None:
-    """All rows of a group, in order of doc_id; None for no row."""
+    """All rows of a group, in order of doc_id, those without one last; None for no row."""
     held = [b for x in table.column("payload") for b in pa.ipc.open_stream(x.as_buffer())]
     if not held:
         return None
     rows = pa.Table.from_batches(held)
-    return rows.take(pa.array(np.argsort(rows.column("doc_id").to_numpy(), kind="stable"))).combine_chunks().to_batches()[0]
+    ids = rows.column("doc_id")
+    order = np.argsort(ids.to_numpy(), kind="stable") if not ids.null_count else np.lexsort((ids.fill_null(0).to_numpy(), ids.is_null().to_numpy()))
+    return rows.take(pa.array(order)).combine_chunks().to_batches()[0]
 
 
 def with_text(docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:

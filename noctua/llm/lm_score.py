@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as t
-from ._shared import dealt, documents_of, n_buckets, stored, survey, unpacked
+from ._shared import dealt, n_buckets, stored, survey, unpacked
 
 CLASSES, ENDINGS, WIDTH, NOISE, BATCH, ROUNDS, RATE, CALM, SMOOTH = 1024, 64, 24, 32, 1024, 2, 0.1, 30.0, 0.1
 #: Noise leaves of a token; leaves of a class at most; floats of the model that are summed at once.
@@ -370,13 +370,17 @@ def scored(docs: DataFrame, by: int = 10, classes: int = CLASSES, rounds: int =
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document.
 
     Rows whose crc32 of the id as text leaves 0 by ``by`` are held out of counts and training. Null is the empty text,
-    whose one token is the end. Repeated rows count as often as they come. With no training row all counts are 0.
+    whose one token is the end. Repeated rows count as often as they come. Rows without a doc_id are scored, teach nothing
+    and are not held out. With no training row all counts are 0. Of words equally frequent at the vocabulary's edge those
+    of least hash are classes of their own. Which rows a task trains on follows the layout of the input, and so do the
+    later decimals of ``score``; counts and ``base_score`` do not.
     """
     spark = docs.sparkSession
-    docs = documents_of(docs, "text").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (remainder(F.col("doc_id"), by) != 0).alias("train"))
+    left = remainder(F.col("doc_id"), by)
+    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(left != 0, F.lit(False)).alias("train"), F.coalesce(left == 0, F.lit(False)).alias("held_out"))
     size, _ = survey(docs)
     n = n_buckets(spark, 1, size)
-    groups = dealt(docs, n_buckets(spark, 4, size))
+    groups = dealt(docs, n_buckets(spark, 4, size), F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text")))
     most = classes - ENDINGS - 1
     leaves = leaves_for(size)
     table = stored(counted(groups, most, n, leaves), "counts")
@@ -410,8 +414,7 @@ def scored(docs: DataFrame, by: int = 10, classes: int = CLASSES, rounds: int =
             logp = model.log_probability(w, *words.contexts(w, first), z, leaf[i]) + np.where(w < ENDINGS, log_share[i], 0.0)
             row = t.row_of(first)
             per = lambda x: np.bincount(row, x, part.num_rows)
-            train = part.column(part.schema.get_field_index("train")).to_numpy(zero_copy_only=False)
-            got = [part.column(0), ~train, np.diff(first), per(total[i] > 0).astype(np.int64), np.full(part.num_rows, words.n), per(log_base[i]), per(logp) / np.log(10)]
+            got = [part.column(0), part.column("held_out"), np.diff(first), per(total[i] > 0).astype(np.int64), np.full(part.num_rows, words.n), per(log_base[i]), per(logp) / np.log(10)]
             out.append(pa.RecordBatch.from_arrays([pa.array(c, k) if not isinstance(c, pa.Array) else c.cast(k) for c, k in zip(got, kinds, strict=True)], names=names))
         return pa.Table.from_batches(out)
 

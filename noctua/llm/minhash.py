@@ -19,6 +19,7 @@ cluster of several blocks is compared with all of it. Again only trees of the tr
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ from . import _text as t
 from ._shared import ROW, dealt, keyed, n_buckets, stored, survey, unpacked, with_text
 from .components import components
 
-K, FLOOR_SHARE = 32, 0.375
+#: Values of a sketch; the chance with which a pair at the threshold may be lost to its sketches.
+K, LOST = 32, 1e-7
 #: A block of a cluster holds about so many shingles and documents at most.
 BLOCK_SHINGLES, BLOCK_DOCS = 1 << 21, 4096
 #: Members of a list that are searched in one place; visits without a link before products take over; their rows at once.
@@ -39,6 +41,17 @@ _COUNT = np.dtype([("v", "<u8"), ("n", "<i8"), ("g", "<i4")])
 _LIST = np.dtype([("v", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("part", "<i4"), ("sketch", "<u4", K)])
 
 
+def floor_share(percent: int) -> float:
+    """Share of the union's ``K`` smallest values that a pair at ``percent`` per cent has in common but for a chance of
+    ``LOST``, by the binomial distribution: 12 of 32 at 80. Below 40 per cent there is none, an error."""
+    p, tail, t = percent / 100, 0.0, 0
+    while t < K and (tail := tail + comb(K, t) * p**t * (1 - p) ** (K - t)) <= LOST:
+        t += 1
+    if not t:
+        raise ValueError(f"sketches of {K} values do not find pairs at {percent} per cent")
+    return t / K
+
+
 def shingle_sets(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes, sorted within each row; and each row's first, with the total last."""
     h, _, _, first = t.words(t.lower(data), at, ~t.SPACE)
@@ -116,11 +129,12 @@ def counted(groups: DataFrame, n: int) -> DataFrame:
     return _met(groups.groupBy("g").applyInArrow(ask, t.BLOCKS_DDL)).mapInArrow(answer, "g int, payload binary")
 
 
-def listed(groups: DataFrame, n: int) -> DataFrame:
+def listed(groups: DataFrame, n: int, percent: int) -> DataFrame:
     """(bucket, payload): inverted lists: each representative under the values that list it, with its sketch.
 
     A list of more than ``HOT`` members is dealt into parts by a hash of the member.
     """
+    floor = floor_share(percent)
 
     def post(own: pa.Table, told: pa.Table) -> pa.Table:
         if not own.num_rows or not told.num_rows:
@@ -137,7 +151,7 @@ def listed(groups: DataFrame, n: int) -> DataFrame:
         keep = keep[np.lexsort((values[keep], freq[keep], row[keep]))]
         edge = t.edges(row[keep])
         have, of = np.diff(edge), row[keep][edge[:-1]]
-        least = np.ceil(FLOOR_SHARE * np.minimum(size[of], K)).astype(np.int64)
+        least = np.ceil(floor * np.minimum(size[of], K)).astype(np.int64)
         held = np.maximum(0, have - least + 1)
         off = np.concatenate(([0], np.cumsum(held)))
         take = keep[np.repeat(edge[:-1] - off[:-1], held) + np.arange(off[-1])]
@@ -181,6 +195,7 @@ def _sizes_fit(one: np.ndarray, many: np.ndarray, percent: int) -> np.ndarray:
 
 def _groups(rec: np.ndarray, percent: int) -> list[list[int]]:
     """Members that hang together by estimate, two at least; the most central members are visited first."""
+    floor = floor_share(percent)
     values, inverse = np.unique(rec["sketch"], return_inverse=True)
     held = np.bincount(inverse.ravel())
     held[values == _PAD] = 0
@@ -194,7 +209,7 @@ def _groups(rec: np.ndarray, percent: int) -> list[list[int]]:
             continue
         p = queue.pop()
         fit = np.flatnonzero(_sizes_fit(rec["n"][p], rec["n"][left], percent))
-        near = fit[_estimate(rec["sketch"][p], int(rec["n"][p]), rec["sketch"][left[fit]], rec["n"][left[fit]].astype(np.int64)) >= FLOOR_SHARE]
+        near = fit[_estimate(rec["sketch"][p], int(rec["n"][p]), rec["sketch"][left[fit]], rec["n"][left[fit]].astype(np.int64)) >= floor]
         got = left[near].tolist()
         group += got
         queue += got
@@ -224,6 +239,7 @@ def _tree(docs: np.ndarray) -> list[tuple[int, int]]:
 
 def candidates(lists: DataFrame, percent: int) -> DataFrame:
     """(a, b): candidate links, as trees. The groups of the parts of one long list are strung together, whatever their sketches."""
+    floor = floor_share(percent)
 
     def meet(batches):
         for _, rec in t.gathered(batches, _LIST):
@@ -234,7 +250,7 @@ def candidates(lists: DataFrame, percent: int) -> DataFrame:
             pairs = edge[:-1][(size == 2) & whole]
             for two in np.array_split(pairs, max(1, len(pairs) // 4096)):
                 two = two[_sizes_fit(rec["n"][two], rec["n"][two + 1], percent)]
-                near = _estimate_rows(rec["sketch"][two], rec["n"][two].astype(np.int64), rec["sketch"][two + 1], rec["n"][two + 1].astype(np.int64)) >= FLOOR_SHARE
+                near = _estimate_rows(rec["sketch"][two], rec["n"][two].astype(np.int64), rec["sketch"][two + 1], rec["n"][two + 1].astype(np.int64)) >= floor
                 found.append(np.stack((two[near], two[near] + 1), axis=1))
             for k in np.flatnonzero((size > 2) | ~whole):
                 docs = rec["doc"][edge[k] : edge[k + 1]]
@@ -440,7 +456,7 @@ def classes(docs: DataFrame, n_bytes: int, size: int, percent: int) -> DataFrame
     equal = sig.where("n_shingles > 0").groupBy("sig_a", "sig_b", "n_shingles").agg(F.min_by("sketch", "doc_id").alias("sketch"), F.min("doc_id").alias("doc_id"))
     reps = stored(equal, "classes")
     n, n_groups = (n_buckets(docs.sparkSession, x, n_bytes // 4) for x in (1, 2))
-    links = verified(candidates(listed(dealt(reps.select("doc_id", "n_shingles", "sketch"), n_groups), n), percent), reps, docs, size, percent, n_buckets(docs.sparkSession, 2, n_bytes))
+    links = verified(candidates(listed(dealt(reps.select("doc_id", "n_shingles", "sketch"), n_groups), n, percent), percent), reps, docs, size, percent, n_buckets(docs.sparkSession, 2, n_bytes))
     comp = components(links)
     named_ = reps.select("sig_a", "sig_b", "n_shingles", F.col("doc_id").alias("rep")).join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     out = sig.drop("sketch").join(named_, ["sig_a", "sig_b", "n_shingles"], "left")

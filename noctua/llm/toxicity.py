@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as t
-from ._shared import documents_of
 
 MOST_ROWS, MOST_TERMS, LEAST_ODDS, LEAST_DOCS = 50_000, 4096, 2.0, 5
 STARTS, NEAR = (5, 6, 7, 8), 5
@@ -238,9 +237,11 @@ def scored(docs: DataFrame, labels: DataFrame, by: int = 5, most_rows: int = MOS
     """doc_id, held_out (crc32 of the id as text leaves 0 by ``by``), score, predicted of each document.
 
     ``labels`` has (doc_id, toxic); rows with a null label teach nothing, of several labels of a document the greatest counts.
+    Rows without a doc_id are scored, teach nothing and are not held out. Equal texts have equal scores, whatever their ids;
+    very long ones are measured in one piece.
     """
     spark = docs.sparkSession
-    docs = documents_of(docs, "text").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("bigint").alias("label"))
     known = known.where((remainder(F.col("doc_id"), by) != 0) & F.col("label").isin(0, 1))
     # at most most_rows small rows, whatever the input: a broadcast of bounded size, and the texts stay where they are
@@ -276,4 +277,4 @@ def scored(docs: DataFrame, labels: DataFrame, by: int = 5, most_rows: int = MOS
             p = np.interp(raw, *points) if points is not None else np.full(len(raw), chance)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", (remainder(F.col("doc_id"), by) == 0).alias("held_out"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", F.coalesce(remainder(F.col("doc_id"), by) == 0, F.lit(False)).alias("held_out"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")

@@ -69,6 +69,28 @@ def test_near_duplicates_equal_brute_force(spark, odd, odd_rows, n):
     assert sorted(r.doc_id for r in got if r.kept) == sorted({c for *_, c in brute_components(rows, n)})
 
 
+@pytest.mark.parametrize("percent", [40, 50, 70, 80, 90])
+def test_pairs_at_any_threshold_are_found(spark, percent):
+    """Pairs just above the threshold, by one run of other words in the middle; none just below it."""
+    rows, size = [], 300
+    shingles = size - 4
+    for k in range(120):
+        for at, above in ((0, True), (10_000, False)):
+            words, shared = prose(20_000 + k, size).split(), 2 * percent / (100 + percent)
+            same = int(shingles * shared) + 2 if above else int(shingles * shared) - 3
+            cut = shingles - same - 4
+            copy = [f"x{k}y{at}z{i}" if 100 <= i < 100 + cut else w for i, w in enumerate(words)]
+            rows += [(at + 2 * k, " ".join(f"{w}q{at}" for w in words)), (at + 2 * k + 1, " ".join(f"{w}q{at}" for w in copy))]
+    got = minhash.near_duplicates(table(spark, rows), size=5, percent=percent).collect()
+    assert {r.doc_id for r in got if not r.kept} == {2 * k + 1 for k in range(120)}
+
+
+def test_thresholds_beyond_the_sketch_are_refused():
+    assert minhash.floor_share(80) == 12 / 32
+    with pytest.raises(ValueError):
+        minhash.floor_share(30)
+
+
 def test_large_clusters_meet_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_DOCS", 7)
     rows = [(i, t) for i, t in enumerate(near_copies(3, 80, 40, 12))]
@@ -557,18 +579,19 @@ def test_isotonic_fit_is_monotone_and_pooled():
 
 
 def brute_base(rows, by=10):
-    tok = [(k, [*WORD.findall(low(t)), "\n"]) for k, t in rows if k is not None]
+    tok = [(k, [*WORD.findall(low(t)), "\n"]) for k, t in rows]
+    left = lambda k: None if k is None else zlib.crc32(str(k).encode()) % by
     c = Counter()
     for k, w in tok:
-        if zlib.crc32(str(k).encode()) % by:
+        if left(k):
             c.update(w)
     n, v = sum(c.values()), len(c)
-    return sorted((k, zlib.crc32(str(k).encode()) % by == 0, len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 6)) for k, w in tok)
+    return sorted(((k, left(k) == 0, len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 6)) for k, w in tok), key=str)
 
 
 def test_counts_and_base_scores_equal_brute_force(spark, odd, odd_rows):
     got = lm_score.scored(odd, classes=200).collect()
-    assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == brute_base(odd_rows)
+    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got), key=str) == brute_base(odd_rows)
     assert all(np.isfinite(r.score) and r.score <= 0 for r in got) and lm_score.scored(table(spark, [])).count() == 0
 
 
@@ -629,9 +652,9 @@ def test_odd_rows_and_toxicity(spark, odd, odd_rows):
     """Nulls, repeats, long texts, clashing columns and empty tables; equal texts have equal scores."""
     labels = spark.createDataFrame([(0, 1), (4, 0), (4, 1), (6, 0), (9, None), (None, 1), (10, 0), (11, 1)], "doc_id bigint, toxic int")
     got = toxicity.scored(odd, labels).collect()
-    assert len(got) == len(odd_rows) - 1 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    assert len(got) == len(odd_rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
     by = {r.doc_id: r for r in got}
-    assert by[0].score == by[4].score and by[1].score == by[2].score == by[3].score and sum(r.doc_id == 4 for r in got) == 2
+    assert by[None].score == by[0].score == by[4].score and not by[None].held_out and by[1].score == by[2].score == by[3].score and sum(r.doc_id == 4 for r in got) == 2
     assert toxicity.scored(odd.where("false"), labels).count() == 0
 
 
