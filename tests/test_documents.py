@@ -113,3 +113,43 @@ def test_dates_of_both_spellings(spark):
 def test_unified_diff(spark):
     got = unified(spark.createDataFrame([(1, "a\nb", "a\nc"), (2, "x", "x")], "k int, o string, n string"), "k", "o", "n").orderBy("k").collect()
     assert "-b" in got[0].diff and "+c" in got[0].diff and got[1].diff == ""
+
+
+def test_candidates_stay_in_the_row_of_their_document(spark):
+    """No join and no group of documents: rows without an id, or with an id that others have, are documents too."""
+    body = "# Setup\n- Authentication is required with a JWT for the endpoint, {} must be enabled by default\n"
+    rows = [(None, "A", body.format("caching")), (1, "B", body.format("paging")), (1, "C", body.format("the gateway"))]
+    found = documents.candidates(spark.createDataFrame(rows, "k int, title string, text string"), "k", "title", "text")
+    assert [(r.k, r["rank"]) for r in found.orderBy(F.col("k").asc_nulls_first()).collect()] == [(None, 1), (1, 1), (1, 1)]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sentences_of_long_text_equal_a_plain_fold(spark):
+    import random
+    import re
+
+    draw = random.Random(5)
+    whole = " ".join("".join(draw.choices("ab .!?\n ", k=draw.randint(1, 60))) for _ in range(400)).strip()
+    out, now = [], ""
+    for piece in re.split(r"(?<=[.!?])(?=\s)", whole):
+        now += piece
+        if len(now) > 45:
+            out, now = [*out, now], ""
+    assert one(spark, whole, documents.sentences) == [x.strip() for x in [*out, now] if len(x.strip()) >= 45]
+
+
+def test_python_takes_up_few_rows_of_a_batch():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"text": ["x"] * 1000})
+    assert [b.num_rows for b in documents.in_slices([batch])] == [256, 256, 256, 232]
+
+
+def test_imports_are_one_pass(spark):
+    from noctua.operators import imports
+
+    body = "<p>Authentication is required with a JWT for the endpoint, caching must be enabled by default.</p>"
+    rows = [(1, "work", "A", "url", body * 3), (1, "work", "B", "url", "<p>password: hunter2</p>"), (None, "work", "C", "url", body), (2, "work", "D", "text", None)]
+    out = imports.imported(spark.createDataFrame(rows, "id int, domain string, title string, input_kind string, content string"))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.title, r.refusal, r.chunks) for r in out.collect()} == {("A", None, 1), ("B", "secrets", 0), ("C", None, 1), ("D", "empty", 0)}
