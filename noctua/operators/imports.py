@@ -27,10 +27,11 @@ def extracted(raw: DataFrame) -> DataFrame:
 
 
 def imported(raw: DataFrame) -> DataFrame:
-    """One row per import: refusal, warning, quality, number of passages and of candidates, status."""
-    e = extracted(raw)
-    usable = e.where("refusal IS NULL")
-    chunks = documents.chunked(usable.select("id", "text")).groupBy("id").agg(F.count("*").alias("chunks"))
-    found = documents.candidates(usable.where("quality_status = 'passed'").select("id", "title", "text"), "id", "title", "text").groupBy("id").agg(F.count("*").alias("candidates"))
-    out = e.drop("text").join(chunks, "id", "left").join(found, "id", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("chunks", "candidates")})
+    """One row per import: refusal, warning, quality, number of passages and of candidates, status.
+
+    All of it is in the import's own row: one pass over the contents, without joins."""
+    usable, own = F.col("refusal").isNull(), extracted(raw)
+    counted = own.withColumn("chunks", F.when(usable, F.size(documents.passages(F.col("text")))).otherwise(0).cast("bigint"))
+    found = documents.candidate_lists(counted.withColumn("text", F.when(usable & (F.col("quality_status") == "passed"), F.col("text"))), "title", "text")
+    out = found.withColumn("candidates", F.size("candidates").cast("bigint"))
     return out.withColumn("status", F.when(F.col("refusal").isNotNull(), "rejected").when(F.col("candidates") == 0, "no_candidates").otherwise("pending"))
