@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from noctua.sources import tables
 
 _TAIL = "id bigint, hash string, n bigint"
 GENESIS = "0" * 64
+#: Rows that one task chains at most, about.
+SPAN = 500_000
 
 
 def payload() -> Column:
@@ -29,13 +32,9 @@ def row_hash(prev: Column) -> Column:
     return F.sha2(F.concat(prev, payload()), 256)
 
 
-def appended(rows: DataFrame, last_hash: str = GENESIS) -> DataFrame:
-    """``rows`` with prev_hash and hash, chained in order of id.
-
-    A chain is a sequence: the rows of one append go through one task, in batches, sorted, which does nothing but hash; what it
-    hashes is put together where the rows are. It is the new rows only that do; the log so far is represented by its last hash.
-    """
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+def _folded(rows: DataFrame, last_hash: str) -> DataFrame:
+    """``rows`` with prev_hash and hash, chained in order of id by one task, which holds all of them."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = last_hash
@@ -49,6 +48,39 @@ def appended(rows: DataFrame, last_hash: str = GENESIS) -> DataFrame:
     return rows.withColumn("hashed", payload()).repartition(1).sortWithinPartitions("id").mapInArrow(run, f"{kinds}, prev_hash string, hash string")
 
 
+def write_appended(rows: DataFrame, path: str, last_hash: str = GENESIS, span: int = SPAN) -> None:
+    """Write ``rows`` with prev_hash and hash, chained in order of id, to ``path``.
+
+    A chain is a sequence, so its links are made one after another. But no task holds more than about ``span`` rows: they are
+    dealt to ranges of id, and each range is folded by a job of its own that begins with the last hash of the range before.
+    """
+    spark, ranges = rows.sparkSession, f"{tables.kept_dir(rows.sparkSession)}/ranges-{uuid.uuid4().hex}"
+    n = -(-rows.count() // span)
+    if n <= 1:
+        return _folded(rows, last_hash).write.mode("overwrite").parquet(path)
+    rows.repartitionByRange(n, "id").withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(ranges)
+    tables.deleted(spark, path)
+    try:
+        for k in sorted(int(x.partition("=")[2]) for x in tables.children(spark, ranges) if x.startswith("_range=")):
+            _folded(spark.read.schema(rows.schema).parquet(f"{ranges}/_range={k}"), last_hash).write.parquet(f"{path}/range={k}")
+            last_hash = spark.read.parquet(f"{path}/range={k}").agg(F.max_by("hash", F.struct("id", "prev_hash"))).first()[0]
+    finally:
+        tables.deleted(spark, ranges)
+
+
+def read_appended(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What ``write_appended`` wrote of rows of ``schema``."""
+    full = StructType([*schema.fields, StructField("prev_hash", StringType()), StructField("hash", StringType())])
+    return spark.read.schema(full).option("recursiveFileLookup", "true").parquet(path)
+
+
+def appended(rows: DataFrame, last_hash: str = GENESIS, span: int = SPAN) -> DataFrame:
+    """``rows`` with prev_hash and hash, chained in order of id and stored once, so that what reads them does not chain anew."""
+    path = f"{tables.kept_dir(rows.sparkSession)}/appended-{uuid.uuid4().hex}"
+    write_appended(rows, path, last_hash, span)
+    return read_appended(rows.sparkSession, path, rows.schema)
+
+
 class Log:
     """An audit log in a folder that grows by batches: ``rows/batch=N`` and, once those are whole, ``tail/N`` with the
     last id and hash and the number of rows so far.
@@ -76,8 +108,8 @@ class Log:
         if batch <= last:
             return 0
         path = f"{self.folder}/rows/batch={batch}"
-        appended(rows, last_hash).write.mode("overwrite").parquet(path)
-        written = self.spark.read.parquet(path)
+        write_appended(rows, path, last_hash)
+        written = read_appended(self.spark, path, rows.schema)
         new = written.agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("id"), F.max_by("hash", F.struct("id", "prev_hash")).alias("hash")).first()
         if new.n and new.least <= last_id:
             raise ValueError(f"batch {batch} begins at id {new.least}, the log ends at {last_id}")
@@ -96,7 +128,8 @@ class Log:
         full = StructType([*schema.fields, StructField("prev_hash", StringType()), StructField("hash", StringType())])
         if last < 0:
             return self.spark.createDataFrame([], full)
-        return self.spark.read.schema(StructType([*full.fields, StructField("batch", LongType())])).parquet(f"{self.folder}/rows").where(F.col("batch") <= last).drop("batch")
+        done = [x for x in tables.children(self.spark, f"{self.folder}/rows") if int(x.partition("=")[2]) <= last]
+        return self.spark.read.schema(full).option("recursiveFileLookup", "true").parquet(*(f"{self.folder}/rows/{x}" for x in done))
 
 
 def verified(log: DataFrame, span: int = 100_000) -> DataFrame:

@@ -199,3 +199,16 @@ def test_cells_of_a_hot_term_are_small_and_hold_each_pair_once(spark):
     sizes = cells.where("x = 'hot'").groupBy("cell_rows", "cell_columns").agg(F.count("*").alias("n")).collect()
     assert len(sizes) == 16 * 16 and max(r.n for r in sizes) <= 4 * 64 * 64 and max(r.n for r in sizes) * 50 < 1000 * 1000
     assert cells.where("x <> 'hot' AND (cell_rows > 0 OR cell_columns > 0)").count() == 0
+
+
+def test_a_chain_in_ranges_equals_one_fold_and_no_task_holds_all(spark, tmp_path):
+    rows = spark.createDataFrame([(i * 3 % 101, "r", None, "2026-07-01", "output", f"s{i}", None, i % 4 or None, 0.5) for i in range(1, 101)], AUDIT)
+    whole, path = audit.appended(rows), f"file://{tmp_path}/log"
+    audit.write_appended(rows, path, span=9)
+    read = audit.read_appended(spark, path, rows.schema)
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, whole.collect()))
+    sizes = [r["count"] for r in read.groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) >= 9 and max(sizes) <= 27
+    assert tuple(audit.verified(read, span=7).first()) == (True, 100, None)
+    audit.write_appended(rows.where("id < 5"), path)  # a range that was written before does not stay
+    assert audit.read_appended(spark, path, rows.schema).count() == 4
