@@ -28,12 +28,19 @@ def accepted(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """
     rows = claims.where(F.col("claim_no") <= MOST_CLAIMS).withColumn("text", text.trimmed(F.col("text")))
     rows = rows.where((F.col("text") != "") & (F.length("text") <= MOST_CHARS))
-    cited = rows.select("question_id", "claim_no", "text", F.explode(F.array_distinct("citations")).alias("number"))
-    e = evidence.select("question_id", "number", text.support_terms(F.col("text")).alias("terms"))
-    met = cited.join(e, ["question_id", "number"])
-    out = met.groupBy("question_id", "claim_no", "text").agg(F.array_sort(F.collect_list("number")).alias("citations"), F.flatten(F.collect_list("terms")).alias("terms"))
-    own = text.support_terms(F.col("text"))
-    return out.where((F.size(own) > 0) & (F.size(F.array_except(own, "terms")) == 0)).drop("terms")
+    # a few short claims go to each piece of evidence, whose terms are counted once and stay where they are
+    cited = rows.select("question_id", "claim_no", "text", text.support_terms(F.col("text")).alias("own"), F.explode(F.array_distinct("citations")).alias("number"))
+    cited = cited.where(F.size("own") > 0).groupBy("question_id", "number").agg(F.collect_list(F.struct("claim_no", "text", "own")).alias("claims"))
+    met = evidence.select("question_id", "number", F.col("text").alias("said")).join(cited, ["question_id", "number"])
+
+    def missed(x: Column, terms: Column) -> Column:
+        return F.struct(x["claim_no"].alias("claim_no"), x["text"].alias("text"), F.coalesce(F.array_except(x["own"], terms), x["own"]).alias("missing"))
+
+    each = met.select("question_id", "number", F.inline(text.let(text.support_terms(F.col("said")), lambda terms: F.transform("claims", lambda x: missed(x, terms)))))
+    out = each.groupBy("question_id", "claim_no", "text").agg(F.array_sort(F.collect_list("number")).alias("citations"), F.collect_list("missing").alias("missing"))
+    # a term is missing if no piece of evidence has it
+    everywhere = F.aggregate("missing", F.get("missing", F.lit(0)), F.array_intersect)
+    return out.where(F.size(everywhere) == 0).drop("missing")
 
 
 def renumbered(kept: DataFrame) -> DataFrame:

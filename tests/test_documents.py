@@ -153,3 +153,12 @@ def test_imports_are_one_pass(spark):
     out = imports.imported(spark.createDataFrame(rows, "id int, domain string, title string, input_kind string, content string"))
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert {(r.title, r.refusal, r.chunks) for r in out.collect()} == {("A", None, 1), ("B", "secrets", 0), ("C", None, 1), ("D", "empty", 0)}
+
+
+def test_a_diff_holds_few_rows_of_a_batch_as_strings(spark):
+    """The step that slices batches is on the way, and odd rows go through it."""
+    rows = [(i, f"a\nb{i}" if i % 3 else None, f"a\nc{i}" if i % 2 else f"a\nb{i}") for i in range(600)]
+    found = unified(spark.createDataFrame(rows, "k int, a string, b string").coalesce(1), "k", "a", "b")
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.k: r["diff"] for r in found.collect()}
+    assert len(got) == 600 and got[2] == "" and got[1].endswith("-b1\n+c1") and "+a" in got[0]

@@ -126,3 +126,13 @@ def test_unsupported_uncited_or_late_claims_are_dropped(spark):
 def test_json_is_found_in_prose(spark):
     df = spark.createDataFrame([("Here:\n```json\n{\"claims\": [{}]}\n``` done",), ("none",)], "s string")
     assert [r.j for r in df.select(verify.json_object(F.col("s")).alias("j")).collect()] == ['{"claims": [{}]}', None]
+
+
+def test_terms_of_evidence_stay_where_they_are_and_add_up(spark):
+    """A claim may find its terms in several pieces of evidence, one of them null or there twice; no list of terms is collected."""
+    rows = [(1, 1, "signed gateway", [1, 2]), (1, 2, "signed gateway", [1]), (1, 3, "tokens", [2, 3]), (1, 4, "the", [1])]
+    claims = spark.createDataFrame(rows, "question_id int, claim_no int, text string, citations array<int>")
+    seen = spark.createDataFrame([(1, 1, "a", "The gateway", 0.9), (1, 2, "b", "Signed tokens", 0.8), (1, 3, "c", None, 0.7)], "question_id int, number int, path string, text string, score double")
+    found = verify.accepted(claims, seen)
+    assert sorted((r.claim_no, r.citations) for r in found.collect()) == [(1, [1, 2]), (3, [2, 3])]
+    assert "flatten" not in found._jdf.queryExecution().optimizedPlan().toString()
