@@ -101,3 +101,17 @@ def test_near_duplicates_equal_brute_force_over_all_ids_and_whole_texts(spark):
     # the classes' pairs, with equal sets put back in, are all pairs
     assert sorted((a, b) for (a, x), (b, y) in itertools.combinations(sorted(sets), 2) if x and (of[a] == of[b] or (min(of[a], of[b]), max(of[a], of[b])) in got)) == want
     assert of[7007] == of[7008] == 8 and (100, 101) not in want and len(got) < len(want)
+
+
+def test_marks_of_sets_differ_no_more_than_the_sets_and_rare_words_are_the_rarest(spark):
+    draw = random.Random(3)
+    sets = {i: {f"w{min(draw.randrange(400), draw.randrange(400))}" for _ in range(draw.randint(1, 80))} for i in range(300)}
+    got = documents._marked(spark.createDataFrame([(i, sorted(w)) for i, w in sets.items()], "id bigint, w array<string>"), 0.72).collect()
+    assert [r.n for r in sorted(got)] == [len(sets[i]) for i in range(300)]
+    for a, b in zip(got, got[1:]):
+        assert sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a.marks, b.marks)) <= len(sets[a.id] ^ sets[b.id])
+    # the places run from 1, without those of words that no other set has
+    assert all([p.k for p in r.rare] == sorted({p.k for p in r.rare}) and all(1 <= p.k <= r.n for p in r.rare) for r in got)
+    _, found = documents.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in sets.items()], "doc_id bigint, text string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "marks" in plan
