@@ -106,10 +106,13 @@ def test_near_duplicates_equal_brute_force_over_all_ids_and_whole_texts(spark):
 def test_marks_of_sets_differ_no_more_than_the_sets_and_rare_words_are_the_rarest(spark):
     draw = random.Random(3)
     sets = {i: {f"w{min(draw.randrange(400), draw.randrange(400))}" for _ in range(draw.randint(1, 80))} for i in range(300)}
-    got = documents._marked(spark.createDataFrame([(i, sorted(w)) for i, w in sets.items()], "id bigint, w array<string>"), 0.72).collect()
-    assert [r.n for r in sorted(got)] == [len(sets[i]) for i in range(300)]
+    sets |= {i: {f"w{draw.randrange(900)}" for _ in range(1200)} for i in range(300, 304)}  # long ones
+    got = documents._marked(spark.createDataFrame([(i, sorted(w)) for i, w in sets.items()], "id bigint, w array<string>"), 0.72).orderBy("id").collect()
+    assert [r.n for r in got] == [len(w) for w in sets.values()]
     for a, b in zip(got, got[1:]):
-        assert sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a.marks, b.marks)) <= len(sets[a.id] ^ sets[b.id])
+        differ = lambda p, q: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(p or [], q or []))
+        assert differ(a.marks, b.marks) <= len(sets[a.id] ^ sets[b.id]) and differ(a.wide, b.wide) <= len(sets[a.id] ^ sets[b.id])
+    assert all((r.wide is not None) == (r.n > documents.LONG) for r in got) and got[-1].n > documents.LONG
     # the places run from 1, without those of words that no other set has
     assert all([p.k for p in r.rare] == sorted({p.k for p in r.rare}) and all(1 <= p.k <= r.n for p in r.rare) for r in got)
     _, found = documents.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in sets.items()], "doc_id bigint, text string"))
