@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +152,44 @@ def test_most_blocks_of_common_terms_stay_closed(spark, folder, monkeypatch):
     assert ix.opened_share(index, asked, df.withColumn("id", F.col("id")), 3) < 0.05
     plan = index.bounds(index.asked(asked), ["common"], None)._jdf.queryExecution().executedPlan().toString()
     assert "entries" not in plan.split("ReadSchema")[1] and "In(term" in plan.replace("EqualTo(term", "In(term")
+
+
+def test_terms_folded_as_bytes_equal_those_of_the_column(spark):
+    texts = ["", None, "Plain ASCII, x_y 12", "Éa ÜBER über_y", "İI ß ÆØ×÷ Þ", "éa a b", "\x00tab\there\x7f", "ΟΔΟΣ мир 東京٣", "end", "  ", "ÿ", "Ã©"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, x string").coalesce(1)
+    half = df.select(ix._half_folded(ix._value(df, "x")).alias("x")).toArrow()["x"].combine_chunks().cast("string")
+    words, row = ix._words(half)
+    want = [(r.i, w) for r in df.select("i", ix.folded(df, "x").alias("x")).orderBy("i").collect() for w in r.x.split(" ") if w]
+    assert list(zip(row.tolist(), words.to_pylist(), strict=True)) == want
+    sliced, row = ix._words(half.slice(3, 4))
+    assert list(zip(row.tolist(), sliced.to_pylist(), strict=True)) == [(i - 3, w) for i, w in want if 3 <= i < 7]
+
+
+def test_an_entry_takes_the_bytes_its_counts_need():
+    docs, tf, n = np.array([1, 511, 7, 0, 300, 65535]), np.array([[0, 3], [0, 300], [1, 0], [0, 70000], [2, 1], [5, 0]]), np.array([2, 1, 3])
+    packed = ix._packed(docs, tf, n, np.maximum.reduceat(tf, [0, 2, 3]))
+    assert [len(v) for v in packed.to_pylist()] == [2 + 2 * 4, 2 + 3, 2 + 3 * 7]
+    got = ix._unpacked(packed, 2)
+    assert [x.tolist() for x in got] == [docs.tolist(), tf.tolist(), [0, 0, 1, 2, 2, 2], n.tolist()]
+
+
+def test_what_a_change_sends_to_a_posting_is_a_bit_for_each_document(spark, folder, monkeypatch):
+    monkeypatch.setattr(ix, "BLOCK", 64)
+    rows = rows_of(7, 256)
+    index = Index.build(spark.createDataFrame(rows, ROWS).coalesce(1), folder, search.FIELDS).changed(spark.createDataFrame(rows[::2], ROWS))
+    sent = index._bits(index.void()).collect()
+    assert len(sent) == 4 and all(len(r.gone) <= 8 for r in sent)
+    check(spark, index, rows)
+
+
+def test_few_questions_do_not_shuffle_the_postings(spark, folder):
+    df = spark.createDataFrame(rows_of(8, 60), ROWS)
+    asked = spark.createDataFrame([(1, "w0"), (2, "w3")], "q int, term string")
+    index = Index.build(df, folder, search.FIELDS)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = index.best(asked, df, 3, tie="doc_id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert plan.count("BroadcastHashJoin [term") >= 2  # the index's terms, and the postings
