@@ -162,3 +162,16 @@ def test_a_diff_holds_few_rows_of_a_batch_as_strings(spark):
     assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
     got = {r.k: r["diff"] for r in found.collect()}
     assert len(got) == 600 and got[2] == "" and got[1].endswith("-b1\n+c1") and "+a" in got[0]
+
+
+def test_addresses_of_one_file_are_judged_in_many_tasks(spark, tmp_path):
+    import __spark_entry__
+
+    spark.range(40).withColumnRenamed("id", "event_id").coalesce(1).write.parquet(f"file://{tmp_path}/events.parquet")
+    got = __spark_entry__.queries()["T20_public_addresses"](spark, f"file://{tmp_path}")
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and got.count() == 360
+
+
+def test_odd_addresses(spark):
+    want = {"1::\n2": None, "a:::b": None, ":::": None, "1::2::3": None, "1:2:3:4:5:6:7::8": None, "1:2:3:4:5:6:7::": True, "::": False, "::1.2.3.4": True, "::FFFF:10.1.2.3": False, "0:0:0:0:0:ffff:0808:0808": True, "::1:2:3.4.5": None, "2001:db8::": False, "2001:0DB8::1": False, "2001:db80::": True, "febf::": False, "fec0::": True, "172.15.0.1": True, "172.31.09.1": False, "100.128.1.1": True, "192.0.02.1": False, "192.0.1.1": True, "01.2.3.4": True, "256.1.1.1": None, "1.2.3": None}
+    assert {ip: one(spark, ip, text.is_public_address) for ip in want} == want
