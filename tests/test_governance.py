@@ -212,3 +212,12 @@ def test_a_chain_in_ranges_equals_one_fold_and_no_task_holds_all(spark, tmp_path
     assert tuple(audit.verified(read, span=7).first()) == (True, 100, None)
     audit.write_appended(rows.where("id < 5"), path)  # a range that was written before does not stay
     assert audit.read_appended(spark, path, rows.schema).count() == 4
+
+
+def test_titles_are_taken_from_their_texts_once(spark, tmp_path):
+    rows = [("m1", "work", "release of the gateway", "active"), ("m2", "work", "Gateway release", "expired"), ("m3", "work", "of the release gateway", "active")]
+    spark.createDataFrame(rows, "id string, domain string, title string, status string").write.parquet(f"file://{tmp_path}/m")
+    m = spark.read.parquet(f"file://{tmp_path}/m")
+    got = gate.similar_titles(m.select(F.col("id").alias("request_id"), "domain", "title"), m)
+    assert got.inputFiles() and all("titles-" in f for f in got.inputFiles())
+    assert sorted((r.request_id, r.memory_id, r.score) for r in got.collect()) == [("m1", "m3", 1.0), ("m3", "m3", 1.0)]
